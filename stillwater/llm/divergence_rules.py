@@ -159,7 +159,7 @@ SCHEMA = (
 )
 
 
-def divergence_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, common: int = 64, most_class: float = 0.22, most_word: float = 0.45, least_chars: int = 200, least_words: int = 60) -> DataFrame:
+def divergence_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, common: int = 64, most_class: float = 0.3, most_word: float = 0.45, least_chars: int = 200, least_words: int = 60) -> DataFrame:
     """SCHEMA's columns, one row per document; the two distances are null where a guard holds or no reference is."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs, languages, common))
 

@@ -50,7 +50,7 @@ def shingle_sets(part: pa.RecordBatch, k: int, seed: int = 0) -> list[np.ndarray
         n = at[i + 1] - at[i]
         if 0 < n < k:
             w = words[at[i] : at[i + 1]]
-            out.append(tb.mix(np.array([(w * tb.MULTS[: len(w)]).sum() + tb.U(len(w)) * tb.MULTS[9]])))
+            out.append(tb.mix((w * tb.MULTS[: len(w)]).sum(keepdims=True) + np.array([len(w)], tb.U) * tb.MULTS[9]))
         else:
             out.append(np.unique(h[cut[i] : cut[i + 1]]))
     return out
@@ -310,7 +310,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_ke
     owners = -(-int(stats.keys or 0) // owner_keys) or 1
     sent = texts.mapInArrow(send_prefixes(k, seed, ranks, owners, num, den), "owner long, payload binary")
     lists = written(sent.groupBy("owner").applyInArrow(shared_lists, LISTS), "lists")
-    members = lists.select("owner", F.explode("nodes").alias("node"))
+    members = lists.select(F.col("owner").alias("own"), F.explode("nodes").alias("node"))
     active = written(members.select("node").distinct(), "active")
     roots = active.select("node", F.col("node").alias("root"))
     bitmap = spark.sparkContext.broadcast(node_bitmap(active))
@@ -319,8 +319,8 @@ def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_ke
     found = written(found, "keys")
     failed, done, turn, going = None, 0, 1, True
     while going:
-        labels = members.join(roots, "node").select("owner", "node", "root")
-        pairs = lists.select("owner", "payload").groupBy("owner").cogroup(labels.groupBy("owner")).applyInArrow(candidates(done, turn, num, den), "a long, b long")
+        labels = members.join(roots, "node").select("own", "node", "root")
+        pairs = lists.select("owner", "payload").groupBy("owner").cogroup(labels.groupBy("own")).applyInArrow(candidates(done, turn, num, den), "a long, b long")
         pairs = written(pairs.distinct(), "pairs")
         going = not pairs.where("b IS NULL").isEmpty()
         pairs = pairs.where("b IS NOT NULL")

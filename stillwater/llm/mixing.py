@@ -39,8 +39,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
         "left": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)),
     })
     each = each.withColumn("level", (F.col("total") - F.col("spent")).cast("double") / F.col("left").cast("double"))
-    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    each = each.withColumn("level", F.min(fits).over(everything))
+    # The level rises while sources fill up and falls from the first that does not: its peak is the water level.
+    each = each.withColumn("level", F.max("level").over(everything))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("w").cast("double"))
     return each.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 

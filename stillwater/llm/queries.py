@@ -88,7 +88,7 @@ caps AS (
   FROM ranked WINDOW r AS (ORDER BY CAST(cap AS DOUBLE) / w, CASE WHEN sk = '' THEN 1 ELSE 0 END, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, CAST(total - spent AS DOUBLE) / CAST(rest AS DOUBLE) AS level FROM caps),
 targets AS (
-  SELECT sk, source_size, coalesce(least(CAST(cap AS DOUBLE), min(CASE WHEN level * w <= cap THEN level END) OVER () * CAST(w AS DOUBLE)), 0e0) AS target FROM levels),
+  SELECT sk, source_size, coalesce(least(CAST(cap AS DOUBLE), max(level) OVER () * CAST(w AS DOUBLE)), 0e0) AS target FROM levels),
 s0 AS (SELECT *, CAST(round(sum(target) OVER () / 64) AS BIGINT) AS all_seats, sum(target) OVER () AS votes FROM targets),
 s1 AS (SELECT *, CASE WHEN votes > 0 THEN CAST(floor(CAST(all_seats AS DOUBLE) * target / votes + 0.5e0) AS BIGINT) ELSE 0 END AS base FROM s0),
 s2 AS (SELECT *, CASE WHEN votes > 0 THEN all_seats - CAST(sum(base) OVER () AS BIGINT) ELSE 0 END AS missing,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import textblocks as tb
-from stillwater.llm.common import fold
+from stillwater.llm.common import fold, written
 
 #: Identity terms by kind; a term is swapped for the others of its row.
 IDENTITY = (
@@ -37,7 +37,6 @@ IDENTITY = (
     ("disabled", "deaf", "blind"), ("old", "young", "elderly"), ("femmes", "hommes"), ("musulmans", "juifs"), ("mujeres", "hombres"),
     ("musulmanes", "cristianos"), ("frauen", "männer"), ("muslime", "christen", "juden"),
 )
-BITS = 18
 ENDS = np.zeros(256, bool)
 ENDS[[10, ord("."), ord("!"), ord("?")]] = True
 #: Bytes that are dropped at both sides of a word: all of ASCII but letters and digits.
@@ -62,7 +61,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (sentence, feature) pairs and the text of each sentence; sentences are numbered from 0, ascending by text."""
+    """Hash and sentence of each word and prefix, and the text of each sentence; sentences are numbered from 0, ascending by text."""
     starts, ends, cut = word_spans(data, offs)
     doc = np.searchsorted(offs, starts, side="right") - 1
     key = cut[starts] + doc  # rises at a sentence's end and at a text's
@@ -72,10 +71,17 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for k, n in enumerate(PREFIXES):
         long = ends - starts > n
         feats.append((tb.span_hashes(data, starts[long], starts[long] + n, tb.FOLD) + SALTS[k + 1], sent[long]))
-    f = np.concatenate([tb.mix(h) >> tb.U(64 - BITS) for h, _ in feats]).astype(np.int64)
-    s = np.concatenate([x for _, x in feats])
-    pairs = np.unique((s << BITS) | f)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1), doc[new]
+    return np.concatenate([h for h, _ in feats]), np.concatenate([x for _, x in feats]), doc[new]
+
+
+def only_known(h: np.ndarray, s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (sentence, number of the feature) pairs of the features that the model knows."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    hit = known[at] == h
+    pairs = np.unique(s[hit] * len(known) + at[hit])
+    return pairs // len(known), pairs % len(known)
 
 
 def swapped(text: str) -> list[str]:
@@ -89,19 +95,41 @@ def swapped(text: str) -> list[str]:
     return out
 
 
-def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences of the sampled texts as features; copies are sentences of the same number in a `copy` of the row."""
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and other texts of a piece each feature is; equal texts of a piece count once."""
     for part in tb.slices(batches):
-        ids, toxic, texts = (part.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))
-        out = []
-        for i, y, text in zip(ids, toxic, texts, strict=True):
-            for copy, one in enumerate([text, *swapped(text)]):
-                data = np.frombuffer(one.encode(), np.uint8)
-                s, f, _ = features(data, np.array([0, len(data)]))
-                out.append((i, y, copy, s.astype(np.int32).tobytes(), f.astype(np.int32).tobytes()))
-        cols = list(zip(*out, strict=True))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], names=["doc_id", "toxic", "copy", "s", "f"])
+        h, s, doc = features(*tb.buffers(part.column("text")))
+        toxic = np.array(part.column("toxic").to_pylist())
+        d = doc[s] if len(s) else np.zeros(0, np.int64)
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
+        kinds, at = np.unique(h[new], return_inverse=True)
+        y = toxic[d[new]]
+        n = np.bincount(at, minlength=len(kinds))
+        bad = np.bincount(at, y, len(kinds)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(bad), pa.array(n - bad)], names=["f", "bad", "good"])
+
+
+def sample_rows(known):
+    """Sentences of the sampled texts as known features; copies are the same sentences with a group swapped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tb.slices(batches):
+            ids, toxic, texts = (part.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))
+            out = []
+            for i, y, text in zip(ids, toxic, texts, strict=True):
+                for copy, one in enumerate([text, *swapped(text)]):
+                    data = np.frombuffer(one.encode(), np.uint8)
+                    h, s, doc = features(data, np.array([0, len(data)]))
+                    s, f = only_known(h, s, known.value)
+                    out.append((i, y, copy, len(doc), s.astype(np.int32).tobytes(), f.astype(np.int32).tobytes()))
+            cols = list(zip(*out, strict=True))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "toxic", "copy", "n", "s", "f"])
+
+    return run
 
 
 class Rows:
@@ -117,88 +145,97 @@ class Rows:
         return np.bincount(self.col, g[self.row], m)
 
 
-def fit(x: Rows, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, swap: float, l2: float, steps: int = 150) -> tuple[np.ndarray, float]:
+def fit(x: Rows, m: int, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, swap: float, l2: float, steps: int = 200) -> tuple[np.ndarray, float]:
     """Adam on weighted log-loss + swap * mean squared change of logit over (sentence, copy) pairs + l2."""
-    m = 1 << BITS
-    used = np.unique(x.col)
-    small = Rows(x.row, np.searchsorted(used, x.col), x.n)
-    theta, a, v = np.zeros(len(used) + 1), 0.0, 0.0
+    theta, a, v = np.zeros(m + 1), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = small.dot(theta[:-1]) + theta[-1]
+        z = x.dot(theta[:-1]) + theta[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
         if len(pairs):
             d = 2 * swap * (z[pairs[:, 0]] - z[pairs[:, 1]]) / len(pairs)
             np.add.at(g, pairs[:, 0], d)
             np.add.at(g, pairs[:, 1], -d)
-        grad = np.append(small.back(g, len(used)) + l2 * theta[:-1], g.sum())
+        grad = np.append(x.back(g, m) + l2 * theta[:-1], g.sum())
         a, v = 0.9 * a + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-    w = np.zeros(m)
-    w[used] = theta[:-1]
-    return w, float(theta[-1])
+    return theta[:-1], float(theta[-1])
+
 
+def telling(counts: DataFrame, n_bad: int, n_good: int, least: float, most: int) -> np.ndarray:
+    """Hashes of the features that mark toxic texts: at least 3 of them, a higher share than of the others, and a
+    log-likelihood ratio of `least`; the `most` highest."""
+    a, c = F.col("bad").cast("double"), F.col("good").cast("double")
+    n = a + c
+    share = n_bad / (n_bad + n_good)
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    g2 = 2 * (part(a, n * share) + part(c, n * (1 - share)))
+    rows = counts.groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where((F.col("bad") >= 3) & (a > n * share)).withColumn("g2", g2)
+    rows = rows.where(F.col("g2") >= least).orderBy(F.col("g2").desc(), "f").limit(most).select("f").collect()
+    return np.sort(np.array([r.f for r in rows], np.int64).view(tb.U))
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int, swap: float, l2: float) -> dict:
+
+def train(docs: DataFrame, labels: DataFrame, most_docs: int, swap: float, l2: float, least: float, most_features: int) -> dict:
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(fold(F.col("doc_id"), 5) != 0)
-    one = lambda k: marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs // 2)
-    chosen = F.broadcast(one(0).unionByName(one(1)))  # most_docs rows at most
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(chosen, "doc_id").mapInArrow(sample_rows, "doc_id long, toxic int, copy int, s binary, f binary").collect()
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs))  # most_docs rows at most
+    sample = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id"), "sample")
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return {"prior": float(max(n, default=0))}
+    known = telling(sample.mapInArrow(count_features, "f long, bad long, good long"), n[1], n[0], least, most_features)
+    spark = docs.sparkSession
+    rows = sample.mapInArrow(sample_rows(spark.sparkContext.broadcast(known)), "doc_id long, toxic int, copy int, n int, s binary, f binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.copy, r.f))
-    if len({r.toxic for r in rows}) < 2:
-        return {"prior": float(max((r.toxic for r in rows), default=0))}
-    row, col, y, doc, pairs, n, first = [], [], [], [], [], 0, {}
+    row, col, y, doc, pairs, at, first = [], [], [], [], [], 0, {}
     for k, r in enumerate(rows):
-        s, f = np.frombuffer(r.s, np.int32), np.frombuffer(r.f, np.int32)
-        size = int(s.max(initial=-1)) + 1
-        row.append(s + n), col.append(f), y.append(np.full(size, r.toxic)), doc.append(np.full(size, k))
+        row.append(np.frombuffer(r.s, np.int32) + at), col.append(np.frombuffer(r.f, np.int32))
+        y.append(np.full(r.n, r.toxic)), doc.append(np.full(r.n, k))
         if r.copy == 0:
-            first[r.doc_id] = (n, size)
-        elif first.get(r.doc_id, (0, -1))[1] == size:
-            pairs.append(np.stack([first[r.doc_id][0] + np.arange(size), n + np.arange(size)], 1))
-        n += size
+            first[r.doc_id] = (at, r.n)
+        elif first.get(r.doc_id, (0, -1))[1] == r.n:
+            pairs.append(np.stack([first[r.doc_id][0] + np.arange(r.n), at + np.arange(r.n)], 1))
+        at += r.n
     row, col, y, doc = (np.concatenate(a) for a in (row, col, y, doc))
     pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    # Features of fewer than 3 sampled sentences say nothing general.
-    often = np.bincount(col, minlength=1 << BITS)[col] >= 3
-    x = Rows(row[often], col[often], n)
-    per = np.bincount(doc)[doc]
-    w, b = fit(x, y, 1 / per, pairs, swap, l2)
-    for _ in range(2):
+    x, m = Rows(row, col, at), len(known)
+    per = np.bincount(doc, minlength=len(rows))
+    named = np.bincount(row, minlength=at) > 0
+    # A toxic text's sentences without any telling feature are not what makes it toxic.
+    hit = (y == 1) & named
+    for _ in range(3):
+        weight = np.where(y == 1, hit / np.maximum(np.bincount(doc[hit], minlength=len(rows))[doc], 1), 1 / per[doc]) + 1e-12
+        w, b = fit(x, m, hit.astype(float), weight, pairs, swap, l2)
         z = x.dot(w) + b
-        top = np.full(doc.max() + 1, -np.inf)
+        top = np.full(len(rows), -np.inf)
         np.maximum.at(top, doc, z)
-        hit = (y == 1) & ((z >= top[doc] - 1e-9) | (z > 0))
-        use = (y == 0) | hit
-        weight = np.where(hit, 1 / np.maximum(np.bincount(doc[hit], minlength=doc.max() + 1)[doc], 1), 1 / per) * use
-        w, b = fit(x, hit.astype(float), weight + 1e-12, pairs, swap, l2)
-    # The bias is set on the sampled texts: half way between the classes' middle parts.
-    top = np.full(doc.max() + 1, b)
-    np.maximum.at(top, doc, x.dot(w) + b)
+        hit = (y == 1) & named & ((z >= top[doc] - 1e-9) | (z > 0))
+    # 0.5 lies where the sampled texts are parted best.
+    top = np.full(len(rows), b)
+    np.maximum.at(top, doc, z)
     toxic = np.array([r.toxic for r in rows])
     cuts = np.unique(top)
     mids = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     bad, good = np.sort(top[toxic == 1]), np.sort(top[toxic == 0])
-    miss = np.searchsorted(bad, mids) / len(bad) + 1 - np.searchsorted(good, mids) / len(good)
-    best = mids[np.abs(miss - miss.min()) < 1e-12]
-    return {"w": w.astype(np.float32), "b": b - float(np.median(best))}
+    wrong = np.searchsorted(bad, mids) / len(bad) + 1 - np.searchsorted(good, mids) / len(good)
+    best = mids[wrong <= wrong.min() + 1e-12]
+    return {"known": known, "w": w, "b": b - float(np.median(best))}
 
 
 def score_block(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     if "prior" in model:
         return np.full(n, model["prior"])
-    s, f, doc = features(data, offs)
+    h, s, doc = features(data, offs)
+    s, f = only_known(h, s, model["known"])
     z = np.bincount(s, model["w"][f], len(doc)) + model["b"]
     top = np.full(n, model["b"])
     np.maximum.at(top, doc, z)
     return 1 / (1 + np.exp(-np.clip(top, -30, 30)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, swap: float = 1.0, l2: float = 1e-5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_docs: int = 8000, swap: float = 1.0, l2: float = 1e-4, least: float = 20.0, most_features: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_docs, swap, l2))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_docs, swap, l2, least, most_features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.slices(batches):
