@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each beside its SQL."""
 
-from stillwater.plans import catalog
+from stillwater.plans import catalog, color
 from stillwater.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "color"]

@@ -82,8 +82,8 @@ SQL_VIEWS = {
   UNION ALL SELECT id, 'size', size FROM still UNION ALL SELECT id, 'grade', 'poor' FROM still WHERE coalesce(toxic, 0) <> 1 AND quality = 0""",
     "tag": r"""SELECT DISTINCT doc_id AS id, t FROM (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' ')) AS t FROM documents) WHERE length(t) >= 4""",
     "digest": "SELECT doc_id AS id, source AS work, md5(CAST(doc_id AS VARCHAR)) AS m FROM documents",
-    "swatch": """SELECT id, work, lane, rank, '#' || upper(substr(m, at, 6)) AS hex, weight FROM digest,
-  (VALUES ('swatches', 0, 1, 1e0), ('swatches', 1, 7, 0.5e0), ('swatches', 2, 13, 1e0 / 3e0), ('shadows', 0, 19, 1e0), ('highlights', 0, 25, 1e0)) AS x(lane, rank, at, weight)""",
+    "swatch": """SELECT id, work, lane, rank, '#' || upper(substr(m, pos, 6)) AS hex, weight FROM digest,
+  (VALUES ('swatches', 0, 1, 1e0), ('swatches', 1, 7, 0.5e0), ('swatches', 2, 13, 1e0 / 3e0), ('shadows', 0, 19, 1e0), ('highlights', 0, 25, 1e0)) AS x(lane, rank, pos, weight)""",
     "vec": "SELECT vec_id AS id, label AS work, CAST(vec_id AS DOUBLE) AS ts, embedding AS v FROM embeddings",
     "job": "SELECT event_id AS id, event_type AS stage, user_id AS worker, value AS seconds, CAST(json_extract_string(props, '$.k') AS BIGINT) AS units, ts FROM events",
 }
