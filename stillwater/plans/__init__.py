@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each beside its SQL."""
 
-from stillwater.plans import catalog, color, vectors
+from stillwater.plans import catalog, color, timeline, vectors
 from stillwater.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "color", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "color", "timeline", "vectors"]
