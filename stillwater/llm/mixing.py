@@ -107,11 +107,11 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     A document that the mix takes no word of is absent; wholly repeated rows share what the mix takes of them.
     """
-    plan = mixed.groupBy("row_key").agg(F.max("size").alias("size"), F.floor(F.avg("taken")).alias("taken")).where("taken > 0")
-    both = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(plan, "row_key")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    both = both.withColumns({"whole": whole, "rest": rest})
-    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole") + (F.col("rest") > 0).cast("int"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("rest")), " ")
-    text = F.when(F.col("copy") <= F.col("whole"), F.col("text")).otherwise(cut)
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_chars"], *([F.length(text).cast("long").alias("n_chars")] if "n_chars" in docs.columns else [])).select(docs.columns)
+    plan = mixed.groupBy("row_key").agg(F.max("size").alias("_size"), F.floor(F.avg("taken")).alias("_taken")).where("_taken > 0").withColumnRenamed("row_key", "_key")
+    both = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(plan, "_key")
+    both = both.withColumns({"_whole": F.floor(F.col("_taken") / F.col("_size")).cast("int"), "_rest": (F.col("_taken") % F.col("_size")).cast("int")})
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + (F.col("_rest") > 0).cast("int"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_rest")), " ")
+    text = F.when(F.col("_copy") <= F.col("_whole"), F.col("text")).otherwise(cut)
+    own = {"text": text, "n_chars": F.when(F.col("_copy") <= F.col("_whole"), F.col("n_chars")).otherwise(F.length(cut).cast("long")) if "n_chars" in docs.columns else None}
+    return both.select(*[own[c].alias(c) if own.get(c) is not None else F.col(c) for c in docs.columns])
