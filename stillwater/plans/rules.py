@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stillwater.functions import detect as dt
 from stillwater.functions import labels as lb
 from stillwater.functions import text as tx
 from stillwater.operators import accuracy as ac
 from stillwater.operators import ingest as ing
+from stillwater.operators import review as rv
 from stillwater.plans.registry import query
 from stillwater.sources.tables import stills, table, with_views
 from stillwater.streaming import jobs as jobs_stream
@@ -209,3 +211,88 @@ def protocol(spark, sf):
 @query()
 def job_replay(spark, sf):
     return jobs_stream.replay(protocol(spark, sf))
+
+
+def boxes(spark, sf):
+    """The lines of an order as its frame's boxes."""
+    li = table(spark, sf, "lineitem")
+    x, y = (F.col("l_suppkey") % 20).cast("double"), (F.col("l_partkey") % 20).cast("double")
+    b = F.struct((F.col("l_extendedprice") / 1e5).alias("score"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity")).alias("x1"), (y + F.col("l_quantity")).alias("y1"))
+    return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(b).alias("boxes"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS id, l_extendedprice / 1e5 AS s, CAST(l_suppkey % 20 AS DOUBLE) AS x0, CAST(l_partkey % 20 AS DOUBLE) AS y0, l_suppkey % 20 + l_quantity AS x1, l_partkey % 20 + l_quantity AS y1 FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, x0) AS k FROM b)
+SELECT id, count(*) AS n, max(s) AS best FROM r WHERE k = 1 OR k = 2 AND NOT EXISTS (SELECT 1 FROM r f WHERE f.id = r.id AND f.k = 1 AND
+ greatest(0, least(f.x1, r.x1) - greatest(f.x0, r.x0) + 1) * greatest(0, least(f.y1, r.y1) - greatest(f.y0, r.y0) + 1)
+ / ((f.x1 - f.x0 + 1) * (f.y1 - f.y0 + 1) + (r.x1 - r.x0 + 1) * (r.y1 - r.y0 + 1) - greatest(0, least(f.x1, r.x1) - greatest(f.x0, r.x0) + 1) * greatest(0, least(f.y1, r.y1) - greatest(f.y0, r.y0) + 1)) > 0.3) GROUP BY id""".replace("WITH RECURSIVE", "WITH"))
+def suppress_boxes(spark, sf):
+    """The two best boxes of each frame after suppression between them."""
+    two = lambda b: F.slice(F.array_sort(b, lambda p, q: F.when(p["score"] > q["score"], -1).when(p["score"] < q["score"], 1).when(p["x0"] < q["x0"], -1).when(p["x0"] > q["x0"], 1).otherwise(0)), 1, 2)
+    kept = dt.suppress(two(F.col("boxes")), 0.3)
+    return boxes(spark, sf).select("id", F.size(kept).cast("long").alias("n"), kept[0]["score"].alias("best"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS id, l_linenumber AS n, l_extendedprice / 1e5 AS s, l_suppkey % 20 AS x0, l_partkey % 20 AS y0, l_suppkey % 20 + l_quantity AS x1, l_partkey % 20 + l_quantity AS y1 FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (x1 - x0) * (y1 - y0) DESC, s DESC) AS k FROM b)
+SELECT f.id, max(h.s) AS head FROM f JOIN b h ON h.id = f.id AND (f.x0 + f.x1) / 2 BETWEEN h.x0 AND h.x1 AND (f.y0 + f.y1) / 2 BETWEEN h.y0 AND h.y1 WHERE k = 1 GROUP BY f.id""")
+def head_over_face(spark, sf):
+    b = F.col("boxes")
+    return boxes(spark, sf).select("id", dt.over_centre(b, dt.largest(b))["score"].alias("head"))
+
+
+def reviewed(spark, sf):
+    return stills(spark, sf).withColumn("reviewed_at", F.lit(None).cast("timestamp"))
+
+
+@query(with_views("still") + "SELECT id, CASE WHEN work IN ('src1', 'src2') AND selected AND review_state = 'unreviewed' AND NOT excluded THEN 'kept' ELSE review_state END AS review_state FROM still")
+def keep_rest(spark, sf):
+    s = reviewed(spark, sf)
+    return rv.keep_rest(s, s.where("work IN ('src1', 'src2')").select("work"), F.lit("2024-01-01").cast("timestamp")).select("id", "review_state")
+
+
+@query(with_views("still") + "SELECT id, review_state FROM still")
+def keep_rest_undone(spark, sf):
+    s, at = reviewed(spark, sf), F.lit("2024-01-01").cast("timestamp")
+    return rv.undo(rv.keep_rest(s, s.select("work"), at), "kept", at).select("id", "review_state")
+
+
+@query(with_views("still", "facet") + ", m AS (SELECT * FROM facet WHERE NOT (k = 'size' AND id % 3 = 0)) SELECT id, k, v FROM m UNION ALL SELECT id, 'size', 'fixed' FROM still WHERE id % 3 = 0")
+def corrected_facets(spark, sf):
+    from stillwater.operators.catalog import overlay
+
+    s = stills(spark, sf)
+    fixes = s.where("id % 3 = 0").select("id", F.create_map(F.lit("size"), F.lit("fixed")).alias("fix"))
+    return rv.correct(s, fixes).select("id", F.explode(overlay(F.col("facets"), F.col("facets_human"))).alias("k", "v"))
+
+
+@query(with_views("still") + """SELECT id, CASE WHEN work = 'src3' AND id % 2 = 0 THEN FALSE ELSE TRUE END AS locked FROM still WHERE id % 5 = 0 AND NOT locked""")
+def set_locks(spark, sf):
+    s = stills(spark, sf).withColumn("tiers", F.when(F.col("id") % 2 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(320))))
+    out, _ = rv.set_locks(s, s.where("id % 5 = 0"), s.where("work = 'src3'"))
+    return out.where("id % 5 = 0 AND id % 17 <> 0").select("id", "locked")
+
+
+@query("""SELECT o_custkey AS work, CASE WHEN o_custkey % 10 = 3 THEN 0 ELSE count(*) END AS jobs, CASE WHEN o_custkey % 10 = 3 THEN 1 ELSE 0 END AS scrubs FROM orders GROUP BY o_custkey""")
+def remove_works(spark, sf):
+    j = table(spark, sf, "orders").select(F.col("o_custkey").alias("work"), F.lit("import").alias("stage"))
+    w = j.select("work").distinct()
+    _, _, left = rv.remove(w, w, j, w.where("work % 10 = 3"))
+    return left.groupBy("work").agg(F.count_if(F.col("stage") == "import").alias("jobs"), F.count_if(F.col("stage") == "scrub").cast("int").alias("scrubs"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS episode, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS minutes, o_orderstatus = 'F' AS known, o_orderstatus = 'P' AS live FROM orders),
+c AS (SELECT *, count(*) OVER (PARTITION BY episode) AS n FROM f)
+SELECT id, problem FROM (SELECT id, unnest([CASE WHEN known THEN 'already a work' END, CASE WHEN live THEN 'already queued' END, CASE WHEN coalesce(minutes, 0) <= 0 THEN 'no duration' END, CASE WHEN episode IS NOT NULL AND n > 1 THEN 'several files of the episode' END]) AS problem FROM c) WHERE problem IS NOT NULL""")
+def file_problems(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    return rv.file_problems(o.select(k.alias("id"), F.when(k % 3 != 0, F.col("o_custkey")).alias("episode"), F.when(k % 7 != 0, F.col("o_totalprice")).alias("minutes"), (F.col("o_orderstatus") == "F").alias("known"), (F.col("o_orderstatus") == "P").alias("live")))
+
+
+@query("""SELECT lower(c_mktsegment) AS name, count(*) AS n FROM customer GROUP BY 1""")
+def local_names(spark, sf):
+    """Segments as names in several spellings: one id each, the same for all spellings."""
+    c = table(spark, sf, "customer")
+    spelt = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("name"))
+    ids = rv.new_local(spelt, spelt.limit(0).select("name", F.col("c_custkey").alias("id")))
+    return spelt.join(F.broadcast(ids.select(F.lower("name").alias("k"), "id")), F.lower(spelt["name"]) == F.col("k")).groupBy("k", "id").agg(F.count(F.lit(1)).alias("n")).select(F.col("k").alias("name"), "n")
