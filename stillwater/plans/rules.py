@@ -8,6 +8,7 @@ from stillwater.functions import detect as dt
 from stillwater.functions import labels as lb
 from stillwater.functions import text as tx
 from stillwater.operators import accuracy as ac
+from stillwater.operators import frames as fr
 from stillwater.operators import ingest as ing
 from stillwater.operators import review as rv
 from stillwater.plans.registry import query
@@ -296,3 +297,81 @@ def local_names(spark, sf):
     spelt = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("name"))
     ids = rv.new_local(spelt, spelt.limit(0).select("name", F.col("c_custkey").alias("id")))
     return spelt.join(F.broadcast(ids.select(F.lower("name").alias("k"), "id")), F.lower(spelt["name"]) == F.col("k")).groupBy("k", "id").agg(F.count(F.lit(1)).alias("n")).select(F.col("k").alias("name"), "n")
+
+
+def tagged(spark, sf):
+    k = F.col("p_size")
+    pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % n + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), pick(5, "bt709", None, "bt2020nc", "smpte170m", "bt470bg").alias("space"), pick(4, "bt709", None, "smpte2084", "bt2020-10").alias("transfer"),
+        pick(3, "bt709", None, "bt2020").alias("primaries"), (k * 30).alias("height"),
+    )
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'bt709' WHEN 2 THEN 'bt2020nc' WHEN 3 THEN 'smpte170m' WHEN 4 THEN 'bt470bg' END AS s, CASE p_size % 4 WHEN 0 THEN 'bt709' WHEN 2 THEN 'smpte2084' WHEN 3 THEN 'bt2020-10' END AS t,
+ CASE p_size % 3 WHEN 0 THEN 'bt709' WHEN 2 THEN 'bt2020' END AS p, p_size * 30 AS h FROM part)
+SELECT id, CASE WHEN t = 'smpte2084' THEN 'hdr-bt2390' WHEN s = 'bt2020nc' AND t = 'bt2020-10' AND p = 'bt2020' THEN 'sdr-bt2020'
+ WHEN coalesce(s, 'bt709') = 'bt709' AND coalesce(t, 'bt709') = 'bt709' AND coalesce(p, 'bt709') = 'bt709' AND (h >= 720 OR (s = 'bt709' AND t = 'bt709' AND p = 'bt709')) THEN 'sdr-bt709'
+ WHEN s = 'smpte170m' AND coalesce(t, 'bt709') = 'bt709' AND p IS NULL THEN 'sdr-bt601' WHEN s = 'bt470bg' AND coalesce(t, 'bt709') = 'bt709' AND p IS NULL THEN 'sdr-bt601'
+ WHEN s IS NULL AND t IS NULL AND p IS NULL THEN 'sdr-bt601' END AS rule FROM t""")
+def color_rule(spark, sf):
+    return tagged(spark, sf).select("id", fr.color_rule(*[F.col(c) for c in ("space", "transfer", "primaries", "height")]).alias("rule"))
+
+
+def shot_rows(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select((F.col("l_suppkey")).alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("shot"), (F.col("l_orderkey") * 7.0 + F.col("l_linenumber")).alias("mid"), F.col("l_extendedprice").alias("score"), F.lit(420000.0).alias("duration"))
+
+
+@query("SELECT l_suppkey AS src, CAST(l_orderkey * 8 + l_linenumber AS INTEGER) AS shot, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 7e0 + l_linenumber, l_orderkey * 8 + l_linenumber) - 1 AS INTEGER) AS turn FROM lineitem")
+def rank_shots_plain(spark, sf):
+    return fr.rank_shots(shot_rows(spark, sf), 40, 0)
+
+
+@query()
+def rank_shots_spread(spark, sf):
+    return fr.rank_shots(shot_rows(spark, sf).where("shot % 4 = 0"), 40)
+
+
+@query()
+def plan_extractions(spark, sf):
+    ranked = fr.rank_shots(shot_rows(spark, sf), 40, 0).withColumn("frames", F.col("shot") % 5 + 1)
+    return fr.plan(ranked, 100, 200)
+
+
+@query("""SELECT c_custkey AS id, problem FROM (SELECT c_custkey, unnest([CASE WHEN c_custkey % 9 = 0 THEN 'missing series_title' END, CASE WHEN c_custkey % 4 = 3 THEN 'unknown entry type' END,
+ CASE WHEN c_custkey % 4 = 1 AND c_custkey % 5 = 0 THEN 'an episode without an id' END]) AS problem FROM customer) WHERE problem IS NOT NULL""")
+def identity_problems(spark, sf):
+    k = F.col("c_custkey")
+    kind = F.when(k % 4 == 1, "episode").when(k % 4 == 3, "clip").otherwise("movie")
+    rows = table(spark, sf, "customer").select(
+        k.alias("id"), F.when(k % 9 != 0, F.col("c_name")).alias("series_title"), kind.alias("entry_type"), F.lit("f").alias("source_filename"), k.alias("series_id"), k.alias("file_id"), F.col("c_name").alias("work_id"),
+        F.when(k % 5 == 0, F.array().cast("array<long>")).otherwise(F.array(k)).alias("episode_ids"),
+    )
+    return fr.identity_problems(rows)
+
+
+@query("""WITH p AS (SELECT sha256(concat_ws(chr(10), 'm', 'p', c_mktsegment)) AS key, c_mktsegment AS phrase FROM customer)
+SELECT key, count(*) + CASE WHEN phrase < 'C' THEN 5 ELSE 0 END AS hits FROM p GROUP BY key, phrase""")
+def phrase_cache(spark, sf):
+    import pandas as pd
+
+    p = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("phrase")).withColumn("key", fr.phrase_key(F.lit("m"), F.lit("p"), F.col("phrase")))
+    cache = p.where("phrase < 'C'").select("key", F.array(F.lit(1.0).cast("float")).alias("v"), F.lit(5).cast("long").alias("hits")).distinct()
+    return fr.encode_missing(p, cache, lambda pdf: pd.DataFrame({"key": pdf["key"], "v": [[float(len(x))] for x in pdf["phrase"]]})).select("key", "hits")
+
+
+@query(with_views("still", "seen") + "SELECT id, work, lang, size FROM seen WHERE NOT coalesce(toxic = 1, FALSE)")
+def public_stills(spark, sf):
+    """What a visitor may see of a still: no review marks."""
+    from stillwater.operators import catalog
+
+    s = stills(spark, sf).where(catalog.visible()).withColumn("f", catalog.overlay(F.col("facets"), F.col("facets_human")))
+    return s.select("id", "work", F.col("f")["lang"].alias("lang"), F.col("f")["size"].alias("size"))
+
+
+@query("""SELECT o_custkey AS work, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
+def batch_duplicates(spark, sf):
+    """A work that comes twice in one day's batch."""
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_custkey").alias("work"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -48,3 +48,29 @@ def newest_version(folders: DataFrame) -> DataFrame:
     """The folder of the highest x.y.z of each group. Rows: grp, name."""
     part = F.transform(F.split(F.regexp_extract("name", r"(\d+\.\d+\.\d+)", 1), r"\."), lambda x: x.cast("int"))
     return folders.where(F.col("name").rlike(r"\d+\.\d+\.\d+")).groupBy("grp").agg(F.max_by("name", part).alias("name"))
+
+CHECKS = "format string, checks array<struct<id: string, work: string, candidate: string, machine: map<string,string>, human: map<string,string>, sources: map<string, struct<s: string, p: double>>>>"
+
+
+def label_checks(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """id, work, family, machine, human, answered, source of exported label checks of one format."""
+    rows = spark.read.schema(CHECKS).json(path, multiLine=True)
+    rows = rows.select(F.assert_true(F.col("format") == wanted, F.lit("another format of label checks")).alias("ok"), F.inline("checks"))
+    families = F.array_union(F.map_keys(F.coalesce("machine", F.create_map().cast("map<string,string>"))), F.map_keys(F.coalesce("human", F.create_map().cast("map<string,string>"))))
+    each = rows.where(F.col("ok").isNull()).select("id", "work", "machine", "human", "sources", F.explode(families).alias("family"))
+    at = lambda c: F.try_element_at(F.col(c), F.col("family"))
+    return each.select("id", "work", "family", at("machine").alias("machine"), at("human").alias("human"), F.coalesce(F.map_contains_key("human", F.col("family")), F.lit(False)).alias("answered"), at("sources")["s"].alias("source"))
+
+
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an audit file, which is an array or an object with one array in it."""
+    row = "array<struct<candidate_id: string, shot_id: string, timestamp_seconds: double, pixel: boolean>>"
+    text = spark.read.text(path, wholetext=True)
+    plain = F.when(F.ltrim("value").startswith("["), F.from_json("value", row)).otherwise(F.map_values(F.from_json("value", f"map<string, {row}>"))[0])
+    return text.select(F.inline(plain))
+
+
+def embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """candidate_id, embedding: the first file of each candidate by path."""
+    rows = spark.read.schema("candidate_id string, embedding array<float>").json(path, multiLine=True).withColumn("path", F.col("_metadata.file_path"))
+    return rows.groupBy("candidate_id").agg(F.min_by("embedding", "path").alias("embedding"))
