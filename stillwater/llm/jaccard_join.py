@@ -1,16 +1,17 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and their components.
 
 Texts link when |A & B| / |A | B| >= num/den. Every set is ordered rare-first by one
-global order (document frequency of a shingle's hash cell, then hash), so two alike
-sets share a key among their first n - ceil(t n) + 1. Owners of key ranges keep the
-keys that several sets share; length and positional filters choose candidates, the
-suffix filter and the exact intersection verify each pair once.
-
-Pairs inside a component need no test, so candidates come in rounds: of each posting
-list the next 1, 4, 16, ... members (in one order for all lists) meet the members that
-are not yet in their component, until every list is of one component or used up. Groups
-of many near copies thus cost about one test per member, and no link is lost. Equal
-sets are one node from the start and are told apart from chance by a second digest.
+global order (document frequency of a shingle's hash cell, then hash). Prefixes have
+n - ceil(t n) + l keys with l = ceil(n / 20), and so two alike sets share the lesser l
+of such keys at least, not only one. Owners of key ranges keep the keys that several
+sets share; a set that shares fewer than a partner would need takes no further part,
+which leaves out texts that have no more than a passage in common. The others are put in blocks of about `block` by the most
+shared of their keys, and the owners name each pair of blocks in which some two sets
+share a key. A pair of blocks is one task: it joins the prefixes of its sets, and what
+passes the length, positional and suffix filters is intersected, once per pair, unless
+the two are in one component by then. It returns a forest of links, so a group of many
+near copies gives no more links than members, and no link between components is lost.
+Equal sets are one node from the start and are told apart from chance by a second digest.
 
 Cases: A-Z become a-z; fewer words than k are one shingle of the whole sequence; a null
 or empty text, or one of blanks, has no shingle and is its own component; repeated rows
@@ -31,10 +32,8 @@ from stillwater.llm import textblocks as tb
 from stillwater.llm.common import only, written
 from stillwater.llm.lm_interpolation import opened, pressed
 
-CELL_BITS, CHUNK = 18, 4096
+CELL_BITS, CHUNK = 24, 1 << 18
 MAP_BITS = 23
-RANKS = 4096
-LOW = tb.U(12)
 
 
 def shingle_sets(part: pa.RecordBatch, k: int, seed: int = 0) -> list[np.ndarray]:
@@ -62,8 +61,13 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in tb.mix(d + tb.U(len(s))).view(np.int64))
 
 
+def fewest(n):
+    """How many prefix keys alike sets share, the lesser of the two counting."""
+    return -(-n // 20)
+
+
 def prefix_length(n, num: int, den: int):
-    return n - -(-num * n // den) + 1
+    return n - -(-num * n // den) + fewest(n)
 
 
 DOCS = "doc_id long, n long, node long, other long, chunk int, cells binary"
@@ -73,12 +77,13 @@ def describe(k: int, seed: int):
     """Each document's set size and digests; at the end of a task its counts of hash cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
         names = ["doc_id", "n", "node", "other", "chunk", "cells"]
         for part in tb.slices(batches):
             sets = shingle_sets(part, k, seed)
             both = np.concatenate([*sets, np.zeros(0, tb.U)])
-            cells += np.bincount((both & tb.U((1 << CELL_BITS) - 1)).astype(np.int64), minlength=len(cells))
+            at, count = np.unique(cell_of(both), return_counts=True)
+            cells[at] += count.astype(np.uint32)
             ds = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.nulls(len(ds), pa.int32()), pa.nulls(len(ds), pa.binary())], names=names)
         m = len(cells) // CHUNK
@@ -89,41 +94,53 @@ def describe(k: int, seed: int):
     return run
 
 
-def sum_cells(table: pa.Table) -> pa.Table:
-    total = sum(opened(b, np.int64)[0] for b in table.column("cells").to_pylist())
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
+def cell_of(s: np.ndarray) -> np.ndarray:
+    return (s & tb.U((1 << CELL_BITS) - 1)).astype(np.int64)
+
 
+def add_cells(table: pa.Table) -> pa.Table:
+    total = np.zeros(CHUNK, np.uint32)
+    for blob in table.column("cells").to_pylist():
+        total += opened(blob, np.uint32)[0]
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "cells": pa.array([pressed(total)], pa.binary())})
 
-def cell_ranks(rows: list) -> np.ndarray:
-    """Rank 0 (rarest) .. RANKS-1 of each hash cell by its count; 2^CELL_BITS cells whatever the corpus."""
-    cells = np.zeros(1 << CELL_BITS, np.int64)
+
+def rank_cells(table: pa.Table) -> pa.Table:
+    """Ranks 0 (rarest) to 255, an eighth of a doubling each."""
+    total = opened(add_cells(table).column("cells")[0].as_py(), np.uint32)[0]
+    ranks = np.minimum(np.round(np.log2(np.maximum(total, 1)) * 8), 255).astype(np.uint8)
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "cells": pa.array([ranks.tobytes()], pa.binary())})
+
+
+def cell_ranks(counts: DataFrame) -> np.ndarray:
+    """A rank for each of 2^CELL_BITS cells, 16 MB whatever the corpus; tasks' counts are added in two steps."""
+    one = counts.select("chunk", "cells", F.pmod(F.spark_partition_id(), F.lit(32)).alias("part"))
+    rows = one.groupBy("chunk", "part").applyInArrow(add_cells, "chunk int, cells binary").groupBy("chunk").applyInArrow(rank_cells, "chunk int, cells binary").collect()
+    ranks = np.zeros(1 << CELL_BITS, np.uint8)
     for r in rows:
-        cells[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.int64)
-    return np.searchsorted(np.sort(cells), cells) * (RANKS - 1) // len(cells)
+        ranks[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.uint8)
+    return ranks
 
 
 def ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """A set as keys whose plain order is the global rare-first order."""
-    r = ranks[(s & tb.U((1 << CELL_BITS) - 1)).astype(np.int64)].astype(tb.U)
-    return np.sort((r << tb.U(52)) | (s >> LOW))
+    """A set as keys whose plain order is the global rare-first order: eight bits of rank, then the hash."""
+    return np.sort((ranks[cell_of(s)].astype(tb.U) << tb.U(56)) | (s >> tb.U(8)))
 
 
 def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, most: int = 1_000_000):
-    """Prefix keys by owner: sorted keys, position, and the node and size behind each."""
+    """Prefix keys by owner, sorted, and the node behind each."""
 
     def flush(rows: list) -> pa.RecordBatch:
-        nodes, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-        keys = np.concatenate([r[2] for r in rows])
-        who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
-        pos = np.concatenate([np.arange(len(r[2]), dtype=np.int32) for r in rows])
+        nodes, keys = np.array([r[0] for r in rows], np.int64), np.concatenate([r[1] for r in rows])
+        who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
         owner = (tb.mix(keys) >> tb.U(32)) * tb.U(owners) >> tb.U(32)
         order = np.lexsort((keys, owner))
-        keys, who, pos, owner = keys[order], who[order], pos[order], owner[order].astype(np.int64)
+        keys, who, owner = keys[order], who[order], owner[order].astype(np.int64)
         kinds, at = np.unique(owner, return_index=True)
         out = []
         for a, b in zip(at, [*at[1:], len(owner)], strict=True):
             used, local = np.unique(who[a:b], return_inverse=True)
-            out.append(pressed(keys[a:b], local.astype(np.int32), pos[a:b], nodes[used], sizes[used]))
+            out.append(pressed(keys[a:b], local.astype(np.int32), nodes[used]))
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(out, pa.binary())], names=["owner", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +152,7 @@ def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, mos
                     continue
                 seen.add(node)
                 keys = ordered(s, ranks.value)[: prefix_length(len(s), num, den)]
-                rows.append((node, len(s), keys))
+                rows.append((node, keys))
                 held += len(keys)
                 if held >= most:
                     yield flush(rows)
@@ -146,79 +163,64 @@ def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, mos
     return run
 
 
-LISTS = "owner long, payload binary, nodes array<long>"
+LISTS = "payload binary, members binary"
 
 
 def shared_lists(table: pa.Table) -> pa.Table:
-    """An owner's posting lists of two nodes or more: list number, node, size, position."""
-    got = [opened(b, tb.U, np.int32, np.int32, np.int64, np.int32) for b in table.column("payload").to_pylist()]
-    keys, pos = np.concatenate([g[0] for g in got]), np.concatenate([g[2] for g in got])
-    node, size = np.concatenate([g[3][g[1]] for g in got]), np.concatenate([g[4][g[1]] for g in got])
+    """An owner's posting lists of two nodes or more: number and node of each entry; and each node's largest list."""
+    got = [opened(b, tb.U, np.int32, np.int64) for b in table.column("payload").to_pylist()]
+    keys, node = np.concatenate([g[0] for g in got]), np.concatenate([g[2][g[1]] for g in got])
     del got
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys, node = keys[order], node[order]
     same = keys[1:] == keys[:-1]
     keep = np.append(same, False) | np.append(False, same)
-    order, keys = order[keep], keys[keep]
-    node, size, pos = node[order], size[order], pos[order]
+    keys, node = keys[keep], node[keep]
     # One entry per key and node: equal texts of several tasks come several times.
-    order = np.lexsort((tb.mix(node.view(tb.U)), keys))
-    keys, node, size, pos = keys[order], node[order], size[order], pos[order]
+    order = np.lexsort((node, keys))
+    keys, node = keys[order], node[order]
     new = np.append(True, (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]))[: len(keys)]
-    keys, node, size, pos = keys[new], node[new], size[new], pos[new]
-    same = keys[1:] == keys[:-1]
-    keep = (np.append(same, False) | np.append(False, same))[: len(keys)]
-    keys, node, size, pos = keys[keep], node[keep], size[keep], pos[keep]
+    keys, node = keys[new], node[new]
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    keep = count[number] > 1
+    keys, node, size = keys[keep], node[keep], count[number][keep]
     if not len(keys):
-        return pa.table({"owner": pa.array([], pa.int64()), "payload": pa.array([], pa.binary()), "nodes": pa.array([], pa.list_(pa.int64()))})
+        return pa.table({"payload": pa.array([], pa.binary()), "members": pa.array([], pa.binary())})
     number = np.cumsum(np.append(True, keys[1:] != keys[:-1])) - 1
-    return pa.table({"owner": table.column("owner").slice(0, 1), "payload": pa.array([pressed(number, node, size, pos)], pa.binary()), "nodes": pa.array([np.unique(node)], pa.list_(pa.int64()))})
+    order = np.lexsort((keys, -size, node))
+    at = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
+    first, held = order[at], np.diff(np.append(at, len(order)))
+    return pa.table({"payload": pa.array([pressed(number, node)], pa.binary()), "members": pa.array([pressed(node[first], size[first], keys[first], held)], pa.binary())})
 
 
-def candidates(done: int, turn: int, num: int, den: int):
-    """Pairs to test of one round: in each open list, members done .. done+turn-1 against the later ones of other components.
+def list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, size and key of each node's largest list at each owner, and in how many lists it is; own numbers the owners' rows."""
+    for batch in batches:
+        for own, blob in zip(batch.column("own").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            node, size, key, held = opened(blob, np.int64, np.int64, tb.U, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), own)), pa.array(node), pa.array(size), pa.array(key.view(np.int64)), pa.array(held)], names=["own", "node", "size", "key", "held"])
 
-    A row with b null says that the owner has lists that the round leaves open.
-    """
-
-    def run(lists: pa.Table, labels: pa.Table) -> pa.Table:
-        out, still = [], False
-        order = np.argsort(labels.column("node").to_numpy(), kind="stable")
-        nodes, roots = labels.column("node").to_numpy()[order], labels.column("root").to_numpy()[order]
-        for blob in lists.column("payload").to_pylist():
-            number, node, size, pos = opened(blob, np.int64, np.int64, np.int32, np.int32)
-            root = roots[np.searchsorted(nodes, node)]
-            at = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
-            lo, hi = np.minimum(at[:-1] + done, at[1:]), at[1:]
-            # Open: among the members not used yet, two components.
-            change = np.concatenate([[0], np.cumsum(np.append(0, root[1:] != root[:-1]))])
-            full = hi - lo > 1
-            lo, hi = lo[full], hi[full]
-            differ = change[hi] - change[np.minimum(lo + 1, hi)] > 0
-            lo, hi = lo[differ], hi[differ]
-            still = still or bool((hi - lo > turn + 1).any())
-            for j in range(turn):
-                p = lo + j
-                open_ = p + 1 < hi
-                p, end = p[open_], hi[open_]
-                if not len(p):
-                    break
-                n = end - p - 1
-                a = np.repeat(p, n)
-                b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a + 1
-                sa, sb = size[a].astype(np.int64), size[b].astype(np.int64)
-                need = -(-num * (sa + sb) // (num + den))
-                most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(sa - pos[a], sb - pos[b]) - 1
-                ok = (root[a] != root[b]) & (den * np.minimum(sa, sb) >= num * np.maximum(sa, sb)) & (most >= need)
-                x, y = np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])
-                out.append(np.unique(np.stack([x, y], 1), axis=0))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        a, b = pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
-        if still:
-            a, b = pa.concat_arrays([a, pa.array([0], pa.int64())]), pa.concat_arrays([b, pa.array([None], pa.int64())])
-        return pa.table({"a": a, "b": b})
 
-    return run
+def block_pairs(lists: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Pairs of blocks in which a list of the owner has sets of both."""
+    order = np.argsort(blocks.column("node").to_numpy(), kind="stable")
+    nodes, of = blocks.column("node").to_numpy()[order], blocks.column("block").to_numpy()[order]
+    out = []
+    for blob in lists.column("payload").to_pylist():
+        number, node = opened(blob, np.int64, np.int64)
+        known = np.isin(node, nodes)
+        number, node = number[known], node[known]
+        if not len(node):
+            continue
+        both = np.unique(np.stack([number, of[np.searchsorted(nodes, node)]], 1), axis=0)
+        at = np.append(np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0])), len(both))
+        seen = np.unique(both[:, 1])
+        out.append(np.stack([seen, seen], 1))
+        for a, b in zip(at[:-1][np.diff(at) > 1], at[1:][np.diff(at) > 1], strict=True):
+            i, j = np.triu_indices(b - a, 1)
+            out.append(np.stack([both[a:b, 1][i], both[a:b, 1][j]], 1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pa.table({"ba": pairs[:, 0], "bb": pairs[:, 1]})
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -240,12 +242,62 @@ def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * same >= num * (len(x) + len(y) - same)
 
 
+def prefix_candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which (left, right) pairs share enough prefix keys and pass the length filter, and the positional filter at every key they share."""
+    n = np.array([len(s) for s in sets], np.int64)
+    p = prefix_length(n, num, den)
+    keys = np.concatenate([s[:k] for s, k in zip(sets, p, strict=True)])
+    who, pos = np.repeat(np.arange(len(sets)), p), np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+    order = np.argsort(keys, kind="stable")
+    keys, who, pos = keys[order], who[order], pos[order]
+    at = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    row, col = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    share, wrong = np.zeros((len(left), len(right)), np.int32), np.zeros((len(left), len(right)), bool)
+    need = -(-num * (n[left][:, None] + n[right][None]) // (num + den))
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a < 2:
+            continue
+        w, q = who[a:b], pos[a:b]
+        x, y = row[w] >= 0, col[w] >= 0
+        if not x.any() or not y.any():
+            continue
+        ix = np.ix_(row[w[x]], col[w[y]])
+        most = np.minimum(q[x][:, None], q[y][None]) + np.minimum((n[w[x]] - q[x])[:, None], (n[w[y]] - q[y])[None])
+        share[ix] += 1
+        wrong[ix] |= most < need[ix]
+    length = den * np.minimum(n[left][:, None], n[right][None]) >= num * np.maximum(n[left][:, None], n[right][None])
+    return (share >= fewest(np.minimum(n[left][:, None], n[right][None]))) & ~wrong & length
+
+
 def verify(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys = batch.column("x"), batch.column("y")
-            ok = [alike(np.frombuffer(xs[i].as_buffer(), tb.U), np.frombuffer(ys[i].as_buffer(), tb.U), num, den) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+    """The links of one pair of blocks as a forest; a block's own pairs are those of the block with itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        order = np.argsort(node, kind="stable")
+        node, block = node[order], block[order]
+        blobs = table.column("keys").combine_chunks() if isinstance(table.column("keys"), pa.ChunkedArray) else table.column("keys")
+        sets = [np.frombuffer(blobs[int(i)].as_buffer(), tb.U) for i in order]
+        ba, bb = table.column("ba")[0].as_py(), table.column("bb")[0].as_py()
+        left, right = np.flatnonzero(block == ba), np.flatnonzero(block == bb)
+        root, out = list(range(len(node))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in np.argwhere(prefix_candidates(sets, left, right, num, den)):
+            x, y = int(left[i]), int(right[j])
+            if (ba == bb and x >= y) or find(x) == find(y):
+                continue
+            if alike(sets[x], sets[y], num, den):
+                root[find(y)] = find(x)
+                out.append((node[x], node[y]))
+        links = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return run
 
@@ -292,10 +344,10 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return roots
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys: int = 1_500_000, grow: int = 4) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys: int = 1_500_000, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document.
 
-    owner_keys: prefix keys that one owner task holds.
+    owner_keys: prefix keys that one owner task holds; block: sets in a block, about.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -306,32 +358,26 @@ def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_ke
         stats = nodes.agg(F.sum(prefix_length_column(F.col("n"), num, den)).alias("keys"), F.max("clash").alias("clash")).first()
         if not stats.clash:
             break
-    ranks = spark.sparkContext.broadcast(cell_ranks(seen.where("chunk IS NOT NULL").select("chunk", "cells").groupBy("chunk").applyInArrow(sum_cells, "chunk int, cells binary").collect()))
+    ranks = spark.sparkContext.broadcast(cell_ranks(seen.where("chunk IS NOT NULL")))
     owners = -(-int(stats.keys or 0) // owner_keys) or 1
     sent = texts.mapInArrow(send_prefixes(k, seed, ranks, owners, num, den), "owner long, payload binary")
-    lists = written(sent.groupBy("owner").applyInArrow(shared_lists, LISTS), "lists")
-    members = lists.select(F.col("owner").alias("own"), F.explode("nodes").alias("node"))
-    active = written(members.select("node").distinct(), "active")
-    roots = active.select("node", F.col("node").alias("root"))
-    bitmap = spark.sparkContext.broadcast(node_bitmap(active))
-    found = texts.mapInArrow(sets_of(k, seed, ranks, bitmap), "node long, keys binary")
-    found = found.join(active, "node", "left_semi").groupBy("node").agg(F.min("keys").alias("keys"))
-    found = written(found, "keys")
-    failed, done, turn, going = None, 0, 1, True
-    while going:
-        labels = members.join(roots, "node").select("own", "node", "root")
-        pairs = lists.select("owner", "payload").groupBy("owner").cogroup(labels.groupBy("own")).applyInArrow(candidates(done, turn, num, den), "a long, b long")
-        pairs = written(pairs.distinct(), "pairs")
-        going = not pairs.where("b IS NULL").isEmpty()
-        pairs = pairs.where("b IS NOT NULL")
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        x, y = found.select(F.col("node").alias("a"), F.col("keys").alias("x")), found.select(F.col("node").alias("b"), F.col("keys").alias("y"))
-        tested = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a long, b long, ok boolean"), "tested")
-        roots = merged(roots, tested.where("ok").select("a", "b"))
-        wrong = tested.where("NOT ok").select("a", "b")
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        done, turn = done + turn, turn * grow
+    lists = written(sent.groupBy("owner").applyInArrow(shared_lists, LISTS).withColumn("own", F.xxhash64("members")), "lists")
+    members = written(lists.select("own", "members").mapInArrow(list_members, "own long, node long, size long, key long, held long"), "members")
+    # A node's block: the largest list it is in, cut by hash into parts of about `block`.
+    best = members.groupBy("node").agg(F.max(F.struct("size", "key")).alias("m"), F.sum("held").alias("held"))
+    least = F.ceil(F.ceil(F.col("n") * num / F.lit(den)) / 20)  # what the smallest partner needs
+    best = best.join(nodes.select("node", "n"), "node").where(F.col("held") >= least)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m.size") / F.lit(block)))
+    blocks = written(best.select("node", F.xxhash64("m.key", part).alias("block")), "blocks")
+    bitmap = spark.sparkContext.broadcast(node_bitmap(blocks))
+    found = texts.mapInArrow(sets_of(k, seed, ranks, bitmap), "node long, keys binary").groupBy("node").agg(F.min("keys").alias("keys"))
+    found = written(found.join(blocks, "node").select("block", "node", "keys"), "keys")
+    at = members.select("own", "node").join(blocks, "node").select(F.col("own").alias("o"), "node", "block")
+    pairs = lists.select("own", "payload").groupBy("own").cogroup(at.groupBy("o")).applyInArrow(block_pairs, "ba long, bb long")
+    pairs = written(pairs.distinct(), "pairs")
+    need = pairs.select("ba", "bb", F.explode(F.array_distinct(F.array("ba", "bb"))).alias("block"))
+    links = written(need.join(found, "block").groupBy("ba", "bb").applyInArrow(verify(num, den), "a long, b long"), "links")
+    roots = merged(blocks.select("node", F.col("node").alias("root")), links)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = written(named.join(least, "root").select("node", "component"), "components")
@@ -340,7 +386,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_ke
 
 
 def prefix_length_column(n, num: int, den: int):
-    return n - F.ceil(n * num / F.lit(den)) + 1
+    return n - F.ceil(n * num / F.lit(den)) + F.ceil(n / 20)
 
 
 def keep_one_each(docs: DataFrame, **kw) -> DataFrame:

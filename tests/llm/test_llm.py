@@ -249,7 +249,7 @@ def test_components_of_documents(spark, small, docs):
 
 def test_components_of_near_copies(spark):
     rows = near_copies(120)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), owner_keys=900).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), owner_keys=900, block=16).collect()}
     assert got == components(rows)
 
 
