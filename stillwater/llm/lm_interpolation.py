@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -66,8 +67,11 @@ def unpack(payloads: list[bytes]) -> list[pa.RecordBatch]:
 
 
 def block_tokens(batches: list[pa.RecordBatch]) -> dict:
-    """Per token: unigram key, bigram key, context key, row; per row: columns."""
-    uni, bi, ctx, row, n = [], [], [], [], 0
+    """A block's distinct keys in order, and for each token its row and the places of word, bigram and context among the keys.
+
+    Words have even keys, bigrams and the start mark odd ones.
+    """
+    uni, bi, new, row, n = [], [], [], [], 0
     for batch in batches:
         for part in tb.slices(iter([batch])):
             data, offs = tb.buffers(part.column("text"))
@@ -77,32 +81,37 @@ def block_tokens(batches: list[pa.RecordBatch]) -> dict:
             # One end after each text's words.
             w = np.insert(h, at[1:], END)
             d = np.insert(doc, at[1:], np.arange(part.num_rows))
+            first = np.append(True, d[1:] != d[:-1])
             c = np.concatenate([START, w[:-1]])
-            c[np.append(True, d[1:] != d[:-1])] = START[0]
-            uni.append(w), ctx.append(c), row.append(d + n)
+            c[first] = START[0]
+            uni.append(w), row.append((d + n).astype(np.int32)), new.append(first)
             bi.append(tb.mix(c * tb.MULTS[1] + w * tb.MULTS[2]) | ONE)
             n += part.num_rows
-    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return {"uni": cat(uni, tb.U), "bi": cat(bi, tb.U), "ctx": cat(ctx, tb.U), "row": cat(row, np.int64), "n": n}
+    uni, words = pd.factorize(np.concatenate(uni))
+    bi, pairs = pd.factorize(np.concatenate(bi))
+    keys = np.concatenate([words, pairs, START])
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.arange(len(keys), dtype=np.int32)
+    uni, bi, new = place[uni], place[len(words) + bi], np.concatenate(new)
+    ctx = np.concatenate([place[-1:], uni[:-1]])
+    ctx[new] = place[-1]
+    return {"keys": keys[order], "start": int(place[-1]), "uni": uni, "bi": bi, "ctx": ctx, "row": np.concatenate(row), "n": n}
 
 
 def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
     return ((keys >> tb.U(32)) * tb.U(owners) >> tb.U(32)).astype(np.int64)
 
 
-def block_keys(t: dict) -> np.ndarray:
-    """Sorted distinct keys of a block: words (even), bigrams (odd) and the start mark (odd)."""
-    return np.unique(np.concatenate([t["uni"], t["bi"], START]))
-
-
-def counts_of(keys: np.ndarray, t: dict, rows: np.ndarray, n_texts: int) -> np.ndarray:
+def counts_of(t: dict, rows: np.ndarray) -> np.ndarray:
     """How often each key occurs in the given rows."""
-    out = np.zeros(len(keys), np.int64)
-    on = rows[t["row"]]
-    for kind in ("uni", "bi"):
-        out += np.bincount(np.searchsorted(keys, t[kind][on]), minlength=len(keys))
-    out[np.searchsorted(keys, START[0])] += n_texts
-    return out
+    m = len(t["keys"])
+    if not rows.any():
+        return np.zeros(m, np.uint32)
+    on = slice(None) if rows.all() else rows[t["row"]]
+    out = np.bincount(t["uni"][on], minlength=m) + np.bincount(t["bi"][on], minlength=m)
+    out[t["start"]] += int(rows.sum())
+    return out.astype(np.uint32)
 
 
 def pressed(*arrays: np.ndarray) -> bytes:
@@ -127,11 +136,9 @@ def send_counts(owners: int):
         block, batches = table.column("block")[0].as_py(), unpack(table.column("texts").to_pylist())
         folds = np.concatenate([b.column("fold").to_numpy(zero_copy_only=False) for b in batches])
         t = block_tokens(batches)
-        keys = block_keys(t)
-        train, tune = folds != 0, folds == 1
-        c, e = counts_of(keys, t, train, int(train.sum())), counts_of(keys, t, tune, int(tune.sum()))
+        keys, c, e = t["keys"], counts_of(t, folds != 0), counts_of(t, folds == 1)
         cut = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
-        sent = [(block, q, pressed(keys[a:b], c[a:b].astype(np.uint32), e[a:b].astype(np.uint32))) for q, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        sent = [(block, q, pressed(keys[a:b], c[a:b], e[a:b])) for q, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
         return pa.table({"block": [x[0] for x in sent], "owner": [x[1] for x in sent], "payload": pa.array([x[2] for x in sent], pa.binary())})
 
     return run
@@ -161,18 +168,13 @@ def with_totals(texts: pa.Table, totals: pa.Table) -> tuple[list[pa.RecordBatch]
     """The block's rows and tokens, and each token's totals: c, e of word, bigram and context."""
     batches = unpack(texts.column("texts").to_pylist())
     t = block_tokens(batches)
-    keys = block_keys(t)
     order = np.argsort(totals.column("owner").to_numpy())
     blobs = totals.column("payload").to_pylist()
     got = [opened(blobs[i], np.int64, np.int64) for i in order]
     c, e = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-    if len(c) != len(keys):
+    if len(c) != len(t["keys"]):
         raise ValueError("a block's keys and totals differ")
-    out = {}
-    for kind in ("uni", "bi", "ctx"):
-        at = np.searchsorted(keys, t[kind])
-        out[kind] = (c[at], e[at])
-    return batches, t, out
+    return batches, t, {kind: (c[t[kind]], e[t[kind]]) for kind in ("uni", "bi", "ctx")}
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -248,7 +250,7 @@ def score_rows(weights: np.ndarray, n: int, v: int):
     return run
 
 
-def lm_scores(docs: DataFrame, block_bytes: int = 14 << 20, owner_bytes: int = 12 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, block_bytes: int = 12 << 20, owner_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document.
 
     block_bytes: text a block holds, in one task's memory; owner_bytes: text whose n-grams an owner sums.
