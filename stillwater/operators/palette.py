@@ -32,8 +32,8 @@ def cells(swatches: DataFrame, lane: str, least: int = 3) -> DataFrame:
     return sums.select("weight", "n", lab.alias("lab")).withColumn("hex", color.hex_of(F.col("lab")))
 
 
-def near(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
-    """id, target, d, weight: for each still and target colour the nearest swatch within `limit`. targets: hex.
+def within(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+    """id, target, d, weight of every swatch and target colour that are within `limit`. targets: hex.
 
     Both sides meet by neighbouring cells, so the join is an equi-join whatever their sizes.
     """
@@ -43,14 +43,20 @@ def near(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
     t = t.select("target", "tlab", F.explode(offsets).alias("o"))
     t = t.select("target", "tlab", *[(cell(F.col("tlab"), n) + F.col("o")[x]).alias(f"t{n}") for n, x in zip(CELL, "ijk", strict=True)])
     s = with_lab(swatches).withColumns({f"c{n}": cell(F.col("lab"), n) for n in CELL})
-    both = s.join(t, [s[f"c{n}"] == t[f"t{n}"] for n in CELL]).withColumn("d", color.distance(F.col("lab"), F.col("tlab"))).where(F.col("d") <= limit)
-    return both.groupBy("id", "target").agg(F.min(F.struct("d", (-F.col("weight")).alias("w"))).alias("b")).select("id", "target", F.col("b.d").alias("d"), (-F.col("b.w")).alias("weight"))
+    both = s.join(t, [s[f"c{n}"] == t[f"t{n}"] for n in CELL]).withColumn("d", color.distance(F.col("lab"), F.col("tlab")))
+    return both.where(F.col("d") <= limit).select("id", "target", "d", "weight")
+
+
+def near(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+    """id, target, d, weight: for each still and target colour the nearest swatch within `limit`."""
+    best = within(swatches, targets, limit).groupBy("id", "target").agg(F.min(F.struct("d", (-F.col("weight")).alias("w"))).alias("b"))
+    return best.select("id", "target", F.col("b.d").alias("d"), (-F.col("b.w")).alias("weight"))
 
 
 def cloud(swatches: DataFrame, least: int = 3, n: int = 60) -> DataFrame:
     """hex, n, name, neutral of the colours most stills have; n is what a strict pick of the colour returns."""
     chips = cells(swatches, "swatches", least).groupBy("hex").agg(F.max_by("lab", "weight").alias("lab"), F.max("weight").alias("weight"))
-    hits = near(swatches.where("lane = 'swatches'"), chips, STRICT).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    hits = within(swatches.where("lane = 'swatches'"), chips, STRICT).select("id", "target").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n"))
     out = chips.join(hits, chips["hex"] == hits["target"]).where(F.col("n") >= least)
     return out.orderBy(F.col("n").desc(), "hex").limit(n).select("hex", "n", color.color_name(F.col("lab")).alias("name"), (color.chroma(F.col("lab")) < 0.035).alias("neutral"), "lab")
 
