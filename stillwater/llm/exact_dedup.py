@@ -35,13 +35,14 @@ def prefix(digest: str = "digest"):
 def directory(keys: DataFrame, capacity: int) -> DataFrame:
     """slot, bucket, depth: at most 2^16 slots, from the number of distinct digests under each.
 
-    A slot's bucket has the least depth at which the bucket is not overfull, or 16.
+    A slot's bucket has the least depth at which the bucket is not overfull, or 16. There are 2^17 buckets of all
+    depths at most, so these are broadcast.
     """
     slots = keys.groupBy(prefix().alias("slot")).agg(F.count_distinct("digest").alias("n"))
     deep = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("depth"))
     deep = deep.withColumn("head", F.floor(F.col("slot") / F.pow(F.lit(2.0), F.lit(BITS) - F.col("depth"))).cast("int"))
     fits = deep.groupBy("depth", "head").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == BITS))
-    at = deep.join(fits, ["depth", "head"]).groupBy("slot").agg(F.min(F.struct("depth", "head")).alias("b"))
+    at = deep.join(F.broadcast(fits), ["depth", "head"]).groupBy("slot").agg(F.min(F.struct("depth", "head")).alias("b"))
     low = F.col("b.head") * F.pow(F.lit(2.0), F.lit(BITS) - F.col("b.depth"))
     return at.select("slot", low.cast("int").alias("bucket"), F.col("b.depth").alias("depth"))
 
