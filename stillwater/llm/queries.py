@@ -50,11 +50,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op10_url_filter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_url_filter, whose SQL knows six hosts; here their names are blocked under any domain."""
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), blocked_labels=url_filter.BLOCKED_LABELS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_crf, op3_lm_interpolation, op4_mix_sources, op5_toxicity,
         op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_url_filter,
+        op10_url_filter_labels,
     )
 }
 

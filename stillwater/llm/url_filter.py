@@ -6,6 +6,8 @@ keys, memory-mapped by every task, beside the rules' full strings; a probe hashe
 host suffix with each path prefix of a length that a rule has, searches all keys of a
 batch at once, and confirms the stored string. Where no rule fits, the method's own
 list of blocked hosts (an index of the same form) decides; without a hit: allow.
+Blocked labels, if given, are kept in that index as `label./` and block any host that
+has such a label, whatever its domain.
 
 Cases: a null url or one without `://` has host and path ''; repeated rows and ties give
 equal verdicts; a rule given twice keeps its first action; no rows give no rows.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Hosts (with all subdomains) that the method itself blocks.
 BLOCKED_HOSTS = ("ads-track.example.com", "free-bets.example.net", "cheap-pills.example.net", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com")
+#: The labels of those hosts that name what they are, under any domain.
+BLOCKED_LABELS = tuple(h.partition(".")[0] for h in BLOCKED_HOSTS)
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 
@@ -85,6 +89,11 @@ def probes_of(host: str, path: str, lengths: list[int]) -> list[str]:
     return sorted(out, key=len, reverse=True)
 
 
+def labels_of(host: str) -> list[str]:
+    """Every label of a host, as a blocked label is written in the index."""
+    return [f"{p}./" for p in host.split(".")]
+
+
 def verdicts(name: str, blocked: str):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = SparkFiles.getRootDirectory()
@@ -93,7 +102,7 @@ def verdicts(name: str, blocked: str):
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             rule, verdict = [None] * len(hosts), ["allow"] * len(hosts)
             for index, named in ((other, False), (own, True)):
-                lists = [probes_of(h, p if named else "/", index.lengths) if h else [] for h, p in zip(hosts, paths, strict=True)]
+                lists = [probes_of(h, p if named else "/", index.lengths) + ([] if named else labels_of(h)) if h else [] for h, p in zip(hosts, paths, strict=True)]
                 hits = iter(index.find([p for ps in lists for p in ps]))
                 for i, ps in enumerate(lists):
                     for hit in [k for k in [next(hits) for _ in ps] if k >= 0][:1]:
@@ -104,11 +113,11 @@ def verdicts(name: str, blocked: str):
     return judge
 
 
-def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
+def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS, blocked_labels: tuple[str, ...] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per page."""
     spark = pages.sparkSession
     own = write_index(spark, rules)
-    other = write_index(spark, tuple((f"{h}/", "block") for h in blocked_hosts))
+    other = write_index(spark, tuple((f"{h}/", "block") for h in (*blocked_hosts, *(f"{b}." for b in blocked_labels))))
     after = F.regexp_extract("url", r"^[\s\S]*?://([\s\S]*)$", 1)
     whole = F.when(F.col("url").contains("://"), after).otherwise("")
     host = F.translate(F.regexp_extract(whole, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

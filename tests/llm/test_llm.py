@@ -298,6 +298,22 @@ def test_urls(spark):
     assert got[4][:2] == got[5][:2] == ("", "") and got[7] == ("net", "", None, "allow") and got[10][:2] == ("b:", "//c.org/fr/")
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_bad_names_under_any_domain(spark, sf):
+    rows = queries.op10_url_filter_labels(spark, f"/root/testdata/{sf}").collect()
+    bad = {"ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"}
+    open_ = [r for r in rows if r.rule is None and r.host]
+    assert all((r.verdict == "block") == bool(bad & set(r.host.split("."))) for r in open_)
+    assert sum(r.verdict == "block" for r in open_) > 0
+
+
+def test_labels_are_whole(spark):
+    urls = ["http://a.casino-win.test/en", "http://casino-win/", "http://my-casino-win.test/", "http://casino-win2.test/", "http://test.dev/casino-win./", "http://example.net/en/casino-win"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, blocked_labels=("casino-win",)).collect()}
+    assert [got[k] for k in range(6)] == ["block", "block", "allow", "allow", "allow", "allow"]
+
+
 def test_digest_collisions(tmp_path):
     """Equal keys are told apart by their strings."""
     np.save(tmp_path / "r.keys.npy", np.zeros(3, np.uint64))
