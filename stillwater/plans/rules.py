@@ -330,7 +330,7 @@ def rank_shots_plain(spark, sf):
 
 @query()
 def rank_shots_spread(spark, sf):
-    return fr.rank_shots(shot_rows(spark, sf).where("shot % 4 = 0"), 40)
+    return fr.rank_shots(shot_rows(spark, sf), 40)
 
 
 @query()

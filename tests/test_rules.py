@@ -166,3 +166,23 @@ def test_records(spark, tmp_path):
     for n in ("b.mkv", "a.mp4", "c.txt"):
         (tmp_path / "f" / n).write_text("x")
     assert [x.name for x in records.listing(spark, str(tmp_path / "f")).collect()] == ["a.mp4", "b.mkv"]
+
+
+def test_spread_ranks_every_shot(spark, small):
+    from stillwater.plans import rules
+
+    shots, got = {}, {}
+    for r in rules.shot_rows(spark, small).collect():
+        shots.setdefault(r.src, []).append(r)
+    for r in rules.rank_shots_spread(spark, small).orderBy("src", "turn").collect():
+        got.setdefault(r.src, []).append(r.shot)
+    assert {src: sorted(x) for src, x in got.items()} == {src: sorted(r.shot for r in rows) for src, rows in shots.items()}
+    for src, rows in shots.items():
+        left, taken, order = sorted(rows, key=lambda r: (-r.score, r.mid, r.shot)), [], []
+        ideal = rows[0].duration / 40
+        while left and len(order) < 40:
+            worth = [r.score * min(1, min((abs(r.mid - m) for m in taken), default=np.inf) / ideal) ** 0.5 for r in left]
+            best = left.pop(int(np.argmax(worth)))
+            taken.append(best.mid)
+            order.append(best.shot)
+        assert got[src][: len(order)] == order
