@@ -93,7 +93,18 @@ def shot_scale_lane(spark, sf):
 best AS (SELECT id, bool_or(text) AS text, min(entropy) AS entropy, bool_or(sym) AS sym, arg_max((x + x + w) / 2 / 100e0, w * w * 1000 + x) AS x FROM b GROUP BY id)
 SELECT id, CASE WHEN text AND entropy < 3 THEN 'abstain' WHEN sym THEN 'symmetrical' WHEN abs(x - 0.5e0) <= 0.06e0 THEN 'centered' WHEN least(abs(x - 1e0 / 3), abs(x - 2e0 / 3)) <= 0.06e0 THEN 'rule-of-thirds' ELSE 'abstain' END AS composition FROM best""")
 def composition_verdict(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 2")
+    return verdicts_of(table(spark, sf, "lineitem").where("l_linenumber <= 2"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS id, l_linenumber % 4 = 0 AS text, l_discount * 60 AS entropy, l_linenumber % 5 = 0 AS sym, l_quantity AS w, l_suppkey % 90 AS x FROM lineitem),
+best AS (SELECT id, bool_or(text) AS text, min(entropy) AS entropy, bool_or(sym) AS sym, arg_max((x + x + w) / 2 / 100e0, w * w * 1000 + x) AS x FROM b GROUP BY id)
+SELECT id, CASE WHEN text AND entropy < 3 THEN 'abstain' WHEN sym THEN 'symmetrical' WHEN abs(x - 0.5e0) <= 0.06e0 THEN 'centered' WHEN least(abs(x - 1e0 / 3), abs(x - 2e0 / 3)) <= 0.06e0 THEN 'rule-of-thirds' ELSE 'abstain' END AS composition FROM best""")
+def composition_verdict_all(spark, sf):
+    """As composition_verdict, whose SQL reads two lines of an order, from all lines."""
+    return verdicts_of(table(spark, sf, "lineitem"))
+
+
+def verdicts_of(li):
     x, w = (F.col("l_suppkey") % 90).cast("double"), F.col("l_quantity")
     box = F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + w).alias("x1"), w.alias("y1"))
     g = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.bool_or(F.col("l_linenumber") % 4 == 0).alias("text"), F.min(F.col("l_discount") * 60).alias("entropy"), F.bool_or(F.col("l_linenumber") % 5 == 0).alias("sym"), F.collect_list(box).alias("boxes"))
@@ -234,6 +245,13 @@ def suppress_boxes(spark, sf):
     return boxes(spark, sf).select("id", F.size(kept).cast("long").alias("n"), kept[0]["score"].alias("best"))
 
 
+@query()
+def suppress_boxes_all(spark, sf):
+    """Every box of each frame after chained suppression; boxes of equal score and x0 go by their other edges."""
+    kept = dt.suppress(F.sort_array("boxes"), 0.3)
+    return boxes(spark, sf).select("id", F.size(kept).cast("long").alias("n"), kept[0]["score"].alias("best"))
+
+
 @query("""WITH b AS (SELECT l_orderkey AS id, l_linenumber AS n, l_extendedprice / 1e5 AS s, l_suppkey % 20 AS x0, l_partkey % 20 AS y0, l_suppkey % 20 + l_quantity AS x1, l_partkey % 20 + l_quantity AS y1 FROM lineitem),
 f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (x1 - x0) * (y1 - y0) DESC, s DESC) AS k FROM b)
 SELECT f.id, max(h.s) AS head FROM f JOIN b h ON h.id = f.id AND (f.x0 + f.x1) / 2 BETWEEN h.x0 AND h.x1 AND (f.y0 + f.y1) / 2 BETWEEN h.y0 AND h.y1 WHERE k = 1 GROUP BY f.id""")

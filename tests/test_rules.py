@@ -186,3 +186,36 @@ def test_spread_ranks_every_shot(spark, small):
             taken.append(best.mid)
             order.append(best.shot)
         assert got[src][: len(order)] == order
+
+
+def test_compositions_of_all_lines(spark, small):
+    from stillwater.plans import rules
+
+    got = {r.id: r.composition for r in rules.composition_verdict_all(spark, small).collect()}
+    lines = {}
+    for r in spark.read.parquet(f"{small}/lineitem.parquet").collect():
+        lines.setdefault(r.l_orderkey, []).append(r)
+    assert set(got) == set(lines) and "symmetrical" in got.values()
+    for k, rows in lines.items():
+        text = any(r.l_linenumber % 4 == 0 for r in rows) and min(r.l_discount * 60 for r in rows) < 3
+        mirrored = any(r.l_linenumber % 5 == 0 for r in rows)
+        assert (got[k] == "symmetrical") == (mirrored and not text) and (got[k] == "abstain" or not text)
+
+
+def test_chained_suppression(spark, small):
+    from stillwater.plans import rules
+
+    def iou(a, b):
+        side = lambda x: (x[3] - x[1] + 1) * (x[4] - x[2] + 1)
+        inter = max(0, min(a[3], b[3]) - max(a[1], b[1]) + 1) * max(0, min(a[4], b[4]) - max(a[2], b[2]) + 1)
+        return inter / (side(a) + side(b) - inter)
+
+    want = {}
+    for r in rules.boxes(spark, small).collect():
+        kept = []
+        for b in sorted(map(tuple, r.boxes), key=lambda b: (-b[0], *b[1:])):
+            if all(iou(k, b) <= 0.3 for k in kept):
+                kept.append(b)
+        want[r.id] = (len(kept), kept[0][0])
+    got = {r.id: (r.n, r.best) for r in rules.suppress_boxes_all(spark, small).collect()}
+    assert got == want and max(n for n, _ in got.values()) > 2
