@@ -196,6 +196,23 @@ def import_merge(spark, sf):
     return ing.merge(s.where("id < 700").select("id", *ing.PIPELINE, *ing.REVIEW), run).select("id", "work", "ts", "selected", "review_state", "locked")
 
 
+@query(with_views("still") + """, run AS (SELECT CASE WHEN id % 8 = 2 THEN id + (SELECT max(id) + 1 FROM still) ELSE id END AS id, CASE WHEN id % 2 = 0 THEN work ELSE 'src0' END AS work, ts + 1 AS ts, TRUE AS selected FROM still WHERE id % 3 <> 2 AND work <> 'src3')
+, works AS (SELECT DISTINCT work FROM run)
+SELECT coalesce(t.id, r.id) AS id, coalesce(r.work, t.work) AS work, coalesce(r.ts, t.ts) AS ts,
+CASE WHEN r.id IS NOT NULL THEN r.selected WHEN t.work IN (SELECT work FROM works) THEN FALSE ELSE t.selected END AS selected,
+coalesce(t.review_state, 'unreviewed') AS review_state, coalesce(t.locked, FALSE) AS locked
+FROM still t FULL JOIN run r ON r.id = t.id
+WHERE NOT (r.id IS NULL AND t.work IN (SELECT work FROM works) AND t.review_state = 'unreviewed' AND NOT t.locked AND NOT t.excluded)
+""")
+def import_merge_all(spark, sf):
+    """A run into the whole table: every eighth still of the run comes under a new id, every third has gone."""
+    s = stills(spark, sf)
+    top = F.broadcast(s.agg((F.max("id") + 1).alias("top")))  # one row
+    k = F.col("id")
+    run = s.where("id % 3 <> 2 AND work <> 'src3'").join(top).select(F.when(k % 8 == 2, k + F.col("top")).otherwise(k).alias("id"), F.when(k % 2 == 0, F.col("work")).otherwise("src0").alias("work"), (F.col("ts") + 1).alias("ts"), "facets", F.lit(True).alias("selected"))
+    return ing.merge(s.select("id", *ing.PIPELINE, *ing.REVIEW), run).select("id", "work", "ts", "selected", "review_state", "locked")
+
+
 @query("""WITH m AS (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 1 THEN 'x' ELSE sha256(text) END AS sha, CASE WHEN doc_id % 60 = 2 THEN 0 ELSE octet_length(encode(text)) END AS bytes FROM documents WHERE doc_id % 40 <> 3)
 SELECT d.doc_id AS id, CASE WHEN m.id IS NULL THEN 'not listed' WHEN bytes <> octet_length(encode(text)) THEN 'size' ELSE 'digest' END AS problem FROM documents d LEFT JOIN m ON m.id = d.doc_id
 WHERE m.id IS NULL OR bytes <> octet_length(encode(text)) OR sha <> sha256(text)""")

@@ -219,3 +219,22 @@ def test_chained_suppression(spark, small):
         want[r.id] = (len(kept), kept[0][0])
     got = {r.id: (r.n, r.best) for r in rules.suppress_boxes_all(spark, small).collect()}
     assert got == want and max(n for n, _ in got.values()) > 2
+
+
+def test_import_meets_every_branch(spark, small):
+    from stillwater.plans import rules
+    from stillwater.sources.tables import stills
+
+    old = {r.id: r for r in stills(spark, small).collect()}
+    got = {r.id: r for r in rules.import_merge_all(spark, small).collect()}
+    asked = {i for i, r in old.items() if i % 3 != 2 and r.work != "src3"}
+    works = {old[i].work if i % 2 == 0 else "src0" for i in asked}
+    top = max(old) + 1
+    fresh, stay = {i + top for i in asked if i % 8 == 2}, {i for i in asked if i % 8 != 2}
+    assert fresh and fresh == set(got) - set(old) and all(got[i].review_state == "unreviewed" and got[i].selected for i in fresh)
+    assert stay <= set(got) and all((got[i].ts, got[i].review_state) == (old[i].ts + 1, old[i].review_state) for i in stay)
+    left = set(old) - stay
+    other, gone = {i for i in left if old[i].work not in works}, {i for i in left if old[i].work in works}
+    assert other and all((got[i].ts, got[i].selected) == (old[i].ts, old[i].selected) for i in other)
+    touched = {i for i in gone if old[i].review_state != "unreviewed" or old[i].locked or old[i].excluded or old[i].facets_human is not None}
+    assert touched and touched == gone & set(got) and not any(got[i].selected for i in touched) and gone - touched
