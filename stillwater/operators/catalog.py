@@ -16,6 +16,19 @@ def chronological(part: str = "work"):
     return Window.partitionBy(part).orderBy(F.col("ts").asc_nulls_last(), "id")
 
 
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds place, 1 up, in the order of the given columns over all rows, without one task that holds them all.
+
+    Rows are dealt by ranges of the order, numbered within each range and moved by the sizes of the ranges before.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = dealt.checkpoint() if dealt.sparkSession.conf.get("spark.checkpoint.dir", None) else dealt.cache()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_k")).drop("_range", "_start", "_k")
+
+
 def overlay(machine: Column, human: Column) -> Column:
     """Machine facets under human ones; a human null or '' clears a family."""
     human = F.coalesce(human, F.create_map().cast("map<string,string>"))

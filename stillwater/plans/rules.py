@@ -173,10 +173,20 @@ def publish_budget(spark, sf):
 
 @query(r"""SELECT page_id AS id, row_number() OVER (ORDER BY regexp_extract(url, '^([^0-9]*)', 1), CAST(coalesce(nullif(regexp_extract(url, '/([0-9]+)', 1), ''), '0') AS BIGINT), url) AS place FROM pages WHERE regexp_matches(url, '^[^0-9]*/[0-9]+$')""")
 def natural_order(spark, sf):
-    from pyspark.sql import Window
+    return in_natural_order(table(spark, sf, "pages").where(F.col("url").rlike(r"^[^0-9]*/[0-9]+$")))
 
-    p = table(spark, sf, "pages").where(F.col("url").rlike(r"^[^0-9]*/[0-9]+$"))
-    return p.select(F.col("page_id").alias("id"), F.row_number().over(Window.orderBy(tx.natural_key(F.col("url")), "url")).cast("long").alias("place"))
+
+@query()
+def natural_order_all(spark, sf):
+    """As natural_order, whose SQL takes urls with one number at the end, over all pages."""
+    return in_natural_order(table(spark, sf, "pages"))
+
+
+def in_natural_order(pages):
+    from stillwater.operators.catalog import placed
+
+    rows = pages.select(F.col("page_id").alias("id"), "url", tx.natural_key(F.col("url")).alias("key"))
+    return placed(rows, "key", "url", "id").select("id", "place")
 
 
 IMPORT = with_views("still") + """, run AS (SELECT id, CASE WHEN id % 2 = 0 THEN work ELSE 'src0' END AS work, ts + 1 AS ts, TRUE AS selected FROM still WHERE id % 4 <> 3 AND id >= 100)

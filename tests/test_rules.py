@@ -238,3 +238,23 @@ def test_import_meets_every_branch(spark, small):
     assert other and all((got[i].ts, got[i].selected) == (old[i].ts, old[i].selected) for i in other)
     touched = {i for i in gone if old[i].review_state != "unreviewed" or old[i].locked or old[i].excluded or old[i].facets_human is not None}
     assert touched and touched == gone & set(got) and not any(got[i].selected for i in touched) and gone - touched
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_all_pages_in_natural_order(spark, sf):
+    import re
+
+    from stillwater.plans import rules
+
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url").collect()}
+    key = lambda i: (re.sub(r"[0-9]+", lambda m: m[0].lstrip("0").rjust(10, "0"), urls[i].lower()), urls[i], i)
+    want = {i: k for k, i in enumerate(sorted(urls, key=key), 1)}
+    out = rules.natural_order_all(spark, f"/root/testdata/{sf}")
+    assert {r.id: r.place for r in out.collect()} == want
+
+
+def test_places_of_ties_and_nulls(spark):
+    df = spark.createDataFrame([(i, "same" if i % 3 else None) for i in range(50)], "id long, n string").repartition(7)
+    got = {r.id: r.place for r in catalog.placed(df, "n", "id").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(range(50), key=lambda i: (i % 3 > 0, i)), 1)}
+    assert catalog.placed(df.limit(0), "n", "id").count() == 0
