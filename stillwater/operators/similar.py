@@ -106,56 +106,119 @@ def families(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = fresh.select("id", "family")
 
 
-def stratified(vectors: DataFrame, budget: int) -> DataFrame:
-    """work, id, turn: `budget` frames a work, one from each equal cell of time, chosen for coverage and against near-twins.
+def kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+
+
+def few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= 100_000 else df
 
-    The choice of a frame depends on those before it, so each work is one group; a work's pool is some thousand frames.
+
+def rounds(pool: DataFrame, budget: int, choose) -> DataFrame:
+    """work, id, turn: `budget` rounds, each of which takes a frame of every work that has one left.
+
+    Only the picks stay between rounds. choose(rows, turn) gives work, id, v of a round's picks from the frames with
+    `picked`, the vectors that their work has taken so far. pool: work, id, ts, v, n, the work's frames.
     """
+    taken = None
+    for turn in range(budget):
+        rows = pool.where(F.col("n") > turn)
+        if taken is None:
+            rows = rows.withColumns({"picked": F.array().cast("array<array<float>>"), "own": F.lit(False)})
+        else:
+            each = taken.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "v"))).alias("p"))
+            rows = rows.join(few(each), "work").withColumns({"picked": F.col("p.v"), "own": F.array_contains("p.id", F.col("id"))}).drop("p")
+        new = kept(choose(rows, turn).select("work", "id", F.lit(turn).alias("turn"), "v"))
+        taken = new if taken is None else taken.unionByName(new)
+    return taken.select("work", "id", "turn")
+
 
-    def choose(t: pa.Table) -> pa.Table:
-        ids, ts = t.column("id").to_numpy(), t.column("ts").to_numpy()
-        order = np.lexsort((ids, ts))
-        ids, ts = ids[order], ts[order]
-        e = np.stack(t.column("v").to_numpy())[order].astype(np.float64)
-        sims = e @ e.T
-        span = ts[-1] - ts[0]
-        cell = np.minimum(budget - 1, (ts - ts[0]) / (span / budget)).astype(int) if span > 0 else np.zeros(len(ts), int)
-        best, taken = np.zeros(len(ids)), []
-
-        def worth(js):
-            gain = np.maximum(sims[js] - best, 0).sum(1) / len(ids)
-            return gain - 6 * np.maximum(0, sims[np.ix_(js, taken)].max(1) - 0.9) if taken else gain
-
-        for k in [*np.unique(cell), *[-1] * budget]:
-            pool = np.flatnonzero((cell == k) | (k < 0))
-            pool = pool[~np.isin(pool, taken)]
-            if len(taken) == budget or not len(pool):
+def matrix(column) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def against_picked(measure, name: str, kind: str):
+    """An Arrow function that adds to a batch what `measure` makes of its vectors and those picked in their works."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            j = int(pool[np.argmax(worth(pool))])
-            taken.append(j)
-            best = np.maximum(best, sims[j])
-        work = t.column("work")[0].as_py()
-        return pa.table({"work": pa.array([work] * len(taken), pa.int32()), "id": ids[taken].astype(np.int64), "turn": pa.array(range(len(taken)), pa.int32())})
+            e = matrix(b.column("v"))
+            flat = b.column("picked").flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = pa.array(measure(e, flat.reshape(len(e), -1, e.shape[1])), kind)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c != "picked"], x], [*[c for c in b.schema.names if c != "picked"], name])
+
+    return run
+
 
-    return vectors.groupBy("work").applyInArrow(choose, "work int, id long, turn int")
+UNIT = 1e9  # similarities are counted in billionths: sums are whole, so they do not depend on the order of adding
+
+
+def likeness(e: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Similarity to the most alike pick, 0 at least."""
+    s = np.rint(np.einsum("nd,nkd->nk", e, picked) * UNIT)
+    return np.maximum(0, s.max(axis=1, initial=0)).astype(np.int64)
+
+
+def block_gains(x: pa.Table, y: pa.Table) -> pa.Table:
+    """What each candidate of x would add to the similarity of the frames of y."""
+    names = ["work", "id", "ts", "n", "near", "gain"]
+    if not x.num_rows or not y.num_rows:
+        return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * 3), strict=True)})
+    s = np.rint(matrix(x.column("v").combine_chunks()) @ matrix(y.column("v2").combine_chunks()).T * UNIT).astype(np.int64)
+    gain = np.maximum(s - y.column("near2").to_numpy(), 0).sum(axis=1)
+    return pa.table([x.column("work"), x.column("id"), x.column("ts"), x.column("n"), x.column("near"), pa.array(gain, pa.int64())], names)
+
+
+def stratified(vectors: DataFrame, budget: int, block: int = 2048) -> DataFrame:
+    """work, id, turn: `budget` frames a work, one from each equal cell of time, chosen for coverage and against near-twins.
+
+    A round measures what each candidate adds to the work's similarity to its picks, a product of two blocks of
+    about `block` frames a task, so that no task holds a work. The products are as many as its candidates times its frames.
+    """
+    span = vectors.groupBy("work").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n"))
+    cell = F.when(F.col("t1") > F.col("t0"), F.least(F.lit(budget - 1), F.floor((F.col("ts") - F.col("t0")) / ((F.col("t1") - F.col("t0")) / budget)))).otherwise(0).cast("int")
+    pool = vectors.select("work", "id", "ts", "v").join(few(span), "work").withColumn("cell", cell).drop("t0", "t1")
+    cells = pool.groupBy("work").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    pool = kept(pool.join(few(cells), "work"))
+
+    def choose(rows: DataFrame, turn: int) -> DataFrame:
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        rows = rows.withColumn("candidate", ~F.col("own") & ((F.size("cells") <= turn) | (F.col("cell") == F.get("cells", F.lit(turn)))))
+        # the candidates of a turn are about 1 / budget of the frames while there are cells, so their blocks are fewer
+        parts = F.when(F.size("cells") <= turn, blocks).otherwise(F.ceil(blocks / budget)).cast("int")
+        rows = rows.select("work", "id", "ts", "n", "candidate", blocks.alias("blocks"), parts.alias("parts"), F.pmod(F.xxhash64("id", "ts"), blocks).cast("int").alias("k"), "v", "picked")
+        rows = rows.mapInArrow(against_picked(likeness, "near", "int64"), "work int, id long, ts double, n long, candidate boolean, blocks int, parts int, k int, v array<float>, near long")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        x = rows.where("candidate").select("work", "id", "ts", "n", "near", "v", F.pmod(F.xxhash64("ts", "id"), F.col("parts")).cast("int").alias("i"), every.alias("j"))
+        y = rows.select(F.col("work").alias("w2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i2"), F.col("k").alias("j2"), F.col("near").alias("near2"), F.col("v").alias("v2"))
+        each = x.groupBy("work", "i", "j").cogroup(y.groupBy("w2", "i2", "j2")).applyInArrow(block_gains, "work int, id long, ts double, n long, near long, gain long")
+        total = each.groupBy("work", "id", "ts", "n", "near").agg(F.sum("gain").alias("gain"))
+        worth = F.col("gain") / UNIT / F.col("n") - 6 * F.greatest(F.lit(0.0), F.col("near") / UNIT - 0.9)
+        best = kept(total.groupBy("work").agg(F.max_by("id", F.struct(worth, -F.col("ts"), -F.col("id"))).alias("id")))
+        return pool.select("work", "id", "v").join(few(best), ["work", "id"])
+
+    return rounds(pool, budget, choose)
 
 
 def breadth(vectors: DataFrame, budget: int) -> DataFrame:
     """work, id, turn: greedy selection of the frame farthest from those taken, from the earliest on."""
+    pool = vectors.select("work", "id", "ts", "v").join(few(vectors.groupBy("work").agg(F.count(F.lit(1)).alias("n"))), "work")
+
+    def distance(e: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(e[:, None, :] - picked, axis=2).min(axis=1)
+
+    def choose(rows: DataFrame, turn: int) -> DataFrame:
+        rows = rows.where(~F.col("own")).select("work", "id", "ts", "v", "picked")
+        if turn:
+            rows = rows.mapInArrow(against_picked(distance, "far", "float64"), "work int, id long, ts double, v array<float>, far double")
+        else:
+            rows = rows.withColumn("far", F.lit(0.0))
+        best = F.max_by(F.struct("id", "v"), F.struct("far", -F.col("ts"), -F.col("id"))).alias("b")
+        return rows.groupBy("work").agg(best).select("work", "b.id", "b.v")
 
-    def choose(t: pa.Table) -> pa.Table:
-        ids, ts = t.column("id").to_numpy(), t.column("ts").to_numpy()
-        order = np.lexsort((ids, ts))
-        ids, e = ids[order], np.stack(t.column("v").to_numpy())[order].astype(np.float64)
-        taken, far = [0], np.linalg.norm(e - e[0], axis=1)
-        while len(taken) < min(budget, len(ids)):
-            far[taken] = -1
-            j = int(far.argmax())
-            taken.append(j)
-            far = np.minimum(far, np.linalg.norm(e - e[j], axis=1))
-        return pa.table({"work": pa.array([t.column("work")[0].as_py()] * len(taken), pa.int32()), "id": ids[taken].astype(np.int64), "turn": pa.array(range(len(taken)), pa.int32())})
-
-    return vectors.groupBy("work").applyInArrow(choose, "work int, id long, turn int")
+    return rounds(kept(pool), budget, choose)
 
 
 def best_in_shot(frames: DataFrame, cap: int = 2) -> DataFrame:

@@ -258,3 +258,54 @@ def test_places_of_ties_and_nulls(spark):
     got = {r.id: r.place for r in catalog.placed(df, "n", "id").collect()}
     assert got == {i: k for k, i in enumerate(sorted(range(50), key=lambda i: (i % 3 > 0, i)), 1)}
     assert catalog.placed(df.limit(0), "n", "id").count() == 0
+
+
+def greedy_picks(rows, budget, spread):
+    """The picks of one work, by a matrix of all its frames. rows: (id, ts, v) in order of time."""
+    e = np.array([v for _, _, v in rows], np.float32).astype(np.float64)
+    ts, sims, taken, n = np.array([t for _, t, _ in rows]), np.rint(e @ e.T * 1e9), [], len(rows)
+    cell = np.minimum(budget - 1, (ts - ts[0]) / ((ts[-1] - ts[0]) / budget)).astype(int) if ts[-1] > ts[0] else np.zeros(n, int)
+    cells = [*np.unique(cell), *[-1] * budget]
+    for k in cells[: min(budget, n)]:
+        if spread:
+            worth = {j: min((np.linalg.norm(e[j] - e[t]) for t in taken), default=0.0) for j in range(n) if j not in taken}
+        else:
+            best = np.maximum(0, sims[taken].max(0)) if taken else np.zeros(n)
+            worth = {j: np.maximum(sims[j] - best, 0).sum() / 1e9 / n - 6 * max(0, best[j] / 1e9 - 0.9) for j in range(n) if j not in taken and (k < 0 or cell[j] == k)}
+        taken.append(max(worth, key=lambda j: (worth[j], -j)))
+    return [rows[j][0] for j in taken]
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_picks_are_greedy(spark, block):
+    rng = np.random.default_rng(8)
+    sizes, rows = (90, 23, 5, 1), []
+    for work, n in enumerate(sizes):
+        v = rng.normal(size=(n, 6)) + (3 if work == 1 else 0)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v[n // 2 : n // 2 + 4] = v[0]  # copies
+        rows += [(100 * work + i, work, 0, float(i // 2 * (work != 2)), [float(x) for x in v[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, work int, series int, ts double, v array<float>").repartition(5)
+    for spread, out in ((False, similar.stratified(df, 6, block)), (True, similar.breadth(df, 6))):
+        got = {}
+        for r in out.orderBy("work", "turn").collect():
+            got.setdefault(r.work, []).append(r.id)
+        assert got == {w: greedy_picks([(r[0], r[3], r[4]) for r in rows if r[1] == w], 6, spread) for w in range(len(sizes))}
+    assert similar.stratified(df.limit(0), 6).count() == similar.breadth(df.limit(0), 6).count() == 0
+
+
+def test_no_task_holds_a_work(spark, monkeypatch, tmp_path):
+    """Products are taken of blocks, so a work of many frames is never one matrix."""
+    real, log = similar.block_gains, str(tmp_path)
+
+    def watched(x, y):
+        import uuid
+
+        open(f"{log}/{uuid.uuid4().hex}-{x.num_rows}-{y.num_rows}", "w").close()
+        return real(x, y)
+
+    monkeypatch.setattr(similar, "block_gains", watched)
+    v = [(i, 0, 0, float(i), [float(i % 7), 1.0]) for i in range(400)]
+    similar.stratified(spark.createDataFrame(v, "id long, work int, series int, ts double, v array<float>"), 3, 40).collect()
+    sizes = [tuple(map(int, p.name.split("-")[1:])) for p in tmp_path.iterdir()]
+    assert sizes and max(y for _, y in sizes) < 100 and max(x for x, _ in sizes) < 100
