@@ -52,18 +52,29 @@ def seeded(seed: int, *cols: Column) -> Column:
 def apportion(df: DataFrame, part: list[str], votes: str, tie: str, name: str) -> DataFrame:
     """`seats` of each part dealt to its rows by Sainte-Lague; ties go to the lower `tie`.
 
-    Rounded shares come first; they are off by less than half a seat a row, so what is
-    missing (or too much) goes by the highest (lowest) quotients votes / (2 k + 1).
+    A quotient votes / (2 k + 1) has a seat while fewer than `seats` are higher. Halving finds a cut that at most so
+    many are above and that no row has two quotients near, so what is missing goes by each row's next quotient.
     """
     whole = Window.partitionBy(*([F.col(c) for c in part] or [F.lit(0)]))
     v = F.col(votes).cast("double")
-    total = F.sum(votes).over(whole).cast("double")
-    df = df.withColumn("base", F.when(total > 0, F.floor(F.col("seats").cast("double") * v / total + F.lit(0.5))).otherwise(0).cast("long"))
-    df = df.withColumn("missing", F.when(total > 0, F.col("seats") - F.sum("base").over(whole)).otherwise(0))
-    give, take = v / (F.lit(2.0) * F.col("base") + F.lit(1.0)), F.when(F.col("base") > 0, v / (F.lit(2.0) * F.col("base") - F.lit(1.0)))
-    df = df.withColumns({"up": F.row_number().over(whole.orderBy(give.desc(), tie)), "down": F.row_number().over(whole.orderBy(take.asc_nulls_last(), F.col(tie).desc()))})
-    step = F.when(F.col("up") <= F.col("missing"), 1).when(F.col("down") <= -F.col("missing"), -1).otherwise(0)
-    return df.withColumn(name, F.col("base") + step).drop("base", "missing", "up", "down")
+    above = lambda n, cut: F.floor((n / cut + F.lit(1.0)) / F.lit(2.0))
+    each = df.groupBy(*part).agg(F.collect_list(v).alias("all"), F.max("seats").cast("double").alias("s"))
+    count = lambda cut: F.aggregate(F.col("all"), F.lit(0).cast("long"), lambda acc, n: acc + above(n, cut))
+    most, total = F.array_max("all"), F.aggregate(F.col("all"), F.lit(0.0), lambda acc, n: acc + n)
+    start = F.struct((total / (F.lit(2.0) * (F.col("s") + 1) + F.size("all"))).alias("lo"), (most * 2).alias("hi"))  # too many are above lo, none above hi
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.sqrt(at["lo"]) * F.sqrt(at["hi"])
+        few = count(mid) <= F.col("s")
+        return F.struct(F.when(few, at["lo"]).otherwise(mid).alias("lo"), F.when(few, mid).otherwise(at["hi"]).alias("hi"))
+
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(52)), start, halve)["hi"] * F.lit(1 + 1e-12)
+    each = each.select(*part, F.when(total > 0, cut).alias("_cut"))
+    df = df.join(each, part) if part else df.crossJoin(each)
+    df = df.withColumn("base", F.coalesce(above(v, F.col("_cut")), F.lit(0)).cast("long"))
+    df = df.withColumn("missing", F.when(F.col("_cut").isNotNull(), F.col("seats") - F.sum("base").over(whole)).otherwise(0))
+    df = df.withColumn("up", F.row_number().over(whole.orderBy((v / (F.lit(2.0) * F.col("base") + F.lit(1.0))).desc(), tie)))
+    return df.withColumn(name, F.col("base") + (F.col("up") <= F.col("missing")).cast("int")).drop("base", "missing", "up", "_cut")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64, shard_words: int = 2_000_000, seed: int = 11) -> DataFrame:

@@ -137,6 +137,19 @@ def test_apportion_is_highest_quotients(spark):
         assert {k: got[p, k] for k, _ in votes} == want
 
 
+def test_apportion_with_a_long_tail(spark):
+    rng = random.Random(14)
+    votes = {0: [4000] + [30] * 200, 1: [rng.choice([1, 2, 7, 90, 10**6]) for _ in range(200)], 2: [30, 90, 10, 30], 3: [1] * 50, 4: [10**12, 3, 3]}
+    seats = {0: 100, 1: 333, 2: 5, 3: 7, 4: 40}
+    df = spark.createDataFrame([(p, k, n, seats[p]) for p, ns in votes.items() for k, n in enumerate(ns)], "p int, k int, n long, seats long")
+    got = {(r.p, r.k): r.q for r in mixing.apportion(df, ["p"], "n", "k", "q").collect()}
+    for p, ns in votes.items():
+        assert {k: got[p, k] for k in range(len(ns))} == sainte_lague(list(enumerate(ns)), seats[p])
+    assert got[0, 0] == 67
+    one = {r.k: r.q for r in mixing.apportion(df.where("p = 0").drop("p"), [], "n", "k", "q").collect()}
+    assert one == {k: got[0, k] for k in one} and len(one) == 201
+
+
 def test_mix_meets_targets(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     mixed = mixing.mix_sources(docs, shard_words=5000).cache()
