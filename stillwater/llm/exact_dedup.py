@@ -3,8 +3,9 @@
 The first `bits` bits of each distinct text's sha256 are its key. A directory over key
 prefixes doubles its depth while a bucket holds more than `capacity` distinct entries;
 a bucket that fits at a lesser depth keeps that depth and spans several directory
-entries. Rows are dealt to owner tasks by bucket, i.e. by key range. In a bucket,
-entries with equal digests form a chain and are told apart by their bytes.
+entries. Buckets are labels: rows are grouped by bucket, digest and text, and no task
+owns a bucket. In a bucket, entries with equal digests form a chain and are told apart
+by their bytes.
 
 Cases: null text counts as empty; texts are equal when identical after A-Z to a-z; the
 row with the largest doc_id stays (a null doc_id is less than any); repeated rows of one
