@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: folders, text columns, folds."""
+"""What the operators of this subpackage share: folders, text columns, folds, joins."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests), a local one."""
+    """The cluster's shared folder; only where none is named and all runs in one process (tests), a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         at = tempfile.mkdtemp(prefix="stillwater-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -43,6 +45,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, lengthened until df has none of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of many rows with one row a key. hot: the keys that hold a thousandth of left's rows or more, so a
+    thousand keys at most: these meet by broadcast, and no task gets such a group whole; all others by shuffle."""
+    hot = hot.select(*on).withColumn("_hot", F.lit(True))
+    marked = left.join(F.broadcast(hot), on, "left")
+    few = right.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
+    return marked.where("_hot IS NULL").drop("_hot").join(right, on).unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), on))
+
+
+def stay(docs: DataFrame, keys: DataFrame, sig: Column) -> DataFrame:
+    """One row of docs for each (doc_id, sig) of keys, which has `times`, the number of rows of that key; null ids meet null.
+
+    Repeated rows are told apart by nothing, so one of them stays: they alone are grouped.
+    """
+    i, s, t = spare(docs, "_id", "_sig", "_times")
+    keys = keys.select(F.col("doc_id").alias(i), F.col("sig").alias(s), F.col("times").alias(t))
+    cond = docs["doc_id"].eqNullSafe(keys[i]) & (sig == keys[s])
+    kept = docs.join(keys, cond)
+    once, more = kept.where(F.col(t) == 1), kept.where(F.col(t) > 1)
+    return once.select(*docs.columns).unionByName(more.dropDuplicates([i, s]).select(*docs.columns))
+
+
+def tree_sum(rows: DataFrame, key: str, add, schema: str, fan: int = 64) -> DataFrame:
+    """Partial sums of a key, numbered by `part`, added `fan` at a time until each key has one row."""
+    most = rows.agg(F.max("part")).first()[0] or 0
+    while True:
+        most //= fan
+        rows = rows.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy(key, "part").applyInArrow(add, schema)
+        if not most:
+            return rows
+
+
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is among ids; null meets null."""
     ids = ids.select(F.col(key).alias("_only"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import textblocks as tb
-from stillwater.llm.lm_interpolation import opened, pressed
+from stillwater.llm.payload import opened, pressed
 
 LANGUAGES = ("en", "fr", "de", "es")
 CLASSES = ("vowel", "consonant", "upper", "high", "digit", "space", "break", "stop", "bang", "symbol", "other")

@@ -3,20 +3,30 @@
 Texts link when |A & B| / |A | B| >= num/den. Every set is ordered rare-first by one
 global order (document frequency of a shingle's hash cell, then hash). Prefixes have
 n - ceil(t n) + l keys with l = ceil(n / 20), and so two alike sets share the lesser l
-of such keys at least, not only one. Owners of key ranges keep the keys that several
-sets share; a set that shares fewer than a partner would need takes no further part,
-which leaves out texts that have no more than a passage in common. The others are put in blocks of about `block` by the most
-shared of their keys, and the owners name each pair of blocks in which some two sets
-share a key. A pair of blocks is one task: it joins the prefixes of its sets, and what
-passes the length, positional and suffix filters is intersected, once per pair, unless
-the two are in one component by then. It returns a forest of links, so a group of many
-near copies gives no more links than members, and no link between components is lost.
+of such keys at least, not only one.
+
+1. Owners of key ranges count the sets of each prefix key; a set that shares fewer keys
+   than a partner would need takes no further part, which leaves out texts that have no
+   more than a passage in common. A key of more than `list_sets` sets is split over
+   several owners by a hash of the set.
+2. The others are dealt to blocks of about `block` sets by the most shared of their keys.
+   A block joins its prefixes in one task: what passes the length, positional and suffix
+   filters is intersected, once per pair, unless the two are in one component by then.
+   A few representatives of the block's components go on to meet those of the next
+   `FAN` blocks of the same key, and so on. So a group of many near copies is one
+   component after as many set comparisons as it has members, not as it has pairs.
+3. Sets of a large component are dealt to blocks of its own. Owners then see only
+   (key, block, component) and name each pair of blocks that share keys between
+   different components, as many keys at least as a link needs. Those pairs of blocks
+   are joined as in 2, so no link between components is lost.
+
 Equal sets are one node from the start and are told apart from chance by a second digest.
+In 2 and 3 shingles are compared by 56 bits of hash, in sets of one pair only.
 
 Cases: A-Z become a-z; fewer words than k are one shingle of the whole sequence; a null
 or empty text, or one of blanks, has no shingle and is its own component; repeated rows
 are in one component; a null doc_id never names a component unless all its rows are
-null; no rows give no rows. Only `doc_id` and `text` are read.
+null; no rows give no rows. Only `doc_id` (an integer) and `text` are read.
 """
 
 from __future__ import annotations
@@ -25,15 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import textblocks as tb
-from stillwater.llm.common import only, written
-from stillwater.llm.lm_interpolation import opened, pressed
+from stillwater.llm.common import WORD, join_hot, stay, tree_sum, written
+from stillwater.llm.payload import opened, pressed, rising
 
 CELL_BITS, CHUNK = 24, 1 << 18
-MAP_BITS = 23
+FAN, REPRESENTATIVES = 32, 4
 
 
 def shingle_sets(part: pa.RecordBatch, k: int, seed: int = 0) -> list[np.ndarray]:
@@ -70,7 +81,18 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + fewest(n)
 
 
-DOCS = "doc_id long, n long, node long, other long, chunk int, cells binary"
+def prefix_length_column(n: Column, num: int, den: int) -> Column:
+    return n - F.ceil(n * num / F.lit(den)) + F.ceil(n / 20)
+
+
+def least_shared(n: Column, num: int, den: int) -> Column:
+    """What a set of n shingles shares with its smallest possible partner."""
+    return F.ceil(F.ceil(n * num / F.lit(den)) / 20)
+
+
+# The global order ------------------------------------------------------
+
+DOCS = "doc_id long, sig long, n long, node long, other long, chunk int, part int, cells binary"
 
 
 def describe(k: int, seed: int):
@@ -78,18 +100,21 @@ def describe(k: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
-        names = ["doc_id", "n", "node", "other", "chunk", "cells"]
+        names = [f.split()[0] for f in DOCS.split(", ")]
         for part in tb.slices(batches):
             sets = shingle_sets(part, k, seed)
             both = np.concatenate([*sets, np.zeros(0, tb.U)])
             at, count = np.unique(cell_of(both), return_counts=True)
             cells[at] += count.astype(np.uint32)
             ds = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in ds], pa.int64()), pa.array([d[1] for d in ds], pa.int64()), pa.nulls(len(ds), pa.int32()), pa.nulls(len(ds), pa.binary())], names=names)
+            sizes, nodes, others = (pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [d[0] for d in ds], [d[1] for d in ds]))
+            none = [pa.nulls(len(ds), pa.int32()), pa.nulls(len(ds), pa.int32()), pa.nulls(len(ds), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sig"), sizes, nodes, others, *none], names=names)
         m = len(cells) // CHUNK
-        blobs = [pressed(cells[i * CHUNK : (i + 1) * CHUNK]) for i in range(m)] if cells.any() else []
-        if blobs:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        if cells.any():
+            blobs = [pressed(cells[i * CHUNK : (i + 1) * CHUNK]) for i in range(m)]
+            own = pa.array([TaskContext.get().partitionId()] * m, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 5, pa.array(range(m), pa.int32()), own, pa.array(blobs, pa.binary())], names=names)
 
     return run
 
@@ -98,27 +123,22 @@ def cell_of(s: np.ndarray) -> np.ndarray:
     return (s & tb.U((1 << CELL_BITS) - 1)).astype(np.int64)
 
 
+CELLS = "chunk int, part int, cells binary"
+
+
 def add_cells(table: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, np.uint32)
     for blob in table.column("cells").to_pylist():
         total += opened(blob, np.uint32)[0]
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "cells": pa.array([pressed(total)], pa.binary())})
-
-
-def rank_cells(table: pa.Table) -> pa.Table:
-    """Ranks 0 (rarest) to 255, an eighth of a doubling each."""
-    total = opened(add_cells(table).column("cells")[0].as_py(), np.uint32)[0]
-    ranks = np.minimum(np.round(np.log2(np.maximum(total, 1)) * 8), 255).astype(np.uint8)
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "cells": pa.array([ranks.tobytes()], pa.binary())})
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": table.column("part").slice(0, 1), "cells": pa.array([pressed(total)], pa.binary())})
 
 
 def cell_ranks(counts: DataFrame) -> np.ndarray:
-    """A rank for each of 2^CELL_BITS cells, 16 MB whatever the corpus; tasks' counts are added in two steps."""
-    one = counts.select("chunk", "cells", F.pmod(F.spark_partition_id(), F.lit(32)).alias("part"))
-    rows = one.groupBy("chunk", "part").applyInArrow(add_cells, "chunk int, cells binary").groupBy("chunk").applyInArrow(rank_cells, "chunk int, cells binary").collect()
+    """A rank for each of 2^CELL_BITS cells, 16 MB whatever the corpus: 0 (rarest) to 255, an eighth of a doubling each."""
     ranks = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in rows:
-        ranks[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.uint8)
+    for r in tree_sum(counts.select("chunk", "part", "cells"), "chunk", add_cells, CELLS).collect():
+        total = opened(r.cells, np.uint32)[0]
+        ranks[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(np.round(np.log2(np.maximum(total, 1)) * 8), 255)
     return ranks
 
 
@@ -127,21 +147,42 @@ def ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort((ranks[cell_of(s)].astype(tb.U) << tb.U(56)) | (s >> tb.U(8)))
 
 
-def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, most: int = 1_000_000):
-    """Prefix keys by owner, sorted, and the node behind each."""
+def splits_of(keys: np.ndarray, list_sets: int) -> np.ndarray:
+    """Over how many owners the sets of a key are dealt, from the frequency that its rank tells."""
+    return (np.exp2((keys >> tb.U(56)).astype(float) / 8) // list_sets + 1).astype(tb.U)
+
+
+def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
+    return ((tb.mix(keys) >> tb.U(32)) * tb.U(owners) >> tb.U(32)).astype(np.int64)
+
+
+def by_owner(keys: np.ndarray, owner: np.ndarray, who: np.ndarray, *about: np.ndarray) -> pa.RecordBatch:
+    """One payload an owner: sorted keys, the place of each in `about`, and those rows of `about` that it needs."""
+    order = np.lexsort((keys, owner))
+    keys, who, owner = keys[order], who[order], owner[order]
+    kinds, at = np.unique(owner, return_index=True)
+    out = []
+    for a, b in zip(at, [*at[1:], len(owner)], strict=True):
+        used, local = np.unique(who[a:b], return_inverse=True)
+        out.append(pressed(rising(keys[a:b]), local.astype(np.int32), *[x[used] for x in about]))
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(out, pa.binary())], names=["owner", "payload"])
+
+
+def gathered(table: pa.Table, n_about: int) -> list[np.ndarray]:
+    """An owner's keys and, beside each, the columns of what sent it."""
+    got = [opened(b, tb.U, np.int32, *[np.int64] * n_about) for b in table.column("payload").to_pylist()]
+    return [np.concatenate([np.cumsum(g[0], dtype=tb.U) for g in got]), *[np.concatenate([g[2 + i][g[1]] for g in got]) for i in range(n_about)]]
+
 
+# 1: which sets share keys ----------------------------------------------
+
+
+def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, list_sets: int, most: int = 1_000_000):
     def flush(rows: list) -> pa.RecordBatch:
         nodes, keys = np.array([r[0] for r in rows], np.int64), np.concatenate([r[1] for r in rows])
         who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
-        owner = (tb.mix(keys) >> tb.U(32)) * tb.U(owners) >> tb.U(32)
-        order = np.lexsort((keys, owner))
-        keys, who, owner = keys[order], who[order], owner[order].astype(np.int64)
-        kinds, at = np.unique(owner, return_index=True)
-        out = []
-        for a, b in zip(at, [*at[1:], len(owner)], strict=True):
-            used, local = np.unique(who[a:b], return_inverse=True)
-            out.append(pressed(keys[a:b], local.astype(np.int32), nodes[used]))
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(out, pa.binary())], names=["owner", "payload"])
+        salt = tb.mix(nodes.view(tb.U))[who] % splits_of(keys, list_sets)
+        return by_owner(keys, owner_of(keys + salt * tb.MULTS[10], owners), who, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, seen = [], 0, set()
@@ -163,64 +204,57 @@ def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, mos
     return run
 
 
-LISTS = "payload binary, members binary"
+def shared_keys(list_sets: int):
+    """node, size and key of each node's most shared key at an owner, and in how many shared keys it is."""
 
+    def run(table: pa.Table) -> pa.Table:
+        keys, node = gathered(table, 1)
+        # One entry per key and node: equal texts of several tasks come several times.
+        order = np.lexsort((node, keys))
+        keys, node = keys[order], node[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]))[: len(keys)]
+        keys, node = keys[new], node[new]
+        _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+        splits = splits_of(keys, list_sets).astype(np.int64)
+        keep = (count[number] > 1) | (splits > 1)  # the others of a split key may be elsewhere
+        keys, node, size = keys[keep], node[keep], (count[number] * splits)[keep]
+        order = np.lexsort((keys, -size, node))
+        at = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1])[: len(order)])
+        first, held = order[at], np.diff(np.append(at, len(order)))
+        return pa.table({"node": node[first], "size": size[first], "key": keys[first].view(np.int64), "held": held})
+
+    return run
+
+
+def row_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """`bits` bits, those of rows' `row` set."""
+    at = F.pmod(F.col("row"), F.lit(bits)) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in parts:
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
+    return out
+
+
+def sets_of(k: int, seed: int, ranks, bitmap, bits: int):
+    """node, keys of the rows that are in the bitmap (a few others may come too)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            at = batch.column("row").to_numpy() % bits
+            for part in tb.slices(iter([batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7) & 1).astype(bool)))])):
+                rows = []
+                for s in shingle_sets(part, k, seed):
+                    if len(s) and (node := digest(s)[0]) not in seen:
+                        seen.add(node)
+                        rows.append((node, ordered(s, ranks.value).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "keys"])
+
+    return run
 
-def shared_lists(table: pa.Table) -> pa.Table:
-    """An owner's posting lists of two nodes or more: number and node of each entry; and each node's largest list."""
-    got = [opened(b, tb.U, np.int32, np.int64) for b in table.column("payload").to_pylist()]
-    keys, node = np.concatenate([g[0] for g in got]), np.concatenate([g[2][g[1]] for g in got])
-    del got
-    order = np.argsort(keys, kind="stable")
-    keys, node = keys[order], node[order]
-    same = keys[1:] == keys[:-1]
-    keep = np.append(same, False) | np.append(False, same)
-    keys, node = keys[keep], node[keep]
-    # One entry per key and node: equal texts of several tasks come several times.
-    order = np.lexsort((node, keys))
-    keys, node = keys[order], node[order]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]))[: len(keys)]
-    keys, node = keys[new], node[new]
-    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
-    keep = count[number] > 1
-    keys, node, size = keys[keep], node[keep], count[number][keep]
-    if not len(keys):
-        return pa.table({"payload": pa.array([], pa.binary()), "members": pa.array([], pa.binary())})
-    number = np.cumsum(np.append(True, keys[1:] != keys[:-1])) - 1
-    order = np.lexsort((keys, -size, node))
-    at = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
-    first, held = order[at], np.diff(np.append(at, len(order)))
-    return pa.table({"payload": pa.array([pressed(number, node)], pa.binary()), "members": pa.array([pressed(node[first], size[first], keys[first], held)], pa.binary())})
-
-
-def list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, size and key of each node's largest list at each owner, and in how many lists it is; own numbers the owners' rows."""
-    for batch in batches:
-        for own, blob in zip(batch.column("own").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            node, size, key, held = opened(blob, np.int64, np.int64, tb.U, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), own)), pa.array(node), pa.array(size), pa.array(key.view(np.int64)), pa.array(held)], names=["own", "node", "size", "key", "held"])
-
-
-def block_pairs(lists: pa.Table, blocks: pa.Table) -> pa.Table:
-    """Pairs of blocks in which a list of the owner has sets of both."""
-    order = np.argsort(blocks.column("node").to_numpy(), kind="stable")
-    nodes, of = blocks.column("node").to_numpy()[order], blocks.column("block").to_numpy()[order]
-    out = []
-    for blob in lists.column("payload").to_pylist():
-        number, node = opened(blob, np.int64, np.int64)
-        known = np.isin(node, nodes)
-        number, node = number[known], node[known]
-        if not len(node):
-            continue
-        both = np.unique(np.stack([number, of[np.searchsorted(nodes, node)]], 1), axis=0)
-        at = np.append(np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0])), len(both))
-        seen = np.unique(both[:, 1])
-        out.append(np.stack([seen, seen], 1))
-        for a, b in zip(at[:-1][np.diff(at) > 1], at[1:][np.diff(at) > 1], strict=True):
-            i, j = np.triu_indices(b - a, 1)
-            out.append(np.stack([both[a:b, 1][i], both[a:b, 1][j]], 1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"ba": pairs[:, 0], "bb": pairs[:, 1]})
+
+# Links of the sets of one task -----------------------------------------
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -242,8 +276,9 @@ def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * same >= num * (len(x) + len(y) - same)
 
 
-def prefix_candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which (left, right) pairs share enough prefix keys and pass the length filter, and the positional filter at every key they share."""
+def prefix_candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which (left, right) pairs share enough prefix keys and pass the length filter, and the positional filter at every
+    key they share; and how many keys they share."""
     n = np.array([len(s) for s in sets], np.int64)
     p = prefix_length(n, num, den)
     keys = np.concatenate([s[:k] for s, k in zip(sets, p, strict=True)])
@@ -267,128 +302,274 @@ def prefix_candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarra
         share[ix] += 1
         wrong[ix] |= most < need[ix]
     length = den * np.minimum(n[left][:, None], n[right][None]) >= num * np.maximum(n[left][:, None], n[right][None])
-    return (share >= fewest(np.minimum(n[left][:, None], n[right][None]))) & ~wrong & length
+    return (share >= fewest(np.minimum(n[left][:, None], n[right][None]))) & ~wrong & length, share
+
+
+def sets_in(table: pa.Table, *more: str) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """The sets of a group of rows, one for each node, their nodes, and further columns."""
+    node, at = np.unique(table.column("node").to_numpy(), return_index=True)
+    blobs = table.column("keys").to_pylist()
+    return [np.frombuffer(blobs[i], tb.U) for i in at], node, [table.column(c).to_numpy()[at] for c in more]
+
+
+class Forest:
+    """Who is joined with whom in one task."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[j] = i
+        return i != j
+
 
+LEVEL = "node long, local long, rep boolean, key long, part long, parts long, keys binary"
 
-def verify(num: int, den: int):
-    """The links of one pair of blocks as a forest; a block's own pairs are those of the block with itself."""
+
+def within(num: int, den: int, lonely: bool):
+    """The components inside one block: node and the representative of its component.
+
+    A representative is the member that shares most keys with others; those of the largest components are marked to go
+    on, with their sets, while the key has further blocks. lonely: components of one member go on too.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        order = np.argsort(node, kind="stable")
-        node, block = node[order], block[order]
-        blobs = table.column("keys").combine_chunks() if isinstance(table.column("keys"), pa.ChunkedArray) else table.column("keys")
-        sets = [np.frombuffer(blobs[int(i)].as_buffer(), tb.U) for i in order]
-        ba, bb = table.column("ba")[0].as_py(), table.column("bb")[0].as_py()
-        left, right = np.flatnonzero(block == ba), np.flatnonzero(block == bb)
-        root, out = list(range(len(node))), []
+        sets, node, (key, part, parts) = sets_in(table, "key", "part", "parts")
+        everyone = np.arange(len(node))
+        hit, share = prefix_candidates(sets, everyone, everyone, num, den)
+        forest = Forest(len(node))
+        for i, j in np.argwhere(np.triu(hit, 1)):
+            if forest.find(i) != forest.find(j) and alike(sets[i], sets[j], num, den):
+                forest.join(i, j)
+        root = np.array([forest.find(i) for i in everyone])
+        weight = share.sum(1)
+        local, members = np.zeros(len(node), np.int64), {}
+        for r in np.unique(root):
+            mine = np.flatnonzero(root == r)
+            best = int(mine[np.argmax(weight[mine])])
+            local[mine], members[best] = best, len(mine)
+        go = [i for i in sorted(members, key=lambda i: (-members[i], i)) if parts[i] > 1 and (lonely or members[i] > 1)][:REPRESENTATIVES]
+        rep = np.isin(everyone, go)
+        held = [sets[i].tobytes() if rep[i] else None for i in everyone]
+        return pa.table({"node": node, "local": node[local], "rep": rep, "key": key, "part": part, "parts": parts, "keys": pa.array(held, pa.binary())})
+
+    return run
 
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
 
-        for i, j in np.argwhere(prefix_candidates(sets, left, right, num, den)):
+def between(num: int, den: int):
+    """The links of one pair of blocks between sets of different components, as a forest of components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ba, bb = table.column("ba")[0].as_py(), table.column("bb")[0].as_py()
+        sets, _, (block, root) = sets_in(table, "block", "root")
+        kinds, of = np.unique(root, return_inverse=True)
+        left, right = np.flatnonzero(block == ba), np.flatnonzero(block == bb)
+        forest, out = Forest(len(kinds)), []
+        for i, j in np.argwhere(prefix_candidates(sets, left, right, num, den)[0]):
             x, y = int(left[i]), int(right[j])
-            if (ba == bb and x >= y) or find(x) == find(y):
-                continue
-            if alike(sets[x], sets[y], num, den):
-                root[find(y)] = find(x)
-                out.append((node[x], node[y]))
+            if forest.find(of[x]) != forest.find(of[y]) and alike(sets[x], sets[y], num, den):
+                forest.join(of[x], of[y])
+                out.append((root[x], root[y]))
         links = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        return pa.table({"u": links[:, 0], "v": links[:, 1]})
 
     return run
 
 
-def sets_of(k: int, seed: int, ranks, bitmap):
-    """node, keys of the texts whose node is in the bitmap (a few others may come too)."""
+# 3: pairs of blocks ------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(bitmap.value, bitorder="little"), set()
-        for part in tb.slices(batches):
-            rows = []
-            for s in shingle_sets(part, k, seed):
-                if len(s) and (node := digest(s)[0]) not in seen and bits[node % (1 << MAP_BITS)]:
-                    seen.add(node)
-                    rows.append((node, ordered(s, ranks.value).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "keys"])
 
-    return run
+def send_blocks(owners: int, most: int = 1_000_000):
+    """(key, block, component) of the prefixes of a batch, each once, by owner."""
 
+    def flush(keys: list, block: list, root: list) -> pa.RecordBatch:
+        who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        kinds, of = np.unique(np.stack([np.array(block, np.int64), np.array(root, np.int64)], 1), axis=0, return_inverse=True)
+        key, who = np.concatenate(keys), of.ravel()[who].astype(np.int32)
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))[: len(key)]
+        return by_owner(key[new], owner_of(key[new], owners), who[new], np.ascontiguousarray(kinds[:, 0]), np.ascontiguousarray(kinds[:, 1]))
 
-def node_bitmap(active: DataFrame) -> np.ndarray:
-    """2^MAP_BITS bits, 1 MB whatever the number of nodes."""
-    at = F.pmod(F.col("node"), F.lit(1 << MAP_BITS)) + 1
-    rows = active.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for r in rows:
-        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, block, root, held = [], [], [], 0
+        for batch in batches:
+            for blob, b, r in zip(batch.column("prefix").to_pylist(), batch.column("block").to_pylist(), batch.column("root").to_pylist(), strict=True):
+                keys.append(np.frombuffer(blob, tb.U)), block.append(b), root.append(r)
+                held += len(keys[-1])
+                if held >= most:
+                    yield flush(keys, block, root)
+                    keys, block, root, held = [], [], [], 0
+        if keys:
+            yield flush(keys, block, root)
+
+    return run
 
 
-def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Roots after the edges: each step hooks a root to its least neighbour, until no edge is left between roots."""
-    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("u")), roots.select(F.col("node").alias("b"), F.col("root").alias("v"))
-    live = edges.join(a, "a").join(b, "b").where("u <> v").select("u", "v")
-    live = written(live.union(live.select("v", "u")).distinct(), "edges")
+PAIRS = "ba long, bb long, shared long"
+
+
+def block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of blocks in which a key of the owner has sets of different components, and how many such keys."""
+    keys, block, root = gathered(table, 2)
+    order = np.lexsort((root, block, keys))
+    keys, block, root = keys[order], block[order], root[order]
+    # One entry per key and block; its component, or -1 for several.
+    new = np.append(True, (keys[1:] != keys[:-1]) | (block[1:] != block[:-1]))[: len(keys)]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(keys))[: len(at)] - 1
+    keys, block, kind = keys[at], block[at], np.where(root[at] == root[last], root[at], -1)
+    order = np.lexsort((kind, keys))
+    keys, block, kind = keys[order], block[order], kind[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(keys))[: len(at)]
+    some = (end - at > 1) & ((kind[at] != kind[end - 1]) | (kind[at] == -1))
+    found, held, counts = [], 0, {}
+
+    def count() -> None:
+        if found:
+            pairs, n = np.unique(np.sort(np.concatenate(found), axis=1), axis=0, return_counts=True)
+            for (a, b), m in zip(pairs.tolist(), n.tolist(), strict=True):
+                counts[a, b] = counts.get((a, b), 0) + m
+
+    for a, b in zip(at[some], end[some], strict=True):
+        # A run of one component has no pairs in itself; a block of several is a run of its own.
+        run_end = np.where(kind[a:b] == -1, np.arange(a, b) + 1, a + np.searchsorted(kind[a:b], kind[a:b], side="right"))
+        for i in range(a, b):
+            if (m := b - run_end[i - a]) > 0:
+                found.append(np.stack([np.full(m, block[i]), block[run_end[i - a] : b]], 1))
+                held += m
+        if held > 2_000_000:
+            count()
+            found, held = [], 0
+    count()
+    return pa.table({"ba": pa.array([p[0] for p in counts], pa.int64()), "bb": pa.array([p[1] for p in counts], pa.int64()), "shared": pa.array(list(counts.values()), pa.int64())})
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """name, root of all ends of the edges u, v. In each round a root hooks to its first neighbour in a new random
+    order and jumps along two hooks, until no edge is left between roots."""
+    live = written(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct(), "edges")
+    top, turn = live.select(F.col("u").alias("name"), F.col("u").alias("root")).distinct(), 0
     while not live.isEmpty():
-        hook = live.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        # One jump along the hooks: they always lead to lesser roots.
+        place = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("p"))
+        hook = live.groupBy("u").agg(F.min(place("v")).alias("v")).select("u", F.least("v", place("u"))["p"].alias("p"))
         jump = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        hook = written(hook.join(jump, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "hooks")
-        roots = written(roots.join(hook.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
+        hook = written(hook.join(jump, "p").select("u", F.col("q").alias("p")), "hooks")
+        top = written(top.join(hook.withColumnRenamed("u", "root"), "root", "left").select("name", F.coalesce("p", "root").alias("root")), "roots")
         live = live.join(hook, "u").select(F.col("p").alias("u"), "v").join(hook.select(F.col("u").alias("v"), F.col("p").alias("w")), "v").select("u", F.col("w").alias("v"))
         live = written(live.where("u <> v").distinct(), "edges")
-    return roots
+        turn += 1
+    return top
+
+
+def rooted(names: DataFrame, top: DataFrame) -> DataFrame:
+    """names with `root` moved on by the roots of top."""
+    top = top.select(F.col("name").alias("root"), F.col("root").alias("_next"))
+    return names.join(top, "root", "left").withColumn("root", F.coalesce("_next", "root")).drop("_next")
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys: int = 1_500_000, block: int = 128) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document.
+def document_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
 
-    owner_keys: prefix keys that one owner task holds; block: sets in a block, about.
+
+def joined(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys: int = 1_500_000, block: int = 128, list_sets: int = 1_000_000) -> DataFrame:
+    """doc_id, sig, n, component (struct of doc_id and sig: the row that names it; null without shingles): one row per row of docs.
+
+    owner_keys: prefix keys that one owner task holds; block: sets in a block, about; list_sets: sets of one key that one owner counts.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = document_rows(docs)
     for seed in range(8):
         seen = written(texts.mapInArrow(describe(k, seed), DOCS), "sets")
-        each = seen.where("n IS NOT NULL").select("doc_id", "n", "node", "other")
-        nodes = written(each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), (F.min("other") != F.max("other")).alias("clash")), "nodes")
-        stats = nodes.agg(F.sum(prefix_length_column(F.col("n"), num, den)).alias("keys"), F.max("clash").alias("clash")).first()
+        each = seen.where("n IS NOT NULL").select("doc_id", "sig", "n", "node", "other")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig"))
+        nodes = each.where("n > 0").groupBy("node").agg(first.alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), (F.min("other") != F.max("other")).alias("clash"))
+        nodes = written(nodes, "nodes")
+        stats = nodes.agg(F.sum(prefix_length_column(F.col("n"), num, den)).alias("keys"), F.max("clash").alias("clash"), F.sum("copies").alias("rows")).first()
         if not stats.clash:
             break
+    else:
+        raise ValueError("eight hash seeds in a row gave two sets one digest")
     ranks = spark.sparkContext.broadcast(cell_ranks(seen.where("chunk IS NOT NULL")))
     owners = -(-int(stats.keys or 0) // owner_keys) or 1
-    sent = texts.mapInArrow(send_prefixes(k, seed, ranks, owners, num, den), "owner long, payload binary")
-    lists = written(sent.groupBy("owner").applyInArrow(shared_lists, LISTS).withColumn("own", F.xxhash64("members")), "lists")
-    members = written(lists.select("own", "members").mapInArrow(list_members, "own long, node long, size long, key long, held long"), "members")
-    # A node's block: the largest list it is in, cut by hash into parts of about `block`.
-    best = members.groupBy("node").agg(F.max(F.struct("size", "key")).alias("m"), F.sum("held").alias("held"))
-    least = F.ceil(F.ceil(F.col("n") * num / F.lit(den)) / 20)  # what the smallest partner needs
-    best = best.join(nodes.select("node", "n"), "node").where(F.col("held") >= least)
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m.size") / F.lit(block)))
-    blocks = written(best.select("node", F.xxhash64("m.key", part).alias("block")), "blocks")
-    bitmap = spark.sparkContext.broadcast(node_bitmap(blocks))
-    found = texts.mapInArrow(sets_of(k, seed, ranks, bitmap), "node long, keys binary").groupBy("node").agg(F.min("keys").alias("keys"))
-    found = written(found.join(blocks, "node").select("block", "node", "keys"), "keys")
-    at = members.select("own", "node").join(blocks, "node").select(F.col("own").alias("o"), "node", "block")
-    pairs = lists.select("own", "payload").groupBy("own").cogroup(at.groupBy("o")).applyInArrow(block_pairs, "ba long, bb long")
-    pairs = written(pairs.distinct(), "pairs")
-    need = pairs.select("ba", "bb", F.explode(F.array_distinct(F.array("ba", "bb"))).alias("block"))
-    links = written(need.join(found, "block").groupBy("ba", "bb").applyInArrow(verify(num, den), "a long, b long"), "links")
-    roots = merged(blocks.select("node", F.col("node").alias("root")), links)
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = written(named.join(least, "root").select("node", "component"), "components")
-    out = each.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
-
-
-def prefix_length_column(n, num: int, den: int):
-    return n - F.ceil(n * num / F.lit(den)) + F.ceil(n / 20)
+
+    sent = texts.select("text").mapInArrow(send_prefixes(k, seed, ranks, owners, num, den, list_sets), "owner long, payload binary")
+    held = sent.groupBy("owner").applyInArrow(shared_keys(list_sets), "node long, size long, key long, held long")
+    best = held.groupBy("node").agg(F.max(F.struct("size", "key")).alias("m"), F.sum("held").alias("held")).join(nodes.select("node", "n", "first"), "node")
+    best = best.where(F.col("held") >= least_shared(F.col("n"), num, den))
+    parts = F.ceil(F.col("m.size") / F.lit(block))
+    best = best.select("node", "n", F.xxhash64("first.doc_id", "first.sig").alias("row"), F.col("m.key").alias("key"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+    best = written(best.withColumn("block", F.xxhash64("key", "part")), "blocks")
+
+    active = best.agg(F.count(F.lit(1)), F.max("parts"), F.sum(prefix_length_column(F.col("n"), num, den))).first()
+    bits = min(max(1 << (int(active[0]) * 16).bit_length(), 1 << 15), 1 << 28)  # 32 MB at most; fuller bits let more rows through
+    bitmap = spark.sparkContext.broadcast(row_bitmap(best, bits))
+    rows = texts.select(F.xxhash64("doc_id", "sig").alias("row"), "text")
+    found = rows.mapInArrow(sets_of(k, seed, ranks, bitmap, bits), "node long, keys binary").join(best.select("node", "block", "key", "part", "parts", "n"), "node")
+    found = written(found, "keys")
+
+    level = written(found.select("block", "node", "key", "part", "parts", "keys").groupBy("block").applyInArrow(within(num, den, False), LEVEL), "level")
+    local = level.select("node", "local")
+    edges, most = [], int(active[1] or 1)
+    while most > 1:
+        most = -(-most // FAN)
+        level = level.where("rep").select("node", "key", F.floor(F.col("part") / FAN).alias("part"), F.ceil(F.col("parts") / FAN).alias("parts"), "keys")
+        level = written(level.groupBy("key", "part").applyInArrow(within(num, den, True), LEVEL), "level")
+        edges.append(level.select(F.col("node").alias("u"), F.col("local").alias("v")).where("u <> v"))
+    # Names of components are few: one for each block at most of a group, and a name has one block's members.
+    names = local.groupBy("local").count().withColumn("root", F.col("local"))
+    for more in edges[:1]:
+        for e in edges[1:]:
+            more = more.union(e)
+        names = rooted(names, connected(more))
+    names = written(names.join(names.groupBy("root").agg(F.sum("count").alias("members")), "root").select("local", "root", "members"), "names")
+
+    dealt = local.join(names, "local").join(best.select("node", "n", F.col("block").alias("mixed")), "node")
+    own = F.xxhash64("root", F.lit("own"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / F.lit(block))))
+    dealt = written(dealt.select("node", "n", "root", F.when(F.col("members") * 2 > block, own).otherwise(F.col("mixed")).alias("block")), "dealt")
+    prefix = found.select("node", F.substring("keys", F.lit(1), (8 * prefix_length_column(F.col("n"), num, den)).cast("int")).alias("prefix"))
+    owners = -(-int(active[2] or 0) // owner_keys) or 1
+    sent = prefix.join(dealt, "node").select("prefix", "block", "root").mapInArrow(send_blocks(owners), "owner long, payload binary")
+    pairs = sent.groupBy("owner").applyInArrow(block_pairs, PAIRS).groupBy("ba", "bb").agg(F.sum("shared").alias("shared"))
+    ends = dealt.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    for side in "ab":
+        pairs = pairs.join(ends.select(F.col("block").alias(f"b{side}"), F.col("lo").alias(f"lo{side}"), F.col("hi").alias(f"hi{side}")), f"b{side}")
+    enough = F.col("shared") >= least_shared(F.greatest("loa", "lob"), num, den)
+    pairs = written(pairs.where(enough & (F.col("hia") * den >= F.col("lob") * num) & (F.col("hib") * den >= F.col("loa") * num)).select("ba", "bb"), "pairs")
+    need = pairs.select("ba", "bb", F.explode(F.array("ba", "bb")).alias("block"))
+    used = dealt.join(need.select("block").distinct(), "block").select("node", "block", "root")
+    used = found.select("node", "keys").join(used, "node")
+    links = need.join(used, "block").groupBy("ba", "bb").applyInArrow(between(num, den), "u long, v long")
+    names = rooted(names.select("local", "root"), connected(links))
+
+    named = nodes.select("node", "first").join(local, "node").groupBy("local").agg(F.min("first").alias("first")).join(names, "local")
+    named = named.select("local", "root").join(named.groupBy("root").agg(F.min("first").alias("first")), "root").select("local", "first")
+    named = local.join(named, "local").select("node", F.col("first").alias("joined"))
+    named = written(nodes.join(named, "node", "left").select("node", "copies", F.coalesce("joined", "first").alias("component")), "components")
+    hot = named.where(F.col("copies") * 1000 >= int(stats.rows or 0))  # a thousand at most
+    out = join_hot(each.where("n > 0").drop("other"), named.drop("copies"), hot, ["node"]).select("doc_id", "sig", "n", "component")
+    return out.unionByName(each.where("n = 0").select("doc_id", "sig", "n", F.lit(None).cast(out.schema["component"].dataType).alias("component")))
+
+
+def components(docs: DataFrame, **kw) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document."""
+    return joined(docs, **kw).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, **kw) -> DataFrame:
-    """docs with the row of least doc_id of each component; texts without a word all stay."""
-    return only(docs, components(docs, **kw).where("doc_id <=> component_id").select("doc_id").distinct())
+    """docs with one row of each component, of least doc_id (then of least text hash; one of repeated rows); texts without a word all stay."""
+    rows = written(joined(docs, **kw), "joined")
+    is_first = F.col("n") > 0
+    keys = rows.where(is_first & F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("sig") == F.col("component.sig")))
+    keys = keys.groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("times"))
+    none = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return stay(docs, keys, F.xxhash64("text")).unionByName(docs.where(none))

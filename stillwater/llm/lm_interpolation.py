@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import textblocks as tb
 from stillwater.llm.common import fold, written
+from stillwater.llm.payload import opened, pressed, rising
 
 END, START = (np.array([x], tb.U) for x in (0x9E3779B97F4A7C14, 0x6A09E667F3BCC909))
 ONE = tb.U(1)
@@ -114,21 +115,6 @@ def counts_of(t: dict, rows: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def pressed(*arrays: np.ndarray) -> bytes:
-    press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(a.tobytes()) for a in arrays]
-    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-
-
-def opened(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    press, at, out = zstandard.ZstdDecompressor(), 0, []
-    for kind in kinds:
-        n = int.from_bytes(blob[at : at + 8], "little")
-        out.append(np.frombuffer(press.decompress(blob[at + 8 : at + 8 + n]), kind))
-        at += 8 + n
-    return out
-
-
 def send_counts(owners: int):
     """A block's keys and counts for each owner."""
 
@@ -138,7 +124,7 @@ def send_counts(owners: int):
         t = block_tokens(batches)
         keys, c, e = t["keys"], counts_of(t, folds != 0), counts_of(t, folds == 1)
         cut = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
-        sent = [(block, q, pressed(keys[a:b], c[a:b], e[a:b])) for q, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        sent = [(block, q, pressed(rising(keys[a:b]), c[a:b], e[a:b])) for q, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
         return pa.table({"block": [x[0] for x in sent], "owner": [x[1] for x in sent], "payload": pa.array([x[2] for x in sent], pa.binary())})
 
     return run
@@ -150,7 +136,7 @@ TOTALS = PACKED + ", n long, n_tune long, v long"
 def sum_counts(table: pa.Table) -> pa.Table:
     """An owner's totals, returned to each block in its own order; and what the owner's words add to N and V."""
     owner, blocks, blobs = table.column("owner")[0].as_py(), table.column("block").to_pylist(), table.column("payload").to_pylist()
-    got = [opened(b, tb.U, np.uint32, np.uint32) for b in blobs]
+    got = [(np.cumsum(k, dtype=tb.U), x, y) for k, x, y in (opened(b, tb.U, np.uint32, np.uint32) for b in blobs)]
     keys = np.unique(np.concatenate([g[0] for g in got]))
     c, e = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for k, x, y in got:
