@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,17 +65,35 @@ def join_hot(left: DataFrame, right: DataFrame, hot: DataFrame, on: list[str]) -
     return marked.where("_hot IS NULL").drop("_hot").join(right, on).unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), on))
 
 
-def stay(docs: DataFrame, keys: DataFrame, sig: Column) -> DataFrame:
-    """One row of docs for each (doc_id, sig) of keys, which has `times`, the number of rows of that key; null ids meet null.
+def kept_rows(docs: DataFrame, keys: DataFrame, sig: Column, more: list[str]) -> DataFrame:
+    """One row of docs for each (doc_id, sig) of keys, with the columns `more` of keys; null ids meet null.
 
-    Repeated rows are told apart by nothing, so one of them stays: they alone are grouped.
+    keys has `times`, the number of rows of a key: repeated rows are told apart by nothing, so one of them stays, and they
+    alone are grouped.
     """
     i, s, t = spare(docs, "_id", "_sig", "_times")
-    keys = keys.select(F.col("doc_id").alias(i), F.col("sig").alias(s), F.col("times").alias(t))
-    cond = docs["doc_id"].eqNullSafe(keys[i]) & (sig == keys[s])
-    kept = docs.join(keys, cond)
-    once, more = kept.where(F.col(t) == 1), kept.where(F.col(t) > 1)
-    return once.select(*docs.columns).unionByName(more.dropDuplicates([i, s]).select(*docs.columns))
+    keys = keys.select(F.col("doc_id").alias(i), F.col("sig").alias(s), F.col("times").alias(t), *more)
+    kept = docs.join(keys, docs["doc_id"].eqNullSafe(keys[i]) & (sig == keys[s]))
+    columns = [*docs.columns, *more]
+    return kept.where(F.col(t) == 1).select(*columns).unionByName(kept.where(F.col(t) > 1).dropDuplicates([i, s]).select(*columns))
+
+
+def stay(docs: DataFrame, keys: DataFrame, sig: Column) -> DataFrame:
+    """One row of docs for each (doc_id, sig, times) of keys."""
+    return kept_rows(docs, keys, sig, [])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place from 0: rows are dealt by ranges of the order, counted in each range, and the ranges'
+    counts (one number a task) are added up."""
+    (part,) = spare(df, "_range")
+    ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = sorted((r[part], r["count"]) for r in ranged.groupBy(part).count().collect())
+    before = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    ahead = df.sparkSession.createDataFrame(before, f"{part} int, {name} long")
+    at = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    ranged = ranged.withColumn("_at", at).join(F.broadcast(ahead), part)
+    return ranged.withColumn(name, F.col(name) + F.col("_at")).drop(part, "_at")
 
 
 def tree_sum(rows: DataFrame, key: str, add, schema: str, fan: int = 64) -> DataFrame:
@@ -86,9 +104,3 @@ def tree_sum(rows: DataFrame, key: str, add, schema: str, fan: int = 64) -> Data
         rows = rows.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy(key, "part").applyInArrow(add, schema)
         if not most:
             return rows
-
-
-def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is among ids; null meets null."""
-    ids = ids.select(F.col(key).alias("_only"))
-    return docs.join(ids, docs[key].eqNullSafe(ids["_only"]), "left_semi").select(*docs.columns)

@@ -1,86 +1,123 @@
 """Exact dedup over an extendible-hash index kept on shared files.
 
-The first `bits` bits of each distinct text's sha256 are its key. A directory over key
-prefixes doubles its depth while a bucket holds more than `capacity` distinct entries;
-a bucket that fits at a lesser depth keeps that depth and spans several directory
-entries. Buckets are labels: rows are grouped by bucket, digest and text, and no task
-owns a bucket. In a bucket, entries with equal digests form a chain and are told apart
-by their bytes.
+The first 60 bits of a text's sha256 are its key. Copies are counted in the map tasks, so an
+index entry is one distinct fingerprint (sha256, xxhash64, length). A directory over key
+prefixes doubles until no bucket is overfull (more than `capacity` entries) or the bits
+end; a bucket that fits at a lesser depth keeps that depth and spans several slots. The
+entries lie in the shared folder, dealt to owner tasks by ranges of buckets and ordered in
+each. Texts of fingerprints that occur more than once go to the owner of their bucket, once
+for each text and map task: there equal digests form a chain whose links are told apart by
+their bytes, and each link has the row that stays. A row finds its link by fingerprint, and
+by its bytes where two links of a chain have one fingerprint.
 
 Cases: null text counts as empty; texts are equal when identical after A-Z to a-z; the
-row with the largest doc_id stays (a null doc_id is less than any); repeated rows of one
-doc_id all carry kept = true if that doc_id stays; no rows give no rows. Further
-columns of the input are not read.
+row with the largest doc_id stays (a null doc_id is less than any); of rows that share this
+doc_id `exact_dedup` says kept for all and `keep_first_copies` keeps one; no rows give no
+rows. Only `doc_id` (an integer) and `text` are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillwater.llm.common import ascii_lower, only, written
+from stillwater.llm.common import ascii_lower, join_hot, stay, written
+
+KEY_BITS = 60
+PRINT = ["digest", "check", "nbytes"]
+
+
+def fingerprint(norm: Column) -> dict[str, Column]:
+    return {"digest": F.unhex(F.sha2(norm.cast("binary"), 256)), "check": F.xxhash64(norm), "nbytes": F.octet_length(norm)}
 
-BITS = 16
 
+def normalised(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
 
-def index_entries(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, check, nbytes of each row, in the shared folder."""
-    rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-    return rows.select("doc_id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), F.xxhash64("norm").alias("check"), F.octet_length("norm").alias("nbytes"))
 
+def key_of(digest: str = "digest") -> Column:
+    return F.conv(F.substring(F.hex(digest), 1, KEY_BITS // 4), 16, 10).cast("long")
 
-def prefix(digest: str = "digest"):
-    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("int")
 
+def slot_of(depth: int) -> Column:
+    return F.shiftright(key_of(), KEY_BITS - depth)
 
-def directory(keys: DataFrame, capacity: int) -> DataFrame:
-    """slot, bucket, depth: at most 2^16 slots, from the number of distinct digests under each.
 
-    A slot's bucket has the least depth at which the bucket is not overfull, or 16. There are 2^17 buckets of all
-    depths at most, so these are broadcast.
+def directory(entries: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """slot, bucket (its least key), depth of the bucket; and the depth of the directory, which has 2^depth slots.
+
+    entries: one row each, with a digest. A slot without an entry is not listed.
     """
-    slots = keys.groupBy(prefix().alias("slot")).agg(F.count_distinct("digest").alias("n"))
-    deep = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("depth"))
-    deep = deep.withColumn("head", F.floor(F.col("slot") / F.pow(F.lit(2.0), F.lit(BITS) - F.col("depth"))).cast("int"))
-    fits = deep.groupBy("depth", "head").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == BITS))
-    at = deep.join(F.broadcast(fits), ["depth", "head"]).groupBy("slot").agg(F.min(F.struct("depth", "head")).alias("b"))
-    low = F.col("b.head") * F.pow(F.lit(2.0), F.lit(BITS) - F.col("b.depth"))
-    return at.select("slot", low.cast("int").alias("bucket"), F.col("b.depth").alias("depth"))
-
-
-def exact_groups(docs: DataFrame, capacity: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """The index entries of all rows, and one row per distinct text: digest, check, nbytes, keep_id, group_size, bucket, depth."""
-    entries = index_entries(docs)
-    keys = written(entries.drop("norm"), "index")
-    slots = F.broadcast(written(directory(keys, capacity), "directory"))  # 2^16 rows at most
-    held = entries.withColumn("slot", prefix()).join(slots, "slot")
-    chains = held.groupBy("bucket", "digest", "norm").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("check").alias("check"), F.first("nbytes").alias("nbytes"), F.first("depth").alias("depth")
-    )
-    return keys, chains.drop("norm")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 20_000, hot: int = 10_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket, depth: one row per row of docs.
-
-    Groups of more than `hot` copies could fill one task when rows meet their group, so these
-    are broadcast while they are few; the other groups are at most `hot` rows a key.
+    depth = max(0, math.ceil(math.log2(max(1, entries.count()) / capacity)) + 1)
+    while True:
+        slots = written(entries.groupBy(slot_of(depth).alias("slot")).count(), "slots")
+        if depth == KEY_BITS or slots.where(F.col("count") > capacity).isEmpty():
+            break
+        depth = min(KEY_BITS, depth + 2)
+    # Every slot has a bucket at each depth up to the directory's; the shallowest that is not overfull is its own.
+    deep = slots.select("slot", "count", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("at"))
+    deep = deep.withColumn("head", F.expr(f"shiftright(slot, {depth} - at)"))
+    fits = deep.groupBy("at", "head").agg(F.sum("count").alias("held")).where((F.col("held") <= capacity) | (F.col("at") == depth))
+    own = deep.join(fits, ["at", "head"]).groupBy("slot").agg(F.min(F.struct("at", "head")).alias("b"))
+    return own.select("slot", F.expr(f"shiftleft(b.head, {KEY_BITS} - b.at)").alias("bucket"), F.col("b.at").alias("depth")), depth
+
+
+def index(docs: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of each row (doc_id, sig, PRINT), and the index: bucket, depth, PRINT, copies, in files by ranges of buckets."""
+    rows = normalised(docs)
+    prints = written(rows.withColumns(fingerprint(F.col("norm"))).drop("norm"), "prints")
+    entries = written(prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("copies")), "entries")
+    slots, depth = directory(entries, capacity)
+    placed = entries.withColumn("slot", slot_of(depth)).join(slots, "slot").drop("slot")
+    return prints, written(placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "digest"), "index")
+
+
+def chains(docs: DataFrame, entries: DataFrame, most_broadcast: int) -> DataFrame:
+    """The links of the entries that occur more than once: bucket, depth, PRINT, link (place in the chain), twins (links of
+    this fingerprint), bytes (the text where there are twins), keep (doc_id, sig), group_size."""
+    again = entries.where("copies > 1")
+    rows = normalised(docs).withColumn("check", fingerprint(F.col("norm"))["check"])
+    if again.count() <= most_broadcast:  # beyond that all distinct texts travel, and the join below leaves out the others
+        rows = rows.join(F.broadcast(again.select("check").distinct()), "check", "left_semi")
+    texts = rows.groupBy("norm").agg(F.max(F.struct("doc_id", "sig")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    owned = texts.withColumns(fingerprint(F.col("norm"))).join(again.select("bucket", "depth", *PRINT), PRINT).repartitionByRange("bucket")
+    chain, same = Window.partitionBy("bucket", "digest").orderBy("norm"), Window.partitionBy("bucket", *PRINT)
+    owned = owned.withColumns({"link": F.row_number().over(chain), "twins": F.count(F.lit(1)).over(same)})
+    return written(owned.withColumn("bytes", F.when(F.col("twins") > 1, F.col("norm"))).drop("norm"), "chains")
+
+
+def grouped(docs: DataFrame, capacity: int, most_broadcast: int) -> DataFrame:
+    """doc_id, sig, digest, bucket, keep, group_size: one row per row of docs."""
+    prints, entries = index(docs, capacity)
+    links = chains(docs, entries, most_broadcast)
+    total = prints.count()
+    # A single entry is its own group; a hot group's rows meet their link by broadcast.
+    single = entries.where("copies = 1").select(*PRINT, "bucket", F.lit(None).cast(links.schema["keep"].dataType).alias("keep"), F.lit(1).cast("long").alias("group_size"))
+    plain = links.where("twins = 1").select(*PRINT, "bucket", "keep", "group_size")
+    hot = links.where(F.col("twins") == 1).where(F.col("group_size") * 1000 >= total)  # a thousand at most
+    out = join_hot(prints, single.unionByName(plain), hot, PRINT)
+    twins = links.where("twins > 1")
+    if not twins.isEmpty():
+        texts = normalised(docs).withColumns(fingerprint(F.col("norm")))
+        more = texts.join(twins.select(*PRINT, F.col("bytes").alias("norm"), "bucket", "keep", "group_size"), [*PRINT, "norm"]).drop("norm")
+        out = out.unionByName(more.select(*out.columns))
+    own = F.struct("doc_id", "sig")
+    return out.select("doc_id", "sig", "digest", "bucket", F.coalesce("keep", own).alias("keep"), "group_size")
+
+
+def exact_dedup(docs: DataFrame, capacity: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, bucket: one row per row of docs.
+
+    capacity: entries of a bucket; most_broadcast: fingerprints (8 bytes each) that are broadcast to find the texts to compare.
     """
-    keys, chains = exact_groups(docs, capacity)
-    chains = written(chains, "chains")
-    on = ["digest", "check", "nbytes"]
-    large, small = chains.where(F.col("group_size") > hot), chains.where(F.col("group_size") <= hot)
-    if 0 < large.count() <= 100_000:
-        first = keys.join(F.broadcast(large), on, "left")
-        rest = first.where("group_size IS NULL").select(*keys.columns)
-        both = first.where("group_size IS NOT NULL").unionByName(rest.join(small, on))
-    else:
-        both = keys.join(chains, on)
-    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return both.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "depth")
-
-
-def keep_first_copies(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
-    """docs without the rows that exact_dedup drops."""
-    stay = exact_dedup(docs, capacity).where("kept").select("doc_id").distinct()
-    return only(docs, stay)
+    rows = grouped(docs, capacity, most_broadcast)
+    return rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "bucket")
+
+
+def keep_first_copies(docs: DataFrame, capacity: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs with one row of each group: of the largest doc_id, then of the greatest hash of the text as it is."""
+    rows = written(grouped(docs, capacity, most_broadcast), "groups")
+    keys = rows.where(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("sig") == F.col("keep.sig")))
+    return stay(docs, keys.groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("times")), F.xxhash64("text"))

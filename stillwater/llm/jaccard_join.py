@@ -152,37 +152,44 @@ def splits_of(keys: np.ndarray, list_sets: int) -> np.ndarray:
     return (np.exp2((keys >> tb.U(56)).astype(float) / 8) // list_sets + 1).astype(tb.U)
 
 
-def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
-    return ((tb.mix(keys) >> tb.U(32)) * tb.U(owners) >> tb.U(32)).astype(np.int64)
+def owner_of(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's owner, and 32 bits that stand for it there; two keys of an owner with one number only cost comparisons."""
+    h = tb.mix(keys)
+    return ((h >> tb.U(32)) * tb.U(owners) >> tb.U(32)).astype(np.int64), h.astype(np.uint32)
 
 
-def by_owner(keys: np.ndarray, owner: np.ndarray, who: np.ndarray, *about: np.ndarray) -> pa.RecordBatch:
-    """One payload an owner: sorted keys, the place of each in `about`, and those rows of `about` that it needs."""
-    order = np.lexsort((keys, owner))
-    keys, who, owner = keys[order], who[order], owner[order]
+def by_owner(owner: np.ndarray, number: np.ndarray, who: np.ndarray, about: tuple, beside: tuple = ()) -> pa.RecordBatch:
+    """One payload an owner: sorted numbers, the place of each in `about`, those rows of `about` that it needs, and what
+    lies `beside` each number."""
+    order = np.lexsort((number, owner))
+    number, who, owner, beside = number[order], who[order], owner[order], [x[order] for x in beside]
     kinds, at = np.unique(owner, return_index=True)
     out = []
     for a, b in zip(at, [*at[1:], len(owner)], strict=True):
         used, local = np.unique(who[a:b], return_inverse=True)
-        out.append(pressed(rising(keys[a:b]), local.astype(np.int32), *[x[used] for x in about]))
+        out.append(pressed(rising(number[a:b]), local.astype(np.int32), *[x[used] for x in about], *[x[a:b] for x in beside]))
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(out, pa.binary())], names=["owner", "payload"])
 
 
-def gathered(table: pa.Table, n_about: int) -> list[np.ndarray]:
-    """An owner's keys and, beside each, the columns of what sent it."""
-    got = [opened(b, tb.U, np.int32, *[np.int64] * n_about) for b in table.column("payload").to_pylist()]
-    return [np.concatenate([np.cumsum(g[0], dtype=tb.U) for g in got]), *[np.concatenate([g[2 + i][g[1]] for g in got]) for i in range(n_about)]]
+def gathered(table: pa.Table, n_about: int, *beside: type) -> list[np.ndarray]:
+    """An owner's numbers and, in the same order, the columns of `about` and of `beside`."""
+    got = [opened(b, np.uint32, np.int32, *[np.int64] * n_about, *beside) for b in table.column("payload").to_pylist()]
+    numbers = np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got])
+    return [numbers, *[np.concatenate([g[2 + i][g[1]] for g in got]) for i in range(n_about)], *[np.concatenate([g[2 + n_about + i] for g in got]) for i in range(len(beside))]]
 
 
 # 1: which sets share keys ----------------------------------------------
 
 
-def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, list_sets: int, most: int = 1_000_000):
+def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, list_sets: int, most: int = 2_000_000):
     def flush(rows: list) -> pa.RecordBatch:
         nodes, keys = np.array([r[0] for r in rows], np.int64), np.concatenate([r[1] for r in rows])
         who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
-        salt = tb.mix(nodes.view(tb.U))[who] % splits_of(keys, list_sets)
-        return by_owner(keys, owner_of(keys + salt * tb.MULTS[10], owners), who, nodes)
+        splits = splits_of(keys, list_sets)
+        home, number = owner_of(keys, owners)
+        # The first part of a key's sets stays with the key's own owner, the others go to owners beside it.
+        owner = (home + (tb.mix(nodes.view(tb.U))[who] % splits).astype(np.int64)) % owners
+        return by_owner(owner, number, who, (nodes,), (home, splits.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, seen = [], 0, set()
@@ -204,20 +211,20 @@ def send_prefixes(k: int, seed: int, ranks, owners: int, num: int, den: int, lis
     return run
 
 
-def shared_keys(list_sets: int):
+def shared_keys():
     """node, size and key of each node's most shared key at an owner, and in how many shared keys it is."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, node = gathered(table, 1)
+        number, node, home, splits = gathered(table, 1, np.int64, np.int32)
+        keys = (home.astype(tb.U) << tb.U(32)) | number
         # One entry per key and node: equal texts of several tasks come several times.
         order = np.lexsort((node, keys))
-        keys, node = keys[order], node[order]
+        keys, node, splits = keys[order], node[order], splits[order]
         new = np.append(True, (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]))[: len(keys)]
-        keys, node = keys[new], node[new]
-        _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
-        splits = splits_of(keys, list_sets).astype(np.int64)
-        keep = (count[number] > 1) | (splits > 1)  # the others of a split key may be elsewhere
-        keys, node, size = keys[keep], node[keep], (count[number] * splits)[keep]
+        keys, node, splits = keys[new], node[new], splits[new]
+        _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+        keep = (count[place] > 1) | (splits > 1)  # the others of a split key may be elsewhere
+        keys, node, size = keys[keep], node[keep], (count[place] * splits)[keep]
         order = np.lexsort((keys, -size, node))
         at = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1])[: len(order)])
         first, held = order[at], np.diff(np.append(at, len(order)))
@@ -226,14 +233,29 @@ def shared_keys(list_sets: int):
     return run
 
 
-def row_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """`bits` bits, those of rows' `row` set."""
-    at = F.pmod(F.col("row"), F.lit(bits)) + 1
+def bitmap_of(rows: DataFrame, column: str, n: int) -> tuple:
+    """A bitmap with the bits of a column of hashes set, broadcast, and its number of bits: about 16 a row, 32 MB at most;
+    a fuller one lets more rows through."""
+    bits = min(max(1 << (n * 16).bit_length(), 1 << 15), 1 << 28)
+    at = F.pmod(F.col(column), F.lit(bits)) + 1
     parts = rows.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in parts:
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
-    return out
+    return rows.sparkSession.sparkContext.broadcast(out), bits
+
+
+def in_bitmap(batch: pa.RecordBatch, column: str, bitmap, bits: int) -> pa.RecordBatch:
+    at = batch.column(column).to_numpy() % bits
+    return batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+
+def filtered(column: str, bitmap, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield in_bitmap(batch, column, bitmap, bits)
+
+    return run
 
 
 def sets_of(k: int, seed: int, ranks, bitmap, bits: int):
@@ -242,8 +264,7 @@ def sets_of(k: int, seed: int, ranks, bitmap, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            at = batch.column("row").to_numpy() % bits
-            for part in tb.slices(iter([batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7) & 1).astype(bool)))])):
+            for part in tb.slices(iter([in_bitmap(batch, "row", bitmap, bits)])):
                 rows = []
                 for s in shingle_sets(part, k, seed):
                     if len(s) and (node := digest(s)[0]) not in seen:
@@ -396,7 +417,7 @@ def send_blocks(owners: int, most: int = 1_000_000):
         order = np.lexsort((who, key))
         key, who = key[order], who[order]
         new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))[: len(key)]
-        return by_owner(key[new], owner_of(key[new], owners), who[new], np.ascontiguousarray(kinds[:, 0]), np.ascontiguousarray(kinds[:, 1]))
+        return by_owner(*owner_of(key[new], owners), who[new], (np.ascontiguousarray(kinds[:, 0]), np.ascontiguousarray(kinds[:, 1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, block, root, held = [], [], [], 0
@@ -503,7 +524,7 @@ def joined(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys:
     owners = -(-int(stats.keys or 0) // owner_keys) or 1
 
     sent = texts.select("text").mapInArrow(send_prefixes(k, seed, ranks, owners, num, den, list_sets), "owner long, payload binary")
-    held = sent.groupBy("owner").applyInArrow(shared_keys(list_sets), "node long, size long, key long, held long")
+    held = sent.groupBy("owner").applyInArrow(shared_keys(), "node long, size long, key long, held long")
     best = held.groupBy("node").agg(F.max(F.struct("size", "key")).alias("m"), F.sum("held").alias("held")).join(nodes.select("node", "n", "first"), "node")
     best = best.where(F.col("held") >= least_shared(F.col("n"), num, den))
     parts = F.ceil(F.col("m.size") / F.lit(block))
@@ -511,10 +532,11 @@ def joined(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys:
     best = written(best.withColumn("block", F.xxhash64("key", "part")), "blocks")
 
     active = best.agg(F.count(F.lit(1)), F.max("parts"), F.sum(prefix_length_column(F.col("n"), num, den))).first()
-    bits = min(max(1 << (int(active[0]) * 16).bit_length(), 1 << 15), 1 << 28)  # 32 MB at most; fuller bits let more rows through
-    bitmap = spark.sparkContext.broadcast(row_bitmap(best, bits))
+    bitmap, bits = bitmap_of(best, "row", int(active[0]))
     rows = texts.select(F.xxhash64("doc_id", "sig").alias("row"), "text")
-    found = rows.mapInArrow(sets_of(k, seed, ranks, bitmap, bits), "node long, keys binary").join(best.select("node", "block", "key", "part", "parts", "n"), "node")
+    # Sets are large and nodes have no bound, so these joins shuffle at every size.
+    found = rows.mapInArrow(sets_of(k, seed, ranks, bitmap, bits), "node long, keys binary")
+    found = found.join(best.select("node", "block", "key", "part", "parts", "n").hint("merge"), "node")
     found = written(found, "keys")
 
     level = written(found.select("block", "node", "key", "part", "parts", "keys").groupBy("block").applyInArrow(within(num, den, False), LEVEL), "level")
@@ -538,7 +560,7 @@ def joined(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys:
     dealt = written(dealt.select("node", "n", "root", F.when(F.col("members") * 2 > block, own).otherwise(F.col("mixed")).alias("block")), "dealt")
     prefix = found.select("node", F.substring("keys", F.lit(1), (8 * prefix_length_column(F.col("n"), num, den)).cast("int")).alias("prefix"))
     owners = -(-int(active[2] or 0) // owner_keys) or 1
-    sent = prefix.join(dealt, "node").select("prefix", "block", "root").mapInArrow(send_blocks(owners), "owner long, payload binary")
+    sent = prefix.join(dealt.drop("n").hint("merge"), "node").select("prefix", "block", "root").mapInArrow(send_blocks(owners), "owner long, payload binary")
     pairs = sent.groupBy("owner").applyInArrow(block_pairs, PAIRS).groupBy("ba", "bb").agg(F.sum("shared").alias("shared"))
     ends = dealt.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     for side in "ab":
@@ -546,9 +568,10 @@ def joined(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, owner_keys:
     enough = F.col("shared") >= least_shared(F.greatest("loa", "lob"), num, den)
     pairs = written(pairs.where(enough & (F.col("hia") * den >= F.col("lob") * num) & (F.col("hib") * den >= F.col("loa") * num)).select("ba", "bb"), "pairs")
     need = pairs.select("ba", "bb", F.explode(F.array("ba", "bb")).alias("block"))
-    used = dealt.join(need.select("block").distinct(), "block").select("node", "block", "root")
-    used = found.select("node", "keys").join(used, "node")
-    links = need.join(used, "block").groupBy("ba", "bb").applyInArrow(between(num, den), "u long, v long")
+    used = written(dealt.join(need.select("block").distinct(), "block").select("node", "block", "root"), "used")
+    bitmap, bits = bitmap_of(used, "node", used.count())
+    used = found.select("node", "keys").mapInArrow(filtered("node", bitmap, bits), "node long, keys binary").join(used.hint("merge"), "node")
+    links = need.join(used.hint("merge"), "block").groupBy("ba", "bb").applyInArrow(between(num, den), "u long, v long")
     names = rooted(names.select("local", "root"), connected(links))
 
     named = nodes.select("node", "first").join(local, "node").groupBy("local").agg(F.min("first").alias("first")).join(names, "local")

@@ -248,7 +248,7 @@ def lm_scores(docs: DataFrame, block_bytes: int = 12 << 20, owner_bytes: int = 1
     f = fold(F.col("doc_id"), 10)
     mixed = F.xxhash64("doc_id", F.octet_length("text"))
     block = F.when(f == 1, F.pmod(mixed, F.lit(tune_blocks))).otherwise(tune_blocks + F.pmod(mixed, F.lit(n_blocks)))
-    rows = docs.select("doc_id", f.alias("fold"), block.cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), f.alias("fold"), block.cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text"))
 
     def packed(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(pack_texts(), "block long, texts binary")
