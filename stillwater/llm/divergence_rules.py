@@ -6,13 +6,15 @@ language counts. Guards leave texts alone that are too short for a histogram. Te
 that the base rules fail are not kept either: fewer than 50 words, or more than half
 of the words in repeated 3-word windows.
 
-A language's reference counts all words of all rows of that `lang`: common words are
-the `common` largest of 2^16 hash cells, so the counts have one size for any corpus.
+Languages are the values of `lang`; a language's reference counts all words of all its
+rows, and needs `least_reference` words to be one. Common words are the `common` largest of
+2^16 hash cells, so the counts of a language have one size for any corpus. A task's counts
+are added in a tree, 64 at a time.
 
-Cases: a null or empty text has no words and fails; a null or other lang adds to no
+Cases: a null or empty text has no words and fails; a null lang adds to no
 reference and is judged by all; without any reference the base rules alone decide;
-repeated rows get equal results and count each; no rows give no rows. Only `doc_id`,
-`text` and `lang` are read.
+repeated rows get equal results and count each; no rows give no rows. Only `doc_id` (an
+integer), `text` and `lang` are read.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import textblocks as tb
+from stillwater.llm.common import tree_sum, written
 from stillwater.llm.payload import opened, pressed
 
-LANGUAGES = ("en", "fr", "de", "es")
 CLASSES = ("vowel", "consonant", "upper", "high", "digit", "space", "break", "stop", "bang", "symbol", "other")
 CELLS = 1 << 16
 _class = np.full(256, 10)
@@ -85,24 +88,23 @@ def base_counts(b: dict) -> dict[str, np.ndarray]:
     }
 
 
-def count_languages(languages: tuple[str, ...]):
-    """Each task's counts of classes and cells by language."""
+COUNTS = "lang string, part int, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {}
-        for part in tb.slices(batches):
-            b, langs = block(part), np.array(part.column("lang").to_pylist(), object)
-            classes = class_counts(b)
-            for lang in languages:
-                on = langs == lang
-                if on.any():
-                    c, w = total.setdefault(lang, (np.zeros(len(CLASSES), np.int64), np.zeros(CELLS, np.int64)))
-                    c += classes[on].sum(0)
-                    w += np.bincount(b["cell"][on[b["doc"]]], minlength=CELLS)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([pressed(c, w) for c, w in total.values()], pa.binary())], names=["lang", "counts"])
 
-    return run
+def count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's counts of classes and cells by language."""
+    total = {}
+    for part in tb.slices(batches):
+        b, langs = block(part), np.array(part.column("lang").to_pylist(), object)
+        classes = class_counts(b)
+        for lang in {x for x in langs if x is not None}:
+            on = langs == lang
+            c, w = total.setdefault(lang, (np.zeros(len(CLASSES), np.int64), np.zeros(CELLS, np.int64)))
+            c += classes[on].sum(0)
+            w += np.bincount(b["cell"][on[b["doc"]]], minlength=CELLS)
+    if total:
+        at = pa.array([TaskContext.get().partitionId()] * len(total), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), at, pa.array([pressed(c, w) for c, w in total.values()], pa.binary())], names=["lang", "part", "counts"])
 
 
 def add_counts(table: pa.Table) -> pa.Table:
@@ -110,21 +112,19 @@ def add_counts(table: pa.Table) -> pa.Table:
     for blob in table.column("counts").to_pylist():
         c, w = opened(blob, np.int64, np.int64)
         classes, cells = classes + c, cells + w
-    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([pressed(classes, cells)], pa.binary())})
+    return pa.table({"lang": table.column("lang").slice(0, 1), "part": table.column("part").slice(0, 1), "counts": pa.array([pressed(classes, cells)], pa.binary())})
 
 
-def references(docs: DataFrame, languages: tuple[str, ...], common: int) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each language: name, class shares, slot of each cell (`common`: none), shares of the slots."""
-    # One partial sum a task and language; sums of a few tasks are added before all meet.
-    rows = docs.select("text", "lang").mapInArrow(count_languages(languages), "lang string, counts binary")
-    rows = rows.groupBy("lang").applyInArrow(add_counts, "lang string, counts binary").collect()
+def references(docs: DataFrame, common: int, least_reference: int) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each language: name, class shares, slot of each cell (`common`: none), shares of the slots. One row a language."""
+    rows = written(docs.select("text", "lang").mapInArrow(count_languages, COUNTS), "counts")
     out = []
-    for r in sorted(rows, key=lambda r: r.lang):
+    for r in sorted(tree_sum(rows, "lang", add_counts, COUNTS).collect(), key=lambda r: r.lang):
         classes, cells = opened(r.counts, np.int64, np.int64)
-        if not cells.sum():
+        if cells.sum() < max(least_reference, 1):
             continue
         top = np.argsort(-cells, kind="stable")[:common]
-        slot = np.full(CELLS, common)
+        slot = np.full(CELLS, common, np.int16)
         slot[top] = np.arange(common)
         shares = np.append(cells[top], cells.sum() - cells[top].sum()) / cells.sum()
         out.append((r.lang, classes / classes.sum(), slot, shares))
@@ -159,9 +159,9 @@ SCHEMA = (
 )
 
 
-def divergence_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, common: int = 64, most_class: float = 0.3, most_word: float = 0.45, least_chars: int = 200, least_words: int = 60) -> DataFrame:
+def divergence_rules(docs: DataFrame, common: int = 64, most_class: float = 0.3, most_word: float = 0.45, least_chars: int = 200, least_words: int = 60, least_reference: int = 1000) -> DataFrame:
     """SCHEMA's columns, one row per document; the two distances are null where a guard holds or no reference is."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs, languages, common))
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs, common, least_reference))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tb.slices(batches):
@@ -180,4 +180,4 @@ def divergence_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, co
             cols = [part.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in base.values()], pa.array(failed), pa.array(kept), names, pa.array(c, from_pandas=True), pa.array(w, from_pandas=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -2,15 +2,15 @@
 
 Each line is labelled good or bad from features of itself and of the lines before and
 after it; forward-backward marginals of `good`, weighted by the lines' lengths, give
-the document's score. The model is fitted on a bounded sample (`most_docs` labelled rows,
-least hash of the id first, and of a sampled text `most_lines` adjacent lines from a
-seeded start); each of their lines bears the document's label. Scoring reads every line.
+the document's score. The model is fitted on a bounded sample of whole texts (`most_docs`
+labelled rows, least hash of the id first; a sampled text of more than `most_lines` lines is
+left out); each of their lines bears the document's label. Scoring reads every line.
 
 Cases: a null text counts as empty, and an empty text is one line of length 0 (weight 1);
 ties and repeated rows get equal scores; documents without a label or with a null label
 are not learned from; when one class or both lack labels the model is the prior of the
-labels (0.5 without any); no rows give no rows. Only `doc_id` and `text` are read,
-`quality` from the labels.
+labels (0.5 without any); no rows give no rows. Only `doc_id` (an integer) and
+`text` are read, `quality` from the labels.
 """
 
 from __future__ import annotations
@@ -144,33 +144,25 @@ def score_block(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return document_scores(good, size, doc, len(offs) - 1)
 
 
-def sample_lines(most_lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches):
-            x, size, doc = line_features(*tb.buffers(part.column("text")))
-            at = tb.groups(doc, part.num_rows)
-            ids = part.column("doc_id").to_pylist()
-            keep = []
-            for k in range(part.num_rows):
-                n = int(at[k + 1] - at[k])
-                lo = at[k] + (int(tb.mix(np.array([hash(ids[k])], np.int64).view(tb.U))[0] % tb.U(max(1, n - most_lines + 1))) if n > most_lines else 0)
-                keep.append((lo, min(lo + most_lines, at[k + 1])))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("good"), pa.array([x[a:b].tobytes() for a, b in keep], pa.binary())], names=["doc_id", "good", "x"]
-            )
-
-    return run
+def sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of all lines of each sampled text."""
+    for part in tb.slices(batches):
+        x, _, doc = line_features(*tb.buffers(part.column("text")))
+        at = tb.groups(doc, part.num_rows)
+        rows = [x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), pa.array(rows, pa.binary())], names=["doc_id", "good", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_lines: int = 60) -> dict:
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_lines: int = 200) -> dict:
     """The model from labelled rows outside fold 0 of 5."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     marked = marked.where(fold(F.col("doc_id"), 5) != 0)
     # Half of the sample from each label, as far as there are any.
     one = lambda k: marked.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs // 2)
     chosen = F.broadcast(one(0).unionByName(one(1)))  # most_docs rows at most
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(chosen, "doc_id").mapInArrow(sample_lines(most_lines), "doc_id long, good int, x binary").collect()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = text.join(chosen, "doc_id").where(F.regexp_count("text", F.lit("\n")) < most_lines)
+    rows = text.mapInArrow(sample_lines, "doc_id long, good int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     share = marked.agg(F.avg("good")).first()[0]
     if len({r.good for r in rows}) < 2:
@@ -196,7 +188,7 @@ def scored(model, threshold: float):
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_docs: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_docs))
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return rows.mapInArrow(scored(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -51,16 +51,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_url_filter, whose SQL knows six hosts; here their names are blocked under any domain."""
-    return url_filter.url_filter(table(spark, sf_dir, "pages"), blocked_labels=url_filter.BLOCKED_LABELS)
+    """The method's own list with each label also given as a host: the same verdicts."""
+    bare = spark.createDataFrame([(b,) for b in url_filter.BLOCKED_LABELS], "host string")
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), blocked_hosts=bare)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_crf, op3_lm_interpolation, op4_mix_sources, op5_toxicity,
-        op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_url_filter,
-        op10_url_filter_labels,
+        op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_url_filter, op10_url_filter_labels,
     )
 }
 
@@ -69,15 +69,23 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _license_sql() -> str:
-    out = f"translate(coalesce(text, ''), {_AZ})"
-    out = rf"regexp_replace({out}, '(?:^|\n)[ \t*#/]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
-    out = rf"' ' || regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g') || ' '"
-    for other, usual in license_scan.SPELLINGS:
-        out = f"replace({out}, ' {other} ', ' {usual} ')"
-    known = dict(sorted((line.split("\t")[::-1] for line in (license_scan.FOLDER / "digests.tsv").read_text().splitlines()), reverse=True))
+    ls = license_scan
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    notice = " OR ".join(f"regexp_matches(p, {quoted(n)})" for n in ls.NOTICE)
+    table = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in ls.SPELLINGS) + "}"
+    known = dict(sorted((line.split("\t")[::-1] for line in (ls.FOLDER / "digests.tsv").read_text().splitlines()), reverse=True))
     rows = ", ".join(f"('{d}', '{k}')" for d, k in known.items())
+    two = "w"
+    for first in ("non", "sub"):
+        for second in ("commercial", "license", "licenses", "licensed"):
+            two = f"replace({two}, ' {first}  {second} ', ' {first}{second} ')"
     return f"""
-WITH c AS (SELECT doc_id, trim({out}) AS c FROM documents), d AS (SELECT doc_id, CAST(length(c) AS INTEGER) AS n_chars, sha256(c) AS digest FROM c)
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
+own AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(t, {quoted(ls.BETWEEN)}), lambda p: NOT ({notice})), ' ') AS t FROM low),
+words AS (SELECT doc_id, list_filter(string_split_regex(t, '{ls.OTHER}'), lambda w: w <> '') AS ws FROM own),
+usual AS (SELECT doc_id, ' ' || array_to_string(list_transform(ws, lambda w: coalesce({table}[w], w)), '  ') || ' ' AS w FROM words),
+c AS (SELECT doc_id, trim(regexp_replace({two}, ' +', ' ', 'g')) AS c FROM usual),
+d AS (SELECT doc_id, CAST(length(c) AS INTEGER) AS n_chars, sha256(c) AS digest FROM c)
 SELECT doc_id, n_chars, d.digest, licence FROM d LEFT JOIN (VALUES {rows}) AS k(digest, licence) ON d.digest = k.digest"""
 
 
@@ -93,52 +101,48 @@ caps AS (
          CAST(coalesce(sum(cap) OVER r, 0) AS BIGINT) AS spent, CAST(sum(w) OVER () - coalesce(sum(w) OVER r, 0) AS BIGINT) AS rest
   FROM ranked WINDOW r AS (ORDER BY CAST(cap AS DOUBLE) / w, CASE WHEN sk = '' THEN 1 ELSE 0 END, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, CAST(total - spent AS DOUBLE) / CAST(rest AS DOUBLE) AS level FROM caps),
-targets AS (
-  SELECT sk, source_size, coalesce(least(CAST(cap AS DOUBLE), max(level) OVER () * CAST(w AS DOUBLE)), 0e0) AS target FROM levels),
-s0 AS (SELECT *, CAST(round(sum(target) OVER () / 64) AS BIGINT) AS all_seats, sum(target) OVER () AS votes FROM targets),
-s1 AS (SELECT *, CASE WHEN votes > 0 THEN CAST(floor(CAST(all_seats AS DOUBLE) * target / votes + 0.5e0) AS BIGINT) ELSE 0 END AS base FROM s0),
-s2 AS (SELECT *, CASE WHEN votes > 0 THEN all_seats - CAST(sum(base) OVER () AS BIGINT) ELSE 0 END AS missing,
-              row_number() OVER (ORDER BY target / (2e0 * base + 1e0) DESC, sk) AS up,
-              row_number() OVER (ORDER BY CASE WHEN base > 0 THEN target / (2e0 * base - 1e0) END ASC NULLS LAST, sk DESC) AS down FROM s1),
-seats AS (SELECT sk, source_size, target, base + CASE WHEN up <= missing THEN 1 WHEN down <= -missing THEN -1 ELSE 0 END AS seats FROM s2),
+targets AS (SELECT sk, source_size, coalesce(least(CAST(cap AS DOUBLE), max(level) OVER () * CAST(w AS DOUBLE)), 0e0) AS target FROM levels),
+all_seats AS (SELECT CAST(round(sum(target) / 64) AS BIGINT) AS n FROM targets),
+quotients AS (SELECT sk, row_number() OVER (ORDER BY target / (2e0 * k + 1e0) DESC, sk) AS place FROM targets, all_seats, range(n) AS r(k) WHERE target > 0),
+seats AS (
+  SELECT t.sk, t.source_size, t.target, count(q.place) AS seats
+  FROM targets t LEFT JOIN (SELECT sk, place FROM quotients, all_seats WHERE place <= n) q ON q.sk = t.sk GROUP BY ALL),
 docs AS (
   SELECT d.*, t.source_size, t.target, t.seats,
-         CAST('0x' || substr(rank, 1, 8) AS BIGINT) % greatest(1, CAST(ceil(t.source_size / 2000000e0) AS BIGINT)) AS shard
+         CAST('0x' || substr(rank, 1, 15) AS BIGINT) % greatest(1, CAST(ceil(t.source_size / 2000000e0) AS BIGINT)) AS shard
   FROM sizes d JOIN seats t USING (sk)),
-q0 AS (SELECT sk, shard, CAST(sum(size) AS BIGINT) AS words, min(seats) AS seats FROM docs GROUP BY sk, shard),
-q1 AS (SELECT *, CAST(sum(words) OVER (PARTITION BY sk) AS DOUBLE) AS votes FROM q0),
-q2 AS (SELECT *, CASE WHEN votes > 0 THEN CAST(floor(CAST(seats AS DOUBLE) * CAST(words AS DOUBLE) / votes + 0.5e0) AS BIGINT) ELSE 0 END AS base FROM q1),
-q3 AS (SELECT *, CASE WHEN votes > 0 THEN seats - CAST(sum(base) OVER (PARTITION BY sk) AS BIGINT) ELSE 0 END AS missing,
-              row_number() OVER (PARTITION BY sk ORDER BY words / (2e0 * base + 1e0) DESC, shard) AS up,
-              row_number() OVER (PARTITION BY sk ORDER BY CASE WHEN base > 0 THEN words / (2e0 * base - 1e0) END ASC NULLS LAST, shard DESC) AS down FROM q2),
-q4 AS (SELECT sk, shard, base + CASE WHEN up <= missing THEN 1 WHEN down <= -missing THEN -1 ELSE 0 END AS quota, CAST(ceil(words / 64e0) AS BIGINT) AS blocks FROM q3),
-q5 AS (SELECT *, CASE WHEN blocks > 0 THEN least(CAST(floor(CAST(quota AS DOUBLE) / blocks) AS BIGINT), 3) ELSE 0 END AS rounds FROM q4),
-q6 AS (SELECT *, CASE WHEN blocks > 0 AND rounds < 3 THEN quota - rounds * blocks ELSE 0 END AS extra,
-              CAST('0x' || substr(md5('12:' || sk || ':' || CAST(shard AS VARCHAR)), 1, 8) AS BIGINT) % greatest(blocks, 1) * 64 AS start FROM q5),
+shards AS (SELECT sk, shard, CAST(sum(size) AS BIGINT) AS words, min(seats) AS seats, CAST(ceil(sum(size) / 64e0) AS BIGINT) AS blocks FROM docs GROUP BY sk, shard),
+shard_quotients AS (SELECT sk, shard, seats, row_number() OVER (PARTITION BY sk ORDER BY words / (2e0 * k + 1e0) DESC, shard) AS place FROM shards, unnest(range(seats)) AS r(k) WHERE words > 0),
+quota AS (
+  SELECT s.sk, s.shard, s.blocks, s.words, count(q.place) * 64 AS due
+  FROM shards s LEFT JOIN (SELECT * FROM shard_quotients WHERE place <= seats) q ON q.sk = s.sk AND q.shard = s.shard GROUP BY ALL),
+draws AS (
+  SELECT sk, shard, blocks, CASE WHEN words > 0 THEN least(due // words, 3) ELSE 0 END AS rounds,
+         CASE WHEN words > 0 AND due // words < 3 THEN (2 * (due - due // words * words) + 64) // 128 ELSE 0 END AS extra FROM quota),
+lots AS (SELECT sk, shard, extra, b, row_number() OVER (PARTITION BY sk, shard ORDER BY substr(md5('12:' || sk || ':' || shard || ':' || b), 1, 15), b) AS place FROM draws, unnest(range(blocks)) AS r(b)),
+drawn AS (SELECT sk, shard, b FROM lots WHERE place <= extra),
 placed AS (
-  SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY sk, shard ORDER BY rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM docs d)
-SELECT doc_id, size, source_size, target,
-       CAST(rounds * size
-         + greatest(0, least(lo + size, least(start + extra * 64, blocks * 64)) - greatest(lo, start))
-         + greatest(0, least(lo + size, greatest(0, start + extra * 64 - blocks * 64)) - greatest(lo, 0)) AS BIGINT) AS taken
-FROM placed JOIN q6 USING (sk, shard)"""
+  SELECT row_number() OVER () AS row, d.*, CAST(coalesce(sum(size) OVER (PARTITION BY sk, shard ORDER BY rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM docs d),
+part AS (
+  SELECT row, sum(least(lo + size, b * 64 + 64) - greatest(lo, b * 64)) AS words
+  FROM placed JOIN drawn USING (sk, shard) WHERE b * 64 < lo + size AND b * 64 + 64 > lo GROUP BY row)
+SELECT doc_id, size, source_size, target, CAST(rounds * size + coalesce(words, 0) AS BIGINT) AS taken
+FROM placed JOIN draws USING (sk, shard) LEFT JOIN part USING (row)"""
 
 _DEDUP_SQL = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY t)"""
 
-_BLOCKED = ", ".join(f"('{h}')" for h in url_filter.BLOCKED_HOSTS)
+_BLOCKED = ", ".join(f"'{b}'" for b in url_filter.BLOCKED_LABELS)
 _RULES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{a}')" for r, a in url_filter.RULES)
 _URL_SQL = rf"""
 WITH w AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(u, '^([^/?#]*)', 1), {_AZ}) AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM w),
 rules(rule, rhost, rpath, action) AS (VALUES {_RULES}),
 hits AS (SELECT page_id, host, path, rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS k
-         FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
-bad(b) AS (VALUES {_BLOCKED})
-SELECT page_id, host, path, rule,
-       coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE host = b OR ends_with(host, '.' || b)) THEN 'block' ELSE 'allow' END) AS verdict
+         FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN list_has_any(string_split(host, '.'), [{_BLOCKED}]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM hits WHERE k = 1"""
 
-ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL}
+ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL}

@@ -1,126 +1,183 @@
 """URL filter: rules in a sorted array of 64-bit digests, probed by binary search.
 
 A rule is `host/path`: it fits its host and all subdomains when the url's path starts
-with `/path`; the longest fitting rule decides. The index is one file of sorted xxhash64
-keys, memory-mapped by every task, beside the rules' full strings; a probe hashes each
-host suffix with each path prefix of a length that a rule has, searches all keys of a
-batch at once, and confirms the stored string. Where no rule fits, the method's own
-list of blocked hosts (an index of the same form) decides; without a hit: allow.
-Blocked labels, if given, are kept in that index as `label./` and block any host that
-has such a label, whatever its domain.
+with `/path`; the longest fitting rule decides. The index of a table of rules is a file of
+sorted xxhash64 keys beside the rules' full strings and actions, all memory-mapped by every
+task. A url's probes are each host suffix with each path prefix of a length that a rule has;
+a task searches the keys of a batch at once and confirms the stored string. Where no rule
+fits, the method's own index of blocked hosts and host labels decides: a label, kept as
+`label./`, blocks every host that has it, whatever its domain; without a hit: allow.
+
+The keys are sorted by Spark and stream through the driver into files of the shared folder,
+from where `SparkContext.addFile` gives each executor a copy to map.
 
 Cases: a null url or one without `://` has host and path ''; repeated rows and ties give
 equal verdicts; a rule given twice keeps its first action; no rows give no rows.
-Only `page_id` and `url` are read. The rule list is spread with SparkContext.addFile.
+Only `page_id` (an integer) and `url` are read.
 """
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyarrow import fs
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stillwater.llm.common import LOWER, UPPER, shared_dir
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Hosts (with all subdomains) that the method itself blocks.
-BLOCKED_HOSTS = ("ads-track.example.com", "free-bets.example.net", "cheap-pills.example.net", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com")
-#: The labels of those hosts that name what they are, under any domain.
-BLOCKED_LABELS = tuple(h.partition(".")[0] for h in BLOCKED_HOSTS)
+#: Labels of hosts that the method itself blocks, under any domain.
+BLOCKED_LABELS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
+FILES = ("keys", "ends", "strings", "actions")
 
 
 class DigestIndex:
-    """Sorted keys in a mapped file; strings and actions in the same order."""
+    """Sorted keys, where each key's string ends, the strings and actions (1: block) in the same order; all are mapped."""
 
     def __init__(self, folder: str, name: str):
-        self.keys = np.load(f"{folder}/{name}.keys.npy", mmap_mode="r")
-        with open(f"{folder}/{name}.rules", encoding="utf-8") as f:
-            self.rules = [tuple(line.split("\t")) for line in f.read().split("\n")[:-1]]
-        self.lengths = sorted({len(r) - r.index("/") for r, _ in self.rules})
-
-    def find(self, probes: list[str]) -> list[int]:
-        """Position of each probe among the rules, or -1; equal keys are walked and compared as strings."""
-        if not len(self.keys) or not probes:
-            return [-1] * len(probes)
-        keys = np.fromiter((xxhash.xxh64_intdigest(p) for p in probes), np.uint64, len(probes))
+        kinds = (np.uint64, np.int64, np.uint8, np.uint8)
+        self.keys, self.ends, self.strings, self.actions = (
+            np.memmap(f"{folder}/{name}.{f}", k, "r") if (size := self.size(f"{folder}/{name}.{f}")) else np.zeros(size, k) for f, k in zip(FILES, kinds, strict=True)
+        )
+
+    @staticmethod
+    def size(path: str) -> int:
+        with open(path, "rb") as f:
+            return f.seek(0, 2)
+
+    def string(self, k: int) -> bytes:
+        return self.strings[self.ends[k] : self.ends[k + 1]].tobytes()
+
+    def find(self, keys: np.ndarray, probes: list[str]) -> np.ndarray:
+        """Position of each probe in the index, or -1; equal keys are walked and compared as strings."""
+        out = np.full(len(probes), -1)
+        if not len(self.keys) or not len(keys):
+            return out
         at = np.searchsorted(self.keys, keys)
-        out = [-1] * len(probes)
         for i in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == keys):
-            k = int(at[i])
+            k, probe = int(at[i]), probes[i].encode()
             while k < len(self.keys) and self.keys[k] == keys[i]:
-                if self.rules[k][0] == probes[i]:
+                if self.string(k) == probe:
                     out[i] = k
                     break
                 k += 1
         return out
 
 
-def write_index(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> str:
-    """Writes the index on the driver and hands its two files to every executor; returns its name."""
-    first: dict[str, str] = {}
-    for rule, action in rules:
-        if "/" not in rule or re.search(r"[\t\n]", rule) or action not in ("allow", "block"):
-            raise ValueError(f"not a rule: {rule!r} {action!r}")
-        host, _, path = rule.partition("/")
-        first.setdefault(f"{host.lower()}/{path}", action)
-    ordered = sorted(first, key=lambda r: (xxhash.xxh64_intdigest(r), r))
-    name, folder = f"rules-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="stillwater-")
-    np.save(f"{folder}/{name}.keys.npy", np.array([xxhash.xxh64_intdigest(r) for r in ordered], np.uint64))
-    with open(f"{folder}/{name}.rules", "w", encoding="utf-8") as f:
-        f.writelines(f"{r}\t{first[r]}\n" for r in ordered)
-    for kind in ("keys.npy", "rules"):
-        spark.sparkContext.addFile(f"{folder}/{name}.{kind}")
-    return name
-
-
-def probes_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every host suffix with every path prefix of a rule's length, longest first."""
-    parts = host.split(".")
-    ends = [".".join(parts[i:]) for i in range(len(parts))]
-    out = [h + path[:n] for h in ends for n in lengths if len(path) >= n]
-    return sorted(out, key=len, reverse=True)
-
-
-def labels_of(host: str) -> list[str]:
-    """Every label of a host, as a blocked label is written in the index."""
-    return [f"{p}./" for p in host.split(".")]
+def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    return spark.createDataFrame([(r, a, i) for i, (r, a) in enumerate(rules)], "rule string, action string, place long")
+
+
+def write_index(rules: DataFrame) -> tuple[str, list[int]]:
+    """The index of a table rule, action, place: its name, and the lengths of the rules' paths."""
+    spark = rules.sparkSession
+    wrong = rules.where(~F.coalesce(F.col("rule").contains("/") & F.col("action").isin("allow", "block"), F.lit(False))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"not a rule: {wrong[0]}")
+    host, path = F.substring_index("rule", "/", 1), F.expr("substring(rule, instr(rule, '/'))")
+    own = rules.select(F.concat(F.translate(host, UPPER, LOWER), path).alias("rule"), F.length(path).alias("n"), "action", "place")
+    own = own.groupBy("rule").agg(F.min(F.struct("place", "action"))["action"].alias("action"), F.first("n").alias("n"))
+    lengths = sorted(r.n for r in own.select("n").distinct().collect())
+    key = F.xxhash64("rule")
+    # Unsigned order: the keys from 2^63 up, negative as signed numbers, come last.
+    ordered = own.select(key.alias("key"), "rule", (F.col("action") == "block").cast("int").alias("block")).orderBy(F.col("key") < 0, "key", "rule")
+    name, folder = f"rules-{uuid.uuid4().hex}", shared_dir(spark)
+    files, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    files.create_dir(at)
+    outs = {f: files.open_output_stream(f"{at}/{name}.{f}") for f in FILES}
+    end, held = 0, []
+
+    def flush() -> int:
+        strings = [r.rule.encode() for r in held]
+        ends = end + np.cumsum([len(s) for s in strings])
+        outs["keys"].write(np.array([r.key for r in held], np.int64).tobytes())
+        outs["ends"].write(ends.astype(np.int64).tobytes())
+        outs["strings"].write(b"".join(strings))
+        outs["actions"].write(np.array([r.block for r in held], np.uint8).tobytes())
+        return int(ends[-1])
+
+    outs["ends"].write(np.zeros(1, np.int64).tobytes())
+    for row in ordered.toLocalIterator():
+        held.append(row)
+        if len(held) >= 100_000:
+            end, held = flush(), []
+    if held:
+        end = flush()
+    for out in outs.values():
+        out.close()
+    for f in FILES:
+        spark.sparkContext.addFile(f"{folder}/{name}.{f}")
+    return name, lengths
+
+
+def host_ends(host: Column) -> Column:
+    """The host and what is behind each of its dots; none of an empty host."""
+    parts = F.split(host, r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(host != "", ends).otherwise(F.array().cast("array<string>"))
+
+
+def probes_of(host: Column, path: Column, lengths: list[int]) -> Column:
+    """Every host suffix with every path prefix of a rule's length."""
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path))
+    return F.flatten(F.transform(host_ends(host), lambda end: F.transform(cuts, lambda n: F.concat(end, F.substring(path, F.lit(1), n)))))
 
 
 def verdicts(name: str, blocked: str):
+    """Judges batches of page_id, host, path, own, own_keys, other, other_keys."""
+
+    def hits(index: DigestIndex, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place in the index of each probe that is found."""
+        lists, keys = batch.column(column), batch.column(f"{column}_keys").flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        # Strings are made of those probes alone whose key is there.
+        at = np.searchsorted(index.keys, keys.view(np.uint64)) if len(index.keys) else np.zeros(len(keys), np.int64)
+        maybe = np.flatnonzero(index.keys[np.minimum(at, len(index.keys) - 1)] == keys.view(np.uint64)) if len(index.keys) else np.zeros(0, np.int64)
+        place = index.find(keys[maybe].view(np.uint64), lists.flatten().take(pa.array(maybe)).to_pylist())
+        return row[maybe][place >= 0], place[place >= 0]
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = SparkFiles.getRootDirectory()
         own, other = (DigestIndex(folder, n) for n in (name, blocked))
         for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            rule, verdict = [None] * len(hosts), ["allow"] * len(hosts)
-            for index, named in ((other, False), (own, True)):
-                lists = [probes_of(h, p if named else "/", index.lengths) + ([] if named else labels_of(h)) if h else [] for h, p in zip(hosts, paths, strict=True)]
-                hits = iter(index.find([p for ps in lists for p in ps]))
-                for i, ps in enumerate(lists):
-                    for hit in [k for k in [next(hits) for _ in ps] if k >= 0][:1]:
-                        verdict[i] = index.rules[hit][1]
-                        rule[i] = index.rules[hit][0] if named else None
+            rule, verdict = [None] * batch.num_rows, ["allow"] * batch.num_rows
+            for i, _ in zip(*hits(other, batch, "other"), strict=True):
+                verdict[i] = "block"
+            best = {}
+            for i, k in zip(*hits(own, batch, "own"), strict=True):
+                found = own.string(k).decode()
+                if i not in best or len(found) > len(best[i][0]):
+                    best[i] = (found, k)
+            for i, (found, k) in best.items():
+                rule[i], verdict[i] = found, "block" if own.actions[k] else "allow"
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return judge
 
 
-def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS, blocked_labels: tuple[str, ...] = ()) -> DataFrame:
-    """page_id, host, path, rule, verdict: one row per page."""
+def url_filter(pages: DataFrame, rules: DataFrame | tuple[tuple[str, str], ...] = RULES, blocked_hosts: DataFrame | tuple[str, ...] = (), blocked_labels: tuple[str, ...] = BLOCKED_LABELS) -> DataFrame:
+    """page_id, host, path, rule, verdict: one row per page.
+
+    rules: pairs, or a table rule, action, place (the order in which they are given); blocked_hosts: names, or a table host.
+    """
     spark = pages.sparkSession
-    own = write_index(spark, rules)
-    other = write_index(spark, tuple((f"{h}/", "block") for h in (*blocked_hosts, *(f"{b}." for b in blocked_labels))))
+    own, lengths = write_index(rules if isinstance(rules, DataFrame) else rule_table(spark, rules))
+    hosts = blocked_hosts if isinstance(blocked_hosts, DataFrame) else spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+    labels = spark.createDataFrame([(f"{b}.",) for b in blocked_labels], "host string")
+    blocked = hosts.select("host").union(labels).select(F.concat("host", F.lit("/")).alias("rule"), F.lit("block").alias("action"), F.lit(0).cast("long").alias("place"))
+    other, _ = write_index(blocked)
     after = F.regexp_extract("url", r"^[\s\S]*?://([\s\S]*)$", 1)
     whole = F.when(F.col("url").contains("://"), after).otherwise("")
-    host = F.translate(F.regexp_extract(whole, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(whole, r"^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(whole, r"^[^/?#]*([^?#]*)", 1)
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    return parts.mapInArrow(verdicts(own, other), SCHEMA)
+    named = F.transform(F.split("host", r"\."), lambda p: F.concat(p, F.lit("./")))
+    parts = parts.withColumns({"own": probes_of(F.col("host"), F.col("path"), lengths), "other": F.concat(F.transform(host_ends(F.col("host")), lambda h: F.concat(h, F.lit("/"))), named)})
+    keys = lambda c: F.transform(c, lambda p: F.xxhash64(p)).alias(f"{c}_keys")
+    return parts.select("*", keys("own"), keys("other")).mapInArrow(verdicts(own, other), SCHEMA)

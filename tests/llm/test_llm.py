@@ -1,6 +1,10 @@
 """The training-data operators against brute force, their SQL, and odd inputs."""
 
+import math
 import random
+import re
+import textwrap
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,32 @@ def test_licences(spark):
     assert license_scan.license_scan(spark.createDataFrame([(1, "Some: TEXT!")], "doc_id long, text string"), license_scan.licence_digests(own), small=0).first().licence == "Mine"
 
 
+def rewrapped(text, width):
+    """Each paragraph filled anew; another holder and another year."""
+    text = re.sub(r"(?m)^( *copyright) .*\b(?:[0-9]{4}|donald|kim)\b.*$", r"\1 (c) 1999-2031, Another Holder Ltd.", text, flags=re.I)
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in re.split(r"\n[ \t]*\n", text))
+
+
+def test_licences_in_any_wrapping(spark):
+    whole = [p for p in sorted(license_scan.FOLDER.glob("*.txt")) if "notice" not in p.stem]
+    assert len(whole) == 10
+    rows = [(f"{p.stem}|{w}", rewrapped(p.read_text(), w)) for p in whole for w in (60, 72, 100)] + [(f"{p.stem}|0", p.read_text().upper().replace("\n", "\r\n")) for p in whole]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.doc_id for r in got if r.licence != r.doc_id.split("|")[0]] == []
+
+
+def test_canonical_forms(spark):
+    texts = [
+        "Copyright 2020 A B\nAll rights reserved.\n\nThe end", "the end", "(c) <year> x\n\nthe END.", "All rights reserved.\n\n* the\n* end", "# Copyright The Authors\n#\n# the end",
+        "Copyright holders may not be held to more than what this long sentence says.", "a non-\ncommercial non commercial sub\nlicence non-commercial", "Licence licence licences, fulfil fulfil", "“Straße” – é É",
+        "(c) under no\nclaim", "keep the\ncopyright notice in 2020",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", license_scan.canonical(F.col("text")).alias("c")).collect()
+    c = [r.c for r in sorted(rows)]
+    assert c[:5] == ["the end"] * 5 and c[5] == "copyright holders may not be held to more than what this long sentence says"
+    assert c[6:] == ["a noncommercial noncommercial sublicense noncommercial", "license license licenses fulfill fulfill", "straße é É", "c under no claim", "keep the copyright notice in 2020"]
+
+
 def test_digest_file(spark):
     texts = spark.createDataFrame([(p.stem, p.read_text()) for p in license_scan.FOLDER.glob("*.txt")], "licence string, text string")
     assert {(r.licence, r.digest) for r in license_scan.licence_digests(texts).collect()} == {(r.licence, r.digest) for r in license_scan.known_digests(spark).collect()}
@@ -77,6 +107,42 @@ def test_marginals_by_enumeration():
     assert np.allclose(p, want) and np.allclose(z, logs) and np.allclose(pairs, total)
 
 
+def plain_lines(text):
+    """Own features of each line of a text, in plain Python."""
+    lines, kinds = text.split("\n"), quality_crf.KINDS
+    of = lambda b: (
+        "lower" if 97 <= b < 123 else "upper" if 65 <= b < 91 else "high" if b > 127 else "digit" if 48 <= b < 58 else "space" if b in b" \t\n\r\v\f" else
+        "stop" if b in b".,;:'\"()-" else "bang" if b in b"!?" else "symbol" if b in b"#*$%&|<>" else "other"
+    )
+    out = []
+    for line in lines:
+        raw, w = line.encode(), words(line)
+        low = [lower(x) for x in w]
+        share = [sum(of(b) == k for b in raw) / max(len(raw), 1) for k in kinds]
+        per = max(len(w), 1)
+        out.append([*share, sum(len(x.encode()) for x in w) / per / 20, sum(a == b for a, b in zip(low, low[1:], strict=False)) / per, len(set(low)) / per,
+                    math.log1p(len(raw)) / 8, float(not raw), float(bool(raw) and lines.count(line) > 1)])
+    return out
+
+
+def test_line_features_and_scores_by_hand(docs):
+    texts = ["", "one\n\ntwo two Two\none", "É ü! 9#\n", *[t or "" for _, t in docs[:40]]]
+    x, size, doc = quality_crf.line_features(*tb.buffers(pa.array(texts)))
+    want, at = [], []
+    for i, t in enumerate(texts):
+        own = plain_lines(t)
+        none = [0.0] * len(own[0])
+        for k, f in enumerate(own):
+            want.append([1.0, *f, *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < len(own) else none), float(k == 0), float(k == len(own) - 1)])
+            at.append(i)
+    assert doc.tolist() == at and np.allclose(x, np.array(want), atol=1e-6)
+    good = np.random.default_rng(3).random(len(at))
+    scores = quality_crf.document_scores(good, size, doc, len(texts))
+    for i, t in enumerate(texts):
+        weights = [len(line.encode()) + 1 for line in t.split("\n")]
+        assert abs(scores[i] - sum(w * g for w, g in zip(weights, good[np.array(at) == i], strict=True)) / sum(weights)) < 1e-9
+
+
 def test_quality_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op2_quality_crf(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
@@ -154,7 +220,7 @@ def test_mix_meets_targets(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     mixed = mixing.mix_sources(docs, shard_words=5000).cache()
     by = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want"), F.max("shard").alias("shard"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
-    assert all(abs(r.t - r.want) <= 64 * (r.shard + 2) and r.over <= 0 for r in by)
+    assert all(abs(r.t - r.want) <= 96 * (r.shard + 2) and r.over <= 0 for r in by)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7), shard_words=5000).collect()))
     again = mixing.repeat_documents(docs, mixed)
     assert again.columns == docs.columns
@@ -184,13 +250,85 @@ def test_identity_terms_are_neutral(spark):
         rows.append((i, " ".join(w), toxic))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     test = spark.createDataFrame([(1, "the muslims ate a tree"), (2, "the christians ate a tree"), (3, "the moron ate a tree")], "doc_id long, text string")
-    model = lambda swap: toxicity.train(df, df.select("doc_id", "toxic"), 600, swap, 1e-4, 20.0, 4096)
+    model = lambda swap: toxicity.train(df, df.select("doc_id", "toxic"), 600, swap, 1e-4, 20.0)
     data, offs = tb.buffers(pa.array([r.text for r in test.orderBy("doc_id").collect()]))
     z = lambda m: np.log(1 / (1 / toxicity.score_block(m, data, offs) - 1))
     plain, fair = z(model(0.0)), z(model(20.0))
     assert abs(fair[0] - fair[1]) < 0.3 * abs(plain[0] - plain[1]) and fair[2] > fair[0] + 0.5
 
 
+def test_loss_and_gradient():
+    """The loss in plain Python, its gradient by differences."""
+    rng = np.random.default_rng(6)
+    n, m = 12, 5
+    ones = [(i, j) for i in range(n) for j in range(m) if rng.random() < 0.4]
+    x = toxicity.Rows(np.array([i for i, _ in ones]), np.array([j for _, j in ones]), n)
+    y, weight, pairs = rng.integers(0, 2, n).astype(float), rng.random(n), np.array([[0, 1], [2, 5], [0, 7]])
+
+    def loss(theta):
+        z = [theta[m] + sum(theta[j] for i, j in ones if i == k) for k in range(n)]
+        log = sum(weight[k] / sum(weight) * (math.log1p(math.exp(z[k])) - y[k] * z[k]) for k in range(n))
+        return log + 0.7 * sum((z[a] - z[b]) ** 2 for a, b in pairs) / 3 + 0.05 / 2 * sum(w * w for w in theta[:m])
+
+    theta = rng.normal(size=m + 1)
+    got, grad = toxicity.loss_and_gradient(theta, x, y, weight, pairs, 0.7, 0.05)
+    assert abs(got - loss(theta)) < 1e-12
+    for k in range(m + 1):
+        step = np.eye(m + 1)[k] * 1e-6
+        assert abs((loss(theta + step) - loss(theta - step)) / 2e-6 - grad[k]) < 1e-6
+    best = toxicity.fit(x, m, y, weight, pairs, 0.7, 0.05, steps=4000)
+    assert np.abs(toxicity.loss_and_gradient(best, x, y, weight, pairs, 0.7, 0.05)[1]).max() < 1e-4
+
+
+@pytest.fixture(scope="module")
+def toxic_models(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return [toxicity.train(docs, labels, 8000, swap, 1e-4, 20.0) for swap in (0.0, 1.0)]
+
+
+def test_penalty_acts_on_the_given_texts(toxic_models):
+    """In the query's own model neutral sentences that name a group score alike; without the penalty they do not."""
+    neutral = ["the {} walked to the market in the morning", "yesterday {} read a long letter"]
+    gaps = []
+    for model in toxic_models:
+        gap = 0.0
+        for row in toxicity.IDENTITY:
+            for sentence in neutral:
+                data, offs = tb.buffers(pa.array([sentence.format(t) for t in row]))
+                p = toxicity.score_block(model, data, offs)
+                z = np.log(p / (1 - p))
+                gap = max(gap, z.max() - z.min())
+        gaps.append(gap)
+    assert gaps[0] > 0.05 and gaps[1] < 0.5 * gaps[0]
+
+
+def test_scores_by_hand(toxic_models, docs):
+    model = toxic_models[1]
+    weight = dict(zip(model["known"].tolist(), model["w"].tolist(), strict=True))
+
+    def feature(word, salt):
+        data, offs = tb.buffers(pa.array([word]))
+        return int((tb.span_hashes(data, offs[:1], offs[1:], tb.FOLD) + toxicity.SALTS[salt])[0])
+
+    texts = [t or "" for _, t in docs[:60]] + ["", "...", "Moron! he is. You moron scum", "x" * 5000, 'word ' * 700]
+    data, offs = tb.buffers(pa.array(texts))
+    got = toxicity.score_block(model, data, offs)
+    for text, p in zip(texts, got, strict=True):
+        best = model["b"]
+        for sentence in re.split(rb"[\n.!?]", text.encode()):
+            found = set()
+            for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence):
+                cuts = [(word, 0)] + [(word[:n], k + 1) for k, n in enumerate(toxicity.PREFIXES) if len(word) > n]
+                for piece, salt in cuts:
+                    h = tb.span_hashes(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]), tb.FOLD) + toxicity.SALTS[salt]
+                    found.add(int(h[0]))
+            if re.search(rb"[0-9A-Za-z\x80-\xff]", sentence):
+                best = max(best, model["b"] + sum(weight.get(f, 0.0) for f in found))
+        assert abs(p - 1 / (1 + math.exp(-best))) < 1e-9
+    assert feature("he", 0) in weight
+
+
 def test_swaps():
     assert toxicity.swapped("Women and men.") == ["men and girls.", "girls and boys.", "boys and women."] and toxicity.swapped("nobody") == []
 
@@ -200,19 +338,60 @@ def test_swaps():
 
 def test_directory(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(9000 + i, "Same") for i in range(900)], "doc_id long, text string")
-    keys, chains = exact_dedup.exact_groups(docs, capacity=100)
-    held = chains.groupBy("bucket", "depth").count().collect()
+    _, entries = exact_dedup.index(docs, capacity=100)
+    held = entries.groupBy("bucket", "depth").count().collect()
     assert all(r["count"] <= 100 for r in held) and len(held) > 30
-    spans = sorted((r.bucket, r.bucket + (1 << (16 - r.depth))) for r in held)
+    bits = exact_dedup.KEY_BITS
+    spans = sorted((r.bucket, r.bucket + (1 << (bits - r.depth))) for r in held)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    # An entry lies in the bucket of its key, and a bucket in one file; two halves of an overfull bucket fit no more when joined.
+    keyed = entries.withColumn("key", exact_dedup.key_of())
+    assert keyed.where("key < bucket OR key >= bucket + shiftleft(1L, 60 - depth)").count() == 0
+    assert len({b for b, _ in spans}) == entries.select("bucket", F.input_file_name()).distinct().count()
+    size = {(r.bucket, r.depth): r["count"] for r in held}
+    for (b, d), n in size.items():
+        other = b ^ (1 << (bits - d)) if d else None
+        assert (other, d) not in size or n + size[other, d] > 100
+
+
+def test_directory_deepens_as_needed(spark, monkeypatch):
+    """Keys that differ in their last bits alone: the directory doubles until they part."""
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda norm: {"digest": F.unhex(F.lpad(F.hex(F.xxhash64(norm).bitwiseAND(0xFF)), 15, "0")), "check": F.xxhash64(norm), "nbytes": F.octet_length(norm)})
+    docs = spark.createDataFrame([(i, f"text {i % 200}") for i in range(400)], "doc_id long, text string")
+    _, entries = exact_dedup.index(docs, capacity=4)
+    assert entries.agg(F.max("depth")).first()[0] > 52
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(docs, capacity=4).collect()} == {(i, i % 200 + 200) for i in range(400)}
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_equal_digests_are_told_apart_by_bytes(spark, monkeypatch, few):
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda norm: {"digest": F.unhex(F.rpad(F.hex(F.octet_length(norm)), 16, "0")), "check": F.lit(1).cast("long"), "nbytes": F.octet_length(norm)})
+    rows = [(1, "aa"), (2, "AB"), (3, "ab"), (4, "aA"), (5, "ba"), (6, "abc"), (7, None), (8, "")]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most_broadcast=few).collect()}
+    assert got == {1: (4, 2), 2: (3, 2), 3: (3, 2), 4: (4, 2), 5: (5, 1), 6: (6, 1), 7: (8, 2), 8: (8, 2)}
+
+
+def test_no_row_without_its_bucket(spark, monkeypatch):
+    real = exact_dedup.directory
+    docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(180)], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "directory", lambda e, c: ((d := real(e, c))[0].where("bucket > 0"), d[1]))
+    assert 0 < exact_dedup.exact_dedup(docs, capacity=20).count() < 180
 
 
 def test_hot_group(spark):
-    docs = spark.createDataFrame([(i, "Hot Text" if i % 3 else f"t{i}") for i in range(300)], "doc_id long, text string")
-    for hot in (10, 10_000):
-        rows = exact_dedup.exact_dedup(docs, hot=hot).collect()
-        assert len(rows) == 300 and sum(r.kept for r in rows) == 101
-        assert {(r.keep_id, r.group_size) for r in rows if r.group_size > 1} == {(299, 200)}
+    docs = spark.createDataFrame([(i, "Hot Text" if i % 3 else f"t{i}") for i in range(3000)], "doc_id long, text string")
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert len(rows) == 3000 and sum(r.kept for r in rows) == 1001
+    assert {(r.keep_id, r.group_size) for r in rows if r.group_size > 1} == {(2999, 2000)}
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "A b", 1), (1, "a b", 2), (1, "a b", 2), (1, "other", 3), (None, "a b", 4), (None, "x", 5), (None, "x", 5), (2, None, 6), (2, None, 6), (3, "x y z x y z", 7), (3, "x y z x y z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long")
+    for one in (exact_dedup.keep_first_copies(docs), jaccard_join.keep_one_each(docs.where("text IS NOT NULL"))):
+        assert one.columns == docs.columns
+        kept = [(r.doc_id, lower(r.text)) for r in one.collect()]
+        assert len(kept) == len(set(kept)) and sorted(t for _, t in kept if t) == ["a b", "other", "x", "x y z x y z"]
 
 
 # 7 ------------------------------------------------------------------
@@ -289,6 +468,44 @@ def test_rule_counts(spark, small, docs):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("least", [1000, 10**9])
+def test_kept_by_hand(spark, small, least):
+    """References, distances and verdicts in plain Python; only the cell of a word is taken from the operator."""
+    rows = table(spark, small, "documents").select("doc_id", "text", "lang").collect()
+    rules = divergence_rules
+    got = {r.doc_id: r for r in rules.divergence_rules(table(spark, small, "documents"), least_reference=least).collect()}
+    cells = {}
+
+    def cell(w):
+        if w not in cells:
+            data, offs = tb.buffers(pa.array([w]))
+            cells[w] = int(tb.span_hashes(data, offs[:1], offs[1:])[0] >> tb.U(48))
+        return cells[w]
+
+    groups = ["aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", None, "0123456789", " \t\r\v\f", "\n", ".,;:'\"()-", "!?", "#*$%&|<>"]
+    kind = lambda c: 3 if ord(c) > 127 else next((k for k, g in enumerate(groups) if g and c in g), 10)
+    shares = lambda counts: {k: n / sum(counts.values()) for k, n in counts.items()}
+    seen = {r.doc_id: (Counter(map(kind, r.text or "")), Counter(cell(w) for w in words(lower(r.text)))) for r in rows}
+    refs = []
+    for lang in sorted({r.lang for r in rows}):
+        c, w = (sum((seen[r.doc_id][i] for r in rows if r.lang == lang), Counter()) for i in (0, 1))
+        if sum(w.values()) >= least:
+            top = sorted(w, key=lambda x: (-w[x], x))[:64]
+            slots = lambda n, top=set(top): Counter({x: m for x, m in n.items() if x in top}) + Counter({-1: sum(m for x, m in n.items() if x not in top)})
+            refs.append((lang, shares(c), shares(slots(w)), slots))
+    assert len(refs) == (4 if least == 1000 else 0)
+    for r in rows:
+        want = rule_counts(r.text)
+        keep = want[0] >= 50 and 100 * want[4] <= 50 * want[0]
+        if refs and want[0]:
+            c, w = seen[r.doc_id]
+            dc, dw, _ = min(((js(shares(c), x), js(shares(s(w)), y), k) for k, (_, x, y, s) in enumerate(refs)), key=lambda t: t[0] + t[1])
+            keep &= not (want[1] >= 200 and dc > 0.3) and not (want[0] >= 60 and dw > 0.45)
+            if want[1] >= 200:
+                assert abs(got[r.doc_id].class_distance - dc) < 1e-9
+        assert got[r.doc_id].kept == keep
+
+
 def test_divergence(spark):
     b = divergence_rules.block(pa.record_batch([pa.array(["the cat and the dog", "Zz 9#"])], names=["text"]))
     assert np.isclose(divergence_rules.js_distance(np.array([[0.5, 0.5, 0.0]]), np.array([0.25, 0.25, 0.5]))[0], js({0: 0.5, 1: 0.5}, {0: 0.25, 1: 0.25, 2: 0.5}))
@@ -313,7 +530,7 @@ def test_urls(spark):
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_bad_names_under_any_domain(spark, sf):
-    rows = queries.op10_url_filter_labels(spark, f"/root/testdata/{sf}").collect()
+    rows = queries.op10_url_filter(spark, f"/root/testdata/{sf}").collect()
     bad = {"ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x"}
     open_ = [r for r in rows if r.rule is None and r.host]
     assert all((r.verdict == "block") == bool(bad & set(r.host.split("."))) for r in open_)
@@ -329,14 +546,24 @@ def test_labels_are_whole(spark):
 
 def test_digest_collisions(tmp_path):
     """Equal keys are told apart by their strings."""
-    np.save(tmp_path / "r.keys.npy", np.zeros(3, np.uint64))
-    (tmp_path / "r.rules").write_text("a/\tblock\nb/\tallow\nc/\tblock\n")
+    strings = [b"a/", b"b/", b"c/"]
+    np.zeros(3, np.uint64).tofile(tmp_path / "r.keys")
+    np.cumsum([0, *map(len, strings)]).astype(np.int64).tofile(tmp_path / "r.ends")
+    (tmp_path / "r.strings").write_bytes(b"".join(strings))
+    np.array([1, 0, 1], np.uint8).tofile(tmp_path / "r.actions")
     index = url_filter.DigestIndex(str(tmp_path), "r")
-    real, url_filter.xxhash.xxh64_intdigest = url_filter.xxhash.xxh64_intdigest, lambda _: 0
-    try:
-        assert index.find(["c/", "d/", "a/"]) == [2, -1, 0]
-    finally:
-        url_filter.xxhash.xxh64_intdigest = real
+    assert index.find(np.zeros(3, np.uint64), ["c/", "d/", "a/"]).tolist() == [2, -1, 0]
+    assert index.find(np.array([7], np.uint64), ["a/"]).tolist() == [-1]
+
+
+def test_index_of_a_table(spark):
+    """Many rules from a table: sorted keys, every rule found, the first action of a rule given twice."""
+    n = 5000
+    rules = spark.createDataFrame([(f"H{i}.test/p{i % 7}/", "allow" if i % 3 else "block", i) for i in range(n)] + [("h1.test/p1/", "block", n)], "rule string, action string, place long")
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.test/p{i % 7}/x") for i in range(0, 2 * n, 5)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages.repartition(6), rules=rules).collect()}
+    assert all(got[i] == ((f"h{i}.test/p{i % 7}/", "allow" if i % 3 else "block") if i < n else (None, "allow")) for i in got)
+    assert url_filter.url_filter(spark.createDataFrame([(1, "http://h1.test/p1/")], "page_id long, url string"), rules=rules).first().verdict == "allow"
 
 
 # Odd inputs ----------------------------------------------------------
