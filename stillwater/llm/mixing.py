@@ -114,6 +114,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     # A block is drawn when its lot is among the `extra` lowest of its shard; the last of these is the shard's cut.
     lot = lambda b: F.struct(number(seeded(seed + 1, F.col("source_key"), F.col("shard"), b)).alias("h"), b.alias("b"))
     lots = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lot))
+    # One row a shard, but some thousand blocks behind each: a few shards a task.
+    quota = written(quota.select("source_key", "shard", "blocks", "rounds", "extra"), "rounds")
+    quota = quota.repartition(-(-quota.count() // 4) or 1, "source_key", "shard")
     quota = quota.withColumn("cut", F.when(F.col("extra") > 0, F.get(lots, F.col("extra") - 1)))
     quota = written(quota.select("source_key", "shard", "rounds", "cut"), "quota")
 
