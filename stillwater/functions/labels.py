@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WARM, COOL = (0, 1, 2, 7), (4, 5, 6)  # hue bands; band 3 (green) is neither
+#: Shares of the frame from which a face, and of its height from which a head, is that near.
 FACE_CUTS, HEAD_CUTS = ((0.14, "close-up"), (0.009, "medium")), ((0.72, "close-up"), (0.19, "medium"))
 
 
@@ -79,7 +80,11 @@ def composition(text: Column, entropy: Column, symmetrical: Column, x: Column) -
     return F.when(text & (entropy < 3.0), "abstain").when(symmetrical, "symmetrical").when(F.abs(x - 0.5) <= 0.06, "centered").when(third, "rule-of-thirds").otherwise("abstain")
 
 
-def quality_floor(luma: Column, spread: Column, detail: Column, entropy: Column, dark=0.03, bright=0.97, least_detail=0.01, least_entropy=1.0, blank=0.01) -> Column:
+#: Where the floor lies.
+FLOOR = {"dark": 0.10, "bright": 0.90, "least_detail": 0.005, "least_entropy": 2.5, "blank": 0.005}
+
+
+def quality_floor(luma: Column, spread: Column, detail: Column, entropy: Column, dark=FLOOR["dark"], bright=FLOOR["bright"], least_detail=FLOOR["least_detail"], least_entropy=FLOOR["least_entropy"], blank=FLOOR["blank"]) -> Column:
     """cleared, blank or review: questioned only if nearly black or white and featureless too."""
     extreme = (luma <= dark) | (luma >= bright)
     plain = (detail < least_detail) | (entropy < least_entropy)

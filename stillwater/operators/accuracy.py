@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,15 +49,23 @@ def score(checks: DataFrame, run: DataFrame) -> DataFrame:
     )
 
 
-def fuse(tags: DataFrame, mapping: DataFrame, cut: float = 0.35) -> DataFrame:
-    """id, field, value, score: the best value of each field from the tags that map to it.
+def filled(checks: DataFrame) -> DataFrame:
+    """family, value, n: what review put where nothing was proposed."""
+    return judged(checks).where("kind = 'missed'").groupBy("family", F.col("truth").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
-    Values rank by their best primary score, a little higher with a second tag for them,
-    and lower by what the runner-up has. tags: id, tag, score; mapping: tag, field, value, primary (a short table).
+
+def suggestions(checks: DataFrame) -> DataFrame:
+    """family, n, accepted, changed, unanswered of values that were suggested, not proposed. checks also has `suggested`.
+
+    Silence says nothing of a suggestion: it was not cleared.
     """
-    hits = tags.where(F.col("score") >= cut).join(F.broadcast(mapping), "tag")
-    values = hits.groupBy("id", "field", "value").agg(F.max(F.when(F.col("primary"), F.col("score"))).alias("best"), F.count(F.lit(1)).alias("k")).where("best IS NOT NULL")
-    values = values.withColumn("s", F.least(F.lit(1.0), F.col("best") + F.when(F.col("k") > 1, 0.05).otherwise(0.0)))
-    w = Window.partitionBy("id", "field").orderBy(F.col("s").desc(), "value")
-    values = values.withColumns({"r": F.row_number().over(w), "next": F.lead("s").over(w)})
-    return values.where("r = 1").select("id", "field", "value", (F.col("s") * (1 - F.coalesce("next", F.lit(0.0)) / 2)).alias("score"))
+    held = checks.where(F.col("machine").isNull() & F.col("suggested").isNotNull())
+    human = F.when(F.col("answered"), F.col("human"))
+    return held.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(human == F.col("suggested")).alias("accepted"), F.count_if(human != F.col("suggested")).alias("changed"), F.count_if(human.isNull()).alias("unanswered")
+    )
+
+
+def runs(checks: DataFrame) -> DataFrame:
+    """taxonomy, allowlist, fusion, tag_cut, scene_cut, n: the label versions that the checks were made against; nulls are one value."""
+    return checks.groupBy("taxonomy", "allowlist", "fusion", "tag_cut", "scene_cut").agg(F.count(F.lit(1)).alias("n"))

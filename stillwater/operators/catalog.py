@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwater.operators.keep import few, kept
+
 LATE = 1e9  # where a still without a time is sorted
 
 
@@ -22,7 +24,7 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     Rows are dealt by ranges of the order, numbered within each range and moved by the sizes of the ranges before.
     """
     dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    dealt = dealt.checkpoint() if dealt.sparkSession.conf.get("spark.checkpoint.dir", None) else dealt.cache()
+    dealt = kept(dealt)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
@@ -36,6 +38,19 @@ def overlay(machine: Column, human: Column) -> Column:
     return F.map_filter(both, lambda k, v: v.isNotNull() & (v != ""))
 
 
+def overlay_tags(machine: Column, human: Column) -> Column:
+    """Machine tags without those a person removed, with those they added, each once, in order. human: struct of arrays remove, add."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.array_except(F.coalesce(machine, none), F.coalesce(human["remove"], none)), F.coalesce(human["add"], none)))
+
+
+def work_stills(stills: DataFrame, mode: str = "visible") -> DataFrame:
+    """A work's stills in time: those that all see, all that were picked (with hidden ones), or those that were not picked."""
+    scope = {"visible": visible(), "picked": F.col("selected"), "not_picked": ~F.col("selected")}[mode]
+    rows = stills.where(scope)
+    return rows.select("id", "work", F.row_number().over(chronological()).cast("long").alias("place"))
+
+
 def counts_by_work(stills: DataFrame) -> DataFrame:
     return stills.where(visible()).groupBy("work").agg(F.count(F.lit(1)).alias("n"))
 
@@ -87,7 +102,7 @@ def matches(facets: Column, tags: Column | None, wanted: dict[str, str], query:
 def explore(stills: DataFrame, arrived: DataFrame, wanted: dict[str, str], query: str = "", tags_wanted: tuple[str, ...] = ()) -> DataFrame:
     """Matching visible stills, newest work first, each work in its own time; `place` numbers them per work. arrived: work, arrived."""
     hits = stills.where(visible() & matches(F.col("facets"), F.col("tags") if "tags" in stills.columns else None, wanted, query, tags_wanted))
-    hits = hits.join(F.broadcast(arrived), "work", "left")  # one row per work
+    hits = hits.join(few(arrived), "work", "left")
     return hits.select("id", "work", F.coalesce("arrived", F.lit(0)).cast("long").alias("arrived"), F.row_number().over(chronological()).cast("long").alias("place"))
 
 
@@ -175,11 +190,12 @@ def front_door(stills: DataFrame, day: int, n: int = 24, rounds: int = 4, least_
     pool = stills.where(visible() & (F.col("ts").isNull() | (F.col("ts") >= least_ts)))
     pool = pool.withColumns({"at": F.row_number().over(chronological()) - 1, "held": F.count(F.lit(1)).over(Window.partitionBy("work"))})
     titles = pool.select("work").distinct()
-    titles = titles.withColumns({"t": F.row_number().over(Window.orderBy("work")) - 1, "all": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
+    titles = kept(placed(titles, "work").withColumn("t", F.col("place") - 1))
+    titles = titles.join(F.broadcast(titles.agg(F.count(F.lit(1)).alias("all"))))  # one row
     turn = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
     picks = titles.select("work", F.pmod(F.col("t") - (day * 7) % F.col("all"), F.col("all")).alias("seat"), turn.alias("round"))
     want = F.pmod(F.lit(day * 7) + F.col("round") * 13, F.col("held"))
-    hits = pool.join(F.broadcast(picks), "work").where(F.col("at") == want)
+    hits = pool.join(few(picks), "work").where(F.col("at") == want)
     once = hits.groupBy("id", "work").agg(F.min(F.struct("round", "seat")).alias("r"))
     return once.orderBy("r.round", "r.seat").limit(n).select("id", "work", F.col("r.round").cast("long").alias("round"))
 
@@ -209,3 +225,48 @@ def cullable(stills: DataFrame, works: DataFrame) -> DataFrame:
     wide = F.size("repeat_in") >= F.greatest(F.lit(2.0), F.ceil(F.col("others") / 2).cast("double"))
     take = F.col("selected") & (F.col("review_state") == "unreviewed") & ~F.col("excluded") & ~F.col("locked") & wide
     return rows.where(take).groupBy("work").agg(F.count(F.lit(1)).alias("n"))
+
+
+def take_repeats(stills: DataFrame, works: DataFrame, chosen: DataFrame, at: Column) -> DataFrame:
+    """stills with the season-wide repeats of the chosen works culled at one time: only picked, unreviewed ones that are
+    neither hidden nor locked, in series whose marks are settled. stills has repeat_in; chosen: work."""
+    others = chosen.select("work").distinct().join(works.select("work", "series"), "work").join(settled(works), "series").select("work", "others")
+    rows = stills.join(others, "work", "left")
+    wide = F.size("repeat_in") >= F.greatest(F.lit(2.0), F.ceil(F.col("others") / 2).cast("double"))
+    take = F.col("others").isNotNull() & F.col("selected") & (F.col("review_state") == "unreviewed") & ~F.col("excluded") & ~F.col("locked") & wide
+    hit = F.coalesce(take, F.lit(False))
+    return rows.withColumns({"review_state": F.when(hit, "culled").otherwise(F.col("review_state")), "reviewed_at": F.when(hit, at).otherwise(F.col("reviewed_at"))}).drop("others")
+
+
+def give_back(stills: DataFrame, chosen: DataFrame, at: Column) -> DataFrame:
+    """Takes one such batch back: stills of the chosen works that are still culled at exactly its time."""
+    rows = stills.join(chosen.select("work").distinct().withColumn("_c", F.lit(True)), "work", "left")
+    hit = F.coalesce(F.col("_c") & (F.col("review_state") == "culled") & (F.col("reviewed_at") == at), F.lit(False))
+    return rows.withColumns({"review_state": F.when(hit, "unreviewed").otherwise(F.col("review_state")), "reviewed_at": F.when(~hit, F.col("reviewed_at"))}).drop("_c")
+
+
+def library_order(works: DataFrame, seasons: DataFrame, franchises: DataFrame) -> DataFrame:
+    """franchise, season, work, place: the library in reading order. Franchises go by sort name (nulls last) and name, their
+    seasons by air date (unknown last) and name, works by episode (none last) and label. Works of no known season come last.
+
+    works: work, season, episode, label; seasons: season, franchise, air_date, name; franchises: franchise, sort_name, name.
+    """
+    s = seasons.select("season", "franchise", F.coalesce("air_date", F.lit("9999")).alias("air"), F.col("name").alias("season_name"))
+    f = franchises.select("franchise", F.col("sort_name").isNull().alias("unsorted"), "sort_name", F.col("name").alias("franchise_name"))
+    rows = works.join(s.join(f, "franchise"), "season", "left")
+    rows = rows.select(
+        F.col("franchise").isNull().alias("loose"), "unsorted", "sort_name", "franchise_name", F.col("franchise"), "air", "season_name", "season",
+        F.coalesce(F.col("episode").cast("double"), F.lit(LATE)).alias("number"), "label", "work",
+    )
+    return placed(rows, *rows.columns).select("franchise", "season", "work", "place")
+
+
+def attention_order(works: DataFrame) -> DataFrame:
+    """work, place: works with something to review first, the newest import first, then the rest by label. works: work, label, unreviewed, imported."""
+    rows = works.select((F.coalesce("unreviewed", F.lit(0)) == 0).alias("quiet"), F.when(F.col("unreviewed") > 0, -F.unix_micros("imported")).alias("age"), F.when(F.coalesce("unreviewed", F.lit(0)) == 0, F.col("label")).alias("name"), "work")
+    return placed(rows, *rows.columns).select("work", "place")
+
+
+def newest_first(rows: DataFrame, at: str, n: int = 12) -> DataFrame:
+    """The last n rows, newest first; of one time the greater id first."""
+    return rows.orderBy(F.col(at).desc(), F.col("id").desc()).limit(n)

@@ -80,19 +80,29 @@ def candidates(samples: DataFrame, approved: DataFrame, proposed: DataFrame) ->
     return both.select("src", F.format_string("cand-%04d", F.row_number().over(w)).alias("id"), "shot", "t", "status")
 
 
+SDR, NONE = ("bt709", None), (None,)
+#: A conversion, the space, transfer and primaries that it takes (None: untagged; empty: any), and whether only for 720 lines or more.
+CONVERSIONS = (
+    ("hdr-bt2390", (), ("smpte2084", "arib-std-b67"), (), False),
+    ("sdr-bt2020", ("bt2020nc",), ("bt2020-10", "bt2020-12"), ("bt2020",), False),
+    ("sdr-bt709", ("bt709",), ("bt709",), ("bt709",), False),
+    ("sdr-bt709", SDR, SDR, SDR, True),
+    ("sdr-bt601", ("smpte170m",), ("bt709", "smpte170m", None), ("smpte170m", None), False),
+    ("sdr-bt601", ("bt470bg",), SDR, ("bt470bg", None), False),
+    ("sdr-bt601", NONE, NONE, NONE, False),
+)
+
+
 def color_rule(space: Column, transfer: Column, primaries: Column, height: Column) -> Column:
-    """The one conversion for a source's colour tags (null: untagged); null where none fits."""
-    free = lambda c, *ok: c.isNull() | c.isin(*ok)
-    tagged = (space == "bt709") & (transfer == "bt709") & (primaries == "bt709")
-    large = height >= 720
-    return (
-        F.when(transfer.isin("smpte2084", "arib-std-b67"), "hdr-bt2390")
-        .when((space == "bt2020nc") & transfer.isin("bt2020-10", "bt2020-12") & (primaries == "bt2020"), "sdr-bt2020")
-        .when(free(space, "bt709") & free(transfer, "bt709") & free(primaries, "bt709") & (large | F.coalesce(tagged, F.lit(False))), "sdr-bt709")
-        .when((space == "smpte170m") & free(transfer, "bt709", "smpte170m") & free(primaries, "smpte170m"), "sdr-bt601")
-        .when((space == "bt470bg") & free(transfer, "bt709") & free(primaries, "bt470bg"), "sdr-bt601")
-        .when(space.isNull() & transfer.isNull() & primaries.isNull(), "sdr-bt601")
-    )
+    """The one conversion for a source's colour tags (null: untagged): the first whose row takes them; null where none does."""
+
+    def takes(tag: Column, allowed: tuple) -> Column:
+        named = [x for x in allowed if x]
+        hit = F.coalesce(tag.isin(*named), F.lit(False)) if named else F.lit(not allowed)
+        return hit | tag.isNull() if None in allowed else hit
+
+    fits = [(rule, takes(space, s) & takes(transfer, t) & takes(primaries, p) & ((height >= 720) if tall else F.lit(True))) for rule, s, t, p, tall in CONVERSIONS]
+    return F.coalesce(*[F.when(ok, rule) for rule, ok in fits])
 
 
 def identity_problems(rows: DataFrame) -> DataFrame:

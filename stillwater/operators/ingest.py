@@ -51,3 +51,37 @@ def first_source(*tables: DataFrame) -> DataFrame:
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     cols = [c for c in out.columns if c != "id"]
     return out.groupBy("id").agg(F.min_by(F.struct(*cols), "rank").alias("r")).select("id", "r.*")
+
+
+def upsert(target: DataFrame, source: DataFrame, key: str, taken: tuple[str, ...], cleared: tuple[str, ...] = (), defaults: dict | None = None) -> DataFrame:
+    """target with source's rows: known keys take the columns `taken`, nulls too, and lose the `cleared` ones; other columns
+    stay. New keys get `defaults` where source says nothing. One row a key on both sides."""
+    s = source.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in taken], F.lit(True).alias("_new"))
+    both = target.withColumn("_old", F.lit(True)).join(s, target[key] == s["_k"], "full")
+    new, old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    cols = []
+    for c in target.columns:
+        v = F.coalesce(key, "_k") if c == key else F.when(new, F.col(f"_{c}")).otherwise(F.col(c)) if c in taken else F.when(new, F.lit(None)).otherwise(F.col(c)) if c in cleared else F.col(c)
+        if defaults and c in defaults:
+            v = F.when(~old, defaults[c]).otherwise(v)
+        cols.append(v.cast(target.schema[c].dataType).alias(c))
+    return both.select(*cols)
+
+
+WORK = ("title", "entry_type", "episode", "episode_title", "series", "bundle")
+
+
+def upsert_works(works: DataFrame, imported: DataFrame, at) -> DataFrame:
+    """works after an import: the run's columns are taken and the repeat key is cleared, since its stills have not been
+    matched yet; what people typed and the time of the first import stay."""
+    return upsert(works, imported, "work", WORK, ("repeats_key",), {"imported_at": at})
+
+
+def sync_catalogue(seasons: DataFrame, franchises: DataFrame, listed: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a catalogue's answer; ids below zero are local ones that it never names. listed: season, name, kind,
+    air_date, franchise, franchise_name, sort_name; a name that is missing is the id."""
+    own = listed.where("season >= 0 AND season IS NOT NULL")
+    s = own.groupBy("season").agg(*[F.max(c).alias(c) for c in ("franchise", "kind", "air_date")], F.coalesce(F.max("name"), F.col("season").cast("string")).alias("name"))
+    f = own.groupBy("franchise").agg(F.coalesce(F.max("franchise_name"), F.col("franchise").cast("string")).alias("name"), F.max("sort_name").alias("sort_name"))
+    f = f.withColumn("synced_at", at)
+    return upsert(seasons, s, "season", ("franchise", "kind", "air_date", "name")), upsert(franchises, f, "franchise", ("name", "sort_name", "synced_at"))

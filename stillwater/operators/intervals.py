@@ -71,17 +71,21 @@ def next_frame(times: DataFrame, frames: DataFrame) -> DataFrame:
     return both.withColumn("frame", F.first("f", ignorenulls=True).over(w)).where("kind = 0").select("src", "id", "frame")
 
 
+#: First words of a chapter's title that name a theme; length and place of one that has no name, in seconds.
+OPENING, ENDING = ("op", "opening"), ("ed", "ending", "outro", "credit", "credits")
+THEME, EDGE, LEAST, REST = (85, 95), 360, 20, 60
+
+
 def chapter_kind(title: Column, s: Column, e: Column, duration: Column) -> Column:
-    """opening or ending with what says so, or null."""
-    length = e - s
-    theme = length.between(85, 95) & (duration > 0)
-    kind = (
-        F.when(title.rlike(r"(?i)^(op|opening)(\b|\d)"), "opening_theme:named")
-        .when(title.rlike(r"(?i)^(ed|ending|outro|credits?)(\b|\d)"), "ending_theme:named")
-        .when(theme & (s <= 360), "opening_theme:length-and-position")
-        .when(theme & (duration - e <= 360), "ending_theme:length-and-position")
-    )
-    return F.when((length >= 20) & ~((duration > 0) & (duration - length < 60)), kind)
+    """opening or ending with what says so, or null: a title's first word, else the length of a theme near either end.
+
+    Neither a chapter too short to drop nor one that would leave less than a minute of the file is any kind.
+    """
+    length, word = e - s, F.lower(F.regexp_extract(title, "^([A-Za-z]+)(?:[^A-Za-z_]|$)", 1))
+    theme = length.between(*THEME) & (duration > 0)
+    named = F.when(word.isin(*OPENING), "opening_theme:named").when(word.isin(*ENDING), "ending_theme:named")
+    near = F.when(theme & (s <= EDGE), "opening_theme:length-and-position").when(theme & (duration - e <= EDGE), "ending_theme:length-and-position")
+    return F.when((length >= LEAST) & ~((duration > 0) & (duration - length < REST)), F.coalesce(named, near))
 
 
 def chapters(rows: DataFrame) -> DataFrame:

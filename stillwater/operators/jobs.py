@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwater.operators.keep import kept
+
 
 def usual_rates(runs: DataFrame, least: int = 5) -> DataFrame:
     """stage, film, low, high: 10th and 90th percentile of a rate where at least `least` runs are known. runs: stage, film, rate."""
@@ -12,11 +14,18 @@ def usual_rates(runs: DataFrame, least: int = 5) -> DataFrame:
     return runs.groupBy("stage", "film").agg(F.count(F.lit(1)).alias("n"), p(0.1).alias("low"), p(0.9).alias("high")).where(F.col("n") >= least).drop("n")
 
 
-def batch_estimates(runs: DataFrame) -> DataFrame:
-    """worker and seconds a unit for each stage, as ratios of sums, stages side by side."""
-    each = runs.groupBy("worker", "stage").agg((F.sum("seconds") / F.when(F.sum("units") > 0, F.sum("units"))).alias("rate"))
-    wide = each.groupBy("worker").pivot("stage", ["click", "view", "purchase"]).agg(F.round(F.first("rate"), 6))
-    return wide
+def batch_estimates(runs: DataFrame, first: str, last: str) -> DataFrame:
+    """runs, seconds_per_minute, stills_per_minute: one row, or none until stages `first` and `last` have both run.
+
+    Committed stages of a first attempt with a known time and some video count. A stage's cost is all its seconds over all
+    its minutes of video, and the costs of the stages add up; stills and runs are those of `last`.
+    runs: stage, state, attempt, seconds, video (its seconds), selected.
+    """
+    known = runs.where((F.col("state") == "committed") & (F.col("attempt") == 1) & F.col("seconds").isNotNull() & (F.col("video") > 0))
+    each = known.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"), (F.sum("video") / 60).alias("minutes"), F.sum("selected").alias("selected"))
+    of = lambda c: F.max(F.when(F.col("stage") == last, F.col(c)))
+    total = each.agg(of("n").alias("runs"), F.sum(F.col("seconds") / F.col("minutes")).alias("seconds_per_minute"), (of("selected") / of("minutes")).alias("stills_per_minute"), F.bool_or(F.col("stage") == first).alias("ok"))
+    return total.where(F.col("ok") & F.col("runs").isNotNull()).drop("ok")
 
 
 def runnable(jobs: DataFrame, now) -> DataFrame:
@@ -37,25 +46,54 @@ def line(ready: DataFrame) -> DataFrame:
     return ready.select("id", "capability", F.row_number().over(w.orderBy("created", "id")).cast("long").alias("position"), F.count(F.lit(1)).over(w).alias("waiting"))
 
 
+#: States of stages by what they mean for their chain.
+STUCK, RUNNING = ("dead_letter", "blocked", "ineligible"), ("leased", "running", "cancel_requested")
+OPEN = ("queued", "leased", "running", "retry_wait", "blocked", "cancel_requested")
+
+
 def chain_group(chains: DataFrame) -> DataFrame:
-    """chain, status, current: what a chain's stages say as a whole. Rows: chain, depth, id, state."""
-    has = lambda *s: F.bool_or(F.col("state").isin(*s))
+    """chain, status, current, stages: what a chain's stages say as a whole. Rows: chain, depth, id, state.
+
+    A stuck stage needs attention whatever else runs; a cancelled stage decides only when no other is open. The current
+    stage is the first that is stuck, else the first that runs, else the first still to come.
+    """
+    state = F.col("state")
+    has = lambda *s: F.bool_or(state.isin(*s))
     status = (
-        F.when(has("dead_letter", "blocked", "ineligible"), "attention").when(has("cancelled", "cancel_requested"), "cancelled")
-        .when(F.bool_and(F.col("state") == "committed"), "done").when(has("leased", "running"), "running").otherwise("waiting")
+        F.when(has(*STUCK), "attention").when(has(*RUNNING), "running").when(F.bool_and(state == "committed"), "done")
+        .when(has("cancelled") & ~has(*OPEN), "cancelled").otherwise("waiting")
     )
-    return chains.groupBy("chain").agg(status.alias("status"), F.min(F.when(F.col("state") != "committed", F.struct("depth", "id"))).alias("c"), F.count(F.lit(1)).alias("stages")).select("chain", "status", F.col("c.id").alias("current"), "stages")
+    first = lambda ok: F.min(F.when(ok, F.struct("depth", "id")))
+    current = F.coalesce(first(state.isin(*STUCK)), first(state.isin(*RUNNING)), first(~state.isin("committed", "cancelled")))
+    return chains.groupBy("chain").agg(status.alias("status"), current.alias("c"), F.count(F.lit(1)).alias("stages")).select("chain", "status", F.col("c.id").alias("current"), "stages")
 
 
 def newest(chains: DataFrame) -> DataFrame:
-    """work, chain, earlier: the newest chain of a work and how many came before. Rows: work, chain, created."""
-    return chains.groupBy("work").agg(F.max(F.struct("created", "chain")).alias("m"), (F.count(F.lit(1)) - 1).alias("earlier")).select("work", F.col("m.chain").alias("chain"), "earlier")
+    """work, chain, earlier: the newest of a work's chains that committed something, and how many such came before.
+
+    Of chains of one time the least counts. Rows: work, chain, created, state, one a stage.
+    """
+    each = chains.where(F.col("state") == "committed").groupBy("work", "chain").agg(F.max("created").alias("created"))
+    best = F.max_by("chain", F.struct("created", -F.col("chain")))
+    return each.groupBy("work").agg(best.alias("chain"), (F.count(F.lit(1)) - 1).alias("earlier"))
 
 
-def roots(jobs: DataFrame, deep: int = 4) -> DataFrame:
-    """id, root, depth by parent links, which are `deep` at most."""
-    out = jobs.select("id", F.col("parent").alias("up"), F.col("id").alias("root"), F.lit(0).alias("depth"))
-    step = jobs.select(F.col("id").alias("pid"), F.col("parent").alias("pp"))
-    for _ in range(deep - 1):
-        out = out.join(step, out["up"] == step["pid"], "left").select("id", F.col("pp").alias("up"), F.coalesce("pid", "root").alias("root"), (F.col("depth") + F.col("pid").isNotNull().cast("int")).alias("depth"))
-    return out.select("id", "root", "depth")
+def roots(jobs: DataFrame) -> DataFrame:
+    """id, root, depth by parent links of any length: each round doubles how far a row has looked. A parent that is no row is none.
+
+    Links that lead in a circle have no root and raise an error.
+    """
+    known = jobs.select(F.col("id").alias("known"))
+    out = jobs.join(known, jobs["parent"] == known["known"], "left").select("id", F.col("known").alias("up"), F.coalesce("known", "id").alias("root"), F.col("known").isNotNull().cast("int").alias("depth"))
+    far, n = 1, None
+    while True:
+        out = kept(out)
+        if out.where("up IS NOT NULL").isEmpty():
+            return out.select("id", "root", "depth")
+        n = out.count() if n is None else n
+        if far > 2 * n:
+            raise ValueError("parents lead in a circle")
+        step = out.select(F.col("id").alias("pid"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        both = out.join(step, out["up"] == step["pid"], "left")
+        out = both.select("id", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        far *= 2

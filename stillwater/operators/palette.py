@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.functions import color
+from stillwater.operators.keep import few, kept
 
 CELL = {"l": 0.09, "a": 0.05, "b": 0.05}
 STRICT, BROAD, GRADE = 0.045, 0.09, 0.07
 
 
 def with_lab(swatches: DataFrame) -> DataFrame:
-    return swatches.withColumn("lab", color.oklab(F.col("hex")))
+    return swatches if "lab" in swatches.columns else swatches.withColumn("lab", color.oklab(F.col("hex")))
 
 
 def cell(lab: Column, n: str) -> Column:
@@ -35,7 +36,7 @@ def cells(swatches: DataFrame, lane: str, least: int = 3) -> DataFrame:
 def within(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
     """id, target, d, weight of every swatch and target colour that are within `limit`. targets: hex.
 
-    Both sides meet by neighbouring cells, so the join is an equi-join whatever their sizes.
+    Both sides meet by neighbouring cells, so the join is an equi-join whatever their sizes; few targets are broadcast.
     """
     span = {n: range(-int(limit / CELL[n]) - 1, int(limit / CELL[n]) + 2) for n in CELL}
     t = targets.select(F.col("hex").alias("target")).distinct().withColumn("tlab", color.oklab(F.col("target")))
@@ -43,6 +44,7 @@ def within(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
     t = t.select("target", "tlab", F.explode(offsets).alias("o"))
     t = t.select("target", "tlab", *[(cell(F.col("tlab"), n) + F.col("o")[x]).alias(f"t{n}") for n, x in zip(CELL, "ijk", strict=True)])
     s = with_lab(swatches).withColumns({f"c{n}": cell(F.col("lab"), n) for n in CELL})
+    t = few(t)
     both = s.join(t, [s[f"c{n}"] == t[f"t{n}"] for n in CELL]).withColumn("d", color.distance(F.col("lab"), F.col("tlab")))
     return both.where(F.col("d") <= limit).select("id", "target", "d", "weight")
 
@@ -55,12 +57,27 @@ def near(swatches: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
 
 def cloud(swatches: DataFrame, least: int = 3, n: int = 60) -> DataFrame:
     """hex, n, name, neutral of the colours most stills have; n is what a strict pick of the colour returns."""
-    chips = cells(swatches, "swatches", least).groupBy("hex").agg(F.max_by("lab", "weight").alias("lab"), F.max("weight").alias("weight"))
-    hits = within(swatches.where("lane = 'swatches'"), chips, STRICT).select("id", "target").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    # A still's swatches lie together, so its hits are made distinct where they are found and only counts travel.
+    rows = kept(with_lab(swatches.where("lane = 'swatches'").select("id", "lane", "hex", "weight").repartition("id")))
+    chips = kept(cells(rows, "swatches", least).groupBy("hex").agg(F.max_by("lab", "weight").alias("lab"), F.max("weight").alias("weight")))
+    hits = within(rows, chips, STRICT).select("id", "target").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n"))
     out = chips.join(hits, chips["hex"] == hits["target"]).where(F.col("n") >= least)
     return out.orderBy(F.col("n").desc(), "hex").limit(n).select("hex", "n", color.color_name(F.col("lab")).alias("name"), (color.chroma(F.col("lab")) < 0.035).alias("neutral"), "lab")
 
 
+def lane_chips(swatches: DataFrame, lane: str, pool: DataFrame, keep: str | None = None, least: int = 3) -> DataFrame:
+    """hex, n, tone of a lane's colours: merged over all stills, so that a colour is the same everywhere, and counted in the
+    pool alone. A colour that was chosen before is kept whatever its count, also when nothing merges to it any more. pool: id."""
+    chips = cells(swatches, lane, least).groupBy("hex").agg(F.max_by("lab", "weight").alias("lab"))
+    if keep:
+        own = swatches.sparkSession.createDataFrame([(keep,)], "hex string").withColumn("lab", color.oklab(F.col("hex")))
+        chips = chips.where(F.col("hex") != keep).unionByName(own)
+    mine = swatches.where(F.col("lane") == lane).join(pool.select("id").distinct(), "id", "left_semi")
+    hits = near(mine, chips, GRADE).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    out = chips.join(hits, chips["hex"] == hits["target"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.where((F.col("n") >= least) | (F.col("hex") == F.lit(keep))).select("hex", "n", color.tone_name(F.col("lab")).alias("tone"))
+
+
 def chip_order(chips: DataFrame) -> DataFrame:
     """hex, place: greys from dark to light, then round the hue circle in steps of 20 degrees, darker first. Chips are a short list."""
     lab = F.col("lab")

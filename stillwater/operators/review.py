@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillwater.operators.catalog import placed
+
 
 
 def marked(stills: DataFrame, ids: DataFrame) -> DataFrame:
@@ -83,13 +85,13 @@ def confirm_token(frames: DataFrame) -> DataFrame:
 
 
 def new_local(names: DataFrame, known: DataFrame) -> DataFrame:
-    """name, id: the known id of a name whatever its case, or a new one below zero. Few names come at a time."""
+    """name, id: the known id of a name whatever its case, or a new one below zero."""
     lower = F.lower(F.trim("name"))
     want = names.select(lower.alias("k"), F.trim("name").alias("name")).groupBy("k").agg(F.min("name").alias("name"))
     have = known.select(F.lower("name").alias("hk"), F.col("id").alias("old")).groupBy("hk").agg(F.min("old").alias("old"))
     both = want.join(have, want["k"] == have["hk"], "left")
     low = known.agg(F.least(F.coalesce(F.min("id"), F.lit(0)), F.lit(0)).alias("low"))
-    new = both.where("old IS NULL").select("name", F.row_number().over(Window.orderBy("name")).alias("r"))
+    new = placed(both.where("old IS NULL").select("name"), "name").select("name", F.col("place").alias("r"))
     new = new.join(F.broadcast(low)).select("name", (F.col("low") - F.col("r")).cast("long").alias("id"))  # one row
     return both.where("old IS NOT NULL").select("name", F.col("old").cast("long").alias("id")).unionByName(new)
 

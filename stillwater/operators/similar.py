@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.functions.vector import dot
+from stillwater.operators.keep import few, kept
 
 
 def top_k(vectors: DataFrame, target: DataFrame, n: int = 24) -> DataFrame:
@@ -22,6 +23,17 @@ def in_pool(vectors: DataFrame, pool: DataFrame, target: DataFrame, n: int = 60)
     return top_k(vectors.join(pool.select("id"), "id", "left_semi"), target, n)
 
 
+def in_scope(vectors: DataFrame, works: DataFrame, target: DataFrame, scope: str, n: int = 24) -> DataFrame:
+    """id, work, season, franchise, similarity of the n vectors nearest to the one target row that are in its scope: all,
+    work, season or franchise (the season where the target has no franchise). works: work, season, franchise."""
+    own = few(works.select("work", "season", "franchise"))
+    t = target.limit(1).join(own, "work").select(F.col("id").alias("tid"), F.col("v").alias("tv"), *[F.col(c).alias(f"t_{c}") for c in ("work", "season", "franchise")])
+    same = lambda c: F.col(c) == F.col(f"t_{c}")
+    near = {"all": F.lit(True), "work": same("work"), "season": same("season"), "franchise": F.when(F.col("t_franchise").isNull(), same("season")).otherwise(same("franchise"))}[scope]
+    both = vectors.join(own, "work").join(F.broadcast(t), (F.col("id") != F.col("tid")) & near)  # one row
+    return both.select("id", "work", "season", "franchise", F.round(dot(F.col("v"), F.col("tv")), 6).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(n)
+
+
 def pairs(vectors: DataFrame, least: float, block: int = 512) -> DataFrame:
     """series, wa, a, ta, wb, b, tb, similarity of pairs of two works of a series (wa < wb) with a dot product of `least` or more.
 
@@ -77,62 +89,82 @@ def marks(in_runs: DataFrame) -> DataFrame:
     return one.unionByName(in_runs.select(F.col("b").alias("id"), F.col("wa").alias("other"))).distinct()
 
 
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """h, id, copies: each distinct hash once, under its least id."""
+    return hashes.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+
+
 def hamming_pairs(hashes: DataFrame, most: int, bands: int) -> DataFrame:
-    """a, b, distance of pairs of 60-bit hashes with at most `most` differing bits. Rows: id, h.
+    """a, b, distance of pairs of distinct 60-bit hashes with at most `most` differing bits, by their least ids. Rows: id, h.
 
-    Of `bands` bands of the hash at least one is equal when fewer bits than bands differ;
-    a band that is off by r bits is met by trying its r-bit neighbours, as many as needed.
+    Of `bands` bands of the hash at least one is equal when fewer bits than bands differ, which is exact and needs no
+    neighbours; else a band that is off by r bits is met by trying its r-bit neighbours, as many as needed. A pair counts
+    in its first common band alone.
     """
     width, spare = 60 // bands, most // bands
     flips = [m for m in range(1 << width) if bin(m).count("1") <= spare]
     part = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
-    rows = hashes.select("id", "h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("h"), k).alias("p")) for k in range(bands)])).alias("band"))
+    rows = hash_classes(hashes).select("id", "h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("h"), k).alias("p")) for k in range(bands)])).alias("band"))
     left = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("band.k").alias("k"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("band.p").bitwiseXOR(m))).alias("p"))
     right = rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("band.k").alias("k"), F.col("band.p").alias("p"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return left.join(right, ["k", "p"]).where((F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.cast("int").alias("distance")).distinct()
+    near = lambda k: F.bit_count(part(F.col("ha"), k).bitwiseXOR(part(F.col("hb"), k))) <= spare
+    first = F.coalesce(*[F.when(near(k), k) for k in range(bands)])
+    hits = left.join(right, ["k", "p"]).where((F.col("a") < F.col("b")) & (d <= most) & (F.col("k") == first))
+    return hits.select("a", "b", d.cast("int").alias("distance"))
 
 
 def families(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, family (the least id) of nodes with links, by repeatedly taking the least label of the neighbours."""
-    both = links.select("a", "b").union(links.select("b", "a"))
+    """id, family (the least id) of nodes that are linked or have an equal: each round a label takes the least of its
+    neighbours and then that one's own label, so paths shorten by jumps. nodes: id, h."""
+    both = kept(links.select("a", "b").union(links.select("b", "a")))
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("family", F.col("id"))
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "family"), "b").groupBy("a").agg(F.min("family").alias("near"))
-        fresh = labels.join(seen, labels["id"] == seen["a"]).select("id", F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved"))
-        fresh = fresh.checkpoint() if fresh.sparkSession.conf.get("spark.checkpoint.dir", None) else fresh.cache()
-        if fresh.where("moved").isEmpty():
-            return fresh.select("id", "family")
-        labels = fresh.select("id", "family")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= 100_000 else df
+        fresh = labels.join(seen, labels["id"] == seen["a"]).select("id", F.least("family", "near").alias("to"), "family")
+        jump = fresh.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        fresh = kept(fresh.join(jump, "to").select("id", F.col("far").alias("fresh"), "family"))
+        moved = not fresh.where("fresh < family").isEmpty()
+        labels = fresh.select("id", F.col("fresh").alias("family"))
+        if not moved:
+            break
+    if nodes is None:
+        return labels
+    classes = hash_classes(nodes).withColumnRenamed("id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    named = classes.where("copies > 1 OR family IS NOT NULL").select("h", F.coalesce("family", "rep").alias("family"))
+    return nodes.join(named, "h").select("id", "family")
 
 
 def rounds(pool: DataFrame, budget: int, choose) -> DataFrame:
     """work, id, turn: `budget` rounds, each of which takes a frame of every work that has one left.
 
-    Only the picks stay between rounds. choose(rows, turn) gives work, id, v of a round's picks from the frames with
-    `picked`, the vectors that their work has taken so far. pool: work, id, ts, v, n, the work's frames.
+    Only the picks stay between rounds. choose(rows, turn) gives work, id of a round's picks from the frames with what
+    their work has taken so far: picked (vectors), picked_ts, picked_pal, picked_cat. pool: work, id, ts, v, pal, cat, n (the work's frames).
     """
-    taken = None
+    carried, taken = ("v", "ts", "pal", "cat"), None
+    names = dict(zip(carried, ("picked", "picked_ts", "picked_pal", "picked_cat"), strict=True))
     for turn in range(budget):
         rows = pool.where(F.col("n") > turn)
         if taken is None:
-            rows = rows.withColumns({"picked": F.array().cast("array<array<float>>"), "own": F.lit(False)})
+            rows = rows.withColumns({new: F.array().cast(f"array<{pool.schema[c].dataType.simpleString()}>") for c, new in names.items()}).withColumn("own", F.lit(False))
         else:
-            each = taken.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("turn", "id", "v"))).alias("p"))
-            rows = rows.join(few(each), "work").withColumns({"picked": F.col("p.v"), "own": F.array_contains("p.id", F.col("id"))}).drop("p")
-        new = kept(choose(rows, turn).select("work", "id", F.lit(turn).alias("turn"), "v"))
+            each = taken.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("turn", "id", *carried))).alias("p"))
+            rows = rows.join(few(each), "work").withColumns({new: F.col(f"p.{c}") for c, new in names.items()}).withColumn("own", F.array_contains("p.id", F.col("id"))).drop("p")
+        best = kept(choose(rows, turn).select("work", "id"))
+        new = kept(pool.select("work", "id", *carried).join(few(best), ["work", "id"]).withColumn("turn", F.lit(turn)))
         taken = new if taken is None else taken.unionByName(new)
     return taken.select("work", "id", "turn")
 
 
+def frames_of(vectors: DataFrame) -> DataFrame:
+    """vectors with every column that the pickers read: pal, cat, score and duration are empty where they are missing."""
+    span = F.max("ts") - F.min("ts")
+    per = vectors.groupBy("work").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"), (F.max("duration") if "duration" in vectors.columns else span).alias("duration"))
+    none = {"pal": F.lit(None).cast("array<double>"), "cat": F.lit(None).cast("string"), "score": F.lit(0.0)}
+    rows = vectors.withColumns({c: v for c, v in none.items() if c not in vectors.columns})
+    return rows.select("work", "id", "ts", "v", "pal", "cat", "score").join(few(per), "work")
+
+
 def matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
 
@@ -161,25 +193,39 @@ def likeness(e: np.ndarray, picked: np.ndarray) -> np.ndarray:
     return np.maximum(0, s.max(axis=1, initial=0)).astype(np.int64)
 
 
+GAINS = "work int, id long, ts double, n long, near long, extra double, gain long"
+
+
 def block_gains(x: pa.Table, y: pa.Table) -> pa.Table:
     """What each candidate of x would add to the similarity of the frames of y."""
-    names = ["work", "id", "ts", "n", "near", "gain"]
+    names = [f.split()[0] for f in GAINS.split(", ")]
     if not x.num_rows or not y.num_rows:
-        return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * 3), strict=True)})
+        return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
     s = np.rint(matrix(x.column("v").combine_chunks()) @ matrix(y.column("v2").combine_chunks()).T * UNIT).astype(np.int64)
     gain = np.maximum(s - y.column("near2").to_numpy(), 0).sum(axis=1)
-    return pa.table([x.column("work"), x.column("id"), x.column("ts"), x.column("n"), x.column("near"), pa.array(gain, pa.int64())], names)
+    return pa.table([*[x.column(c) for c in names[:-1]], pa.array(gain, pa.int64())], names)
+
+
+#: Weights of a palette's novelty, of a new category and of a near twin, and where a twin begins.
+PALETTE, FIRST_PALETTE, CATEGORY, TWIN, KNEE = 0.35, 0.5, 0.25, 6.0, 0.9
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Distance of two arrays of numbers."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d))
 
 
 def stratified(vectors: DataFrame, budget: int, block: int = 2048) -> DataFrame:
-    """work, id, turn: `budget` frames a work, one from each equal cell of time, chosen for coverage and against near-twins.
+    """work, id, turn: `budget` frames a work, one from each equal cell of its duration, then the best that remain anywhere.
 
-    A round measures what each candidate adds to the work's similarity to its picks, a product of two blocks of
-    about `block` frames a task, so that no task holds a work. The products are as many as its candidates times its frames.
+    A frame is worth what it adds to the work's similarity to its picks, the distance of its palette from theirs, and a
+    category that none of them has, less a penalty for a near twin among them. A round measures the first as a product
+    of two blocks of about `block` frames a task, so that no task holds a work. The products are as many as its candidates
+    times its frames. vectors: work, id, ts, v, and pal, cat, duration if known.
     """
-    span = vectors.groupBy("work").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n"))
-    cell = F.when(F.col("t1") > F.col("t0"), F.least(F.lit(budget - 1), F.floor((F.col("ts") - F.col("t0")) / ((F.col("t1") - F.col("t0")) / budget)))).otherwise(0).cast("int")
-    pool = vectors.select("work", "id", "ts", "v").join(few(span), "work").withColumn("cell", cell).drop("t0", "t1")
+    pool = frames_of(vectors)
+    cell = F.when(F.col("duration") > 0, F.least(F.lit(budget - 1), F.floor((F.col("ts") - F.col("t0")) / (F.col("duration") / budget)))).otherwise(0).cast("int")
+    pool = pool.withColumn("cell", cell).drop("t0", "duration", "score")
     cells = pool.groupBy("work").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
     pool = kept(pool.join(few(cells), "work"))
 
@@ -188,39 +234,71 @@ def stratified(vectors: DataFrame, budget: int, block: int = 2048) -> DataFrame:
         rows = rows.withColumn("candidate", ~F.col("own") & ((F.size("cells") <= turn) | (F.col("cell") == F.get("cells", F.lit(turn)))))
         # the candidates of a turn are about 1 / budget of the frames while there are cells, so their blocks are fewer
         parts = F.when(F.size("cells") <= turn, blocks).otherwise(F.ceil(blocks / budget)).cast("int")
-        rows = rows.select("work", "id", "ts", "n", "candidate", blocks.alias("blocks"), parts.alias("parts"), F.pmod(F.xxhash64("id", "ts"), blocks).cast("int").alias("k"), "v", "picked")
-        rows = rows.mapInArrow(against_picked(likeness, "near", "int64"), "work int, id long, ts double, n long, candidate boolean, blocks int, parts int, k int, v array<float>, near long")
+        others = F.filter("picked_pal", lambda p: p.isNotNull())
+        novel = F.coalesce(F.array_min(F.transform(others, lambda p: apart(p, F.col("pal")))) * PALETTE, F.lit(FIRST_PALETTE * PALETTE))
+        fresh = F.col("cat").isNotNull() & (F.col("cat") != "") & ~F.coalesce(F.array_contains(F.filter("picked_cat", lambda c: c.isNotNull()), F.col("cat")), F.lit(False))
+        extra = F.when(F.col("pal").isNotNull(), novel).otherwise(0.0) + F.when(fresh, CATEGORY).otherwise(0.0)
+        rows = rows.select("work", "id", "ts", "n", "candidate", extra.alias("extra"), blocks.alias("blocks"), parts.alias("parts"), F.pmod(F.xxhash64("id", "ts"), blocks).cast("int").alias("k"), "v", "picked")
+        rows = rows.mapInArrow(against_picked(likeness, "near", "int64"), "work int, id long, ts double, n long, candidate boolean, extra double, blocks int, parts int, k int, v array<float>, near long")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        x = rows.where("candidate").select("work", "id", "ts", "n", "near", "v", F.pmod(F.xxhash64("ts", "id"), F.col("parts")).cast("int").alias("i"), every.alias("j"))
+        x = rows.where("candidate").select("work", "id", "ts", "n", "near", "extra", "v", F.pmod(F.xxhash64("ts", "id"), F.col("parts")).cast("int").alias("i"), every.alias("j"))
         y = rows.select(F.col("work").alias("w2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i2"), F.col("k").alias("j2"), F.col("near").alias("near2"), F.col("v").alias("v2"))
-        each = x.groupBy("work", "i", "j").cogroup(y.groupBy("w2", "i2", "j2")).applyInArrow(block_gains, "work int, id long, ts double, n long, near long, gain long")
-        total = each.groupBy("work", "id", "ts", "n", "near").agg(F.sum("gain").alias("gain"))
-        worth = F.col("gain") / UNIT / F.col("n") - 6 * F.greatest(F.lit(0.0), F.col("near") / UNIT - 0.9)
-        best = kept(total.groupBy("work").agg(F.max_by("id", F.struct(worth, -F.col("ts"), -F.col("id"))).alias("id")))
-        return pool.select("work", "id", "v").join(few(best), ["work", "id"])
+        each = x.groupBy("work", "i", "j").cogroup(y.groupBy("w2", "i2", "j2")).applyInArrow(block_gains, GAINS)
+        total = each.groupBy("work", "id", "ts", "n", "near", "extra").agg(F.sum("gain").alias("gain"))
+        worth = F.col("gain") / UNIT / F.col("n") + F.col("extra") - TWIN * F.greatest(F.lit(0.0), F.col("near") / UNIT - KNEE)
+        return total.groupBy("work").agg(F.max_by("id", F.struct(worth, -F.col("ts"), -F.col("id"))).alias("id"))
 
     return rounds(pool, budget, choose)
 
 
-def breadth(vectors: DataFrame, budget: int) -> DataFrame:
-    """work, id, turn: greedy selection of the frame farthest from those taken, from the earliest on."""
-    pool = vectors.select("work", "id", "ts", "v").join(few(vectors.groupBy("work").agg(F.count(F.lit(1)).alias("n"))), "work")
+def breadth(vectors: DataFrame, budget: int, alpha: float = 0.5) -> DataFrame:
+    """work, id, turn: greedy selection of the frame most apart from those taken, from the best scored on.
+
+    The distance to the nearest taken frame counts less while that one is nearer in time than an even spacing; of equal
+    frames the better scored and then the earlier goes first. vectors: work, id, ts, v, and score, duration if known.
+    """
+    pool = frames_of(vectors)
 
     def distance(e: np.ndarray, picked: np.ndarray) -> np.ndarray:
         return np.linalg.norm(e[:, None, :] - picked, axis=2).min(axis=1)
 
     def choose(rows: DataFrame, turn: int) -> DataFrame:
-        rows = rows.where(~F.col("own")).select("work", "id", "ts", "v", "picked")
+        ideal = F.col("duration") / budget
+        near = F.array_min(F.transform("picked_ts", lambda t: F.abs(F.col("ts") - t)))
+        spaced = F.when((ideal > 0) & (alpha > 0), F.pow(F.least(F.lit(1.0), near / ideal), F.lit(alpha))).otherwise(1.0)
+        rows = rows.where(~F.col("own")).select("work", "id", "ts", "score", F.coalesce(spaced, F.lit(1.0)).alias("spaced"), "v", "picked")
         if turn:
-            rows = rows.mapInArrow(against_picked(distance, "far", "float64"), "work int, id long, ts double, v array<float>, far double")
+            rows = rows.mapInArrow(against_picked(distance, "far", "float64"), "work int, id long, ts double, score double, spaced double, v array<float>, far double")
         else:
             rows = rows.withColumn("far", F.lit(0.0))
-        best = F.max_by(F.struct("id", "v"), F.struct("far", -F.col("ts"), -F.col("id"))).alias("b")
-        return rows.groupBy("work").agg(best).select("work", "b.id", "b.v")
+        return rows.groupBy("work").agg(F.max_by("id", F.struct(F.col("far") * F.col("spaced"), "score", -F.col("ts"), -F.col("id"))).alias("id"))
 
     return rounds(kept(pool), budget, choose)
 
 
+def displaced(vectors: DataFrame, picks: DataFrame) -> DataFrame:
+    """work, id, by, distance of the frames that were not picked: the nearest picked frame of the work, of equal ones the
+    first taken. picks: work, id, turn, few a work."""
+    taken = picks.join(vectors.select("work", "id", F.col("v").alias("pv")), ["work", "id"]).select("work", F.col("id").alias("by"), "turn", "pv")
+    rest = vectors.select("work", "id", "v").join(few(picks.select("work", "id")), ["work", "id"], "left_anti").join(few(taken), "work")
+    d = apart(F.transform("v", lambda x: x.cast("double")), F.transform("pv", lambda x: x.cast("double")))
+    best = rest.groupBy("work", "id").agg(F.min(F.struct(d.alias("distance"), "turn", "by")).alias("m"))
+    return best.select("work", "id", "m.by", "m.distance")
+
+
+def relinked(orphans: DataFrame, vectors: DataFrame, picks: DataFrame) -> DataFrame:
+    """work, id, by, distance: records that named a frame which is gone, re-pointed at the nearest one left.
+
+    orphans: work, id, by (the frame that stood for it); a frame that was picked needs no new one.
+    """
+    lost = orphans.join(picks.select("work", F.col("id").alias("by")), ["work", "by"], "left_anti").select("work", "id")
+    kept_too = picks.join(vectors.select("work", "id", "v"), ["work", "id"]).select("work", F.col("id").alias("by"), F.col("v").alias("pv"), "turn")
+    both = lost.join(vectors.select("work", "id", "v"), ["work", "id"]).join(few(kept_too), "work")
+    d = apart(F.transform("v", lambda x: x.cast("double")), F.transform("pv", lambda x: x.cast("double")))
+    best = both.groupBy("work", "id").agg(F.min(F.struct(d.alias("distance"), "turn", "by")).alias("m"))
+    return best.select("work", "id", "m.by", F.round("m.distance", 6).alias("distance"))
+
+
 def best_in_shot(frames: DataFrame, cap: int = 2) -> DataFrame:
     """shot, id, place: the `cap` frames of a shot with most detail, then nearest its middle, then earliest. frames: shot, id, ts, detail, mid."""
     w = Window.partitionBy("shot").orderBy(F.round("detail", 4).desc(), F.abs(F.col("ts") - F.col("mid")), "ts", "id")

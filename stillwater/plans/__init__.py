@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each beside its SQL."""
 
-from stillwater.plans import catalog, color, rules, timeline, vectors
+from stillwater.plans import catalog, color, fusion, rules, timeline, vectors, workflow
 from stillwater.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "color", "rules", "timeline", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "color", "fusion", "rules", "timeline", "vectors", "workflow"]

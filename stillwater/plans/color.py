@@ -94,6 +94,22 @@ def chip_order(spark, sf):
     return op.chip_order(op.cloud(swatches(spark, sf)))
 
 
+LANE = SW + f""", cell AS (SELECT id, CASE WHEN weight > 0 THEN weight ELSE 0.01e0 END AS w, l, a, b, floor(l / 0.09e0 + 0.5e0) AS c1, floor(a / 0.05e0 + 0.5e0) AS c2, floor(b / 0.05e0 + 0.5e0) AS c3 FROM lab WHERE lane = 'shadows'),
+mean AS (SELECT sum(w) AS weight, sum(l * w) / sum(w) AS l, sum(a * w) / sum(w) AS a, sum(b * w) / sum(w) AS b FROM cell GROUP BY c1, c2, c3 HAVING count(DISTINCT id) >= 3),
+mix AS (SELECT {hex_sql("l", "a", "b")} AS hex, weight, l AS ml, a AS ma, b AS mb FROM mean), own AS (SELECT '#404858' AS hex) {lab_views("own", "kept")},
+offered AS (SELECT hex, arg_max(ml, weight) AS ml, arg_max(ma, weight) AS ma, arg_max(mb, weight) AS mb FROM mix WHERE hex <> '#404858' GROUP BY hex UNION ALL SELECT hex, l, a, b FROM kept)
+{lab_views("offered", "chip")},
+counted AS (SELECT c.hex, count(DISTINCT s.id) AS n FROM chip c JOIN lab s ON s.lane = 'shadows' AND s.id % 2 = 0 AND sqrt((s.l - c.l) * (s.l - c.l) + (s.a - c.a) * (s.a - c.a) + (s.b - c.b) * (s.b - c.b)) <= 0.07e0 GROUP BY c.hex),
+out AS (SELECT o.hex, coalesce(n, 0) AS n, ml AS l, ma AS a, mb AS b FROM offered o LEFT JOIN counted c ON c.hex = o.hex)
+"""
+
+
+@query(LANE + f"SELECT hex, n, {TONE} AS tone FROM out WHERE n >= 3 OR hex = '#404858'")
+def lane_chips(spark, sf):
+    s = swatches(spark, sf)
+    return op.lane_chips(s, "shadows", s.where("id % 2 = 0").select("id"), "#404858")
+
+
 def pick_sql(hexes: list[str], limit: float, lane: str = "swatches") -> str:
     values = ", ".join(f"('{h}')" for h in hexes)
     return SW + f""", want AS (SELECT * FROM (VALUES {values}) AS v(hex)) {lab_views("want", "t")},

@@ -10,13 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function by its name, with the SQL of the same rows."""
+def query(sql: str | None = None, also: tuple[str, ...] = ()):
+    """Registers a function by its name, with the SQL of the same rows; `also` are further names of it."""
 
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        for name in (f.__name__, *also):
+            QUERIES[name] = f
+            if sql:
+                ORACLES[name] = sql
         return f
 
     return add

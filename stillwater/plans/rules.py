@@ -11,6 +11,7 @@ from stillwater.operators import accuracy as ac
 from stillwater.operators import frames as fr
 from stillwater.operators import ingest as ing
 from stillwater.operators import review as rv
+from stillwater.operators.keep import few
 from stillwater.plans.registry import query
 from stillwater.sources.tables import stills, table, with_views
 from stillwater.streaming import jobs as jobs_stream
@@ -58,18 +59,26 @@ def candidate_score(spark, sf):
     return ac.score(checks(spark, sf), run)
 
 
-MAPPED = (("that", "setting", "interior", True), ("thth", "setting", "interior", False), ("with", "setting", "exterior", True), ("from", "time", "night", True), ("this", "time", "day", True), ("para", "weather", "rain", True))
+@query(CHECK + "SELECT family, truth AS value, count(*) AS n FROM j WHERE kind = 'missed' GROUP BY 1, 2")
+def label_filled(spark, sf):
+    return ac.filled(checks(spark, sf))
 
 
-@query(with_views("still", "tag") + f""", hit AS (SELECT id, t, (10 + id % 7 * 13 + length(t) * 3) % 90 / 100e0 + 0.1e0 AS score FROM tag), m(t, field, value, prim) AS (VALUES {", ".join(map(str, MAPPED))}),
-v AS (SELECT id, field, value, max(CASE WHEN prim THEN score END) AS best, count(*) AS k FROM hit JOIN m USING (t) WHERE score >= 0.35 GROUP BY id, field, value),
-s AS (SELECT *, least(1e0, best + CASE WHEN k > 1 THEN 0.05e0 ELSE 0e0 END) AS s FROM v WHERE best IS NOT NULL),
-r AS (SELECT *, row_number() OVER w AS r, lead(s) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY id, field ORDER BY s DESC, value))
-SELECT id, field, value, round(s * (1 - coalesce(nxt, 0e0) / 2), 6) AS score FROM r WHERE r = 1""")
-def tag_fusion(spark, sf):
-    t = stills(spark, sf, tags=True).select("id", F.explode("tags").alias("tag"))
-    score = (10 + F.col("id") % 7 * 13 + F.length("tag") * 3) % 90 / F.lit(100.0) + F.lit(0.1)
-    return ac.fuse(t.withColumn("score", score), spark.createDataFrame(MAPPED, "tag string, field string, value string, primary boolean")).withColumn("score", F.round("score", 6))
+@query(CHECK + """, s AS (SELECT *, CASE WHEN id % 3 <> 1 THEN CASE WHEN id % 2 = 0 THEN 'yes' ELSE 'no' END END AS suggested, CASE WHEN answered THEN human END AS said FROM c)
+SELECT family, count(*) AS n, count(*) FILTER (WHERE said = suggested) AS accepted, count(*) FILTER (WHERE said <> suggested) AS changed, count(*) FILTER (WHERE said IS NULL) AS unanswered
+FROM s WHERE machine IS NULL AND suggested IS NOT NULL GROUP BY family""")
+def label_suggestions(spark, sf):
+    c = checks(spark, sf)
+    return ac.suggestions(c.withColumn("suggested", F.when(F.col("id") % 3 != 1, F.when(F.col("id") % 2 == 0, "yes").otherwise("no"))))
+
+
+@query("""SELECT lang AS taxonomy, CASE WHEN l.doc_id % 3 <> 0 THEN source END AS allowlist, CAST(l.doc_id % 2 AS VARCHAR) AS fusion, CASE WHEN l.doc_id % 5 <> 0 THEN l.doc_id % 4 / 10e0 END AS tag_cut, CASE WHEN l.doc_id % 5 <> 0 THEN 0.25e0 END AS scene_cut, count(*) AS n
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1, 2, 3, 4, 5""")
+def check_runs(spark, sf):
+    k = F.col("doc_id")
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    cuts = lambda x: F.when(k % 5 != 0, x)
+    return ac.runs(rows.select(F.col("lang").alias("taxonomy"), F.when(k % 3 != 0, F.col("source")).alias("allowlist"), (k % 2).cast("string").alias("fusion"), cuts(k % 4 / F.lit(10.0)).alias("tag_cut"), cuts(F.lit(0.25)).alias("scene_cut")))
 
 
 @query("""SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_quantity - 45 <= 0 THEN 'zero' WHEN l_quantity = 46 THEN 'one' WHEN l_quantity = 47 THEN 'two' WHEN l_quantity <= 50 THEN 'small-group' ELSE 'crowd' END AS people FROM lineitem""")
@@ -89,18 +98,11 @@ def shot_scale_lane(spark, sf):
     return p.select("id", lb.shot_scale(*[F.col(c) for c in ("tag", "ts", "face", "scenery", "head")]).alias("s")).select("id", "s.*")
 
 
-@query("""WITH b AS (SELECT l_orderkey AS id, l_linenumber % 4 = 0 AS text, l_discount * 60 AS entropy, l_linenumber % 5 = 0 AS sym, l_quantity AS w, l_suppkey % 90 AS x FROM lineitem WHERE l_linenumber <= 2),
-best AS (SELECT id, bool_or(text) AS text, min(entropy) AS entropy, bool_or(sym) AS sym, arg_max((x + x + w) / 2 / 100e0, w * w * 1000 + x) AS x FROM b GROUP BY id)
-SELECT id, CASE WHEN text AND entropy < 3 THEN 'abstain' WHEN sym THEN 'symmetrical' WHEN abs(x - 0.5e0) <= 0.06e0 THEN 'centered' WHEN least(abs(x - 1e0 / 3), abs(x - 2e0 / 3)) <= 0.06e0 THEN 'rule-of-thirds' ELSE 'abstain' END AS composition FROM best""")
-def composition_verdict(spark, sf):
-    return verdicts_of(table(spark, sf, "lineitem").where("l_linenumber <= 2"))
-
-
 @query("""WITH b AS (SELECT l_orderkey AS id, l_linenumber % 4 = 0 AS text, l_discount * 60 AS entropy, l_linenumber % 5 = 0 AS sym, l_quantity AS w, l_suppkey % 90 AS x FROM lineitem),
 best AS (SELECT id, bool_or(text) AS text, min(entropy) AS entropy, bool_or(sym) AS sym, arg_max((x + x + w) / 2 / 100e0, w * w * 1000 + x) AS x FROM b GROUP BY id)
-SELECT id, CASE WHEN text AND entropy < 3 THEN 'abstain' WHEN sym THEN 'symmetrical' WHEN abs(x - 0.5e0) <= 0.06e0 THEN 'centered' WHEN least(abs(x - 1e0 / 3), abs(x - 2e0 / 3)) <= 0.06e0 THEN 'rule-of-thirds' ELSE 'abstain' END AS composition FROM best""")
-def composition_verdict_all(spark, sf):
-    """As composition_verdict, whose SQL reads two lines of an order, from all lines."""
+SELECT id, CASE WHEN text AND entropy < 3 THEN 'abstain' WHEN sym THEN 'symmetrical' WHEN abs(x - 0.5e0) <= 0.06e0 THEN 'centered' WHEN least(abs(x - 1e0 / 3), abs(x - 2e0 / 3)) <= 0.06e0 THEN 'rule-of-thirds' ELSE 'abstain' END AS composition FROM best""", also=("composition_verdict_all",))
+def composition_verdict(spark, sf):
+    """From all lines of an order."""
     return verdicts_of(table(spark, sf, "lineitem"))
 
 
@@ -123,10 +125,11 @@ def palette_labels(spark, sf):
     return p.select("id", lb.color_bias(F.col("bands"), F.col("sat"))["value"].alias("bias"), lb.saturation_word(F.col("sat")).alias("saturation"), lb.lighting(F.col("mean"), F.col("mean") - 0.2, F.col("mean") + 0.2).alias("lighting"))
 
 
-@query("""SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN NOT ((l_discount <= 0.03e0 OR l_discount >= 0.97e0) AND (l_tax < 0.01e0 OR l_quantity / 10 < 1)) THEN 'cleared' WHEN l_tax / 5 <= 0.01e0 THEN 'blank' ELSE 'review' END AS disposition FROM lineitem""")
+@query("""WITH f AS (SELECT l_orderkey AS id, l_linenumber AS n, l_discount * 9.7e0 AS luma, l_tax / 7 AS spread, l_tax / 11 AS detail, l_quantity / 10 AS entropy FROM lineitem)
+SELECT id, n, CASE WHEN luma > 0.1e0 AND luma < 0.9e0 OR detail >= 0.005e0 AND entropy >= 2.5e0 THEN 'cleared' WHEN spread > 0.005e0 THEN 'review' ELSE 'blank' END AS disposition FROM f""")
 def quality_floor(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), lb.quality_floor(F.col("l_discount"), F.col("l_tax") / 5, F.col("l_tax"), F.col("l_quantity") / 10).alias("disposition"))
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), lb.quality_floor(F.col("l_discount") * 9.7, F.col("l_tax") / 7, F.col("l_tax") / 11, F.col("l_quantity") / 10).alias("disposition"))
 
 
 @query("""SELECT id, k FROM (SELECT p_partkey AS id, unnest([CASE WHEN p_size % 4 = 0 THEN 'text' END, CASE WHEN p_size % 10 / 50e0 >= 0.1e0 THEN 'rating' END, CASE WHEN p_size % 3 = 0 AND p_size / 100e0 < 0.35e0 THEN 'unsure' END,
@@ -146,21 +149,44 @@ def tier_ladder(spark, sf):
     return w.select("id", "tier", lb.tier_height(F.col("width"), F.col("h"), F.col("tier")).alias("height"))
 
 
-@query(r"""SELECT page_id AS id, CASE WHEN s = '' THEN 'work' ELSE s END AS slug FROM (SELECT page_id, CASE WHEN length(s) > 60 THEN regexp_replace(substr(s, 1, 61), '-[^-]*$', '') ELSE s END AS s FROM
-(SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '^the-', '') AS s FROM pages))""")
+SLUG = r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(lower(strip_accents(translate(url, 'eow', 'éÔw'))), '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g') AS s FROM pages),
+t AS (SELECT page_id, regexp_replace(trim(s, '-'), '^the-', '') AS s FROM n),
+slug AS (SELECT page_id, CASE WHEN s = '' THEN 'work' WHEN length(s) > 60 THEN regexp_replace(substr(s, 1, 61), '-[^-]*$', '') ELSE s END AS s FROM t)
+"""
+
+
+def accented(spark, sf):
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.translate("url", "eow", "éÔw").alias("name"))
+
+
+@query(SLUG + "SELECT page_id AS id, s AS slug FROM slug")
 def work_slug(spark, sf):
-    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), tx.slug(F.col("url")).alias("slug"))
+    return accented(spark, sf).select("id", tx.slug(F.col("name")).alias("slug"))
+
+
+@query(SLUG + """SELECT page_id AS id, s || CASE WHEN page_id % 3 = 0 AND page_id % 5 <> 0 THEN printf('-e%02d', page_id % 120) WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN '-part-' || page_id % 9
+ WHEN page_id % 3 = 1 AND page_id % 5 <> 0 THEN '-part-' || page_id % 120 ELSE '' END AS work FROM slug""")
+def work_ids(spark, sf):
+    """Episodes with and without a number; films with a named part, with one of signs alone, with none of both."""
+    k = F.col("id")
+    kind = F.when(k % 3 == 0, "episode").when(k % 3 == 1, "movie").otherwise("clip")
+    part = F.when(k % 2 == 0, F.concat(F.lit("Part "), (k % 9).cast("string"))).otherwise("!")
+    return accented(spark, sf).select("id", tx.work_id(F.col("name"), kind, F.when(k % 5 != 0, k % 120), part).alias("work"))
 
 
-@query(r"""SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN p_size WHEN p_size % 4 = 1 THEN p_size * 3 WHEN p_size % 4 = 2 THEN p_size END AS episode FROM part""")
+NAMES = ("'[Grp] Title S01E' || lpad(n, 2, '0') || ' (1080p).mkv'", "'Title - ' || n || ' [x].mkv'", "'Show Ep ' || n || ' 4K.mp4'", "'Film 1999 2160p 12 7.mkv'", "'Show.s2e' || n || '.720p.mkv'", "'Show #' || n || ' 5.1.mkv'", "'Show ' || n || ' 60 fps.mkv'", "'Show – ' || lpad(n, 2, '0') || 'v2.mkv'")
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 8 WHEN 3 THEN NULL ELSE p_size END AS episode, p_size % 8 = 5 AS extra FROM part""")
 def episode_guess(spark, sf):
-    k = F.col("p_size")
-    name = F.when(k % 4 == 0, F.format_string("[Grp] Title S01E%02d (1080p).mkv", k)).when(k % 4 == 1, F.format_string("Title - %d [x].mkv", k * 3)).when(k % 4 == 2, F.format_string("Show Ep %d 4K.mp4", k)).otherwise(F.lit("Film 1999 2160p 12 7.mkv"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.guess_episode(name).alias("episode"))
+    """File names of eight kinds; the fourth has several bare numbers and tells none."""
+    p = table(spark, sf, "part").withColumn("n", F.col("p_size").cast("string"))
+    name = F.element_at(F.array(*map(F.expr, NAMES)), (F.col("p_size") % 8 + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("id"), tx.guess_episode(name).alias("episode"), tx.looks_extra(F.when(F.col("p_size") % 8 == 5, F.concat(F.lit("[G] NCOP2 "), name)).otherwise(name)).alias("extra"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, printf('E%02d', event_id % 130) AS code
-FROM (SELECT event_id, CAST(floor(value * 40) AS BIGINT) AS s FROM events)""")
+FROM (SELECT event_id, CAST(floor(value * 40 + 0.5e0) AS BIGINT) AS s FROM events)""")
 def time_format(spark, sf):
     e = table(spark, sf, "events")
     return e.select(F.col("event_id").alias("id"), tx.clock(F.col("value") * 40).alias("clock"), tx.episode_code(F.col("event_id") % 130).alias("code"))
@@ -171,14 +197,9 @@ def publish_budget(spark, sf):
     return table(spark, sf, "events").groupBy(F.concat(F.lit("fam"), "event_type").alias("kind")).agg(lb.publish_budget(F.count_distinct("user_id")).alias("budget"))
 
 
-@query(r"""SELECT page_id AS id, row_number() OVER (ORDER BY regexp_extract(url, '^([^0-9]*)', 1), CAST(coalesce(nullif(regexp_extract(url, '/([0-9]+)', 1), ''), '0') AS BIGINT), url) AS place FROM pages WHERE regexp_matches(url, '^[^0-9]*/[0-9]+$')""")
+@query(r"""WITH k AS (SELECT page_id, url, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN CASE WHEN length(p) > 10 THEN '0000000000' || p ELSE lpad(p, 10, '0') END ELSE p END), '') AS key FROM pages)
+SELECT page_id AS id, row_number() OVER (ORDER BY key, url, page_id) AS place FROM k""", also=("natural_order_all",))
 def natural_order(spark, sf):
-    return in_natural_order(table(spark, sf, "pages").where(F.col("url").rlike(r"^[^0-9]*/[0-9]+$")))
-
-
-@query()
-def natural_order_all(spark, sf):
-    """As natural_order, whose SQL takes urls with one number at the end, over all pages."""
     return in_natural_order(table(spark, sf, "pages"))
 
 
@@ -189,23 +210,6 @@ def in_natural_order(pages):
     return placed(rows, "key", "url", "id").select("id", "place")
 
 
-IMPORT = with_views("still") + """, run AS (SELECT id, CASE WHEN id % 2 = 0 THEN work ELSE 'src0' END AS work, ts + 1 AS ts, TRUE AS selected FROM still WHERE id % 4 <> 3 AND id >= 100)
-, works AS (SELECT DISTINCT work FROM run)
-SELECT coalesce(t.id, r.id) AS id, coalesce(r.work, t.work) AS work, coalesce(r.ts, t.ts) AS ts,
-CASE WHEN r.id IS NOT NULL THEN r.selected WHEN t.work IN (SELECT work FROM works) THEN FALSE ELSE t.selected END AS selected,
-coalesce(t.review_state, 'unreviewed') AS review_state, coalesce(t.locked, FALSE) AS locked
-FROM (SELECT * FROM still WHERE id < 700) t FULL JOIN run r ON r.id = t.id
-WHERE NOT (r.id IS NULL AND t.work IN (SELECT work FROM works) AND t.review_state = 'unreviewed' AND NOT t.locked AND NOT t.excluded)
-"""
-
-
-@query(IMPORT)
-def import_merge(spark, sf):
-    s = stills(spark, sf)
-    run = s.where("id % 4 <> 3 AND id >= 100").select("id", F.when(F.col("id") % 2 == 0, F.col("work")).otherwise("src0").alias("work"), (F.col("ts") + 1).alias("ts"), "facets", F.lit(True).alias("selected"))
-    return ing.merge(s.where("id < 700").select("id", *ing.PIPELINE, *ing.REVIEW), run).select("id", "work", "ts", "selected", "review_state", "locked")
-
-
 @query(with_views("still") + """, run AS (SELECT CASE WHEN id % 8 = 2 THEN id + (SELECT max(id) + 1 FROM still) ELSE id END AS id, CASE WHEN id % 2 = 0 THEN work ELSE 'src0' END AS work, ts + 1 AS ts, TRUE AS selected FROM still WHERE id % 3 <> 2 AND work <> 'src3')
 , works AS (SELECT DISTINCT work FROM run)
 SELECT coalesce(t.id, r.id) AS id, coalesce(r.work, t.work) AS work, coalesce(r.ts, t.ts) AS ts,
@@ -213,8 +217,8 @@ CASE WHEN r.id IS NOT NULL THEN r.selected WHEN t.work IN (SELECT work FROM work
 coalesce(t.review_state, 'unreviewed') AS review_state, coalesce(t.locked, FALSE) AS locked
 FROM still t FULL JOIN run r ON r.id = t.id
 WHERE NOT (r.id IS NULL AND t.work IN (SELECT work FROM works) AND t.review_state = 'unreviewed' AND NOT t.locked AND NOT t.excluded)
-""")
-def import_merge_all(spark, sf):
+""", also=("import_merge_all",))
+def import_merge(spark, sf):
     """A run into the whole table: every eighth still of the run comes under a new id, every third has gone."""
     s = stills(spark, sf)
     top = F.broadcast(s.agg((F.max("id") + 1).alias("top")))  # one row
@@ -260,22 +264,19 @@ def boxes(spark, sf):
     return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(b).alias("boxes"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS id, l_extendedprice / 1e5 AS s, CAST(l_suppkey % 20 AS DOUBLE) AS x0, CAST(l_partkey % 20 AS DOUBLE) AS y0, l_suppkey % 20 + l_quantity AS x1, l_partkey % 20 + l_quantity AS y1 FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, x0) AS k FROM b)
-SELECT id, count(*) AS n, max(s) AS best FROM r WHERE k = 1 OR k = 2 AND NOT EXISTS (SELECT 1 FROM r f WHERE f.id = r.id AND f.k = 1 AND
- greatest(0, least(f.x1, r.x1) - greatest(f.x0, r.x0) + 1) * greatest(0, least(f.y1, r.y1) - greatest(f.y0, r.y0) + 1)
- / ((f.x1 - f.x0 + 1) * (f.y1 - f.y0 + 1) + (r.x1 - r.x0 + 1) * (r.y1 - r.y0 + 1) - greatest(0, least(f.x1, r.x1) - greatest(f.x0, r.x0) + 1) * greatest(0, least(f.y1, r.y1) - greatest(f.y0, r.y0) + 1)) > 0.3) GROUP BY id""".replace("WITH RECURSIVE", "WITH"))
-def suppress_boxes(spark, sf):
-    """The two best boxes of each frame after suppression between them."""
-    two = lambda b: F.slice(F.array_sort(b, lambda p, q: F.when(p["score"] > q["score"], -1).when(p["score"] < q["score"], 1).when(p["x0"] < q["x0"], -1).when(p["x0"] > q["x0"], 1).otherwise(0)), 1, 2)
-    kept = dt.suppress(two(F.col("boxes")), 0.3)
-    return boxes(spark, sf).select("id", F.size(kept).cast("long").alias("n"), kept[0]["score"].alias("best"))
+OVERLAP = "greatest(0e0, least(f.x1, b.x1) - greatest(f.x0, b.x0) + 1) * greatest(0e0, least(f.y1, b.y1) - greatest(f.y0, b.y0) + 1)"
+AREA = "({0}.x1 - {0}.x0 + 1) * ({0}.y1 - {0}.y0 + 1)"
 
 
-@query()
-def suppress_boxes_all(spark, sf):
-    """Every box of each frame after chained suppression; boxes of equal score and x0 go by their other edges."""
-    kept = dt.suppress(F.sort_array("boxes"), 0.3)
+@query(f"""WITH RECURSIVE box AS (SELECT l_orderkey AS id, l_extendedprice / 1e5 AS s, CAST(l_suppkey % 20 AS DOUBLE) AS x0, CAST(l_partkey % 20 AS DOUBLE) AS y0, l_suppkey % 20 + l_quantity AS x1, l_partkey % 20 + l_quantity AS y1 FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, x0, y0 DESC, x1 DESC, y1 DESC) AS k FROM box),
+w(id, k, kept) AS (SELECT DISTINCT id, CAST(0 AS BIGINT), CAST([] AS STRUCT(s DOUBLE, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) FROM b
+ UNION ALL SELECT w.id, b.k, CASE WHEN len(list_filter(w.kept, lambda f: {OVERLAP} / ({AREA.format("f")} + {AREA.format("b")} - {OVERLAP}) > 0.3e0)) > 0 THEN w.kept
+  ELSE list_append(w.kept, {{'s': b.s, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}}) END FROM w JOIN b ON b.id = w.id AND b.k = w.k + 1)
+SELECT id, CAST(max(len(kept)) AS BIGINT) AS n, max(list_aggregate(list_transform(kept, lambda f: f.s), 'max')) AS best FROM w GROUP BY id""", also=("suppress_boxes_all",))
+def suppress_boxes(spark, sf):
+    """Every box of each frame after chained suppression; boxes of equal score go by their left edge."""
+    kept = dt.suppress(F.sort_array("boxes", asc=False), 0.3)
     return boxes(spark, sf).select("id", F.size(kept).cast("long").alias("n"), kept[0]["score"].alias("best"))
 
 
@@ -297,10 +298,13 @@ def keep_rest(spark, sf):
     return rv.keep_rest(s, s.where("work IN ('src1', 'src2')").select("work"), F.lit("2024-01-01").cast("timestamp")).select("id", "review_state")
 
 
-@query(with_views("still") + "SELECT id, review_state FROM still")
+@query(with_views("still") + "SELECT id, CASE WHEN id % 7 = 3 THEN 'kept' ELSE review_state END AS review_state FROM still")
 def keep_rest_undone(spark, sf):
-    s, at = reviewed(spark, sf), F.lit("2024-01-01").cast("timestamp")
-    return rv.undo(rv.keep_rest(s, s.select("work"), at), "kept", at).select("id", "review_state")
+    """A batch taken back after some of its stills, and some others, were reviewed again: those stay as they are now."""
+    s, at, later = reviewed(spark, sf), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")
+    kept = rv.keep_rest(s, s.select("work"), at)
+    again = rv.set_review(kept, s.where("id % 7 = 3"), "kept", later)
+    return rv.undo(again, "kept", at).select("id", "review_state")
 
 
 @query(with_views("still", "facet") + ", m AS (SELECT * FROM facet WHERE NOT (k = 'size' AND id % 3 = 0)) SELECT id, k, v FROM m UNION ALL SELECT id, 'size', 'fixed' FROM still WHERE id % 3 = 0")
@@ -341,7 +345,7 @@ def local_names(spark, sf):
     c = table(spark, sf, "customer")
     spelt = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("name"))
     ids = rv.new_local(spelt, spelt.limit(0).select("name", F.col("c_custkey").alias("id")))
-    return spelt.join(F.broadcast(ids.select(F.lower("name").alias("k"), "id")), F.lower(spelt["name"]) == F.col("k")).groupBy("k", "id").agg(F.count(F.lit(1)).alias("n")).select(F.col("k").alias("name"), "n")
+    return spelt.join(few(ids.select(F.lower("name").alias("k"), "id")), F.lower(spelt["name"]) == F.col("k")).groupBy("k", "id").agg(F.count(F.lit(1)).alias("n")).select(F.col("k").alias("name"), "n")
 
 
 def tagged(spark, sf):

@@ -117,12 +117,18 @@ def stage_percentiles(spark, sf):
     return jb.usual_rates(j).select("stage", "film", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-RATE = ", ".join(f"round(sum(seconds) FILTER (WHERE stage = '{s}') / nullif(sum(units) FILTER (WHERE stage = '{s}'), 0), 6) AS {s}" for s in ("click", "view", "purchase"))
-
-
-@query(JOB + f"SELECT worker, {RATE} FROM job GROUP BY worker")
+@query("""WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'analyze' ELSE event_type END AS stage, CASE WHEN event_id % 11 <> 0 THEN value END AS seconds,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) * 60e0 AS video, event_id % 30 AS selected FROM events WHERE event_id % 5 <> 0 AND event_id % 4 <> 3),
+k AS (SELECT stage, count(*) AS n, sum(seconds) / (sum(video) / 60) AS rate, sum(selected) / (sum(video) / 60) AS stills FROM r WHERE seconds IS NOT NULL AND video > 0 GROUP BY stage)
+SELECT max(n) FILTER (WHERE stage = 'analyze') AS runs, round(sum(rate), 6) AS seconds_per_minute, round(max(stills) FILTER (WHERE stage = 'analyze'), 6) AS stills_per_minute FROM k HAVING bool_or(stage = 'extract') AND bool_or(stage = 'analyze')""")
 def batch_estimates(spark, sf):
-    return jb.batch_estimates(jobs(spark, sf))
+    k = F.col("id")
+    stage = F.when(F.col("stage") == "view", "extract").when(F.col("stage") == "click", "analyze").otherwise(F.col("stage"))
+    runs = jobs(spark, sf).select(
+        stage.alias("stage"), F.when(k % 5 != 0, "committed").otherwise("running").alias("state"), F.when(k % 4 == 3, 2).otherwise(1).alias("attempt"),
+        F.when(k % 11 != 0, F.col("seconds")).alias("seconds"), (F.col("units") * 60).alias("video"), (k % 30).alias("selected"),
+    )
+    return jb.batch_estimates(runs, "extract", "analyze").select("runs", F.round("seconds_per_minute", 6).alias("seconds_per_minute"), F.round("stills_per_minute", 6).alias("stills_per_minute"))
 
 
 def queue(spark, sf):
@@ -159,17 +165,29 @@ def machine_line(spark, sf):
     return jb.line(jb.runnable(queue(spark, sf), now()))
 
 
-@query(QUEUE + """, c AS (SELECT work AS chain, id AS depth, id, state FROM q)
-SELECT chain, CASE WHEN bool_or(state IN ('dead_letter', 'blocked', 'ineligible')) THEN 'attention' WHEN bool_or(state IN ('cancelled', 'cancel_requested')) THEN 'cancelled'
- WHEN bool_and(state = 'committed') THEN 'done' WHEN bool_or(state IN ('leased', 'running')) THEN 'running' ELSE 'waiting' END AS status,
- min(CASE WHEN state <> 'committed' THEN id END) AS current, count(*) AS stages FROM c GROUP BY chain""")
+STATES = ("committed", "committed", "committed", "cancelled", "queued", "retry_wait", "running", "cancel_requested", "committed", "leased", "committed", "blocked", "committed")
+STAGES = f"""WITH c AS (SELECT o_custkey AS work, o_custkey * 10 + o_orderkey % 3 AS chain, o_orderkey AS id, o_orderdate AS created, [{", ".join(f"'{s}'" for s in STATES)}][o_orderkey * 7 % {len(STATES)} + 1] AS state FROM orders)
+"""
+
+
+def stages(spark, sf):
+    """The orders of a customer as up to three chains of its work, an order a stage."""
+    k = F.col("o_orderkey")
+    state = F.element_at(F.array(*map(F.lit, STATES)), (k * 7 % len(STATES) + 1).cast("int"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("work"), (F.col("o_custkey") * 10 + k % 3).alias("chain"), k.alias("id"), F.col("o_orderdate").alias("created"), state.alias("state"))
+
+
+@query(STAGES + """, g AS (SELECT chain, min(id) FILTER (WHERE state IN ('dead_letter', 'blocked', 'ineligible')) AS stuck, min(id) FILTER (WHERE state IN ('leased', 'running', 'cancel_requested')) AS live, min(id) FILTER (WHERE state NOT IN ('committed', 'cancelled')) AS next,
+  bool_and(state = 'committed') AS done, bool_or(state = 'cancelled') AS cut, bool_or(state IN ('queued', 'leased', 'running', 'retry_wait', 'blocked', 'cancel_requested')) AS open, count(*) AS stages FROM c GROUP BY chain)
+SELECT chain, CASE WHEN stuck IS NOT NULL THEN 'attention' WHEN live IS NOT NULL THEN 'running' WHEN done THEN 'done' WHEN cut AND NOT open THEN 'cancelled' ELSE 'waiting' END AS status, coalesce(stuck, live, next) AS current, stages FROM g""")
 def chain_rollup(spark, sf):
-    return jb.chain_group(queue(spark, sf).select(F.col("work").alias("chain"), F.col("id").alias("depth"), "id", "state"))
+    return jb.chain_group(stages(spark, sf).select("chain", F.col("id").alias("depth"), "id", "state"))
 
 
-@query(QUEUE + "SELECT work, id AS chain, earlier FROM (SELECT work, id, row_number() OVER (PARTITION BY work ORDER BY created DESC, id DESC) AS r, count(*) OVER (PARTITION BY work) - 1 AS earlier FROM q) WHERE r = 1")
+@query(STAGES + """, k AS (SELECT work, chain, max(created) AS created FROM c WHERE state = 'committed' GROUP BY work, chain)
+SELECT work, chain, earlier FROM (SELECT work, chain, row_number() OVER (PARTITION BY work ORDER BY created DESC, chain) AS r, count(*) OVER (PARTITION BY work) - 1 AS earlier FROM k) WHERE r = 1""")
 def newest_chain(spark, sf):
-    return jb.newest(queue(spark, sf).select("work", F.col("id").alias("chain"), "created"))
+    return jb.newest(stages(spark, sf))
 
 
 @query(QUEUE.replace("WITH q", "WITH RECURSIVE q") + """, up(id, node, parent, depth) AS (SELECT id, id, parent, 0 FROM q UNION ALL SELECT up.id, q.id, q.parent, depth + 1 FROM up JOIN q ON q.id = up.parent)
@@ -207,10 +225,11 @@ def session_counts(spark, sf):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(CASE WHEN i = least(n - 1, round(0.05e0 * n)) THEN value END) AS p05, max(CASE WHEN i = least(n - 1, round(0.5e0 * n)) THEN value END) AS p50, max(CASE WHEN i = least(n - 1, round(0.95e0 * n)) THEN value END) AS p95 FROM r GROUP BY event_type""")
 def luma_percentiles(spark, sf):
-    """Nearest-rank percentiles, index round(p n): never between two values."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type")
-    r = table(spark, sf, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.round(F.col("n") * F.lit(p))), F.col("value")))
-    return r.groupBy("event_type").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Nearest-rank percentiles, index round(p n): never between two values. Places are counted over ranges, so a common type is many tasks."""
+    from stillwater.operators.catalog import placed
+    from stillwater.operators.keep import few, kept
+
+    r = kept(placed(table(spark, sf, "events").select("event_type", "value"), "event_type", "value"))
+    n = r.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("start"))
+    at = lambda p: F.max(F.when(F.col("place") - F.col("start") == F.least(F.col("n") - 1, F.round(F.col("n") * F.lit(p))), F.col("value")))
+    return r.join(few(n), "event_type").groupBy("event_type").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))

@@ -58,14 +58,41 @@ def selection_metrics(spark, sf):
     return op.selection_metrics(v, v.where("id % 10 = 0"))
 
 
+def measured(spark, sf):
+    """The vectors with a palette (none for some), a category, a scene score, and the duration of their work."""
+    k = F.col("id")
+    pal = F.when(k % 6 != 0, F.array(k % 7 / F.lit(7.0), k % 11 / F.lit(11.0), k % 5 / F.lit(5.0)))
+    return vectors(spark, sf).withColumns({"pal": pal, "cat": F.when(k % 5 != 4, (k % 5).cast("string")), "score": k * 37 % 101 / F.lit(100.0), "duration": F.lit(2000.0)})
+
+
 @query()
 def stratified_pick(spark, sf):
-    return op.stratified(vectors(spark, sf), 8)
+    return op.stratified(measured(spark, sf), 8)
 
 
 @query()
 def breadth_select(spark, sf):
-    return op.breadth(vectors(spark, sf), 8)
+    return op.breadth(measured(spark, sf), 8)
+
+
+NEAREST = VEC + """, pick AS (SELECT *, id AS turn FROM vec WHERE id % 10 = 0),
+d AS (SELECT x.work, x.id, t.id AS "by", t.turn, list_distance(CAST(x.v AS DOUBLE[]), CAST(t.v AS DOUBLE[])) AS distance FROM vec x JOIN pick t ON x.work = t.work WHERE x.id % 10 <> 0),
+m AS (SELECT work, id, arg_min("by", (distance, turn)) AS "by", round(min(distance), 6) AS distance FROM d GROUP BY work, id)
+"""
+
+
+@query(NEAREST + "SELECT * FROM m")
+def displaced_frames(spark, sf):
+    v = vectors(spark, sf)
+    return op.displaced(v, v.where("id % 10 = 0").select("work", "id", F.col("id").alias("turn"))).withColumn("distance", F.round("distance", 6))
+
+
+@query(NEAREST + "SELECT m.* FROM m WHERE id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM pick p WHERE p.work = m.work AND p.id = m.id - 3)")
+def relinked_frames(spark, sf):
+    """Every fourth frame was stood for by the one three before it."""
+    v = vectors(spark, sf)
+    orphans = v.where("id % 4 = 1 AND id % 10 <> 0").select("work", "id", (F.col("id") - 3).alias("by"))
+    return op.relinked(orphans, v, v.where("id % 10 = 0").select("work", "id", F.col("id").alias("turn")))
 
 
 @query("""SELECT shot, id, place FROM (SELECT l_orderkey AS shot, l_orderkey * 10 + l_linenumber AS id,
@@ -77,20 +104,28 @@ def best_in_shot(spark, sf):
 
 
 def hashes(spark, sf):
+    """60 bits of each text: bit k says whether an odd number of its words fall on k, so few changed words change few bits."""
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % 60).cast("int"))
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != "")
+    return d.select(F.col("doc_id").alias("id"), F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(bit(w))).alias("h"))
 
 
-HASH = "WITH h AS (SELECT doc_id AS id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents), p AS (SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 14)\n"
+HASH = """WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '') AS ws FROM documents),
+h AS (SELECT id, coalesce(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(ws, lambda w: CAST(1 AS BIGINT) << CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 60 AS INTEGER))), lambda a, b: xor(a, b)), 0) AS h FROM w),
+k AS (SELECT h, min(id) AS id, count(*) AS n FROM h GROUP BY h),
+p AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM k x JOIN k y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 5)
+"""
 
 
 @query(HASH + "SELECT a, b, distance FROM p")
 def hamming_pairs(spark, sf):
-    return op.hamming_pairs(hashes(spark, sf), 14, 6)
+    return op.hamming_pairs(hashes(spark, sf), 5, 6)
 
 
-@query(HASH.replace("WITH h AS", "WITH RECURSIVE h AS") + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, seen) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
-SELECT id, min(seen) AS family FROM r GROUP BY id""")
+@query(HASH.replace("WITH w AS", "WITH RECURSIVE w AS") + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, seen) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+f AS (SELECT id, min(seen) AS family FROM r GROUP BY id)
+SELECT h.id, coalesce(f.family, k.id) AS family FROM h JOIN k ON k.h = h.h LEFT JOIN f ON f.id = k.id WHERE k.n > 1 OR f.id IS NOT NULL""")
 def dedup_families(spark, sf):
     h = hashes(spark, sf)
-    return op.families(h, op.hamming_pairs(h, 14, 6))
+    return op.families(h, op.hamming_pairs(h, 5, 6))

@@ -43,11 +43,29 @@ def box(score, *xy):
 
 
 def test_suppression_boundary(spark):
-    two = F.array(box(0.9, 0, 0, 10, 10), box(0.8, 1.8, 0, 12, 10))
-    three = F.array(box(0.9, 0, 0, 10, 10), box(0.8, 1, 0, 11, 10), box(0.7, 20, 20, 30, 30))
-    r = spark.range(1).select(detect.suppress(two).alias("a"), detect.suppress(three).alias("b")).first()
-    assert [x.score for x in r.a] == [0.9, 0.8] or [x.score for x in r.a] == [0.9]
-    assert [x.score for x in r.b] == [0.9, 0.7]
+    """A box of half of another's pixels overlaps it by exactly a half, which is not more than a half."""
+    half = F.array(box(0.9, 0, 0, 9, 9), box(0.8, 0, 0, 9, 4))
+    r = spark.range(1).select(detect.suppress(half, 0.5).alias("a"), detect.suppress(half, 0.499).alias("b")).first()
+    assert [x.score for x in r.a] == [0.9, 0.8] and [x.score for x in r.b] == [0.9]
+
+
+def test_suppression_by_hand(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for i in range(40):
+        at, size = rng.integers(0, 30, (9, 2)), rng.integers(3, 25, (9, 2))
+        rows.append((i, [(float(k) / 10, *map(float, at[k]), *map(float, at[k] + size[k])) for k in rng.permutation(9)]))
+    df = spark.createDataFrame(rows, "i int, b array<struct<score:double,x0:double,y0:double,x1:double,y1:double>>")
+    got = {r.i: [x.score for x in r.k] for r in df.select("i", detect.suppress(F.col("b"), 0.3).alias("k")).collect()}
+    pixels_of = lambda b: {(x, y) for x in range(int(b[1]), int(b[3]) + 1) for y in range(int(b[2]), int(b[4]) + 1)}
+    for i, boxes in rows:
+        held = []
+        for b in sorted(boxes, reverse=True):
+            p = pixels_of(b)
+            if all(len(p & q) / len(p | q) <= 0.3 for _, q in held):
+                held.append((b[0], p))
+        assert got[i] == [s for s, _ in held]
+    assert {len(k) for k in got.values()} >= {4, 5, 6}
 
 
 def test_review_changes(spark):

@@ -1,11 +1,16 @@
 """Column rules against truth tables, sequential operators against invariants and brute force."""
 
+import math
+import re
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stillwater.functions import color, labels, text
-from stillwater.operators import catalog, ingest, intervals, similar
+from stillwater.operators import catalog, frames, ingest, intervals, similar, workflow
+from stillwater.operators import jobs as jobs_op
 from stillwater.sources import records
 from stillwater.streaming import jobs
 
@@ -19,10 +24,14 @@ def test_colours(spark):
     assert tuple(r) == ("#8A6D5B", "black", "white", "#f4f4f4", "#111")
 
 
-@pytest.mark.parametrize(("face", "value"), [(0.6, "close-up"), (0.38, "close-up"), (0.052, "medium"), (0.0015, "wide"), (0.0002, "wide")])
-def test_face_bands(spark, face, value):
-    s = labels.shot_scale(F.lit("abstain"), F.lit(0.0), F.lit(face), F.lit(False), F.lit(0.0))
-    assert one(spark, s.alias("s")).s.value == value
+@pytest.mark.parametrize("cut", [c for c, _ in labels.FACE_CUTS])
+def test_face_bands(spark, cut):
+    """The value changes at the cut, and the score is lower on both sides of it than far from both cuts."""
+    at = lambda x: one(spark, labels.shot_scale(F.lit("abstain"), F.lit(0.0), F.lit(x), F.lit(False), F.lit(0.0)).alias("s")).s
+    below, above, far = at(cut * 0.97), at(cut * 1.03), at(0.9)
+    order = [v for _, v in labels.FACE_CUTS] + ["wide"]
+    assert order.index(below.value) == order.index(above.value) + 1 and at(cut).value == above.value
+    assert below.score == above.score < far.score and {below.lane, above.lane} == {"face-occupancy"}
 
 
 @pytest.mark.parametrize(("bands", "value"), [((0.3, 0.4, 0.3, 0, 0, 0, 0, 0), "warm"), ((0, 0, 0, 0, 0.3, 0.5, 0.2, 0), "cool"), ((0.2, 0.2, 0.1, 0, 0.2, 0.2, 0.1, 0), "mixed")])
@@ -30,18 +39,66 @@ def test_bias(spark, bands, value):
     assert one(spark, labels.color_bias(F.array(*[F.lit(float(b)) for b in bands]), F.lit(0.5)).alias("b")).b.value == value
 
 
-@pytest.mark.parametrize(("width", "tiers"), [(1920, [320, 640, 960, 1920]), (3840, [320, 640, 960, 1920]), (1280, [320, 640, 960, 1280]), (720, [320, 640, 720]), (200, [200])])
-def test_tiers(spark, width, tiers):
-    assert one(spark, labels.tier_widths(F.lit(width)).alias("t")).t == tiers
+@pytest.mark.parametrize("width", [1, 319, 320, 321, 700, 961, 1919, 5000])
+def test_tiers(spark, width):
+    """Every tier below the width, and the width itself or the largest tier."""
+    steps = (320, 640, 960, 1920)
+    want = sorted({t for t in steps if t <= width} | ({width} if width < 1920 else set()))
+    assert one(spark, labels.tier_widths(F.lit(width)).alias("t")).t == want
 
 
 def test_text(spark):
-    assert one(spark, text.clock(F.lit(3725.9)), text.clock(F.lit(65)), text.episode_code(F.lit(100)), text.stamp(F.lit(49049), F.lit(1), F.lit(24000))) == ("1:02:05", "1:05", "E100", "00h00m02s043")
-    assert one(spark, text.slug(F.lit("The Hero's Tale: Part 2")), text.guess_episode(F.lit("[G] Show - 07v2 [1080p].mkv")), text.guess_episode(F.lit("Film 1999 2 3.mkv")), text.looks_extra(F.lit("Show - 00 [NCOP].mkv"))) == ("heros-tale-part-2", 7, None, True)
+    assert one(spark, text.clock(F.lit(59.5)), text.clock(F.lit(59.49)), text.clock(F.lit(7261.5)), text.clock(F.lit(65)), text.episode_code(F.lit(100)), text.stamp(F.lit(49049), F.lit(1), F.lit(24000))) == ("1:00", "0:59", "2:01:02", "1:05", "E100", "00h00m02s043")
     names = spark.createDataFrame([("Episode 10",), ("Episode 2",)], "n string").orderBy(text.natural_key(F.col("n")))
     assert [r.n for r in names.collect()] == ["Episode 2", "Episode 10"]
 
 
+def slug_by_hand(name):
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower().replace("'", "").replace("\u2019", "")
+    w = re.findall("[a-z0-9]+", plain)
+    w = w[1:] if len(w) > 1 and w[0] == "the" else w
+    out = w[0][:61] if w else "work"
+    for x in w[1:]:
+        if len(out) + 1 + len(x) > 60:
+            break
+        out += "-" + x
+    return out
+
+
+def test_slugs(spark):
+    names = ["The Fox’s Den: Act 3", "the", "The  !", "Crème Brûlée", "Ōkami ﬁlm №5", "Ａｂｃ１２", "ĳs Ǆ", "日本", "", "a" * 70, "the " + "word " * 20, "x" * 59 + " y", "x" * 58 + " y z", "naïve—déjà", "½ price"]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(names)), "i int, n string").orderBy("i").select(text.slug(F.col("n")).alias("s")).collect()]
+    assert got == [slug_by_hand(n) for n in names]
+
+
+def test_work_ids(spark):
+    rows = [("A Show", "episode", 4, None), ("A Show", "episode", 104, None), ("A Show", "episode", None, "x"), ("Film", "movie", 2, "Second Part"), ("Film", "movie", 2, "第二"), ("Film", "movie", None, "第二"), ("Film", "movie", 1, None),
+            ("long " * 14, "movie", 3, "part " * 9), ("word " * 4, "movie", 3, "p" * 80), ("Clip", "clip", 1, "x")]
+    got = [r.w for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, k string, e int, p string").orderBy("i").select(text.work_id(F.col("n"), F.col("k"), F.col("e"), F.col("p")).alias("w")).collect()]
+    assert got[:7] == ["a-show-e04", "a-show-e104", "a-show", "film-second-part", "film-part-2", "film", "film"] and got[9] == "clip"
+    assert all(len(w) <= 72 for w in got) and got[7].startswith("long-long") and got[7].endswith("part-part") and got[8].startswith("word-word") and got[8].endswith("-3")
+
+
+def test_episode_names(spark):
+    names = {
+        "Show S2E11.mkv": 11, "Show s02 e3 extra.mkv": 3, "Show - 12 - Title 99.mkv": 12, "Show -12.mkv": 12, "Show-12.mkv": 12, "Show Episode 8 of 12.mkv": 8, "Show ep.9 2.mkv": 9, "Show E14.mkv": 14, "Show #6 1998.mkv": 6, "Show 1080p 23.mkv": 23,
+        "Show 5.1 7.mkv": 7, "Show 10 bit 31.mkv": 31, "Show 1 2.mkv": None, "Show.mkv": None, "[x] Show (12).mkv": None, "Show 12345.mkv": None, "Show – 05v2.mkv": 5,
+    }
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, n string").orderBy("i").select("n", text.guess_episode(F.col("n")).alias("e")).collect()
+    assert {r.n: r.e for r in rows} == names
+
+
+def test_extras(spark):
+    names = {"Show NCOP1.mkv": True, "Show OP.mkv": True, "Opera 3.mkv": False, "Show_ED2 (clean).mkv": False, "Clean Ending.mkv": True, "Clean room.mkv": False, "Special-1.mkv": True, "Menu2.mkv": False, "Trailer.mkv": True, "Show 01.mkv": False}
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, n string").select("n", text.looks_extra(F.col("n")).alias("x")).collect()
+    assert {r.n: r.x for r in rows} == names
+
+
+def test_cleaned(spark):
+    r = one(spark, text.sort_name(F.lit("An Owl")), text.sort_name(F.lit("Another")), text.sort_name(F.lit("the ")), text.folder_name(F.lit('a: b/"c" .')), text.folder_name(F.lit("aux")), text.clean_path(F.lit("/a//b\\c/")), text.clean_path(F.lit("a/../b")), text.clean_path(F.lit(" ")), text.clean_line(F.lit(" a\t\n b ")), text.clean_line(F.lit("x" * 201)))
+    assert tuple(r) == ("Owl", "Another", "the ", "a-b-c", "aux-x", "a/b/c", None, None, "a b", None)
+
+
 def test_overlay_clears(spark):
     m = F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("y"))
     h = F.create_map(F.lit("a"), F.lit(None).cast("string"), F.lit("c"), F.lit("z"))
@@ -60,18 +117,23 @@ def test_near_is_every_near_colour(spark, small):
     assert got == {(r.id, r.t) for r in want.select("id", "t").collect()} and got
 
 
-def test_hamming_pairs_all(spark):
+@pytest.mark.parametrize(("most", "bands"), [(14, 6), (5, 6), (7, 4)])
+def test_hamming_pairs_all(spark, most, bands):
     rng = np.random.default_rng(3)
     hs = [int(x) for x in rng.integers(0, 1 << 60, 40)]
-    hs += [h ^ int(sum(1 << int(b) for b in rng.choice(60, 7, replace=False))) for h in hs]
-    df = spark.createDataFrame(list(enumerate(hs)), "id long, h long")
-    got = {(r.a, r.b, r.distance) for r in similar.hamming_pairs(df, 14, 6).collect()}
-    assert got == {(i, j, (hs[i] ^ hs[j]).bit_count()) for i in range(80) for j in range(i + 1, 80) if (hs[i] ^ hs[j]).bit_count() <= 14}
+    hs += [h ^ int(sum(1 << int(b) for b in rng.choice(60, most // 2, replace=False))) for h in hs]
+    df = spark.createDataFrame([*enumerate(hs), (500, hs[3]), (501, hs[3])], "id long, h long")
+    got = [(r.a, r.b, r.distance) for r in similar.hamming_pairs(df, most, bands).collect()]
+    want = {(i, j, (hs[i] ^ hs[j]).bit_count()) for i in range(80) for j in range(i + 1, 80) if (hs[i] ^ hs[j]).bit_count() <= most}
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_families(spark):
-    links = spark.createDataFrame([(1, 2), (2, 5), (5, 9), (3, 4)], "a long, b long")
-    assert {(r.id, r.family) for r in similar.families(None, links).collect()} == {(1, 1), (2, 1), (5, 1), (9, 1), (3, 3), (4, 3)}
+    links = spark.createDataFrame([(1, 2), (2, 5), (5, 9), (3, 4), *[(i, i + 1) for i in range(20, 45)]], "a long, b long")
+    want = {(1, 1), (2, 1), (5, 1), (9, 1), (3, 3), (4, 3)} | {(i, 20) for i in range(20, 46)}
+    assert {(r.id, r.family) for r in similar.families(None, links).collect()} == want
+    nodes = spark.createDataFrame([(i, i) for i in (1, 2, 3, 4, 5, 9, 60, *range(20, 46))] + [(70, 2), (71, 77), (72, 77)], "id long, h long")
+    assert {(r.id, r.family) for r in similar.families(nodes, links).collect()} == want | {(70, 1), (71, 71), (72, 71)}
 
 
 def test_pairs_across_blocks(spark):
@@ -84,15 +146,132 @@ def test_pairs_across_blocks(spark):
     assert got == {(i, j) for i in range(60) for j in range(60) if i % 4 < j % 4 and s[i, j] >= 0.4}
 
 
-def test_picks(spark, small):
-    from stillwater.sources.tables import vectors
+@pytest.fixture(scope="module")
+def pool(spark):
+    """Frames of three works with gaps in time, near twins, and missing palettes and categories."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for w, n in ((1, 40), (2, 25), (3, 5)):
+        v = rng.normal(size=(n, 6))
+        v[1::4] = v[::4][: len(v[1::4])] + rng.normal(size=v[1::4].shape) * 0.05
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for i in range(n):
+            pal = [float(x) for x in rng.random(3)] if i % 5 else None
+            rows.append((w * 100 + i, w, float(i * i % 977 + (300 if i > 20 else 0)), [float(np.float32(x)) for x in v[i]], pal, f"c{i % 4}" if i % 7 else None, float(rng.integers(0, 9)), 1300.0))
+    return rows, spark.createDataFrame(rows, "id long, work int, ts double, v array<float>, pal array<double>, cat string, score double, duration double").cache()
+
 
-    v = vectors(spark, small)
-    for f in (similar.stratified, similar.breadth):
-        a = f(v, 6).collect()
-        assert sorted(map(tuple, a)) == sorted(map(tuple, f(v.repartition(3), 6).collect()))
-        assert len({r.id for r in a}) == len(a)
-        assert all(n == 6 for n in np.unique([r.work for r in a], return_counts=True)[1])
+def test_stratified_by_hand(pool):
+    rows, df = pool
+    for budget in (4, 9):
+        got = {}
+        for r in similar.stratified(df.repartition(3), budget, block=7).collect():
+            got.setdefault(r.work, {})[r.turn] = r.id
+        for w in (1, 2, 3):
+            mine = sorted((r for r in rows if r[1] == w), key=lambda r: (r[2], r[0]))
+            e = np.array([r[3] for r in mine])
+            s, start, best, taken = e @ e.T, mine[0][2], np.zeros(len(mine)), []
+
+            def worth(j):
+                x = float(np.maximum(s[j] - best, 0).sum()) / len(mine)
+                pals = [mine[k][4] for k in taken if mine[k][4]]
+                if mine[j][4]:
+                    x += 0.35 * (min(math.dist(p, mine[j][4]) for p in pals) if pals else 0.5)
+                if mine[j][5] and mine[j][5] not in {mine[k][5] for k in taken}:
+                    x += 0.25
+                return x - 6 * max(0.0, max((s[j, k] for k in taken), default=0) - 0.9)
+
+            cells = {}
+            for j, r in enumerate(mine):
+                cells.setdefault(int(min(budget - 1, (r[2] - start) / (1300 / budget))), []).append(j)
+            for turn in range(min(budget, len(mine))):
+                among = cells[sorted(cells)[turn]] if turn < len(cells) else range(len(mine))
+                j = max((j for j in among if j not in taken), key=worth)
+                taken.append(j)
+                best = np.maximum(best, s[j])
+            assert [got[w][t] for t in sorted(got[w])] == [mine[j][0] for j in taken]
+
+
+def test_breadth_by_hand(pool):
+    rows, df = pool
+    for budget, alpha in ((6, 0.5), (30, 0.5), (6, 0.0)):
+        picks = similar.breadth(df.repartition(3), budget, alpha).cache()
+        got = {}
+        for r in picks.collect():
+            got.setdefault(r.work, {})[r.turn] = r.id
+        gone = {r.id: (r.by, r.distance) for r in similar.displaced(df, picks).collect()}
+        for w in (1, 2, 3):
+            mine = sorted((r for r in rows if r[1] == w), key=lambda r: (-r[6], r[2], r[0]))
+            taken = [mine[0]]
+            while len(taken) < min(budget, len(mine)):
+                left = [r for r in mine if r not in taken]
+                value = lambda r: min(math.dist(r[3], t[3]) for t in taken) * (min(1, min(abs(r[2] - t[2]) for t in taken) / (1300 / budget)) ** alpha if alpha else 1)  # noqa: E731, B023
+                taken.append(max(left, key=value))
+            assert [got[w][t] for t in sorted(got[w])] == [t[0] for t in taken]
+            for r in mine:
+                if r not in taken:
+                    t = min(taken, key=lambda t: math.dist(r[3], t[3]))  # noqa: B023
+                    assert gone[r[0]][0] == t[0] and abs(gone[r[0]][1] - math.dist(r[3], t[3])) < 1e-9
+                else:
+                    assert r[0] not in gone
+
+
+def shots(spark, n=60, sources=2):
+    rng = np.random.default_rng(13)
+    rows = [(s, i, float(rng.random() * 900), float(rng.integers(1, 6)), 900.0, int(rng.integers(1, 6))) for s in range(sources) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "src long, shot int, mid double, score double, duration double, frames int").repartition(5)
+
+
+def test_ranked_shots_by_hand(spark):
+    rows, df = shots(spark)
+    got = {(r.src, r.turn): r.shot for r in frames.rank_shots(df, 12).collect()}
+    for s in range(2):
+        left, done = sorted((r for r in rows if r[0] == s), key=lambda r: (-r[3], r[2], r[1])), []
+        while left:
+            near = lambda r: min((abs(r[2] - d[2]) for d in done), default=math.inf)  # noqa: E731, B023
+            best = max(left, key=lambda r: r[3] * min(1, near(r) / 75) ** 0.5)
+            left.remove(best)
+            done.append(best)
+        assert [got[s, t] for t in range(60)] == [r[1] for r in done]
+
+
+def test_planned_extractions_by_hand(spark):
+    rows, df = shots(spark)
+    ranked = frames.rank_shots(df, 12, 0)
+    got = {(r.src, r.shot): (r.planned, r.reason) for r in frames.plan(ranked.join(df.select("src", "shot", "frames"), ["src", "shot"]), 20, 55).collect()}
+    for s in range(2):
+        held = 0
+        for k, r in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (-r[3], r[2], r[1]))):
+            fits, ok = held + r[5] <= 55, False
+            if fits and k < 25:
+                held, ok = held + r[5], True
+            assert got[s, r[1]] == (ok, "" if ok else "shot_plan_budget" if fits else "extraction_attempt_limit")
+
+
+def test_held_picks_by_hand(spark):
+    rng = np.random.default_rng(14)
+    rows = [(s, int(rng.integers(0, 30)), s * 10_000 + i, float(i), int(rng.integers(0, 40)) if rng.random() < 0.7 else None) for s in range(3) for i in range(150)]
+    got = {(r.src, r.shot): (r.id, r.pts) for r in workflow.held_picks(spark.createDataFrame(rows, "src long, shot long, id long, ts double, pts long").repartition(4)).collect()}
+    want = {}
+    for s in range(3):
+        by, seen = {}, set()
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: r[3]):
+            by.setdefault(r[1], []).append(r)
+        for shot, members in by.items():
+            for i in sorted(range(len(members)), key=lambda i: abs(i - (len(members) - 1) / 2)):  # noqa: B023
+                if members[i][4] is not None and members[i][4] not in seen:
+                    seen.add(members[i][4])
+                    want[s, shot] = (members[i][2], members[i][4])
+                    break
+    assert got == want
+
+
+def test_roots_of_long_chains(spark):
+    rows = [(i, i - 1 if i % 37 else None) for i in range(200)] + [(500, 499)]
+    got = {(r.id, r.root, r.depth) for r in jobs_op.roots(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got == {(i, i - i % 37, i % 37) for i in range(200)} | {(500, 500, 0)}
+    with pytest.raises(ValueError, match="circle"):
+        jobs_op.roots(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
 
 
 def test_intervals_of_no_rows(spark):
@@ -101,9 +280,14 @@ def test_intervals_of_no_rows(spark):
     assert [tuple(r) for r in intervals.free(intervals.merge(none), spans).collect()] == [(1, 0.0, 100.0)]
 
 
-@pytest.mark.parametrize(("title", "s", "e", "kind"), [("OP", 38.0, 128.0, "opening_theme:named"), ("Chapter 02", 58.0, 148.0, "opening_theme:length-and-position"), ("Intro", 0.0, 190.0, None), ("OP", 100.0, 100.0, None), ("Optional", 600.0, 690.0, None)])
-def test_chapters(spark, title, s, e, kind):
-    assert one(spark, intervals.chapter_kind(F.lit(title), F.lit(s), F.lit(e), F.lit(1420.0)).alias("k")).k == kind
+@pytest.mark.parametrize(
+    ("title", "start", "length", "kind"),
+    [("Op2 x", 700, 60, "opening_theme:named"), ("opening!", 1, 21, "opening_theme:named"), ("ED", 30, 300, "ending_theme:named"), ("Credit roll", 9, 19, None), ("Edge", 900, 84, None), ("", 360, 85, "opening_theme:length-and-position"), ("", 361, 85, None),
+     ("Part", 1905, 95, "ending_theme:length-and-position"), ("Part", 1904, 96, None), ("OP", 0, 1941, None), ("op_x", 700, 60, None)],
+)
+def test_chapters(spark, title, start, length, kind):
+    """Own chapters of a file of 2,000 seconds, on both sides of each limit."""
+    assert one(spark, intervals.chapter_kind(F.lit(title), F.lit(float(start)), F.lit(float(start + length)), F.lit(2000.0)).alias("k")).k == kind
 
 
 def test_import_twice_is_import_once(spark, small):
@@ -191,7 +375,7 @@ def test_spread_ranks_every_shot(spark, small):
 def test_compositions_of_all_lines(spark, small):
     from stillwater.plans import rules
 
-    got = {r.id: r.composition for r in rules.composition_verdict_all(spark, small).collect()}
+    got = {r.id: r.composition for r in rules.composition_verdict(spark, small).collect()}
     lines = {}
     for r in spark.read.parquet(f"{small}/lineitem.parquet").collect():
         lines.setdefault(r.l_orderkey, []).append(r)
@@ -217,7 +401,7 @@ def test_chained_suppression(spark, small):
             if all(iou(k, b) <= 0.3 for k in kept):
                 kept.append(b)
         want[r.id] = (len(kept), kept[0][0])
-    got = {r.id: (r.n, r.best) for r in rules.suppress_boxes_all(spark, small).collect()}
+    got = {r.id: (r.n, r.best) for r in rules.suppress_boxes(spark, small).collect()}
     assert got == want and max(n for n, _ in got.values()) > 2
 
 
@@ -226,7 +410,7 @@ def test_import_meets_every_branch(spark, small):
     from stillwater.sources.tables import stills
 
     old = {r.id: r for r in stills(spark, small).collect()}
-    got = {r.id: r for r in rules.import_merge_all(spark, small).collect()}
+    got = {r.id: r for r in rules.import_merge(spark, small).collect()}
     asked = {i for i, r in old.items() if i % 3 != 2 and r.work != "src3"}
     works = {old[i].work if i % 2 == 0 else "src0" for i in asked}
     top = max(old) + 1
@@ -249,7 +433,7 @@ def test_all_pages_in_natural_order(spark, sf):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url").collect()}
     key = lambda i: (re.sub(r"[0-9]+", lambda m: m[0].lstrip("0").rjust(10, "0"), urls[i].lower()), urls[i], i)
     want = {i: k for k, i in enumerate(sorted(urls, key=key), 1)}
-    out = rules.natural_order_all(spark, f"/root/testdata/{sf}")
+    out = rules.natural_order(spark, f"/root/testdata/{sf}")
     assert {r.id: r.place for r in out.collect()} == want
 
 
@@ -260,38 +444,9 @@ def test_places_of_ties_and_nulls(spark):
     assert catalog.placed(df.limit(0), "n", "id").count() == 0
 
 
-def greedy_picks(rows, budget, spread):
-    """The picks of one work, by a matrix of all its frames. rows: (id, ts, v) in order of time."""
-    e = np.array([v for _, _, v in rows], np.float32).astype(np.float64)
-    ts, sims, taken, n = np.array([t for _, t, _ in rows]), np.rint(e @ e.T * 1e9), [], len(rows)
-    cell = np.minimum(budget - 1, (ts - ts[0]) / ((ts[-1] - ts[0]) / budget)).astype(int) if ts[-1] > ts[0] else np.zeros(n, int)
-    cells = [*np.unique(cell), *[-1] * budget]
-    for k in cells[: min(budget, n)]:
-        if spread:
-            worth = {j: min((np.linalg.norm(e[j] - e[t]) for t in taken), default=0.0) for j in range(n) if j not in taken}
-        else:
-            best = np.maximum(0, sims[taken].max(0)) if taken else np.zeros(n)
-            worth = {j: np.maximum(sims[j] - best, 0).sum() / 1e9 / n - 6 * max(0, best[j] / 1e9 - 0.9) for j in range(n) if j not in taken and (k < 0 or cell[j] == k)}
-        taken.append(max(worth, key=lambda j: (worth[j], -j)))
-    return [rows[j][0] for j in taken]
-
-
-@pytest.mark.parametrize("block", [7, 2048])
-def test_picks_are_greedy(spark, block):
-    rng = np.random.default_rng(8)
-    sizes, rows = (90, 23, 5, 1), []
-    for work, n in enumerate(sizes):
-        v = rng.normal(size=(n, 6)) + (3 if work == 1 else 0)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        v[n // 2 : n // 2 + 4] = v[0]  # copies
-        rows += [(100 * work + i, work, 0, float(i // 2 * (work != 2)), [float(x) for x in v[i]]) for i in range(n)]
-    df = spark.createDataFrame(rows, "id long, work int, series int, ts double, v array<float>").repartition(5)
-    for spread, out in ((False, similar.stratified(df, 6, block)), (True, similar.breadth(df, 6))):
-        got = {}
-        for r in out.orderBy("work", "turn").collect():
-            got.setdefault(r.work, []).append(r.id)
-        assert got == {w: greedy_picks([(r[0], r[3], r[4]) for r in rows if r[1] == w], 6, spread) for w in range(len(sizes))}
-    assert similar.stratified(df.limit(0), 6).count() == similar.breadth(df.limit(0), 6).count() == 0
+def test_picks_of_no_frames(spark):
+    none = spark.createDataFrame([], "id long, work int, series int, ts double, v array<float>")
+    assert similar.stratified(none, 6).count() == similar.breadth(none, 6).count() == 0
 
 
 def test_no_task_holds_a_work(spark, monkeypatch, tmp_path):
