@@ -1,7 +1,7 @@
 """A catalogue served in pages, as a Spark data source over stored answers.
 
 spark.dataSource.register(CatalogueSource); spark.read.format("catalogue").option("path", folder).option("kind", "series").load()
-reads folder/series-1.json, series-2.json, ... each {"Total": n, "List": [{"ID": 1, "Name": ...}]}, up to Total.
+reads folder/series-1.json, series-2.json, ... each {"Total": n, "List": [{"ID": 1, "Name": ...}]}, up to Total. The folder is one that driver and executors share.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PAGE, MOST_PAGES = 100, 49
+PAGE = 100
 ALLOWED = ("series", "episode", "file")
 
 
@@ -31,7 +31,7 @@ class CatalogueReader(DataSourceReader):
             return json.load(f)
 
     def partitions(self):
-        return [Page(k + 1) for k in range(min(MOST_PAGES, max(1, -(-int(self.answer(1)["Total"]) // PAGE))))]
+        return [Page(k + 1) for k in range(max(1, -(-int(self.answer(1)["Total"]) // PAGE)))]
 
     def read(self, partition):
         for row in self.answer(partition.number)["List"]:

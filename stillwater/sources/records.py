@@ -38,10 +38,12 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".mkv", ".mp4", ".avi"), most: int = 2000) -> DataFrame:
-    """name, length of a folder's files of given kinds, by name; the limit is the listing's own."""
+    """name, length, left_out, others of a folder's files of given kinds, by name: the first `most`, how many more there
+    are, and how many files of other kinds."""
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
-    kind = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
-    return files.where(kind.isin(*suffixes)).orderBy("name").limit(most)
+    kind = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(*suffixes)
+    n = files.agg(F.greatest(F.lit(0), F.count_if(kind) - most).cast("long").alias("left_out"), F.count_if(~kind).alias("others"))
+    return files.where(kind).orderBy("name").limit(most).join(F.broadcast(n)).orderBy("name")  # one row
 
 
 def newest_version(folders: DataFrame) -> DataFrame:

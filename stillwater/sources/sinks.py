@@ -21,16 +21,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def publish(df: DataFrame, path: str, replace: bool = False) -> bool:
-    """Writes df below `path` and then the marker that points at it; keeps a published table unless told to replace it."""
+    """Writes df below `path` and then the marker that points at it; keeps a published table unless told to replace it.
+
+    The new marker takes the old one's place in one step, so there is no moment without one.
+    """
     spark = df.sparkSession
     if not replace and exists(spark, f"{path}/READY"):
         return False
     part = uuid.uuid4().hex
     df.write.parquet(f"{path}/{part}")
-    spark.createDataFrame([(json.dumps({"data": part, "columns": sorted(df.columns)}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/READY.{part}")
-    fs, ready = filesystem(spark, f"{path}/READY")
-    fs.delete(ready, True)
-    fs.rename(filesystem(spark, f"{path}/READY.{part}")[1], ready)
+    fs, fresh = filesystem(spark, f"{path}/READY.{part}")
+    out = fs.create(fresh)
+    out.write(bytearray(json.dumps({"data": part, "columns": sorted(df.columns)}, sort_keys=True).encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{path}/READY"), how)
     return True
 
 
@@ -42,5 +50,5 @@ def published(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(df: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys, in order of the id: the same rows give the same bytes."""
-    df.select("id", F.to_json(F.struct(*sorted(df.columns))).alias("value")).orderBy("id").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """JSON lines with sorted keys, in order of the id through the part files: read in order of their names, the same rows give the same bytes."""
+    df.select("id", F.to_json(F.struct(*sorted(df.columns))).alias("value")).orderBy("id").select("value").write.mode("overwrite").text(path)
