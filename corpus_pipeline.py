@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
 `documents`; the last returns one row per packed piece.
+
+Cases, in every stage: a null text counts as empty; documents without a word pass the near
+stage as they are, and the mix takes nothing of them; a null source is a source; a null
+doc_id is an id like others; of repeated rows one stays from the exact stage on; columns
+beyond those of `documents` are carried along whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations

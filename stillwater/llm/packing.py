@@ -2,7 +2,8 @@
 
 A bin never holds two documents of one source or of one duplicate cluster. Documents
 are dealt to shards of about `shard_docs` by a hash of the row, so a source or cluster
-of any share is spread evenly; in a shard they go, longest first, to the bin with the
+of any share is spread evenly; rows that are the same in all that is read are counted
+first and spread in portions. In a shard they go, longest first, to the bin with the
 least room that fits. Open bins stand in order of room left; each carries bitmaps of
 its sources and clusters, and the search walks from the first bin that fits to its
 successors until one is compatible: the tightest compatible bin. A document longer
@@ -11,8 +12,8 @@ than a bin fills bins of its own, and its last words are packed as a piece.
 Cases: a null or empty text has size 0 and is still placed; a null source conflicts with
 none; a null cluster (only where the caller gives clusters) conflicts with none;
 repeated rows are copies of each other, so they never share a bin; equal sizes go by
-doc_id (null first), then cluster; no rows give no rows. Only `doc_id`, `text`, `source` and the
-cluster column are read.
+doc_id (null first), then cluster; no rows give no rows. Only `doc_id` (an integer), `text`,
+`source` and the cluster column are read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from stillwater.llm.common import WORD, ascii_lower
 
+PORTION = 250  # equal rows that go to one shard together
 PLACED = "doc_id long, source string, piece int, size long, bin_id long, bin_offset long, bin_used long"
 
 
@@ -55,9 +57,9 @@ def best_fit(pieces: list[tuple[int, str | None, str | None]], capacity: int) ->
 def pack_shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "size")], strict=True))
+        rows = zip(*[table.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "size", "times")], strict=True)
         pieces = []
-        for doc_id, source, cluster, size in rows:
+        for doc_id, source, cluster, size in [r[:4] for r in rows for _ in range(r[4])]:
             # A row's pieces of a whole bin each, then the rest.
             full, rest = divmod(size, capacity)
             pieces += [(capacity, doc_id, cluster, source, k) for k in range(full)]
@@ -85,7 +87,11 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 2000, cluster:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     n = docs.count()
     shards = -(-n // shard_docs) or 1
-    # Repeated rows of a doc_id part by size as well; copies of one text are spread by their ids.
-    shard = F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("long")
-    rows = docs.select("doc_id", "source", same.alias("cluster"), size.alias("size")).withColumn("shard", shard)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", same.alias("cluster"), size.alias("size"))
+    rows = rows.groupBy("doc_id", "source", "cluster", "size").agg(F.count(F.lit(1)).alias("n"))
+    portion = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PORTION)))
+    rows = rows.select("*", portion.alias("portion")).withColumn("times", F.least(F.lit(PORTION), F.col("n") - F.col("portion") * PORTION).cast("int"))
+    # Copies of one text are spread by their ids, rows without an id by all else.
+    shard = F.pmod(F.xxhash64("doc_id", "size", "portion", F.when(F.col("doc_id").isNull(), F.xxhash64("source", "cluster"))), F.lit(shards)).cast("long")
+    rows = rows.select(shard.alias("shard"), "doc_id", "source", "cluster", "size", "times")
     return rows.groupBy("shard").applyInArrow(pack_shard(capacity), PLACED)
