@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States in which a chain is over for good, may be sent round again, and stages that need the extra frames.
@@ -82,35 +83,27 @@ def waiting_for(jobs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def held_picks(samples: DataFrame) -> DataFrame:
-    """shot, id, pts: of each held shot the sample nearest its middle that resolves to a frame. Shots take turns by their
+    """src, shot, id, pts: of each held shot the sample nearest its middle that resolves to a frame. Shots take turns by their
     first sample's time; a frame that an earlier shot's pick has is tried no more. samples: src, shot, id, ts, pts (null: unresolved).
 
-    Only shots whose best choice is another's too depend on each other, so rounds go on while there are any: in each, the
-    earliest shot that wants a frame gets it and the others go on to their next sample.
+    Each shot's wishes are ordered by windows; only giving out the frames is one shot after another, so a source, which is
+    one video of some thousand samples, is one group of its resolved wishes.
     """
-    from pyspark.sql import Window
-
-    from stillwater.operators.keep import kept
-
     shot = Window.partitionBy("src", "shot")
     place = F.row_number().over(shot.orderBy("ts", "id")) - 1
     rows = samples.withColumns({"i": place, "n": F.count(F.lit(1)).over(shot), "first": F.min("ts").over(shot)})
-    rows = rows.where("pts IS NOT NULL").withColumn("off", F.abs(F.col("i") - (F.col("n") - 1) / 2))
-    rows = kept(rows.select("src", "shot", "first", "id", "pts", F.row_number().over(shot.orderBy("off", "i")).alias("want")))
-    out = None
-    while True:
-        # A shot's next wish; of several shots that wish one frame the earliest has it.
-        wish = rows.groupBy("src", "shot", "first").agg(F.min(F.struct("want", "id", "pts")).alias("w"))
-        wish = kept(wish.select("src", "shot", "first", "w.id", "w.pts"))
-        # An earlier shot that still gives way may yet come to this frame, so only shots before the first clash are settled.
-        won = wish.groupBy("src", "pts").agg(F.min(F.struct("first", "shot")).alias("f"), F.count(F.lit(1)).alias("k"))
-        clash = wish.join(won.where("k > 1"), ["src", "pts"]).where(F.struct("first", "shot") > F.col("f")).groupBy("src").agg(F.min(F.struct("first", "shot")).alias("stop"))
-        settled = kept(wish.join(clash, "src", "left").where(F.col("stop").isNull() | (F.struct("first", "shot") < F.col("stop"))).select("src", "shot", "id", "pts"))
-        out = settled if out is None else out.unionByName(settled)
-        rows = rows.join(settled.select("src", "shot"), ["src", "shot"], "left_anti").join(settled.select("src", "pts"), ["src", "pts"], "left_anti")
-        rows = kept(rows)
-        if rows.isEmpty():
-            return out
+    rows = rows.where("pts IS NOT NULL").select("src", "shot", "first", "id", "pts", F.abs(F.col("i") - (F.col("n") - 1) / 2).alias("off"), "i")
+
+    def give(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, taken, done, out = pdf.sort_values(["first", "shot", "off", "i"]), set(), set(), []
+        for r in pdf.itertuples():
+            if r.shot not in done and r.pts not in taken:
+                done.add(r.shot)
+                taken.add(r.pts)
+                out.append((r.src, r.shot, r.id, r.pts))
+        return pd.DataFrame(out, columns=["src", "shot", "id", "pts"])
+
+    return rows.groupBy("src").applyInPandas(give, "src long, shot long, id long, pts long")
 
 
 def tally(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

@@ -446,7 +446,7 @@ def test_places_of_ties_and_nulls(spark):
 
 def test_picks_of_no_frames(spark):
     none = spark.createDataFrame([], "id long, work int, series int, ts double, v array<float>")
-    assert similar.stratified(none, 6).count() == similar.breadth(none, 6).count() == 0
+    assert similar.stratified(none, 2).count() == similar.breadth(none, 2).count() == 0
 
 
 def test_no_task_holds_a_work(spark, monkeypatch, tmp_path):
