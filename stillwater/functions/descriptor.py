@@ -38,8 +38,12 @@ def pull(c: Column) -> Column:
 def hue_supports(colors: Column) -> Column:
     """Eight shares: how much each band is backed by colours near it; all 0 without a coloured one."""
     live = F.filter(colors, has_hue)
-    near = lambda c, hue: F.greatest(F.lit(0.0), F.lit(1.0) - turn(F.lit(hue), c["hue"]) / REACH) * pull(c)
-    raw = F.array(*[total(F.transform(live, lambda c, h=h: near(c, h))) for h in BANDS])
+
+    def band(hue: float) -> Column:
+        near = lambda c: F.greatest(F.lit(0.0), F.lit(1.0) - turn(F.lit(hue), c["hue"]) / REACH) * pull(c)
+        return total(F.transform(live, near))
+
+    raw = F.array(*[band(h) for h in BANDS])
     return F.transform(raw, lambda x: F.when(total(raw) > 1e-6, x / total(raw)).otherwise(x))
 
 

@@ -43,9 +43,9 @@ def retry_verdict(jobs: DataFrame, works: DataFrame) -> DataFrame:
     return rows.select("id", verdict.alias("verdict"))
 
 
-def regular_workers(workers: DataFrame, now: Column) -> DataFrame:
-    """capability, worker: the regular worker of a capability that was seen last, within ten minutes. workers: worker, capabilities, standby, seen."""
-    live = workers.where(~F.col("standby") & (F.col("seen") > now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(LIVE_SECONDS))))
+def regular_workers(workers: DataFrame, now: Column, seconds: int = LIVE_SECONDS) -> DataFrame:
+    """capability, worker: the regular worker of a capability that was seen last, within `seconds`. workers: worker, capabilities, standby, seen."""
+    live = workers.where(~F.col("standby") & (F.col("seen") > now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))))
     return live.select("worker", "seen", F.explode("capabilities").alias("capability")).groupBy("capability").agg(F.max_by("worker", F.struct("seen", "worker")).alias("worker"))
 
 

@@ -212,14 +212,14 @@ def waiting_texts(spark, sf):
 
 
 @query("""WITH w AS (SELECT user_id AS worker, ts AS seen, event_id % 3 = 0 AS standby, unnest(CASE WHEN event_id % 4 = 0 THEN [event_type] ELSE [event_type, 'source'] END) AS capability FROM events)
-SELECT capability, arg_max(worker, (seen, worker)) AS worker FROM w WHERE NOT standby AND seen > (SELECT max(ts) FROM events) - INTERVAL 600 SECOND * 200 GROUP BY capability""".replace("INTERVAL 600 SECOND * 200", "INTERVAL 600 SECOND"))
+SELECT capability, arg_max(worker, (seen, worker)) AS worker FROM w WHERE NOT standby AND seen > (SELECT max(ts) FROM events) - INTERVAL 172800 SECOND GROUP BY capability""")
 def regular_workers(spark, sf):
-    """The events as workers checking in; now is the last event."""
+    """The events as workers checking in; now is the last event, and two days count as just now."""
     e = table(spark, sf, "events")
     now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
     caps = F.when(F.col("event_id") % 4 == 0, F.array("event_type")).otherwise(F.array("event_type", F.lit("source")))
     rows = e.join(now).select(F.col("user_id").alias("worker"), F.col("ts").alias("seen"), (F.col("event_id") % 3 == 0).alias("standby"), caps.alias("capabilities"), "now")
-    return wf.regular_workers(rows, F.col("now"))
+    return wf.regular_workers(rows, F.col("now"), 172_800)
 
 
 @query("""SELECT DISTINCT 'root' || event_type || event_id % 17 AS name FROM events WHERE event_id % 4 <> 0 AND event_id % 5 <> 0 AND event_id % 17 <> 3""")
@@ -273,12 +273,12 @@ def palettes(spark, sf):
     li = table(spark, sf, "lineitem")
     c = F.struct(
         F.col("l_linenumber").alias("k"), (F.col("l_partkey") * 37 % 360).cast("double").alias("hue"), (F.col("l_discount") * 10).alias("sat"), (F.col("l_suppkey") % 101 / F.lit(100.0)).alias("luma"),
-        (F.col("l_quantity") / 100).alias("weight"), (F.col("l_tax") - 0.04).alias("cb"), (F.col("l_tax") * F.lit(-0.5)).alias("cr"), (F.col("l_linenumber") % 3 == 0).alias("accent"),
+        ((F.col("l_quantity") + F.col("l_partkey") % 7) / F.lit(93.0)).alias("weight"), (F.col("l_tax") - 0.04).alias("cb"), (F.col("l_tax") * F.lit(-0.5)).alias("cr"), (F.col("l_linenumber") % 3 == 0).alias("accent"),
     )
     return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(c)).alias("c"))
 
 
-COLOURS = """WITH c AS (SELECT l_orderkey AS id, l_linenumber AS k, CAST(l_partkey * 37 % 360 AS DOUBLE) AS hue, l_discount * 10 AS sat, l_suppkey % 101 / 100e0 AS luma, l_quantity / 100 AS weight, l_tax - 0.04e0 AS cb, l_tax * -0.5e0 AS cr, l_linenumber % 3 = 0 AS accent FROM lineitem),
+COLOURS = """WITH c AS (SELECT l_orderkey AS id, l_linenumber AS k, CAST(l_partkey * 37 % 360 AS DOUBLE) AS hue, l_discount * 10 AS sat, l_suppkey % 101 / 100e0 AS luma, (l_quantity + l_partkey % 7) / 93e0 AS weight, l_tax - 0.04e0 AS cb, l_tax * -0.5e0 AS cr, l_linenumber % 3 = 0 AS accent FROM lineitem),
 live AS (SELECT *, weight * (0.25e0 + sat) AS w FROM c WHERE sat >= 0.08e0 AND luma BETWEEN 0.1e0 AND 0.94e0)
 """
 
@@ -291,10 +291,11 @@ def hue_supports(spark, sf):
     return p.withColumn("support", F.round("support", 9))
 
 
-@query(COLOURS + """SELECT ids.id, round(coalesce(sum(sat * w) / sum(w), 0e0), 9) AS chroma, round(coalesce(sum(cb * w) / sum(w), 0e0), 9) AS cb, round(coalesce(sum(cr * w) / sum(w), 0e0), 9) AS cr FROM (SELECT DISTINCT id FROM c) ids LEFT JOIN live ON live.id = ids.id GROUP BY ids.id""")
+@query(COLOURS + """SELECT ids.id, round(coalesce(sum(sat * w) / sum(w), 0e0), 6) AS chroma, round(coalesce(sum(cb * w) / sum(w), 0e0) + 1, 6) AS cb, round(coalesce(sum(cr * w) / sum(w), 0e0) + 1, 6) AS cr FROM (SELECT DISTINCT id FROM c) ids LEFT JOIN live ON live.id = ids.id GROUP BY ids.id""")
 def palette_temperature(spark, sf):
-    mean = lambda n: F.round(de.weighted_mean(F.col("c"), n), 9)
-    return palettes(spark, sf).select("id", mean("sat").alias("chroma"), mean("cb").alias("cb"), mean("cr").alias("cr"))
+    """Mean chroma, and temperature as blue and red difference from 1 on."""
+    mean = lambda n: de.weighted_mean(F.col("c"), n)
+    return palettes(spark, sf).select("id", F.round(mean("sat"), 6).alias("chroma"), F.round(mean("cb") + 1, 6).alias("cb"), F.round(mean("cr") + 1, 6).alias("cr"))
 
 
 @query(COLOURS + ", s AS (SELECT *, CASE WHEN accent THEN greatest(weight, 0.06e0) ELSE weight END AS w FROM c) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k, hue, sat, luma, weight, cb, cr) - 1 AS INTEGER) AS place, round(w / sum(w) OVER (PARTITION BY id), 9) AS share FROM s")
