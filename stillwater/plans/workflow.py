@@ -272,13 +272,13 @@ def palettes(spark, sf):
     """The lines of an order as its colours."""
     li = table(spark, sf, "lineitem")
     c = F.struct(
-        F.col("l_linenumber").alias("k"), (F.col("l_partkey") * 37 % 360).cast("double").alias("hue"), (F.col("l_discount") * 10).alias("sat"), (F.col("l_suppkey") % 101 / F.lit(100.0)).alias("luma"),
-        ((F.col("l_quantity") + F.col("l_partkey") % 7) / F.lit(93.0)).alias("weight"), (F.col("l_tax") - 0.04).alias("cb"), (F.col("l_tax") * F.lit(-0.5)).alias("cr"), (F.col("l_linenumber") % 3 == 0).alias("accent"),
+        F.col("l_linenumber").alias("k"), (F.col("l_partkey") * 37 % 360).cast("double").alias("hue"), (F.col("l_discount") * 9.71 + 0.0131).alias("sat"), (F.col("l_suppkey") % 101 / F.lit(100.0)).alias("luma"),
+        ((F.col("l_quantity") + F.col("l_partkey") % 7) / F.lit(93.0)).alias("weight"), (F.col("l_tax") * 1.013 - 0.0413).alias("cb"), (F.col("l_tax") * F.lit(-0.5037)).alias("cr"), (F.col("l_linenumber") % 3 == 0).alias("accent"),
     )
     return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(c)).alias("c"))
 
 
-COLOURS = """WITH c AS (SELECT l_orderkey AS id, l_linenumber AS k, CAST(l_partkey * 37 % 360 AS DOUBLE) AS hue, l_discount * 10 AS sat, l_suppkey % 101 / 100e0 AS luma, (l_quantity + l_partkey % 7) / 93e0 AS weight, l_tax - 0.04e0 AS cb, l_tax * -0.5e0 AS cr, l_linenumber % 3 = 0 AS accent FROM lineitem),
+COLOURS = """WITH c AS (SELECT l_orderkey AS id, l_linenumber AS k, CAST(l_partkey * 37 % 360 AS DOUBLE) AS hue, l_discount * 9.71e0 + 0.0131e0 AS sat, l_suppkey % 101 / 100e0 AS luma, (l_quantity + l_partkey % 7) / 93e0 AS weight, l_tax * 1.013e0 - 0.0413e0 AS cb, l_tax * -0.5037e0 AS cr, l_linenumber % 3 = 0 AS accent FROM lineitem),
 live AS (SELECT *, weight * (0.25e0 + sat) AS w FROM c WHERE sat >= 0.08e0 AND luma BETWEEN 0.1e0 AND 0.94e0)
 """
 
