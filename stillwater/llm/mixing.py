@@ -149,9 +149,11 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     both = both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(whole) + F.size(parts))))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     spans = F.get(F.col(parts), F.col(copy) - F.col(whole) - 1)
-    cut = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(words, s["from"] + 1, s["words"]))), "")
+    # The words are one element of an array, so that they are found once for all spans.
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(w, s["from"] + 1, s["words"]))), ""))[0]
     full = F.col(copy) <= F.col(whole)
-    own = {"text": F.when(full, F.col("text")).otherwise(cut)}
+    both = both.withColumn("text", F.when(full, F.col("text")).otherwise(cut))
+    own = {}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(full, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+        own["n_chars"] = F.when(full, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])

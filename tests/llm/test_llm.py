@@ -222,8 +222,8 @@ def test_mix_meets_targets(spark):
     by = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want"), F.max("shard").alias("shard"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
     assert all(abs(r.t - r.want) <= 96 * (r.shard + 2) and r.over <= 0 for r in by)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7), shard_words=5000).collect()))
-    again = mixing.repeat_documents(docs, mixed)
-    assert again.columns == docs.columns
+    again = mixing.repeat_documents(docs, mixed).cache()
+    assert again.columns == docs.columns and again.where("n_chars <> length(text)").isEmpty()
     n = again.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).collect()
     assert {r.source: r.n for r in n} == {r.source: r.t for r in by if r.t}
 
