@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stillwater.llm import (
-    divergence_rules, exact_dedup, jaccard_join, license_scan, lm_interpolation, mixing, packing, quality_crf, toxicity, url_filter,
+    decontamination, divergence_rules, exact_dedup, jaccard_join, license_scan, lm_interpolation, mixing, packing, quality_crf, toxicity, url_filter,
 )
 from stillwater.llm.common import table
 
@@ -56,11 +57,18 @@ def op10_url_filter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), blocked_hosts=bare)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_crf, op3_lm_interpolation, op4_mix_sources, op5_toxicity,
         op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_url_filter, op10_url_filter_labels,
+        op11_decontaminate,
     )
 }
 
@@ -145,4 +153,20 @@ hits AS (SELECT page_id, host, path, rule, action, row_number() OVER (PARTITION
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN list_has_any(string_split(host, '.'), [{_BLOCKED}]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM hits WHERE k = 1"""
 
-ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL}
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LEAK_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ITEM_WORD}') AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ITEM_WORD}') AS ws FROM benchmark),
+w AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(ws[i + 1:i + least(len(ws), 10)], ' ') AS g
+  FROM b, unnest(range(len(ws) - least(len(ws), 10) + 1)) AS r(i) WHERE len(ws) > 0),
+lengths AS (SELECT DISTINCT k FROM w),
+grams AS (SELECT row, i, k, array_to_string(ws[i + 1:i + k], ' ') AS g FROM d, lengths, unnest(range(len(ws) - k + 1)) AS r(i)),
+hits AS (SELECT row, i, grams.k, item FROM grams JOIN w ON grams.k = w.k AND grams.g = w.g),
+n AS (SELECT row, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT row, i, k FROM hits), unnest(range(k)) AS r(j) GROUP BY row),
+items AS (SELECT row, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN items USING (row)"""
+
+ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL, "op11_decontaminate": _LEAK_SQL}

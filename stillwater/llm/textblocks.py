@@ -63,9 +63,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
             at = to
 
 
-def tokens(data: np.ndarray, offs: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of every word."""
-    word = IS_WORD[data]
+def tokens(data: np.ndarray, offs: np.ndarray, kinds: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every word; kinds: which bytes are of a word."""
+    word = kinds[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
