@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.llm import (
-    decontamination, divergence_rules, exact_dedup, jaccard_join, license_scan, lm_interpolation, mixing, packing, quality_crf, toxicity, url_filter,
+    decontamination, divergence_rules, exact_dedup, jaccard_join, license_scan, lm_interpolation, mixing, packing, periodic_runs, quality_crf, toxicity, url_filter,
 )
 from stillwater.llm.common import table
 
@@ -63,12 +63,37 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts of every tenth id by crc32 made periodic from a word on; the others as they are. One array of words a text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        a = g % F.size(w)
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.array(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    made = F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")), ["doc_id"])
+    more = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate("runs", F.expr("CAST(NULL AS struct<start:long,length:long,period:long>)"), more)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    ).select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.floor(1000 * F.col("b.length") / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_crf, op3_lm_interpolation, op4_mix_sources, op5_toxicity,
         op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_url_filter, op10_url_filter_labels,
-        op11_decontaminate,
+        op11_decontaminate, op13_periodic_runs,
     )
 }
 
@@ -169,4 +194,28 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (row) LEFT JOIN items USING (row)"""
 
-ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL, "op11_decontaminate": _LEAK_SQL}
+# The polynomial of crc32 is a fixed value.
+_CRC = """
+crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i))"""
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+_RUNS_SQL = rf"""
+WITH {_CRC},
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws, CASE WHEN doc_id IS NOT NULL THEN {_CRC_OF.format("CAST(doc_id AS VARCHAR)")} END AS h FROM documents, crc_table),
+a AS (SELECT row, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS made, CASE WHEN len(ws) > 0 THEN h // 10 % len(ws) END AS a, h // 10 AS g FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (
+  SELECT row, n, i, CASE WHEN made AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS word
+  FROM p, unnest(range(n)) AS r(i)),
+same AS (SELECT x.row, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM same),
+long AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY row, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT row, start, length, min(q) AS period FROM long GROUP BY row, start, length),
+best AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs),
+lines AS (SELECT row, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, i FROM runs, unnest(range(start + period, start + length)) AS r(i)),
+kept AS (SELECT row, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256 FROM w ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (row) LEFT JOIN lines USING (row) LEFT JOIN kept USING (row)"""
+
+ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL, "op11_decontaminate": _LEAK_SQL, "op13_periodic_runs": _RUNS_SQL}
