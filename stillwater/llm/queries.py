@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.llm import (
-    decontamination, divergence_rules, exact_dedup, jaccard_join, license_scan, lm_interpolation, mixing, packing, periodic_runs, quality_crf, toxicity, url_filter,
+    conversation_repair, decontamination, divergence_rules, exact_dedup, jaccard_join, license_scan, lm_interpolation, mixing, packing, periodic_runs, quality_crf, toxicity, url_filter,
 )
 from stillwater.llm.common import table
 
@@ -63,6 +63,21 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Faults by crc32 of `conv_id:turn`: a row goes, loses its text or its marks, comes twice, or is said by the user."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", name("role").alias("role"), name("text").alias("text"), (F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn"))) % 20).alias("k"))
+    role = F.when(F.col("k") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.where("k <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(damaged(rows), rows.select("conv_id"))
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """The texts of every tenth id by crc32 made periodic from a word on; the others as they are. One array of words a text."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -93,7 +108,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_quality_crf, op3_lm_interpolation, op4_mix_sources, op5_toxicity,
         op6_exact_dedup, op7_best_fit_packing, op8_ngram_jaccard, op9_quality_rules, op10_url_filter, op10_url_filter_labels,
-        op11_decontaminate, op13_periodic_runs,
+        op11_decontaminate, op12_conversation_repair, op13_periodic_runs,
     )
 }
 
@@ -198,6 +213,52 @@ FROM d LEFT JOIN n USING (row) LEFT JOIN items USING (row)"""
 _CRC = """
 crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i))"""
 _CRC_OF = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _repair_sql() -> str:
+    # The state machine as text: each place holds its least "cost letters", costs in eight digits.
+    plus = lambda place, n, x: f"lpad(CAST(CAST(left({place}, 8) AS BIGINT) + {n} AS VARCHAR), 8, '0') || substr({place}, 9) || '{x}'"
+    keep = lambda place, to: f"CASE WHEN NOT must AND i = '{to}' THEN {plus(place, 'cut', 'K')} END"
+    change = lambda place: f"CASE WHEN NOT must THEN {plus(place, '2 + cut', 'R')} END"
+    filled = lambda src: f"""
+    SELECT row, n, p0, ps, least(pu, {plus("p0", 2, "I")}, {plus("ps", 2, "I")}, {plus("pa", 2, "I")}) AS pu, least(pa, {plus("pu", 2, "I")}, {plus("least(p0, ps)", 4, "II")}) AS pa FROM ({src})"""
+    step = f"""
+    SELECT w.row, n + 1 AS n, {plus("p0", 3, "D")} AS p0, least({plus("ps", 3, "D")}, {keep("p0", "s")}) AS ps,
+           least({plus("pu", 3, "D")}, {keep("p0", "u")}, {keep("ps", "u")}, {keep("pa", "u")}, {change("p0")}, {change("ps")}, {change("pa")}) AS pu,
+           least({plus("pa", 3, "D")}, {keep("pu", "a")}, {change("pu")}) AS pa
+    FROM ways w JOIN f ON f.row = w.row AND f.pos = w.n + 1"""
+    return rf"""
+WITH RECURSIVE {_CRC},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC_OF.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc_table),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS r(j) WHERE k <> 0),
+ids AS (SELECT row_number() OVER () AS row, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (SELECT row, turn, role, text, row_number() OVER (PARTITION BY row ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM rows JOIN ids ON ids.conv_id IS NOT DISTINCT FROM rows.conv_id),
+m AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY row, role, text ORDER BY pos) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS open, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY row ORDER BY pos) AS before FROM o),
+f AS (SELECT *, blank OR again AS must, CAST(open AND NOT blank AND NOT again AS INTEGER) AS cut FROM m),
+ways AS (
+  {filled("SELECT row, CAST(0 AS BIGINT) AS n, '00000000' AS p0, '99000000' AS ps, '99000000' AS pu, '99000000' AS pa FROM ids")}
+  UNION ALL {filled(step)}),
+best AS (SELECT row, substr(least(p0, pa), 9) AS audit, CAST(left(least(p0, pa), 8) AS BIGINT) AS cost FROM ways QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC) = 1),
+letters AS (SELECT row, j, audit[j] AS x, len(replace(left(audit, j), 'I', '')) AS pos, len(replace(left(audit, j), 'D', '')) AS out FROM best, unnest(range(1, len(audit) + 1)) AS r(j)),
+said AS (
+  SELECT l.row, l.j, x, CASE WHEN x = 'I' THEN '' ELSE text END AS text, role, out,
+         max(CASE WHEN out = 1 AND x = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.row) AS s
+  FROM letters l LEFT JOIN f ON x <> 'I' AND f.row = l.row AND f.pos = l.pos WHERE x <> 'D'),
+fixed AS (SELECT row, sha256(string_agg(CASE WHEN x = 'K' THEN role WHEN (out - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS repaired_sha256 FROM said GROUP BY row),
+sums AS (
+  SELECT row, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, CAST(sum(cut) AS BIGINT) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY row)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM ids JOIN best USING (row) LEFT JOIN sums USING (row) LEFT JOIN fixed USING (row)"""
+
+
 _RUNS_SQL = rf"""
 WITH {_CRC},
 d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws, CASE WHEN doc_id IS NOT NULL THEN {_CRC_OF.format("CAST(doc_id AS VARCHAR)")} END AS h FROM documents, crc_table),
@@ -218,4 +279,4 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
        coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
 FROM d LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (row) LEFT JOIN lines USING (row) LEFT JOIN kept USING (row)"""
 
-ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL, "op11_decontaminate": _LEAK_SQL, "op13_periodic_runs": _RUNS_SQL}
+ORACLES = {"op1_license_scan": _license_sql(), "op4_mix_sources": _MIX_SQL, "op6_exact_dedup": _DEDUP_SQL, "op10_url_filter": _URL_SQL, "op10_url_filter_labels": _URL_SQL, "op11_decontaminate": _LEAK_SQL, "op12_conversation_repair": _repair_sql(), "op13_periodic_runs": _RUNS_SQL}
