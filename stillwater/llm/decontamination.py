@@ -240,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove is {remove!r}")
     found = hits(docs, benchmark, most_words=most_words)
-    span = found.columns[-2]
+    columns, span = docs.columns, found.columns[-2]
     if remove == "documents":
         return found.where(F.size(span) == 0).select(*docs.columns)
 
@@ -254,6 +254,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
                 if rows:
                     at = [int(offs[k]), *(int(x) for s in rows for x in (w["starts"][first[k] + s["start"]], w["ends"][first[k] + s["end"] - 1])), int(offs[k + 1])]
                     texts[k] = b"".join(bytes(data[a:b]) for a, b in zip(at[::2], at[1::2], strict=True)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in columns], columns)
 
     return found.withColumn("text", F.col("text").cast("string")).mapInArrow(cut, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -5,10 +5,11 @@ index entry is one distinct fingerprint (sha256, xxhash64, length). A directory
 prefixes doubles until no bucket is overfull (more than `capacity` entries) or the bits
 end; a bucket that fits at a lesser depth keeps that depth and spans several slots. The
 entries lie in the shared folder, dealt to owner tasks by ranges of buckets and ordered in
-each. Texts of fingerprints that occur more than once go to the owner of their bucket, once
-for each text and map task: there equal digests form a chain whose links are told apart by
-their bytes, and each link has the row that stays. A row finds its link by fingerprint, and
-by its bytes where two links of a chain have one fingerprint.
+each. Texts of fingerprints that occur more than once are first gathered in `SALTS` parts (a
+part has each of its texts once, with its count and its largest row), then every part's texts
+go to the owner of their bucket: the owner compares the bytes, puts together what is equal, chains
+what is not under one digest, and names the row that stays of each link. A row finds its
+link by fingerprint, and by its bytes where two links of a chain have one fingerprint.
 
 Cases: null text counts as empty; texts are equal when identical after A-Z to a-z; the
 row with the largest doc_id stays (a null doc_id is less than any); of rows that share this
@@ -27,6 +28,9 @@ from stillwater.llm.common import ascii_lower, join_hot, stay, written
 
 KEY_BITS = 60
 PRINT = ["digest", "check", "nbytes"]
+BYTES = ["norm"]  # what an owner compares beside the fingerprint
+SALTS = 8
+MOST_SLOTS = 1_000_000  # of 20 bytes, broadcast; a larger directory is joined by shuffle
 
 
 def fingerprint(norm: Column) -> dict[str, Column]:
@@ -64,34 +68,44 @@ def directory(entries: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     return own.select("slot", F.expr(f"shiftleft(b.head, {KEY_BITS} - b.at)").alias("bucket"), F.col("b.at").alias("depth")), depth
 
 
-def index(docs: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """The fingerprint of each row (doc_id, sig, PRINT), and the index: bucket, depth, PRINT, copies, in files by ranges of buckets."""
+def in_buckets(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """rows (with a digest) with their bucket and its depth."""
+    slots = F.broadcast(slots) if slots.count() <= MOST_SLOTS else slots
+    return rows.withColumn("slot", slot_of(depth)).join(slots, "slot").drop("slot")
+
+
+def index(docs: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, int]]:
+    """The fingerprint of each row (doc_id, sig, PRINT), the index: bucket, depth, PRINT, copies, in files by ranges of buckets,
+    and the directory."""
     rows = normalised(docs)
     prints = written(rows.withColumns(fingerprint(F.col("norm"))).drop("norm"), "prints")
     entries = written(prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("copies")), "entries")
     slots, depth = directory(entries, capacity)
-    placed = entries.withColumn("slot", slot_of(depth)).join(slots, "slot").drop("slot")
-    return prints, written(placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "digest"), "index")
+    slots = written(slots, "directory")
+    return prints, written(in_buckets(entries, slots, depth).repartitionByRange("bucket").sortWithinPartitions("bucket", "digest"), "index"), (slots, depth)
 
 
-def chains(docs: DataFrame, entries: DataFrame, most_broadcast: int) -> DataFrame:
-    """The links of the entries that occur more than once: bucket, depth, PRINT, link (place in the chain), twins (links of
-    this fingerprint), bytes (the text where there are twins), keep (doc_id, sig), group_size."""
+def chains(docs: DataFrame, entries: DataFrame, where: tuple[DataFrame, int], most_broadcast: int) -> DataFrame:
+    """The links of the fingerprints that occur more than once: bucket, depth, PRINT, link (place in the chain), twins (links of
+    this fingerprint), bytes (the text where there are twins), keep (doc_id, sig), group_size. A file holds what one owner decided."""
     again = entries.where("copies > 1")
     rows = normalised(docs).withColumn("check", fingerprint(F.col("norm"))["check"])
-    if again.count() <= most_broadcast:  # beyond that all distinct texts travel, and the join below leaves out the others
+    if again.count() <= most_broadcast:  # beyond that every part's distinct texts travel, and owners leave out those that occur once
         rows = rows.join(F.broadcast(again.select("check").distinct()), "check", "left_semi")
-    texts = rows.groupBy("norm").agg(F.max(F.struct("doc_id", "sig")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    owned = texts.withColumns(fingerprint(F.col("norm"))).join(again.select("bucket", "depth", *PRINT), PRINT).repartitionByRange("bucket")
-    chain, same = Window.partitionBy("bucket", "digest").orderBy("norm"), Window.partitionBy("bucket", *PRINT)
-    owned = owned.withColumns({"link": F.row_number().over(chain), "twins": F.count(F.lit(1)).over(same)})
-    return written(owned.withColumn("bytes", F.when(F.col("twins") > 1, F.col("norm"))).drop("norm"), "chains")
+    parts = rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "norm").agg(F.max(F.struct("doc_id", "sig")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    owned = in_buckets(parts.withColumns(fingerprint(F.col("norm"))), *where).repartitionByRange("bucket")
+    # From here on all is in the owner's task: it has the whole bucket.
+    links = owned.groupBy("bucket", "depth", *PRINT, *BYTES).agg(F.max("keep").alias("keep"), F.sum("n").alias("group_size"))
+    chain, same = Window.partitionBy("bucket", "digest").orderBy(*BYTES, "check"), Window.partitionBy("bucket", *PRINT)
+    links = links.withColumns({"link": F.row_number().over(chain), "twins": F.count(F.lit(1)).over(same), "copies": F.sum("group_size").over(same)}).where("copies > 1").drop("copies")
+    text = F.when(F.col("twins") > 1, F.col("norm")) if "norm" in BYTES else F.lit(None).cast("string")
+    return written(links.withColumn("bytes", text).drop("norm"), "chains")
 
 
 def grouped(docs: DataFrame, capacity: int, most_broadcast: int) -> DataFrame:
     """doc_id, sig, digest, bucket, keep, group_size: one row per row of docs."""
-    prints, entries = index(docs, capacity)
-    links = chains(docs, entries, most_broadcast)
+    prints, entries, where = index(docs, capacity)
+    links = chains(docs, entries, where, most_broadcast)
     total = prints.count()
     # A single entry is its own group; a hot group's rows meet their link by broadcast.
     single = entries.where("copies = 1").select(*PRINT, "bucket", F.lit(None).cast(links.schema["keep"].dataType).alias("keep"), F.lit(1).cast("long").alias("group_size"))

@@ -338,7 +338,7 @@ def test_swaps():
 
 def test_directory(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(9000 + i, "Same") for i in range(900)], "doc_id long, text string")
-    _, entries = exact_dedup.index(docs, capacity=100)
+    _, entries, _ = exact_dedup.index(docs, capacity=100)
     held = entries.groupBy("bucket", "depth").count().collect()
     assert all(r["count"] <= 100 for r in held) and len(held) > 30
     bits = exact_dedup.KEY_BITS
@@ -358,7 +358,7 @@ def test_directory_deepens_as_needed(spark, monkeypatch):
     """Keys that differ in their last bits alone: the directory doubles until they part."""
     monkeypatch.setattr(exact_dedup, "fingerprint", lambda norm: {"digest": F.unhex(F.lpad(F.hex(F.xxhash64(norm).bitwiseAND(0xFF)), 15, "0")), "check": F.xxhash64(norm), "nbytes": F.octet_length(norm)})
     docs = spark.createDataFrame([(i, f"text {i % 200}") for i in range(400)], "doc_id long, text string")
-    _, entries = exact_dedup.index(docs, capacity=4)
+    _, entries, _ = exact_dedup.index(docs, capacity=4)
     assert entries.agg(F.max("depth")).first()[0] > 52
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(docs, capacity=4).collect()} == {(i, i % 200 + 200) for i in range(400)}
 
@@ -371,6 +371,33 @@ def test_equal_digests_are_told_apart_by_bytes(spark, monkeypatch, few):
     assert got == {1: (4, 2), 2: (3, 2), 3: (3, 2), 4: (4, 2), 5: (5, 1), 6: (6, 1), 7: (8, 2), 8: (8, 2)}
 
 
+def chained(docs, capacity):
+    _, entries, where = exact_dedup.index(docs, capacity)
+    return exact_dedup.chains(docs, entries, where, 10**6)
+
+
+def test_owners_decide(spark, monkeypatch):
+    """The directory says which tasks decide, and a task that compares no bytes decides wrongly."""
+    docs = spark.createDataFrame([(i, f"text {i % 150}") for i in range(600)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    fine, coarse = (chained(docs, c).withColumn("file", F.input_file_name()) for c in (5, 1000))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert coarse.select("file").distinct().count() == 1 == coarse.select("bucket").distinct().count()
+    assert fine.select("file").distinct().count() > 1
+    assert fine.groupBy("bucket").agg(F.count_distinct("file").alias("n")).where("n > 1").isEmpty()
+    assert fine.count() == coarse.count() == 150
+    sums = [(r.link, r.group_size) for r in coarse.collect()]
+    assert all(n == 4 for _, n in sums)
+    # Two texts with one fingerprint: told apart by the owner's comparison alone.
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda norm: {"digest": F.unhex(F.rpad(F.hex(F.octet_length(norm)), 16, "0")), "check": F.lit(1).cast("long"), "nbytes": F.octet_length(norm)})
+    rows = spark.createDataFrame([(1, "ab"), (2, "AB"), (3, "cd"), (4, "cd"), (5, "cd")], "doc_id long, text string")
+    right = {(1, 2, 2), (2, 2, 2), (3, 5, 3), (4, 5, 3), (5, 5, 3)}
+    found = lambda: {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(rows).collect()}
+    assert found() == right
+    monkeypatch.setattr(exact_dedup, "BYTES", [])
+    assert found() == {(i, 5, 5) for i in range(1, 6)}
+
+
 def test_no_row_without_its_bucket(spark, monkeypatch):
     real = exact_dedup.directory
     docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(180)], "doc_id long, text string")
