@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stillwater.operators.keep import kept
+from stillwater.operators.catalog import placed
+from stillwater.operators.keep import few, kept
 
 
 def usual_rates(runs: DataFrame, least: int = 5) -> DataFrame:
@@ -14,17 +15,18 @@ def usual_rates(runs: DataFrame, least: int = 5) -> DataFrame:
     return runs.groupBy("stage", "film").agg(F.count(F.lit(1)).alias("n"), p(0.1).alias("low"), p(0.9).alias("high")).where(F.col("n") >= least).drop("n")
 
 
-def batch_estimates(runs: DataFrame, first: str, last: str) -> DataFrame:
+def batch_estimates(runs: DataFrame, stages: tuple[str, ...], first: str, last: str) -> DataFrame:
     """runs, seconds_per_minute, stills_per_minute: one row, or none until stages `first` and `last` have both run.
 
     Committed stages of a first attempt with a known time and some video count. A stage's cost is all its seconds over all
-    its minutes of video, and the costs of the stages add up; stills and runs are those of `last`.
+    its minutes of video, and the costs of the given `stages` add up (others, run beside them, don't count); stills and runs
+    are those of `last`.
     runs: stage, state, attempt, seconds, video (its seconds), selected.
     """
     known = runs.where((F.col("state") == "committed") & (F.col("attempt") == 1) & F.col("seconds").isNotNull() & (F.col("video") > 0))
     each = known.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"), (F.sum("video") / 60).alias("minutes"), F.sum("selected").alias("selected"))
     of = lambda c: F.max(F.when(F.col("stage") == last, F.col(c)))
-    total = each.agg(of("n").alias("runs"), F.sum(F.col("seconds") / F.col("minutes")).alias("seconds_per_minute"), (of("selected") / of("minutes")).alias("stills_per_minute"), F.bool_or(F.col("stage") == first).alias("ok"))
+    total = each.agg(of("n").alias("runs"), F.sum(F.when(F.col("stage").isin(*stages), F.col("seconds") / F.col("minutes")).otherwise(0.0)).alias("seconds_per_minute"), (of("selected") / of("minutes")).alias("stills_per_minute"), F.bool_or(F.col("stage") == first).alias("ok"))
     return total.where(F.col("ok") & F.col("runs").isNotNull()).drop("ok")
 
 
@@ -41,9 +43,11 @@ def runnable(jobs: DataFrame, now) -> DataFrame:
 
 
 def line(ready: DataFrame) -> DataFrame:
-    """Position of each ready stage in its machine's line, and the line's length."""
-    w = Window.partitionBy("capability")
-    return ready.select("id", "capability", F.row_number().over(w.orderBy("created", "id")).cast("long").alias("position"), F.count(F.lit(1)).over(w).alias("waiting"))
+    """Position of each ready stage in its machine's line, and the line's length. Places are numbered over ranges of all
+    lines, so a machine's line is not one task's work."""
+    rows = kept(placed(ready, "capability", "created", "id"))
+    ends = rows.groupBy(F.col("capability").alias("_of")).agg((F.min("place") - 1).alias("ahead"), F.count(F.lit(1)).alias("waiting"))
+    return rows.join(few(ends), F.col("capability").eqNullSafe(F.col("_of"))).select("id", "capability", (F.col("place") - F.col("ahead")).alias("position"), "waiting")
 
 
 #: States of stages by what they mean for their chain.

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this run in the folder that the cluster names; a local one only where all runs in one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        at = tempfile.mkdtemp(prefix="stillwater-")
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint in the folder that the cluster names. Only where none is named (one process), a cache."""
+    """df computed once: a checkpoint in the folder that the cluster names. Only where all runs in one process and none is named, a cache."""
     spark = df.sparkSession
     if at := spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(at)
         return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return df.cache()
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stillwater.operators import grids as gr
+from stillwater.operators import migrate as mg
 from stillwater.operators import proposals as pr
+from stillwater.operators import repeats as rp
+from stillwater.operators.keep import scratch
 from stillwater.plans.registry import query
-from stillwater.sources.tables import table
+from stillwater.sources.tables import table, vectors, with_views
 
 pick = lambda n, *words: "CASE " + f"{n} % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
 #: Evidence cut from a document's id (k) and size (n), in words that both engines read.
@@ -77,3 +81,71 @@ def refused_proposals(spark, sf):
     k = F.col("page_id")
     name = F.when(k % 3 == 0, F.concat(F.lit("cand-"), F.lpad(k.cast("string"), 4, "0"))).when(k % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("c-"), k.cast("string")))
     return pr.refused(table(spark, sf, "pages").select(name.alias("id"), F.when(k % 4 == 1, F.array(F.lit("usable"), F.lit("blurred"))).otherwise(F.array(F.lit("usable"))).alias("quality"), F.when(k % 5 == 2, "perhaps").otherwise("review").alias("disposition")))
+
+
+@query(with_views("vec") + """SELECT x.work % 3 AS series, x.work AS wa, x.id AS a, t.work AS wb, t.id AS b, round(list_dot_product(CAST(x.v AS DOUBLE[]), CAST(t.v AS DOUBLE[])), 6) AS similarity
+FROM vec x JOIN vec t ON x.work < t.work AND x.work % 3 = t.work % 3 WHERE list_dot_product(CAST(x.v AS DOUBLE[]), CAST(t.v AS DOUBLE[])) >= 0.3e0""")
+def repeats_refreshed(spark, sf):
+    """Pairs after two imports: the second adds frames to series 1 and drops series 9, so series 0 and 2 stay as matched before."""
+    v = vectors(spark, sf).withColumn("series", (F.col("work") % 3).cast("int"))
+    first = v.where("series <> 1 OR id % 11 <> 0").unionByName(v.where("work < 2").withColumn("series", F.lit(9)))
+    at = scratch(spark, "repeats")
+    rp.refresh(first, at, 0.3)
+    return rp.refresh(v, at, 0.3).select("series", "wa", "a", "wb", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def old_jobs(spark, sf):
+    """Events as jobs: ten make a chain; every third has an identity of the old form."""
+    k = F.col("event_id")
+    identity = F.format_string('{"shoko_series_id": %d, "fixture_id": "w%d", "title": "t"}', F.col("user_id"), k % 50)
+    kind = F.when(k % 3 == 0, identity).when(k % 3 == 1, F.lit('{"series_id": 5}')).otherwise(F.lit('"none"'))
+    more = F.concat(F.when(k % 7 == 0, ', "purpose": "kept"').otherwise(""), F.when(k % 2 == 0, ', "reread": true').otherwise(""))
+    params = F.when(k % 40 == 39, "[1, 2]").otherwise(F.concat(F.rtrim("props", F.lit("}")), F.lit(', "identity": '), kind, more, F.lit("}")))
+    chain = F.when(k % 13 == 0, -k).otherwise(F.floor(k / 10))
+    return table(spark, sf, "events").select(
+        k.alias("id"), chain.alias("chain"), F.when((k % 10 != 0) & (k % 13 != 0), k - 1).alias("parent"), F.when(k % 13 == 0, "import").when(k % 60 == 10, "palette").otherwise(F.col("event_type")).alias("stage"),
+        F.when(k % 4 == 0, "running").otherwise("committed").alias("state"), F.when(k % 5 == 0, "unraid").otherwise("analyze").alias("capability"), F.when(k % 3 == 0, "unraid").otherwise("gallery").alias("owner"), params.alias("params"),
+    )
+
+
+@query("""WITH j AS (SELECT event_id AS k, user_id, props, CASE WHEN event_id % 13 = 0 THEN -event_id ELSE event_id // 10 END AS chain, event_id % 13 = 0 OR event_id % 10 = 0 AS root,
+  CASE WHEN event_id % 13 = 0 THEN 'import' WHEN event_id % 60 = 10 THEN 'palette' ELSE event_type END AS stage FROM events),
+c AS (SELECT chain, CASE WHEN bool_or(stage = 'palette' AND root) THEN 'repalette' WHEN bool_or(stage = 'import' AND root) AND count(*) = 1 THEN 'reread' END AS purpose FROM j GROUP BY chain)
+SELECT k AS id, CASE WHEN k % 5 = 0 THEN 'source' ELSE 'analyze' END AS capability, CASE WHEN k % 3 <> 0 THEN 'gallery' WHEN k % 4 = 0 THEN 'source' ELSE 'unraid' END AS owner,
+  CASE WHEN k % 40 <> 39 THEN json_extract_string(props, '$.k') END AS k,
+  CASE WHEN k % 40 = 39 THEN NULL WHEN k % 3 = 0 THEN CAST(user_id AS VARCHAR) WHEN k % 3 = 1 THEN '5' END AS series_id, CASE WHEN k % 40 <> 39 AND k % 3 = 0 THEN 'w' || k % 50 END AS work_id,
+  CASE WHEN k % 40 <> 39 AND k % 3 = 0 THEN 't' END AS title, CAST(NULL AS VARCHAR) AS old,
+  CASE WHEN k % 40 = 39 THEN NULL WHEN k % 7 = 0 THEN 'kept' WHEN c.purpose = 'repalette' OR c.purpose = 'reread' AND k % 2 = 0 THEN c.purpose END AS purpose FROM j JOIN c USING (chain)""")
+def migrated_jobs(spark, sf):
+    m = mg.migrate(old_jobs(spark, sf))
+    part = lambda path, name: F.get_json_object("params", path).alias(name)
+    return m.select("id", "capability", "owner", part("$.k", "k"), part("$.identity.series_id", "series_id"), part("$.identity.work_id", "work_id"), part("$.identity.title", "title"), part("$.identity.shoko_series_id", "old"), part("$.purpose", "purpose"))
+
+
+GRID = with_views("vec") + """, cell AS (SELECT id, i // 8 AS r, i % 8 AS c, greatest(0e0, least(1e0, CAST(v[i + 1] AS DOUBLE) * 2 + 0.5e0)) AS y FROM vec, unnest(range(64)) AS g(i)),
+side AS (SELECT id, r, c, y, lag(y) OVER x AS l, lead(y) OVER x AS n, lag(y) OVER z AS u, lead(y) OVER z AS d FROM cell WINDOW x AS (PARTITION BY id, r ORDER BY c), z AS (PARTITION BY id, c ORDER BY r)),
+edge AS (SELECT *, CASE WHEN l IS NULL THEN n - y WHEN n IS NULL THEN y - l ELSE (n - l) / 2 END AS gx, CASE WHEN u IS NULL THEN d - y WHEN d IS NULL THEN y - u ELSE (d - u) / 2 END AS gy FROM side),
+cut AS (SELECT *, sqrt(gx * gx + gy * gy) AS m, quantile_cont(sqrt(gx * gx + gy * gy), 0.8) OVER (PARTITION BY id) AS q FROM edge),
+lean AS (SELECT id, count(*) AS n, sum(m * cos(4 * (atan2(gy, gx) + pi() / 2))) / sum(m) AS c, sum(m * sin(4 * (atan2(gy, gx) + pi() / 2))) / sum(m) AS s FROM cut WHERE m > q GROUP BY id),
+base AS (SELECT id, avg(y) AS luma_mean, stddev_pop(y) AS luma_stddev, (avg(abs(n - y)) + avg(abs(d - y))) / 2 AS detail FROM side GROUP BY id),
+mirror AS (SELECT x.id, 1 - avg(abs(x.y - t.y)) AS symmetry FROM cell x JOIN cell t ON t.id = x.id AND t.r = x.r AND t.c = 7 - x.c GROUP BY x.id),
+bins AS (SELECT id, -sum(p * log2(p)) AS entropy FROM (SELECT id, count(*) / 64e0 AS p FROM cell GROUP BY id, least(CAST(floor(y * 16) AS INTEGER), 15)) GROUP BY id)
+"""
+
+
+@query(GRID + """SELECT id, round(luma_mean, 6) AS luma_mean, round(luma_stddev, 6) AS luma_stddev, round(detail, 6) AS detail, round(greatest(entropy, 0e0), 6) AS entropy, round(symmetry, 6) AS symmetry,
+CASE WHEN n >= 8 THEN round(degrees(atan2(s, c)) / 4, 5) ELSE 0e0 END AS tilt, CASE WHEN n >= 8 THEN round(sqrt(c * c + s * s), 6) ELSE 0e0 END AS coherence FROM base JOIN mirror USING (id) JOIN bins USING (id) JOIN lean USING (id)""")
+def grid_measures(spark, sf):
+    """Each vector read as an 8 x 8 picture."""
+    m = gr.measure(vector_grids(spark, sf))
+    return m.select("id", *[F.round(c, 6).alias(c) for c in ("luma_mean", "luma_stddev", "detail", "entropy", "symmetry")], F.round("tilt", 5).alias("tilt"), F.round("coherence", 6).alias("coherence"))
+
+
+def vector_grids(spark, sf):
+    return vectors(spark, sf).select("id", F.transform("v", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") * 2 + 0.5))).alias("grid"))
+
+
+@query(GRID + """, k AS (SELECT id, a, b, sum(y * cos(pi() * (2 * r + 1) * a / 16) * cos(pi() * (2 * c + 1) * b / 16)) AS x FROM cell, range(8) AS p(a), range(8) AS q(b) GROUP BY id, a, b),
+m AS (SELECT *, median(x) OVER (PARTITION BY id) AS mid FROM k) SELECT id, string_agg(CASE WHEN x > mid THEN '1' ELSE '0' END, '' ORDER BY a, b) AS hash FROM m GROUP BY id""")
+def grid_hashes(spark, sf):
+    return gr.measure(vector_grids(spark, sf)).select("id", "hash")

@@ -316,11 +316,11 @@ def corrected_facets(spark, sf):
     return rv.correct(s, fixes).select("id", F.explode(overlay(F.col("facets"), F.col("facets_human"))).alias("k", "v"))
 
 
-@query(with_views("still") + """SELECT id, CASE WHEN work = 'src3' AND id % 2 = 0 THEN FALSE ELSE TRUE END AS locked FROM still WHERE id % 5 = 0 AND NOT locked""")
+@query(with_views("still") + "SELECT id, locked OR id % 5 = 0 AND NOT (work = 'src3' AND id % 2 = 0) AS locked FROM still")
 def set_locks(spark, sf):
     s = stills(spark, sf).withColumn("tiers", F.when(F.col("id") % 2 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(320))))
     out, _ = rv.set_locks(s, s.where("id % 5 = 0"), s.where("work = 'src3'"))
-    return out.where("id % 5 = 0 AND id % 17 <> 0").select("id", "locked")
+    return out.select("id", "locked")
 
 
 @query("""SELECT o_custkey AS work, CASE WHEN o_custkey % 10 = 3 THEN 0 ELSE count(*) END AS jobs, CASE WHEN o_custkey % 10 = 3 THEN 1 ELSE 0 END AS scrubs FROM orders GROUP BY o_custkey""")

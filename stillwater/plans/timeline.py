@@ -117,18 +117,20 @@ def stage_percentiles(spark, sf):
     return jb.usual_rates(j).select("stage", "film", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("""WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'analyze' ELSE event_type END AS stage, CASE WHEN event_id % 11 <> 0 THEN value END AS seconds,
+@query("""WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'analyze' WHEN 'signup' THEN 'derive' WHEN 'error' THEN 'import' ELSE 'palette' END AS stage, CASE WHEN event_id % 11 <> 0 THEN value END AS seconds,
   CAST(json_extract_string(props, '$.k') AS BIGINT) * 60e0 AS video, event_id % 30 AS selected FROM events WHERE event_id % 5 <> 0 AND event_id % 4 <> 3),
 k AS (SELECT stage, count(*) AS n, sum(seconds) / (sum(video) / 60) AS rate, sum(selected) / (sum(video) / 60) AS stills FROM r WHERE seconds IS NOT NULL AND video > 0 GROUP BY stage)
-SELECT max(n) FILTER (WHERE stage = 'analyze') AS runs, round(sum(rate), 6) AS seconds_per_minute, round(max(stills) FILTER (WHERE stage = 'analyze'), 6) AS stills_per_minute FROM k HAVING bool_or(stage = 'extract') AND bool_or(stage = 'analyze')""")
+SELECT max(n) FILTER (WHERE stage = 'analyze') AS runs, round(sum(rate) FILTER (WHERE stage <> 'palette'), 6) AS seconds_per_minute, round(max(stills) FILTER (WHERE stage = 'analyze'), 6) AS stills_per_minute FROM k HAVING bool_or(stage = 'extract') AND bool_or(stage = 'analyze')""")
 def batch_estimates(spark, sf):
+    """Onboarding stages by their cost; palette runs beside them don't count."""
     k = F.col("id")
-    stage = F.when(F.col("stage") == "view", "extract").when(F.col("stage") == "click", "analyze").otherwise(F.col("stage"))
+    names = {"view": "extract", "click": "analyze", "signup": "derive", "error": "import"}
+    stage = F.coalesce(*[F.when(F.col("stage") == a, b) for a, b in names.items()], F.lit("palette"))
     runs = jobs(spark, sf).select(
         stage.alias("stage"), F.when(k % 5 != 0, "committed").otherwise("running").alias("state"), F.when(k % 4 == 3, 2).otherwise(1).alias("attempt"),
         F.when(k % 11 != 0, F.col("seconds")).alias("seconds"), (F.col("units") * 60).alias("video"), (k % 30).alias("selected"),
     )
-    return jb.batch_estimates(runs, "extract", "analyze").select("runs", F.round("seconds_per_minute", 6).alias("seconds_per_minute"), F.round("stills_per_minute", 6).alias("stills_per_minute"))
+    return jb.batch_estimates(runs, ("extract", "analyze", "derive", "import"), "extract", "analyze").select("runs", F.round("seconds_per_minute", 6).alias("seconds_per_minute"), F.round("stills_per_minute", 6).alias("stills_per_minute"))
 
 
 def queue(spark, sf):
