@@ -609,6 +609,16 @@ def test_index_of_a_table(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages.repartition(6), rules=rules).collect()}
     assert all(got[i] == ((f"h{i}.test/p{i % 7}/", "allow" if i % 3 else "block") if i < n else (None, "allow")) for i in got)
     assert url_filter.url_filter(spark.createDataFrame([(1, "http://h1.test/p1/")], "page_id long, url string"), rules=rules).first().verdict == "allow"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files, held, lengths = url_filter.write_index(url_filter.checked(rules))
+    assert len(files) > 1 and files == sorted(files, key=lambda f: f[1]) and held > 17 * n and lengths == [4]
+    # Beyond the bound the probes go to the files' ranges, with the same verdicts.
+    more = pages.unionByName(spark.createDataFrame([(-1, None), (-2, "http://x.casino-win.test/"), (-3, "http://h3.test/p3/"), (-4, "http://h3.test/p3/"), (None, "http://h1.test/")], pages.schema))
+    rows = lambda **k: sorted(map(str, url_filter.url_filter(more, rules=rules, blocked_hosts=("H4.test",), **k).collect()))
+    assert rows() == rows(most_mapped=0)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(Exception, match="not a rule"):
+        url_filter.url_filter(pages, rules=(("no slash", "allow"),)).collect()
 
 
 # Odd inputs ----------------------------------------------------------
