@@ -20,15 +20,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint in the folder that the cluster names. Only where all runs in one process and none is named, a cache."""
-    spark = df.sparkSession
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(at)
-        return df.checkpoint()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    return df.cache()
+    """df computed once, as a table in the folder that the cluster names: it cuts lineage and survives lost executors. (A
+    checkpoint would compute df twice, once to count it.)"""
+    at = scratch(df.sparkSession, "kept")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def few(df: DataFrame, most: int = 100_000) -> DataFrame:

@@ -138,7 +138,7 @@ def families(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def rounds(pool: DataFrame, budget: int, choose) -> DataFrame:
     """work, id, turn: `budget` rounds, each of which takes a frame of every work that has one left.
 
-    Only the picks stay between rounds. choose(rows, turn) gives work, id of a round's picks from the frames with what
+    Only the picks stay between rounds, as kept tables: Spark knows their size and broadcasts them while it is small. choose(rows, turn) gives work, id of a round's picks from the frames with what
     their work has taken so far: picked (vectors), picked_ts, picked_pal, picked_cat. pool: work, id, ts, v, pal, cat, n (the work's frames).
     """
     carried, taken = ("v", "ts", "pal", "cat"), None
@@ -149,9 +149,9 @@ def rounds(pool: DataFrame, budget: int, choose) -> DataFrame:
             rows = rows.withColumns({new: F.array().cast(f"array<{pool.schema[c].dataType.simpleString()}>") for c, new in names.items()}).withColumn("own", F.lit(False))
         else:
             each = taken.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("turn", "id", *carried))).alias("p"))
-            rows = rows.join(few(each), "work").withColumns({new: F.col(f"p.{c}") for c, new in names.items()}).withColumn("own", F.array_contains("p.id", F.col("id"))).drop("p")
+            rows = rows.join(each, "work").withColumns({new: F.col(f"p.{c}") for c, new in names.items()}).withColumn("own", F.array_contains("p.id", F.col("id"))).drop("p")
         best = kept(choose(rows, turn).select("work", "id"))
-        new = kept(pool.select("work", "id", *carried).join(few(best), ["work", "id"]).withColumn("turn", F.lit(turn)))
+        new = kept(pool.select("work", "id", *carried).join(best, ["work", "id"]).withColumn("turn", F.lit(turn)))
         taken = new if taken is None else taken.unionByName(new)
     return taken.select("work", "id", "turn")
 
