@@ -176,32 +176,46 @@ def duration_seconds(text: Column) -> Column:
     return F.when(text.contains(":"), colon).otherwise(text.try_cast("double") / 1000)
 
 
+#: Words that a name is not sorted by.
+ARTICLES = ("the", "a", "an")
+
+
 def sort_name(name: Column) -> Column:
-    """A name without a leading article, unless nothing is left."""
-    bare = F.regexp_replace(name, r"(?i)^(the|an?)\s+", "")
-    return F.when(bare == "", name).otherwise(bare)
+    """A name from its second word on if the first is an article and more follows."""
+    words = F.split(name, r"\s+", 2)
+    rest = F.get(words, F.lit(1))
+    return F.when(F.lower(words[0]).isin(*ARTICLES) & (F.coalesce(rest, F.lit("")) != ""), rest).otherwise(name)
 
 
 #: Names that a folder cannot have on some systems.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)))
 
 
+#: Signs that a folder's name cannot have.
+REFUSED = '<>:"/\\|?*'
+
+
 def folder_name(title: Column, most: int = 60) -> Column:
-    """A title as one folder's name: what no file system refuses, blanks as dashes, no dot, dash or blank at its ends."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r'[<>:"/\\\\|?*\x00-\x1f\x7f]', "-"), r"\s+", "-"), "-{2,}", "-")
-    name = F.btrim(F.substring(plain, 1, most), F.lit("-. "))
-    return F.when(F.upper(name).isin(*RESERVED), F.concat(name, F.lit("-x"))).otherwise(name)
+    """A title as one folder's name: its words (between blanks, dashes and refused or control signs) joined by dashes, cut to
+    `most`, from its first to its last sign that is no dot, dash or blank."""
+    between = "[" + "".join(f"\\x{ord(c):02x}" for c in REFUSED) + r"\p{Cntrl}\s-]+"
+    cut = F.substring(F.array_join(F.split(title, between), "-"), 1, most)
+    name = F.regexp_extract(cut, r"[^-. ](?:.*[^-. ])?", 0)
+    return F.concat(name, F.when(F.array_contains(F.array(*map(F.lit, RESERVED)), F.upper(name)), "-x").otherwise(""))
+
+
+def words_between(text: Column, between: str) -> Column:
+    return F.filter(F.split(text, between), lambda w: w != "")
 
 
-def clean_path(text: Column) -> Column:
-    """A relative path with forward slashes and no empty part; null for none, for one too long, and with a dot part or control signs."""
-    t = F.translate(F.trim(text), "\\", "/")
-    parts = F.filter(F.split(t, "/"), lambda p: p != "")
-    bad = (t == "") | (F.length(t) > 1000) | t.rlike(r"[\x00-\x1f\x7f]") | (F.size(parts) == 0) | F.arrays_overlap(parts, F.array(F.lit("."), F.lit("..")))
-    return F.when(~bad, F.array_join(parts, "/"))
+def clean_path(text: Column, most: int = 1000) -> Column:
+    """The parts of a relative path, joined by slashes; null without a part, where one is a dot or two, if too long or with control signs."""
+    parts = words_between(F.trim(text), r"[/\\]+")
+    plain = F.forall(parts, lambda p: ~p.isin(".", "..")) & ~F.trim(text).rlike(r"\p{Cntrl}")
+    return F.when((F.size(parts) > 0) & plain & (F.length(F.trim(text)) <= most), F.array_join(parts, "/"))
 
 
 def clean_line(text: Column, most: int = 200) -> Column:
-    """One line: control signs and runs of blanks as one blank; null if too long."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
-    return F.when(F.length(t) <= most, t)
+    """The words of a text with one blank between; null if that is too long."""
+    line = F.array_join(words_between(text, r"[\s\p{Cntrl}]+"), " ")
+    return F.when(F.length(line) <= most, line)

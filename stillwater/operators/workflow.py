@@ -49,10 +49,16 @@ def regular_workers(workers: DataFrame, now: Column, seconds: int = LIVE_SECONDS
     return live.select("worker", "seen", F.explode("capabilities").alias("capability")).groupBy("capability").agg(F.max_by("worker", F.struct("seen", "worker")).alias("worker"))
 
 
+#: Signs that a root's name begins with, signs that may follow besides, and how long it may be.
+PLAIN, INSIDE, LONGEST = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "._-", 64
+
+
 def source_roots(workers: DataFrame) -> DataFrame:
     """name: folders that workers of raw source have told, each once. workers: capabilities, roots (null: none told)."""
     told = workers.where(F.array_contains("capabilities", "source")).select(F.explode("roots").alias("name"))
-    return told.where(F.col("name").rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$")).distinct()
+    begins = F.position(F.substring("name", 1, 1), F.lit(PLAIN))
+    good = (F.length("name") >= 1) & (F.length("name") <= LONGEST) & (begins > 0) & (F.translate("name", PLAIN + INSIDE, "") == "")
+    return told.where(good).distinct()
 
 
 def frames_on_disk(files: DataFrame, keep: DataFrame) -> DataFrame:
@@ -76,8 +82,8 @@ def waiting_for(jobs: DataFrame, live: DataFrame) -> DataFrame:
     up = live.select("capability").distinct().withColumn("up", F.lit(True))
     rows = jobs.where(F.col("state").isin("queued", "retry_wait")).join(p, F.col("parent") == F.col("pid"), "left").join(up, "capability", "left")
     text = (
-        F.when(F.col("pid").isNotNull() & (F.col("pstate") != "committed"), F.concat(F.lit('for "'), "pstage", F.lit('" to finish')))
-        .when(F.col("up").isNull(), F.concat(F.lit("for the "), "capability", F.lit(" (not checked in)"))).when(F.col("state") == "retry_wait", "to retry").otherwise("for a worker to pick it up")
+        F.when(F.col("pid").isNotNull() & (F.col("pstate") != "committed"), F.concat(F.lit("until done: "), "pstage"))
+        .when(F.col("up").isNull(), F.concat(F.lit("no worker is up: "), "capability")).when(F.col("state") == "retry_wait", "another try").otherwise("a free worker")
     )
     return rows.select("id", text.alias("text"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stillwater.operators import bundles as bn
 from stillwater.operators import grids as gr
 from stillwater.operators import migrate as mg
 from stillwater.operators import proposals as pr
@@ -149,3 +150,36 @@ def vector_grids(spark, sf):
 m AS (SELECT *, median(x) OVER (PARTITION BY id) AS mid FROM k) SELECT id, string_agg(CASE WHEN x > mid THEN '1' ELSE '0' END, '' ORDER BY a, b) AS hash FROM m GROUP BY id""")
 def grid_hashes(spark, sf):
     return gr.measure(vector_grids(spark, sf)).select("id", "hash")
+
+
+def bundle_tables(spark, sf):
+    """Orders as bundles, their lines as frames; some of each are spoiled."""
+    li = table(spark, sf, "lineitem")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    own = F.concat(k.cast("string"), F.lit("-"), n.cast("string"))
+    listed = li.select(
+        k.alias("bundle"), n.alias("place"), F.when((k % 31 == 7) & (n == 2), "../up").when((k % 37 == 5) & (n == 3), F.concat(k.cast("string"), F.lit("-1"))).otherwise(F.concat(F.lit("c-"), own)).alias("id"),
+        F.concat(own, F.lit(".png")).alias("name"), F.col("l_quantity").cast("long").alias("bytes"), F.sha2(own, 256).alias("sha256"), F.col("l_partkey").alias("asked"),
+        F.when((k % 23 == 3) & (n == 1), -1).otherwise(F.col("l_partkey")).alias("found"), F.when(n != 4, n * 10).alias("width"), F.when(n != 4, n * 6).alias("height"),
+    )
+    files = li.where(~((k % 29 == 1) & (n == 2))).select(
+        k.alias("bundle"), F.concat(own, F.lit(".png")).alias("name"), (F.col("l_quantity").cast("long") + F.when(k % 19 == 4, 1).otherwise(0)).alias("size"),
+        F.when((k % 17 == 6) & (n == 1), "x").otherwise(F.sha2(own, 256)).alias("sha256"), (n * 10 + F.when(k % 13 == 2, 1).otherwise(0)).alias("width"), (n * 6).alias("height"),
+    )
+    return listed, files
+
+
+@query(r"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_orderkey || '-' || l_linenumber AS own, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+ids AS (SELECT k, CASE WHEN k % 31 = 7 AND n = 2 THEN '../up' WHEN k % 37 = 5 AND n = 3 THEN k || '-1' ELSE 'c-' || own END AS id FROM l),
+f AS (SELECT k, min(CASE WHEN k % 31 = 7 AND n = 2 THEN 3 WHEN k % 29 = 1 AND n = 2 THEN 5 WHEN k % 19 = 4 THEN 6 WHEN k % 17 = 6 AND n = 1 THEN 7 WHEN k % 23 = 3 AND n = 1 THEN 8 WHEN k % 13 = 2 AND n <> 4 THEN 9 ELSE 10 END) AS frame, count(*) AS frames FROM l GROUP BY k),
+d AS (SELECT DISTINCT k FROM (SELECT k, id FROM ids GROUP BY k, id HAVING count(*) > 1)),
+b AS (SELECT o_orderkey AS k, least(CASE WHEN o_orderkey % 41 = 9 THEN 0 ELSE 10 END, CASE WHEN o_orderkey % 43 = 8 THEN 1 ELSE 10 END, CASE WHEN f.k IS NULL THEN 2 ELSE 10 END, CASE WHEN d.k IS NOT NULL THEN 4 ELSE 10 END, coalesce(frame, 10)) AS p, coalesce(frames, 0) AS frames
+  FROM orders LEFT JOIN f ON f.k = o_orderkey LEFT JOIN d ON d.k = o_orderkey)
+SELECT k AS bundle, ['not finished', 'changed list', 'no frames', 'unsafe id', 'listed twice', 'missing frame', 'wrong size', 'wrong digest', 'other timestamp', 'other dimensions', 'accepted'][p + 1] AS verdict, frames FROM b""")
+def bundle_verdicts(spark, sf):
+    listed, files = bundle_tables(spark, sf)
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("bundle"))
+    k = F.col("bundle")
+    closed = F.when(k % 41 == 9, F.lit(None)).when(k % 43 == 8, "stale").otherwise(F.coalesce("digest", F.sha2(F.lit(""), 256)))
+    bundles = o.join(bn.list_digest(listed), "bundle", "left").select("bundle", F.concat(F.lit("bundle-"), k.cast("string")).alias("name"), closed.alias("closed"))
+    return bn.verdicts(bundles, listed, files)

@@ -204,7 +204,7 @@ def retry_verdicts(spark, sf):
 
 
 @query(JOBS + """, live AS (SELECT DISTINCT capability FROM j WHERE state = 'running' AND id % 2 = 0 AND capability < '4')
-SELECT j.id, CASE WHEN p.id IS NOT NULL AND p.state <> 'committed' THEN 'for "' || p.stage || '" to finish' WHEN live.capability IS NULL THEN 'for the ' || j.capability || ' (not checked in)' WHEN j.state = 'retry_wait' THEN 'to retry' ELSE 'for a worker to pick it up' END AS text
+SELECT j.id, CASE WHEN p.id IS NOT NULL AND p.state <> 'committed' THEN 'until done: ' || p.stage WHEN live.capability IS NULL THEN 'no worker is up: ' || j.capability WHEN j.state = 'retry_wait' THEN 'another try' ELSE 'a free worker' END AS text
 FROM j LEFT JOIN j p ON p.id = j.parent LEFT JOIN live ON live.capability = j.capability WHERE j.state IN ('queued', 'retry_wait')""")
 def waiting_texts(spark, sf):
     j = jobs(spark, sf)

@@ -34,8 +34,12 @@ def test_face_bands(spark, cut):
     assert below.score == above.score < far.score and {below.lane, above.lane} == {"face-occupancy"}
 
 
-@pytest.mark.parametrize(("bands", "value"), [((0.3, 0.4, 0.3, 0, 0, 0, 0, 0), "warm"), ((0, 0, 0, 0, 0.3, 0.5, 0.2, 0), "cool"), ((0.2, 0.2, 0.1, 0, 0.2, 0.2, 0.1, 0), "mixed")])
+@pytest.mark.parametrize(("bands", "value"), [
+    ((0.1, 0.0, 0.25, 0.16, 0.04, 0.2, 0.0, 0.25), "warm"), ((0.1, 0.0, 0.25, 0.18, 0.04, 0.2, 0.0, 0.23), "neutral"),
+    ((0.0, 0.04, 0.2, 0.16, 0.6, 0.0, 0.0, 0.0), "cool"), ((0.02, 0.04, 0.2, 0.14, 0.0, 0.0, 0.6, 0.0), "mixed"), ((0.0, 0.04, 0.2, 0.2, 0.0, 0.56, 0.0, 0.0), "neutral"),
+])
 def test_bias(spark, bands, value):
+    """On both sides of each cut: a lean of 0.35, a quarter of warm and of cool."""
     assert one(spark, labels.color_bias(F.array(*[F.lit(float(b)) for b in bands]), F.lit(0.5)).alias("b")).b.value == value
 
 
