@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.operators.catalog import placed
@@ -10,9 +10,26 @@ from stillwater.operators.keep import few, kept
 
 
 def usual_rates(runs: DataFrame, least: int = 5) -> DataFrame:
-    """stage, film, low, high: 10th and 90th percentile of a rate where at least `least` runs are known. runs: stage, film, rate."""
-    p = lambda q: F.percentile(F.col("rate"), F.lit(q))
-    return runs.groupBy("stage", "film").agg(F.count(F.lit(1)).alias("n"), p(0.1).alias("low"), p(0.9).alias("high")).where(F.col("n") >= least).drop("n")
+    """stage, film, low, high: 10th and 90th percentile of a rate where at least `least` runs are known. runs: stage, film, rate.
+
+    Exact, between neighbours in proportion. The rates are numbered over ranges of all groups, and a group needs the four at
+    its places alone, so no task holds a group's rates. Runs without a rate count as known, but have no place.
+    """
+    rows = kept(placed(runs.where("rate IS NOT NULL").select("stage", "film", "rate"), "stage", "film", "rate"))
+    own = rows.groupBy(F.col("stage").alias("_s"), F.col("film").alias("_f")).agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    same = F.col("stage").eqNullSafe(F.col("_s")) & F.col("film").eqNullSafe(F.col("_f"))
+    at = F.col("place") - F.col("_first")
+    ends = {q: F.lit(q) * (F.col("_n") - 1) for q in (0.1, 0.9)}
+    near = rows.join(few(own), same).withColumn("at", at).where(" OR ".join(f"at IN (floor({q} * (_n - 1)), ceil({q} * (_n - 1)))" for q in ends))
+
+    def between(q: float):
+        w = ends[q] - F.floor(ends[q])
+        low, high = (F.max(F.when(F.col("at") == side(ends[q]), F.col("rate"))) for side in (F.floor, F.ceil))
+        return low * (1 - F.max(w)) + high * F.max(w)
+
+    found = near.groupBy("stage", "film").agg(between(0.1).alias("low"), between(0.9).alias("high"))
+    known = runs.groupBy(F.col("stage").alias("_s"), F.col("film").alias("_f")).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= least)
+    return known.join(found, same, "left").select(F.col("_s").alias("stage"), F.col("_f").alias("film"), "low", "high")
 
 
 def batch_estimates(runs: DataFrame, stages: tuple[str, ...], first: str, last: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.operators.catalog import placed
@@ -103,9 +103,10 @@ def rename_values(rows: DataFrame, column: str, names: dict[str, str]) -> DataFr
 
 def file_problems(files: DataFrame) -> DataFrame:
     """id, problem of files that can't be queued. files: id, episode, minutes, known (a work has it), live (a chain runs)."""
-    files = files.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("episode")))
+    several = files.where("episode IS NOT NULL").groupBy(F.col("episode").alias("_e")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    files = files.join(several, F.col("episode") == F.col("_e"), "left")
     said = F.array(
         F.when(F.col("known"), "already a work"), F.when(F.col("live"), "already queued"), F.when(F.coalesce("minutes", F.lit(0.0)) <= 0, "no duration"),
-        F.when(F.col("episode").isNotNull() & (F.col("_n") > 1), "several files of the episode"),
+        F.when(F.col("_n").isNotNull(), "several files of the episode"),
     )
     return files.select("id", F.explode(F.array_compact(said)).alias("problem"))
