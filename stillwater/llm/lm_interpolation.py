@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import textblocks as tb
@@ -236,19 +236,25 @@ def score_rows(weights: np.ndarray, n: int, v: int):
     return run
 
 
-def lm_scores(docs: DataFrame, block_bytes: int = 12 << 20, owner_bytes: int = 12 << 20) -> DataFrame:
+def dealt(docs: DataFrame, n_blocks: int, tune_blocks: int, portion: Column | None) -> DataFrame:
+    """doc_id, fold, block, text: rows by hash of all that tells them apart, those of fold 1 in the first blocks."""
+    f = fold(F.col("doc_id"), 10)
+    mixed = F.xxhash64("doc_id", "text", *([] if portion is None else [portion]))
+    block = F.when(f == 1, F.pmod(mixed, F.lit(tune_blocks))).otherwise(tune_blocks + F.pmod(mixed, F.lit(n_blocks)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), f.alias("fold"), block.cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def lm_scores(docs: DataFrame, block_bytes: int = 12 << 20, owner_bytes: int = 12 << 20, portion: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document.
 
-    block_bytes: text a block holds, in one task's memory; owner_bytes: text whose n-grams an owner sums.
+    block_bytes: text a block holds, in one task's memory; owner_bytes: text whose n-grams an owner sums; portion: what tells
+    equal rows apart, the same whenever a row is read (where it was read, say), so that many equal rows go to many blocks.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, owners = -(-total // block_bytes) or 1, -(-total // owner_bytes) or 1
     # Tuning texts (fold 1) have blocks of their own, so that learning the weights reads these alone.
     tune_blocks = max(1, n_blocks // 10)
-    f = fold(F.col("doc_id"), 10)
-    mixed = F.xxhash64("doc_id", F.octet_length("text"))
-    block = F.when(f == 1, F.pmod(mixed, F.lit(tune_blocks))).otherwise(tune_blocks + F.pmod(mixed, F.lit(n_blocks)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), f.alias("fold"), block.cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = dealt(docs, n_blocks, tune_blocks, portion)
 
     def packed(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(pack_texts(), "block long, texts binary")

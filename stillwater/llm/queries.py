@@ -20,7 +20,8 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_interpolation.lm_scores(table(spark, sf_dir, "documents"))
+    read_from = F.concat_ws(":", F.input_file_name(), F.input_file_block_start().cast("string"))
+    return lm_interpolation.lm_scores(table(spark, sf_dir, "documents"), portion=read_from)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

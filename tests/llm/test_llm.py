@@ -183,6 +183,14 @@ def test_lm_counts_and_base(spark, small, docs):
         assert abs(s - got[i].score) < 1e-6 * abs(s)
 
 
+def test_lm_equal_rows_go_to_many_blocks(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"), (F.col("id") % 40).alias("k"))
+    most = lambda portion: lm_interpolation.dealt(rows, 8, 1, portion).groupBy("block").count().agg(F.max("count")).first()[0]
+    assert most(None) >= 1000 > 600 > most(F.col("k"))
+    score = lambda portion: sorted((str(r.doc_id), r.n_tokens, r.train_tokens, round(r.score, 9)) for r in lm_interpolation.lm_scores(rows, 4000, 4000, portion).collect())
+    assert score(None) == score(F.col("k"))
+
+
 def test_lm_beats_base_on_held_out(spark):
     r = queries.op3_lm_interpolation(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
