@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stillwater.operators import bundles as bn
+from stillwater.operators import filehash as fh
 from stillwater.operators import grids as gr
 from stillwater.operators import migrate as mg
 from stillwater.operators import proposals as pr
@@ -183,3 +184,10 @@ def bundle_verdicts(spark, sf):
     closed = F.when(k % 41 == 9, F.lit(None)).when(k % 43 == 8, "stale").otherwise(F.coalesce("digest", F.sha2(F.lit(""), 256)))
     bundles = o.join(bn.list_digest(listed), "bundle", "left").select("bundle", F.concat(F.lit("bundle-"), k.cast("string")).alias("name"), closed.alias("closed"))
     return bn.verdicts(bundles, listed, files)
+
+
+@query()
+def file_checksums(spark, sf):
+    """Every document as a file, hashed in chunks of 4,096 bytes."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("content"))
+    return fh.checksums(d, 4096).select("id", "crc32", "md5", "sha1", "sha256", F.array_join("ed2k", ",").alias("ed2k"))
