@@ -498,6 +498,24 @@ def test_components_of_near_copies(spark):
     assert got == components(rows)
 
 
+def test_split_keys_and_several_rounds(spark, monkeypatch):
+    """Keys of more sets than one owner counts, small blocks and two of them a round: the same components."""
+    monkeypatch.setattr(jaccard_join, "FAN", 2)
+    rng = random.Random(88)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = common[: 40 + i % 20] if i % 3 == 0 else [f"v{rng.randrange(400)}" for _ in range(40)]
+        w = list(w)
+        if i % 2:
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[i][1] + f" y{i}") for i in range(0, 60, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(frame, owner_keys=500, block=8, list_sets=15).collect()}
+    assert got == components(rows)
+
+
 def test_suffix_filter_never_rejects_a_link():
     rng = np.random.default_rng(9)
     for _ in range(400):
