@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -94,17 +97,35 @@ def hash_classes(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
-def hamming_pairs(hashes: DataFrame, most: int, bands: int) -> DataFrame:
+def best_bands(n: int, most: int) -> int:
+    """How many bands of a 60-bit hash cost least for n hashes: rows that are sent (bands times neighbours each) and candidates."""
+
+    def cost(bands: int) -> float:
+        width, spare = 60 // bands, most // bands
+        sent = bands * sum(comb(width, r) for r in range(spare + 1))
+        return n * sent + n * n * sent / 2**width
+
+    return min((2, 3, 4, 5, 6), key=cost)
+
+
+def hamming_pairs(hashes: DataFrame, most: int, bands: int | None = None) -> DataFrame:
     """a, b, distance of pairs of distinct 60-bit hashes with at most `most` differing bits, by their least ids. Rows: id, h.
 
+    Without `bands` the number of hashes decides: a larger table has fewer, longer bands and more neighbours, so candidates
+    grow far slower than the square (in a table of a million, a hash has 60 candidates in place of 5,900).
+
     Of `bands` bands of the hash at least one is equal when fewer bits than bands differ, which is exact and needs no
     neighbours; else a band that is off by r bits is met by trying its r-bit neighbours, as many as needed. A pair counts
     in its first common band alone.
     """
+    classes = hash_classes(hashes)
+    if bands is None:
+        classes = kept(classes)
+        bands = best_bands(classes.count(), most)
     width, spare = 60 // bands, most // bands
-    flips = [m for m in range(1 << width) if bin(m).count("1") <= spare]
+    flips = [sum(1 << b for b in bits) for r in range(spare + 1) for bits in combinations(range(width), r)]
     part = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
-    rows = hash_classes(hashes).select("id", "h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("h"), k).alias("p")) for k in range(bands)])).alias("band"))
+    rows = classes.select("id", "h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("h"), k).alias("p")) for k in range(bands)])).alias("band"))
     left = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("band.k").alias("k"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("band.p").bitwiseXOR(m))).alias("p"))
     right = rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("band.k").alias("k"), F.col("band.p").alias("p"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))

@@ -120,7 +120,7 @@ p AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST(bit_count(x
 
 @query(HASH + "SELECT a, b, distance FROM p")
 def hamming_pairs(spark, sf):
-    return op.hamming_pairs(hashes(spark, sf), 5, 6)
+    return op.hamming_pairs(hashes(spark, sf), 5)
 
 
 @query(HASH.replace("WITH w AS", "WITH RECURSIVE w AS") + """, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, seen) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
@@ -128,4 +128,4 @@ f AS (SELECT id, min(seen) AS family FROM r GROUP BY id)
 SELECT h.id, coalesce(f.family, k.id) AS family FROM h JOIN k ON k.h = h.h LEFT JOIN f ON f.id = k.id WHERE k.n > 1 OR f.id IS NOT NULL""")
 def dedup_families(spark, sf):
     h = hashes(spark, sf)
-    return op.families(h, op.hamming_pairs(h, 5, 6))
+    return op.families(h, op.hamming_pairs(h, 5))

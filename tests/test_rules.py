@@ -121,7 +121,7 @@ def test_near_is_every_near_colour(spark, small):
     assert got == {(r.id, r.t) for r in want.select("id", "t").collect()} and got
 
 
-@pytest.mark.parametrize(("most", "bands"), [(14, 6), (5, 6), (7, 4)])
+@pytest.mark.parametrize(("most", "bands"), [(14, 6), (5, 6), (7, 4), (5, 3), (5, 2), (5, None)])
 def test_hamming_pairs_all(spark, most, bands):
     rng = np.random.default_rng(3)
     hs = [int(x) for x in rng.integers(0, 1 << 60, 40)]
@@ -132,6 +132,10 @@ def test_hamming_pairs_all(spark, most, bands):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_bands_widen_with_the_table():
+    assert [similar.best_bands(n, 5) for n in (1000, 10**5, 10**6, 10**8)] == [6, 3, 3, 2]
+
+
 def test_families(spark):
     links = spark.createDataFrame([(1, 2), (2, 5), (5, 9), (3, 4), *[(i, i + 1) for i in range(20, 45)]], "a long, b long")
     want = {(1, 1), (2, 1), (5, 1), (9, 1), (3, 3), (4, 3)} | {(i, 20) for i in range(20, 46)}
