@@ -147,6 +147,16 @@ def facet_choices(stills: DataFrame) -> DataFrame:
     return both.where("value IS NOT NULL AND value <> ''").distinct()
 
 
+def facet_lists(pairs: DataFrame, families: tuple[str, ...] = ()) -> DataFrame:
+    """family, values: each family's distinct values in order; `families` have a row even without a value. pairs: family, value.
+
+    Values are of a vocabulary; copies are dropped before families are gathered, so a list is no longer than its family's words.
+    """
+    lists = pairs.where("value IS NOT NULL AND value <> ''").distinct().groupBy("family").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    asked = pairs.sparkSession.createDataFrame([(f,) for f in families], "family string")
+    return lists.join(F.broadcast(asked), "family", "full").select("family", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+
+
 def reasons_in_scope(stills: DataFrame, everything: bool = False) -> DataFrame:
     scope = F.col("selected") & (F.size("reasons") > 0)
     return stills.where(scope if everything else scope & (F.col("review_state") == "unreviewed") & ~F.col("excluded"))

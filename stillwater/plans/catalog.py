@@ -114,6 +114,20 @@ def facet_choices(spark, sf):
     return op.facet_choices(stills(spark, sf))
 
 
+@query(with_views("still", "seen", "facet") + """SELECT k AS family, array_to_string(list_sort(list(DISTINCT v)), '|') AS "values" FROM facet WHERE id IN (SELECT id FROM seen) AND v <> '' GROUP BY k""")
+def facet_families(spark, sf):
+    """The visible stills' facets, a sorted list a family."""
+    s = stills(spark, sf).where(op.visible())
+    return op.facet_lists(s.select(F.explode(op.overlay(F.col("facets"), F.col("facets_human"))).alias("family", "value"))).select("family", F.array_join("values", "|").alias("values"))
+
+
+@query(with_views("still") + """SELECT family, coalesce(array_to_string(list_sort(list(DISTINCT value)), '|'), '') AS "values" FROM (SELECT 'lang' AS family, lang AS value FROM still UNION ALL SELECT 'size', size FROM still
+UNION ALL SELECT 'grade', 'poor' FROM still WHERE quality = 0 AND toxic <> 1 UNION ALL SELECT unnest(['lang', 'mood', 'angle']), NULL) WHERE value IS NULL OR value <> '' GROUP BY family""")
+def facet_controls(spark, sf):
+    """The editor's choices: machine's and human's values, and every family that the report scores."""
+    return op.facet_lists(op.facet_choices(stills(spark, sf)), ("lang", "mood", "angle")).select("family", F.array_join("values", "|").alias("values"))
+
+
 def with_reasons(s):
     cut = F.array(F.when(F.col("id") % 3 == 0, "text"), F.when(F.col("id") % 5 == 0, "rating"), F.when(F.col("id") % 7 == 0, "scale"), F.when(F.col("id") % 6 == 0, "text"))
     return s.withColumn("reasons", F.array_compact(cut))
