@@ -280,3 +280,28 @@ def attention_order(works: DataFrame) -> DataFrame:
 def newest_first(rows: DataFrame, at: str, n: int = 12) -> DataFrame:
     """The last n rows, newest first; of one time the greater id first."""
     return rows.orderBy(F.col(at).desc(), F.col("id").desc()).limit(n)
+
+
+def probes(stills: DataFrame, asked: DataFrame) -> DataFrame:
+    """work, id, visible: whether each asked still can be seen; one that isn't there can't. asked: work, id."""
+    seen = stills.where(visible()).select(F.col("work").alias("_w"), F.col("id").alias("_i")).distinct()
+    rows = asked.select("work", "id").distinct().join(seen, (F.col("work") == F.col("_w")) & (F.col("id") == F.col("_i")), "left")
+    return rows.select("work", "id", F.col("_i").isNotNull().alias("visible"))
+
+
+def unplaced(works: DataFrame, seasons: DataFrame) -> DataFrame:
+    """Works of no known season, which the tree lists apart: a null season is none. works: work, season; seasons: season."""
+    return works.join(seasons.select("season"), "season", "left_anti")
+
+
+def siblings(works: DataFrame) -> DataFrame:
+    """work, sibling, name of the other works of a series; an episode goes by its own title, else by the work's. A work without a
+    series has none. works: work, series, episode_title, title, place."""
+    other = works.select(F.col("series").alias("_s"), F.col("work").alias("sibling"), F.coalesce("episode_title", "title").alias("name"), "place")
+    return works.select("work", "series").join(other, (F.col("series") == F.col("_s")) & (F.col("work") != F.col("sibling"))).select("work", "sibling", "name", "place")
+
+
+def next_anywhere(stills: DataFrame, works: DataFrame) -> DataFrame:
+    """The one still to review next: of the work imported last (one without a time before all) that has any left, the earliest. works: work, imported."""
+    open_ = stills.where(F.col("selected") & (F.col("review_state") == "unreviewed") & ~F.col("excluded")).join(works.select("work", "imported"), "work")
+    return open_.orderBy(F.col("imported").desc_nulls_first(), "work", F.col("ts").asc_nulls_last(), "id").select("work", "id").limit(1)

@@ -250,3 +250,36 @@ def local_catalogue(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     both = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])  # regions are a fixed handful
     return both.select(F.col("n_name").alias("name"), F.col("r_name").alias("grp"), F.row_number().over(Window.partitionBy("r_name").orderBy(F.lower("n_name"))).cast("long").alias("place"))
+
+
+@query(with_views("still", "seen") + """, a AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN 'src0' ELSE source END AS work FROM documents UNION SELECT -1, 'src1')
+SELECT a.work, a.id, seen.id IS NOT NULL AS visible FROM a LEFT JOIN seen ON seen.id = a.id AND seen.work = a.work""")
+def visibility_probes(spark, sf):
+    """Every still asked for, some under a work that isn't theirs, and one that isn't there."""
+    s = stills(spark, sf)
+    asked = s.select(F.when(F.col("id") % 9 == 0, "src0").otherwise(F.col("work")).alias("work"), "id")
+    return op.probes(s, asked.unionByName(spark.createDataFrame([("src1", -1)], "work string, id long")))
+
+
+@query("""SELECT DISTINCT source AS work, CASE WHEN source = 'src7' THEN NULL ELSE CAST(substr(source, 4) AS INTEGER) % 5 END AS season FROM documents WHERE source = 'src7' OR CAST(substr(source, 4) AS INTEGER) % 5 = 3""")
+def unplaced_works(spark, sf):
+    """Works of season 3, which isn't known, and one without a season."""
+    s = stills(spark, sf).select("work", F.when(F.col("work") != "src7", F.col("season")).alias("season")).distinct()
+    return op.unplaced(s, s.where("season <> 3").select("season").distinct()).select("work", "season")
+
+
+@query("""WITH w AS (SELECT o_orderkey AS work, o_custkey AS series, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS episode, o_orderstatus AS title, o_orderkey % 7 AS place FROM orders)
+SELECT x.work, y.work AS sibling, coalesce(y.episode, y.title) AS name, y.place FROM w x JOIN w y ON x.series = y.series AND x.work <> y.work""")
+def sibling_works(spark, sf):
+    """Orders as works, a customer's orders as a series."""
+    k = F.col("o_orderkey")
+    works = table(spark, sf, "orders").select(k.alias("work"), F.col("o_custkey").alias("series"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("episode_title"), F.col("o_orderstatus").alias("title"), (k % 7).alias("place"))
+    return op.siblings(works)
+
+
+@query(with_views("still") + """, w AS (SELECT source AS work, CASE WHEN source <> 'src4' THEN max(doc_id) END AS imported FROM documents GROUP BY source)
+SELECT work, id FROM still JOIN w USING (work) WHERE selected AND review_state = 'unreviewed' AND NOT excluded ORDER BY imported DESC NULLS FIRST, work, ts NULLS LAST, id LIMIT 1""")
+def next_unreviewed_anywhere(spark, sf):
+    s = stills(spark, sf)
+    works = s.groupBy("work").agg(F.max("id").alias("imported")).withColumn("imported", F.when(F.col("work") != "src4", F.col("imported")))
+    return op.next_anywhere(s, works)
