@@ -119,7 +119,12 @@ def guess_episode(name: Column) -> Column:
     it is the one number that stands alone, is no part of a decimal and has no unit behind it.
     """
     stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]+$", ""), r"\[[^\]]*\]|\([^)]*\)", " ")
-    parts = F.regexp_extract_all(F.lower(F.trim(stem)), F.lit(r"\s+|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
+    cut = F.regexp_extract_all(F.lower(F.trim(stem)), F.lit(r"\s+|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
+    return bound(cut, numbered_part)
+
+
+def numbered_part(parts: Column) -> Column:
+    """The number of `guess_episode` from a name's parts, which are computed by now; only parts with a digit are looked at."""
     at = lambda i: F.coalesce(F.get(parts, i), F.lit(" "))
     blank, dash = (lambda t: t.rlike(r"^\s+$")), (lambda t: t.isin("-", "\u2013", "\u2014"))
     number = lambda t: t.rlike("^[0-9]{1,4}$")
@@ -142,10 +147,10 @@ def guess_episode(name: Column) -> Column:
         rank = F.when(season, 1).when(dashed, 2).when(worded, 3).when(hashed, 4).when(alone, 5)
         return F.struct(rank.alias("rank"), i.alias("i"), digits(t).try_cast("int").alias("n"), alone.alias("alone"))
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), place), lambda x: x["rank"].isNotNull())
-    best = F.array_min(found)
-    only = F.size(F.filter(found, lambda x: x["alone"])) == 1
-    return F.when((best["rank"] < 5) | only, best["n"])
+    every = F.filter(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: at(i).rlike("[0-9]"))
+    found = F.filter(F.transform(every, place), lambda x: x["rank"].isNotNull())
+    told = lambda xs: F.struct(F.array_min(xs).alias("best"), (F.size(F.filter(xs, lambda x: x["alone"])) == 1).alias("only"))
+    return bound(bound(found, told), lambda x: F.when((x["best"]["rank"] < 5) | x["only"], x["best"]["n"]))
 
 
 #: Words of files that are no episodes; the numbered ones may end in a number.
@@ -155,11 +160,15 @@ EXTRA_NUMBERED = ("ncop", "nced", "op", "ed", "pv", "cm")
 
 def looks_extra(name: Column, words: tuple[str, ...] = EXTRA_WORDS, numbered: tuple[str, ...] = EXTRA_NUMBERED) -> Column:
     """Whether a file name has a word, or two words in a row, that mark what is no episode."""
-    parts = F.filter(F.split(F.lower(F.regexp_replace(name, r"\.[^.]+$", "")), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(parts, i - 1), F.get(parts, i)))
-    bare = F.transform(parts, lambda w: F.regexp_replace(w, "[0-9]+$", ""))
+    cut = F.filter(F.split(F.lower(F.regexp_replace(name, r"\.[^.]+$", "")), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     lists = lambda x, wanted: F.arrays_overlap(x, F.array(*map(F.lit, wanted)))
-    return lists(parts, words) | lists(pairs, words) | lists(bare, numbered)
+
+    def told(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(parts, i - 1), F.get(parts, i)))
+        bare = F.transform(parts, lambda w: F.regexp_replace(w, "[0-9]+$", ""))
+        return lists(parts, words) | lists(pairs, words) | lists(bare, numbered)
+
+    return bound(cut, told)
 
 
 def natural_key(name: Column) -> Column:

@@ -472,3 +472,14 @@ def test_no_task_holds_a_work(spark, monkeypatch, tmp_path):
     similar.stratified(spark.createDataFrame(v, "id long, work int, series int, ts double, v array<float>"), 3, 40).collect()
     sizes = [tuple(map(int, p.name.split("-")[1:])) for p in tmp_path.iterdir()]
     assert sizes and max(y for _, y in sizes) < 100 and max(x for x, _ in sizes) < 100
+
+
+def written(df, what: str) -> int:
+    """How often a plan computes `what`: an expression named in a lambda is computed for every element."""
+    return df._jdf.queryExecution().analyzed().toString().count(what)
+
+
+def test_names_are_cut_once(spark):
+    df = spark.createDataFrame([("Show - 12 [x].mkv",)], "n string")
+    assert written(df.select(text.guess_episode(F.col("n")).alias("e")), "regexp_extract_all(") == 1
+    assert written(df.select(text.looks_extra(F.col("n")).alias("e")), "split(") == 1
