@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stillwater.functions import color, labels, text
+from stillwater.functions import color, descriptor, labels, text
 from stillwater.operators import catalog, frames, ingest, intervals, similar, workflow
 from stillwater.operators import jobs as jobs_op
 from stillwater.sources import records
@@ -483,3 +483,10 @@ def test_names_are_cut_once(spark):
     df = spark.createDataFrame([("Show - 12 [x].mkv",)], "n string")
     assert written(df.select(text.guess_episode(F.col("n")).alias("e")), "regexp_extract_all(") == 1
     assert written(df.select(text.looks_extra(F.col("n")).alias("e")), "split(") == 1
+
+
+def test_palette_parts_are_computed_once(spark):
+    df = spark.createDataFrame([], "c array<struct<hue:double,sat:double,luma:double,weight:double,cb:double,cr:double,accent:boolean>>")
+    assert written(df.select(descriptor.hue_supports(F.col("c")).alias("e")), "filter(") == 1
+    assert written(df.select(descriptor.weighted_mean(F.col("c"), "cb").alias("e")), "filter(") == 1
+    assert written(df.select(descriptor.strip_shares(F.col("c")).alias("e")), "transform(c#") == 1
