@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stillwater.functions.color import bound
+
 
 def area(b: Column) -> Column:
     return F.greatest(F.lit(0.0), b["x1"] - b["x0"]) * F.greatest(F.lit(0.0), b["y1"] - b["y0"])
@@ -33,6 +35,6 @@ def largest(boxes: Column) -> Column:
 
 def over_centre(heads: Column, face: Column) -> Column:
     """The best-scored head box that covers the face's centre."""
-    x, y = (face["x0"] + face["x1"]) / 2, (face["y0"] + face["y1"]) / 2
-    cover = F.filter(heads, lambda h: x.between(h["x0"], h["x1"]) & y.between(h["y0"], h["y1"]))
+    middle = bound(face, lambda f: F.struct(((f["x0"] + f["x1"]) / 2).alias("x"), ((f["y0"] + f["y1"]) / 2).alias("y")))
+    cover = bound(middle, lambda m: F.filter(heads, lambda h: m["x"].between(h["x0"], h["x1"]) & m["y"].between(h["y0"], h["y1"])))
     return F.array_max(F.transform(cover, lambda h: F.struct(h["score"].alias("s"), h.alias("b"))))["b"]

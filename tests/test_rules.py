@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stillwater.functions import color, descriptor, labels, text
+from stillwater.functions import color, descriptor, detect, labels, text
 from stillwater.operators import catalog, frames, ingest, intervals, similar, workflow
 from stillwater.operators import jobs as jobs_op
 from stillwater.sources import records
@@ -490,3 +490,10 @@ def test_palette_parts_are_computed_once(spark):
     assert written(df.select(descriptor.hue_supports(F.col("c")).alias("e")), "filter(") == 1
     assert written(df.select(descriptor.weighted_mean(F.col("c"), "cb").alias("e")), "filter(") == 1
     assert written(df.select(descriptor.strip_shares(F.col("c")).alias("e")), "transform(c#") == 1
+
+
+def test_the_largest_face_is_found_once(spark):
+    df = spark.createDataFrame([([(0.5, 0.0, 0.0, 9.0, 9.0), (0.9, 4.0, 4.0, 5.0, 5.0), (1.0, 5.0, 5.0, 6.0, 6.0)],)], "b array<struct<score:double,x0:double,y0:double,x1:double,y1:double>>")
+    got = df.select(detect.over_centre(F.col("b"), detect.largest(F.col("b"))).alias("e"))
+    assert written(got, "array_max(") == 2  # the largest box, and the best that covers it
+    assert got.first().e.score == 0.9
