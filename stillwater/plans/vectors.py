@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stillwater.operators import similar as op
+from stillwater.operators.keep import kept
 from stillwater.plans.registry import query
 from stillwater.sources.tables import table, vectors, with_views
 
@@ -127,5 +128,5 @@ def hamming_pairs(spark, sf):
 f AS (SELECT id, min(seen) AS family FROM r GROUP BY id)
 SELECT h.id, coalesce(f.family, k.id) AS family FROM h JOIN k ON k.h = h.h LEFT JOIN f ON f.id = k.id WHERE k.n > 1 OR f.id IS NOT NULL""")
 def dedup_families(spark, sf):
-    h = hashes(spark, sf)
+    h = kept(hashes(spark, sf))  # the texts are read once
     return op.families(h, op.hamming_pairs(h, 5))

@@ -35,3 +35,8 @@ def nearest_by_hand(rows, taken):
 def test_hashes_never_pass_the_driver(spark):
     at = keep.kept(spark.createDataFrame([(i, i * 37) for i in range(50)], "id long, h long"))
     assert "Broadcast" not in plan(similar.hamming_pairs(at, 5, 3))
+
+
+def test_families_never_pass_the_driver(spark):
+    nodes = keep.kept(spark.createDataFrame([(i, i * 37) for i in range(50)], "id long, h long"))
+    assert "Broadcast" not in plan(similar.families(nodes, spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")))
