@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.operators.keep import kept
+from stillwater.operators.keep import few, kept
 from stillwater.operators.similar import pairs
 
 PAIR = "wa int, a long, ta double, wb int, b long, tb double, similarity double"
@@ -48,8 +48,9 @@ def refresh(frames: DataFrame, at: str, least: float = 0.95) -> DataFrame:
     stale = kept(due(frames, at))
     if not stale.isEmpty():
         found = pairs(frames.join(stale.where("key IS NOT NULL").select("series"), "series", "left_semi"), least)
-        rows = stale.join(found, "series").select("key", *[c.split()[0] for c in PAIR.split(", ")], "series")
+        rows = found.join(few(stale), "series").select("key", *[c.split()[0] for c in PAIR.split(", ")], "series")
         none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in PAIR.split(", ")]
         marks = stale.select("key", *none, "series")
-        rows.unionByName(marks).repartition("series").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series").parquet(at)
+        # each task writes the pairs of its own blocks, so a series is as many files as tasks and is never gathered in one
+        rows.unionByName(marks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series").parquet(at)
     return stored(spark, at).where("wa IS NOT NULL").drop("key")

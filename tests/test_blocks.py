@@ -87,3 +87,16 @@ def test_a_vector_is_sent_as_often_in_a_large_series(spark):
     s = v.astype(float) @ v.astype(float).T
     got = [(r.a, r.b) for r in similar.pairs(df, 1.5, 5, 6).collect()]
     assert set(got) == {(i, j) for i in range(240) for j in range(240) if i % 3 < j % 3 and s[i, j] >= 1.5} and len(got) == len(set(got))
+
+
+def test_a_series_is_written_by_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, i % 2, 0, float(i), [float(x) for x in v[i]]) for i in range(3000)], VECTOR)
+    at = keep.scratch(spark, "test-series")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        assert repeats.refresh(df, at, 6.0).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(at).where("wa IS NOT NULL").select(F.input_file_name()).distinct().count() > 1
