@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 import random
 from collections.abc import Callable, Iterator
 
@@ -16,8 +19,9 @@ from stillwater.operators import intervals
 def rank_shots(shots: DataFrame, budget: int, alpha: float = 0.5) -> DataFrame:
     """src, shot, turn: shots by score, each discounted while it is nearer in time to one ranked before than an even spacing.
 
-    With alpha 0 it is a plain sort. Else each choice depends on the ones before, so a source is one group; it has
-    some thousand shots. shots: src, shot, mid, score, duration.
+    With alpha 0 it is a plain sort. Else each choice depends on the ones before, so a source is one group. What a shot is worth
+    only falls while others are ranked, so shots wait in a heap under what they were last worth, and the first is measured
+    anew: a choice looks at few shots. (Where a score is below 0 or none, all are measured.) shots: src, shot, mid, score, duration.
     """
     if alpha == 0:
         w = Window.partitionBy("src").orderBy(F.col("score").desc(), "mid", "shot")
@@ -27,6 +31,9 @@ def rank_shots(shots: DataFrame, budget: int, alpha: float = 0.5) -> DataFrame:
         pdf = pdf.sort_values(["score", "mid", "shot"], ascending=[False, True, True])
         mid, score = pdf["mid"].to_numpy(), pdf["score"].to_numpy()
         ideal = pdf["duration"].iloc[0] / budget
+        if ideal > 0 and (score >= 0).all() and not np.isnan(mid).any():
+            order = spread_order(mid.tolist(), score.tolist(), ideal, alpha)
+            return pd.DataFrame({"src": pdf["src"].iloc[0], "shot": pdf["shot"].to_numpy()[order], "turn": range(len(order))})
         near, left, order = np.full(len(mid), np.inf), np.ones(len(mid), bool), []
         for _ in range(len(mid)):
             worth = score * np.minimum(1, near / ideal) ** alpha if ideal > 0 else score
@@ -39,6 +46,27 @@ def rank_shots(shots: DataFrame, budget: int, alpha: float = 0.5) -> DataFrame:
     return shots.groupBy("src").applyInPandas(choose, "src long, shot int, turn int")
 
 
+def spread_order(mid: list[float], score: list[float], ideal: float, alpha: float) -> list[int]:
+    """Places of shots in order of choice; of equal ones the first goes first."""
+    power = math.sqrt if alpha == 0.5 else lambda x: x**alpha
+    heap = [(-s, k, 0) for k, s in enumerate(score)]
+    heapq.heapify(heap)
+    done, order = [], []
+    while heap:
+        worth, k, at = heap[0]
+        if at < len(order):
+            i, m = bisect.bisect_left(done, mid[k]), mid[k]
+            near = min(abs(m - done[j]) for j in (i - 1, i) if 0 <= j < len(done)) / ideal
+            fresh = -score[k] * power(near) if near < 1 else -score[k]
+            if fresh > worth:
+                heapq.heapreplace(heap, (fresh, k, len(order)))
+                continue
+        heapq.heappop(heap)
+        order.append(k)
+        bisect.insort(done, mid[k])
+    return order
+
+
 def plan(ranked: DataFrame, budget: int, most: int, reserve: float = 1.25) -> DataFrame:
     """src, shot, planned, reason: shots in rank order while they are within the budget and their frames within `most`.
 

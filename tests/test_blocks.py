@@ -113,3 +113,15 @@ def test_gains_by_slices(monkeypatch):
     want = np.maximum(np.rint(v.astype(float) @ w.astype(float).T * similar.UNIT).astype(np.int64) - np.arange(30), 0).sum(axis=1)
     monkeypatch.setattr(similar, "slices", lambda n, m: [slice(at, at + 7) for at in range(0, n, 7)])
     assert similar.block_gains(x, y).column("gain").to_pylist() == want.tolist()
+
+
+def test_heap_ranks_as_all_measured():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 50, 300):
+        mid, score = np.round(rng.random(n) * 90, 1), rng.integers(0, 5, n).astype(float)
+        left, near, want = np.ones(n, bool), np.full(n, np.inf), []
+        for _ in range(n):
+            j = int(np.where(left, score * np.minimum(1, near / 7.5) ** 0.5, -np.inf).argmax())
+            want.append(j)
+            left[j], near = False, np.minimum(near, np.abs(mid - mid[j]))
+        assert frames.spread_order(mid.tolist(), score.tolist(), 7.5, 0.5) == want
