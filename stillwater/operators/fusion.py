@@ -44,8 +44,10 @@ def fuse(tags: DataFrame, mapping: DataFrame, cut: float = CUT, scene_cut: float
 def people(tags: DataFrame, cut: float = CUT) -> DataFrame:
     """id, value, score: how many people the counting tags say, girls and boys added up; no row where none fired.
 
-    Outright statements (nobody, a crowd, alone) come before sums, a couple after them.
+    Outright statements (nobody, a crowd, alone) come before sums, a couple after them. A tag may come in several rows, of which
+    the best counts; tags that count nobody go before anything is grouped.
     """
+    tags = tags.where(F.col("tag").isin("no_humans", "crowd", "solo", "couple", *GIRLS, *BOYS) & (F.col("score") >= cut))
     at = {t: F.max(F.when((F.col("tag") == t) & (F.col("score") >= cut), F.col("score"))) for t in ("no_humans", "crowd", "solo", "couple", *GIRLS, *BOYS)}
     seen = tags.groupBy("id").agg(*[c.alias(t) for t, c in at.items()])
     col = lambda t: F.col(f"`{t}`")

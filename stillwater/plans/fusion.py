@@ -35,11 +35,15 @@ SCENES = (("indoors", "setting", "interior", True), ("outdoors", "setting", "ext
 SEEN = f"""WITH hit AS (SELECT l_orderkey AS id, [{", ".join(f"'{t}'" for t in TAGS)}][l_partkey % {len(TAGS)} + 1] AS t, max(l_suppkey * 37 % 51 / 50e0) AS score FROM lineitem GROUP BY 1, 2)"""
 
 
-def seen(spark, sf):
-    """The lines of an order as a frame's tags."""
-    li = table(spark, sf, "lineitem")
+def said(spark, sf):
+    """The lines of an order as what is said of a frame's tags, some more than once."""
     tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("l_partkey") % len(TAGS) + 1).cast("int"))
-    return li.groupBy(F.col("l_orderkey").alias("id"), tag.alias("tag")).agg(F.max(F.col("l_suppkey") * 37 % 51 / F.lit(50.0)).alias("score"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), tag.alias("tag"), (F.col("l_suppkey") * 37 % 51 / F.lit(50.0)).alias("score"))
+
+
+def seen(spark, sf):
+    """A frame's tags, each with its best score."""
+    return said(spark, sf).groupBy("id", "tag").agg(F.max("score").alias("score"))
 
 
 def faces(spark, sf):
@@ -63,7 +67,7 @@ SELECT id, CASE WHEN faces IS NULL THEN tagger WHEN tagger IS NULL THEN seen ELS
  CASE WHEN faces IS NULL THEN s WHEN tagger IS NULL THEN 0.7e0 WHEN seen <> tagger THEN round_even(least(s, 0.7e0) * 0.7e0, 4) ELSE round_even(greatest(s, 0.7e0), 4) END AS score,
  coalesce(tagger, 'abstain') AS tagger, faces IS NOT NULL AND tagger IS NOT NULL AND seen <> tagger AS inconsistent FROM y""")
 def people_fusion(spark, sf):
-    return fu.with_faces(fu.people(seen(spark, sf)), faces(spark, sf))
+    return fu.with_faces(fu.people(said(spark, sf)), faces(spark, sf))
 
 
 @query(fused_sql(SEEN, ", ".join(map(str, SCENES))) + """, sides AS (SELECT id, max(score) FILTER (WHERE t = 'indoors') AS a, max(score) FILTER (WHERE t = 'outdoors') AS b FROM hit GROUP BY id),

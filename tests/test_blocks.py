@@ -125,3 +125,10 @@ def test_heap_ranks_as_all_measured():
             want.append(j)
             left[j], near = False, np.minimum(near, np.abs(mid - mid[j]))
         assert frames.spread_order(mid.tolist(), score.tolist(), 7.5, 0.5) == want
+
+
+def test_people_from_rows_that_repeat_a_tag(spark):
+    tags = spark.createDataFrame([(1, "1girl", 0.2), (1, "1girl", 0.9), (1, "1girl", 0.5), (2, "window", 0.9), (3, "2girls", 0.4), (3, "1boy", 0.3)], "id long, tag string, score double")
+    out = fusion.people(tags)
+    assert {(r.id, r.value, r.score) for r in out.collect()} == {(1, "one", 0.9), (3, "two", 0.4)}
+    assert "IN (" in plan(out, "optimizedPlan") or "INSET" in plan(out, "optimizedPlan")  # tags that count nobody are not grouped
