@@ -27,8 +27,15 @@ def entry(prefix: str = "") -> Column:
 
 def list_digest(listed: DataFrame) -> DataFrame:
     """bundle, digest of its entries in order of place."""
-    rows = listed.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("place", F.sha2(entry(), 256).alias("e")))).alias("es"))
-    return rows.select("bundle", F.sha2(F.array_join(F.transform("es", lambda x: x["e"]), "\n"), 256).alias("digest"))
+    return lists(listed).select("bundle", "digest")
+
+
+def lists(listed: DataFrame) -> DataFrame:
+    """bundle, digest of its entries in order of place, frames (their number), double (whether an id or a name comes twice)."""
+    rows = listed.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("place", F.sha2(entry(), 256).alias("e"), "id", "name"))).alias("es"))
+    twice = lambda c: F.size(F.array_distinct(F.transform("es", lambda x: x[c]))) < F.size("es")
+    digest = F.sha2(F.array_join(F.transform("es", lambda x: x["e"]), "\n"), 256)
+    return rows.select("bundle", digest.alias("digest"), F.size("es").alias("frames"), (twice("id") | twice("name")).alias("double"))
 
 
 def verdicts(bundles: DataFrame, listed: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,11 +54,8 @@ def verdicts(bundles: DataFrame, listed: DataFrame, files: DataFrame) -> DataFra
         said("other dimensions", F.col("width").isNotNull() & F.col("height").isNotNull() & ((F.col("fw") != F.col("width")) | (F.col("fh") != F.col("height")))),
     )
     worst = each.groupBy("bundle").agg(F.min(frame).alias("frame"))
-    twice = lambda c: listed.groupBy("bundle", c).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bundle")
-    double = twice("id").union(twice("name")).distinct().withColumn("double", F.lit(True))
-    count = listed.groupBy("bundle").agg(F.count(F.lit(1)).alias("frames"))
     rows = bundles
-    for more in (list_digest(listed), worst, double, count):
+    for more in (lists(listed), worst):
         rows = rows.join(more, "bundle", "left")
     none = F.sha2(F.lit(""), 256)
     problem = F.least(

@@ -127,6 +127,14 @@ def test_heap_ranks_as_all_measured():
         assert frames.spread_order(mid.tolist(), score.tolist(), 7.5, 0.5) == want
 
 
+def test_lists_are_gathered_once(spark):
+    row = [(1, 1, "a", "x"), (1, 2, "b", "x"), (2, 1, "a", "x"), (2, 2, None, "y"), (3, 1, None, "p"), (3, 2, None, "q"), (4, 1, "c", "c")]
+    listed = spark.createDataFrame(row, "bundle long, place int, id string, name string")
+    for c, kind in (("bytes", "long"), ("sha256", "string"), ("asked", "long"), ("found", "long"), ("width", "int"), ("height", "int")):
+        listed = listed.withColumn(c, F.lit(None).cast(kind))
+    assert {r.bundle: (r.frames, r.double) for r in bundles.lists(listed).collect()} == {1: (2, True), 2: (2, False), 3: (2, True), 4: (1, False)}
+
+
 def test_people_from_rows_that_repeat_a_tag(spark):
     tags = spark.createDataFrame([(1, "1girl", 0.2), (1, "1girl", 0.9), (1, "1girl", 0.5), (2, "window", 0.9), (3, "2girls", 0.4), (3, "1boy", 0.3)], "id long, tag string, score double")
     out = fusion.people(tags)
