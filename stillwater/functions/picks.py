@@ -20,7 +20,8 @@ BIN = "struct<w:bigint,bin:int,r:double,g:double,b:double,h:double,s:double,y:do
 
 
 def heavy(bins: Column) -> Column:
-    return F.array_sort(bins, lambda x, y: F.when(x["w"] > y["w"], -1).when(x["w"] < y["w"], 1).when(x["bin"] < y["bin"], -1).when(x["bin"] > y["bin"], 1).otherwise(0))
+    """Heaviest first; of equals the lower bin."""
+    return F.transform(F.array_sort(F.transform(bins, lambda c: F.struct((-c["w"]).alias("n"), c["bin"].alias("k"), c.alias("c")))), lambda x: x["c"])
 
 
 def luma(c: Column) -> Column:
@@ -119,10 +120,9 @@ def groups(small: Column) -> Column:
     return F.transform(F.aggregate(heavy(small), empty(SUMS), put), lambda g: bound(mean(g), rich))
 
 
-def accents(bins: Column, total: Column) -> Column:
-    """Colours spread thin over small bins: groups of enough weight with no bin near that is heavy enough by itself."""
+def accents(bins: Column, large: Column, total: Column) -> Column:
+    """Colours spread thin over small bins: groups of enough weight with none of the `large` bins near, which are heavy enough by themselves."""
     small = F.filter(bins, lambda c: (c["w"] > 0) & (c["w"] < total * LEAST_SHARE))
-    large = cleared(bins, total)
     found = cleared(groups(small), total)
     return F.filter(found, lambda c: ~F.exists(large, lambda s: apart(s, c) < MERGE))
 
@@ -130,12 +130,15 @@ def accents(bins: Column, total: Column) -> Column:
 def representative(bins: Column, total: Column, n: int) -> Column:
     """array<struct<c, accent>>: up to two nearly black or white bins, then the best coloured ones that are unlike each other, `n`
     in all, and up to two saturated accents unlike everything; by weight, accents last."""
-    large = heavy(cleared(bins, total))
-    fixed = F.slice(F.filter(large, anchor), 1, 2)
+    return bound(heavy(cleared(bins, total)), lambda large: bound(F.slice(F.filter(large, anchor), 1, 2), lambda fixed: among(bins, large, fixed, total, n)))
+
+
+def among(bins: Column, large: Column, fixed: Column, total: Column, n: int) -> Column:
+    """`representative` from the bins that are heavy enough and the nearly black or white ones of these, both computed by now."""
     others = F.array_except(large, fixed)
     unlike = lambda least: lambda acc, c: ~F.exists(acc, lambda p: unlikeness(p, c) < least)
     plain = taken(F.filter(by_worth(others), colored), fixed, F.lit(n), unlike(1.0))
-    strong = by_worth(F.filter(accents(bins, total), lambda c: colored(c) & (c["s"] >= ACCENT_SAT)))
+    strong = by_worth(F.filter(accents(bins, large, total), lambda c: colored(c) & (c["s"] >= ACCENT_SAT)))
 
     def add(plain: Column) -> Column:
         more = taken(strong, plain, F.size(plain) + ACCENTS, unlike(ACCENT_APART))

@@ -140,3 +140,9 @@ def test_people_from_rows_that_repeat_a_tag(spark):
     out = fusion.people(tags)
     assert {(r.id, r.value, r.score) for r in out.collect()} == {(1, "one", 0.9), (3, "two", 0.4)}
     assert "IN (" in plan(out, "optimizedPlan") or "INSET" in plan(out, "optimizedPlan")  # tags that count nobody are not grouped
+
+
+def test_heavy_bins_are_found_once(spark):
+    df = spark.createDataFrame([], f"b array<{picks.BIN}>, t long")
+    e = df.select(picks.representative(F.col("b"), F.col("t"), 8).alias("e"))
+    assert plan(e, "analyzed").count("filter(b#") == 2  # the bins that are heavy enough, and the small ones
